@@ -59,7 +59,7 @@ def offsets(df: DataFrame, parts: Sequence[str], chunk: Sequence[str], amount: C
     """For each chunk of each part, the sum of amount over the part's earlier chunks, in the order of the chunk columns."""
     sums = df.groupBy(*parts, *chunk).agg(F.sum(amount).alias("_amount"))
     order = W.partitionBy(*parts).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn("_before", F.coalesce(F.sum("_amount").over(order), F.lit(0))).drop("_amount")
+    return sums.withColumn("_earlier", F.coalesce(F.sum("_amount").over(order), F.lit(0))).drop("_amount")
 
 
 def running(df: DataFrame, parts: Sequence[str], chunk: Sequence[str], order: Sequence[Column], amount: Column, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def running(df: DataFrame, parts: Sequence[str], chunk: Sequence[str], order: Se
     for k in keys:
         before = before.withColumnRenamed(k, f"_k_{k}")
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return joined.join(before, on, "left").withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before", *[f"_k_{k}" for k in keys])
+    return joined.join(before, on, "left").withColumn(name, F.col("_earlier") + F.col("_inside")).drop("_inside", "_earlier", *[f"_k_{k}" for k in keys])
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
