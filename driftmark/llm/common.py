@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,12 +14,22 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a fresh local one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own, not yet there, in the folder that the driver and all executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder that spark.checkpoint.dir names (a fresh one in tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(where)
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

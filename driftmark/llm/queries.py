@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, sharding
+from . import decontaminate, mixing, ngram_join, sharding, token_files
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), mark="<|startoftext|>", end_id=2)
+    return token_files.read_digests(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op8_mixing": op8_mixing}
+    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op8_mixing": op8_mixing, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
