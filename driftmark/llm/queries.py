@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, sharding, token_files
+from . import decontaminate, fingerprints, mixing, ngram_join, sharding, token_files
 from .common import shared_path
 
 
@@ -32,6 +32,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), mark="<|startoftext|>", end_id=2)
@@ -39,7 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op8_mixing": op8_mixing, "op10_token_files": op10_token_files}
+    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
