@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, ngram_join, sharding, token_files
+from . import decontaminate, fingerprints, mixing, ngram_join, quality, sharding, token_files
 from .common import shared_path
 
 
@@ -27,6 +28,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = lambda: F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = quality.fit(documents, labels.where(~fold()))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", F.coalesce(fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -43,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
