@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, ngram_join, quality, sharding, token_files
+from . import chat_format, decontaminate, fingerprints, mixing, ngram_join, quality, sharding, token_counts, token_files
 from .common import shared_path
 
 
@@ -20,6 +20,35 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], turns.schema)
+    formatted = chat_format.format_chats(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"))
+    return chat_format.digests(formatted).drop("n_tokens")
+
+
+OP3_SQL = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, 23 + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +81,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_decontaminate": op1_decontaminate, "op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": OP3_SQL}
