@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, looked up by multi-index Hamming blocks, then verified.
 
-Every window of a document as long as some benchmark item, at every start word, is a query. A window whose shingles
-can't reach the similarity, as running sums of shingle weights show, is left out before it is fingerprinted; this loses nothing.
+Every window of a document as long as some benchmark item, at every start word, is a query for the items of that length. A window
+that can't reach the similarity, as running sums of the weights it shares with such items show, is left out before
+it is fingerprinted; this loses nothing.
 The others get a 64-bit SimHash of their words. The items' fingerprints are cut into 8 blocks and stored under each
 block's value and under all values one bit away. A fingerprint within 15 bits differs in at most one bit in some
 block, so one look-up in each block finds every item within the radius. The exact similarity of the weighted shingles
@@ -49,6 +50,9 @@ class Index:
     weights: np.ndarray
     filter: np.ndarray
     rare: float
+    holders: np.ndarray  # for each shingle where its lengths begin in holding (and the last ends)
+    holding: np.ndarray  # places in self.lengths of the items that hold a shingle
+    own: np.ndarray  # for each item the place of its length
     tables: list[list[np.ndarray]]  # for each block and value the items
 
     @staticmethod
@@ -69,6 +73,10 @@ class Index:
         each, totals_ = np.array(lengths), np.array(totals)
         distinct = np.unique(each)
         least = np.array([totals_[each == w].min() for w in distinct])
+        own = np.searchsorted(distinct, each)
+        pairs = sorted({(int(np.searchsorted(known, np.uint64(g))), int(o)) for c, o in zip(counts, own) for g in c})
+        holders = np.searchsorted([p[0] for p in pairs], np.arange(len(known) + 1))
+        holding = np.array([p[1] for p in pairs], dtype=np.int64)
         found: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(BLOCKS)]
         for i, p in enumerate(prints):
             for b in range(BLOCKS):
@@ -76,7 +84,7 @@ class Index:
                 for v in (value, *(value ^ (1 << j) for j in range(8))):
                     found[b][v].append(i)
         tables = [[np.array(x, dtype=np.int64) for x in block] for block in found]
-        return Index(k, np.array([i for i, _ in items]), np.array(prints, dtype=np.uint64), totals_, counts, distinct, least, known, weights, bits, math.log(1 + n), tables)
+        return Index(k, np.array([i for i, _ in items]), np.array(prints, dtype=np.uint64), totals_, counts, distinct, least, known, weights, bits, math.log(1 + n), holders, holding, own, tables)
 
     def near(self, prints: np.ndarray) -> list[np.ndarray]:
         """For each fingerprint the items within RADIUS bits."""
@@ -91,19 +99,27 @@ class Index:
 
         known: for each shingle of the text its place in self.known, or -1.
         """
-        n, own = len(words), np.where(known >= 0, self.weights[known], 0.0)
-        hit = np.concatenate([[0.0], np.cumsum(own)])
-        new = np.concatenate([[0], np.cumsum(known < 0)])
+        n = len(words)
+        all_weights = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, self.weights[known], self.rare))])
+        at = np.flatnonzero(known >= 0)
+        held = self.holders[known[at] + 1] - self.holders[known[at]]
+        spot = np.repeat(at, held)
+        of = self.holding[np.repeat(self.holders[known[at]] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
         best: dict[int, tuple[float, int, int, int]] = {}
         bits = None
-        for length, least in zip(self.lengths.tolist(), self.least.tolist()):
-            w = min(length, n)
+        for place in np.unique(of).tolist():
+            w = min(int(self.lengths[place]), n)
             width = max(w - self.k + 1, 1)
             if len(grams) < width:
                 continue
-            got = hit[width:] - hit[:-width]
-            total = got + (new[width:] - new[:-width]) * self.rare
-            starts = np.flatnonzero(got >= threshold * np.maximum(total, least) - 1e-9)
+            shared = np.zeros(len(grams) + 1)
+            mine = spot[of == place]
+            shared[mine + 1] = self.weights[known[mine]]
+            np.cumsum(shared, out=shared)
+            got = shared[width:] - shared[:-width]
+            total = all_weights[width:] - all_weights[:-width]
+            bound = got / (self.least[place] + total - got)  # no item of this length is more similar to the window
+            starts = np.flatnonzero(bound >= threshold - 1e-9)
             if not len(starts):
                 continue
             if bits is None:
@@ -112,19 +128,21 @@ class Index:
             prints = np.packbits(2 * (bits[starts + w] - bits[starts]) > w, axis=1).view(">u8").ravel().astype(np.uint64)
             for start, mark, items in zip(starts.tolist(), prints.tolist(), self.near(prints)):
                 part = None
-                for i in items.tolist():
+                for i in items[self.own[items] == place].tolist():
+                    if i in best and bound[start] < best[i][0] - 1e-9:
+                        continue
                     if part is None:
                         values, times = np.unique(known[start : start + width], return_counts=True)
                         part = {int(v): int(c) for v, c in zip(values, times)}
                         unknown = part.pop(-1, 0) * self.rare
                     theirs = self.counts[i]
-                    both = union = 0.0
-                    for at, c in part.items():
-                        other = theirs.get(int(self.known[at]), 0)
-                        both += min(c, other) * float(self.weights[at])
-                        union += max(c - other, 0) * float(self.weights[at])
-                    similarity = both / (self.totals[i] + union + unknown)
-                    if similarity >= threshold - 1e-9 and (i not in best or similarity > best[i][0]):
+                    both = more = 0.0
+                    for v, c in part.items():
+                        other = theirs.get(int(self.known[v]), 0)
+                        both += min(c, other) * float(self.weights[v])
+                        more += max(c - other, 0) * float(self.weights[v])
+                    similarity = both / (self.totals[i] + more + unknown)
+                    if similarity >= threshold - 1e-9 and (i not in best or similarity > best[i][0] + 1e-12):
                         best[i] = (similarity, start, w, (int(self.prints[i]) ^ mark).bit_count())
         return [(int(self.ids[i]), s, w, d, x) for i, (x, s, w, d) in sorted(best.items())]
 

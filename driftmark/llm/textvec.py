@@ -88,17 +88,22 @@ def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray,
     own = np.where(counts == 0, 0, np.maximum(counts - k + 1, 1))
     starts = np.zeros(len(firsts), dtype=np.int64)
     np.cumsum(own, out=starts[1:])
-    if not starts[-1]:
-        return np.zeros(0, np.uint64), starts
-    text = np.repeat(np.arange(len(counts)), own)
-    at = np.arange(starts[-1]) - starts[:-1][text] + firsts[:-1][text]
-    left = firsts[1:][text] - at  # words from here to the end of the text
-    out = np.zeros(len(at), dtype=np.uint64)
-    for j in range(k):
-        step = words[np.minimum(at + j, n - 1)] * np.uint64(pow(BASE, 2 * j + 1, 1 << 64))
-        if j:
-            step[left <= j] = 0
-        out += step
+    factors = [np.uint64(pow(BASE, 2 * j + 1, 1 << 64)) for j in range(k)]
+    out = np.zeros(starts[-1], dtype=np.uint64)
+    if n >= k:
+        whole = words[: n - k + 1] * factors[0]
+        for j in range(1, k):
+            whole += words[j : n - k + 1 + j] * factors[j]
+        inside = np.ones(len(whole), dtype=bool)  # not across texts
+        for j in range(1, k):
+            at = firsts[1:-1] - j
+            inside[at[(at >= 0) & (at < len(whole))]] = False
+        short = np.flatnonzero((counts > 0) & (counts < k))
+        if not len(short):
+            return mix(whole[inside]), starts
+        out[np.repeat(counts >= k, own)] = whole[inside]
+    for t in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        out[starts[t]] = (words[firsts[t] : firsts[t + 1]] * np.array(factors[: counts[t]])).sum()
     return mix(out), starts
 
 
