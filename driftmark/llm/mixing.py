@@ -100,10 +100,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mixture itself: each row of docs as many times as `mix` takes it, with all its columns.
 
-    The counts are joined by id and text, so that rows of one id and different texts keep their own.
+    Counts are joined by id, text and source. Rows that repeat all three become one row with the sum of their copies.
     """
-    counts = mix(docs, id_col, text_col, source_col, **settings).where("copies > 0")
-    counts = counts.select(F.col("doc_id").alias("_id"), "_crc", F.col("source").alias("_source"), "copies").distinct()
+    counts = mix(docs, id_col, text_col, source_col, **settings)
+    counts = cut(counts.groupBy(F.col("doc_id").alias("_id"), "_crc", F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
+    if not counts.where("_rows > 1").isEmpty():
+        docs = docs.withColumn("_text_crc", crc).dropDuplicates([id_col, "_text_crc", source_col]).drop("_text_crc")
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (crc == F.col("_crc")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    return docs.join(counts, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    taken = docs.join(counts.where("_copies > 0").drop("_rows"), on)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
