@@ -11,6 +11,7 @@ Reading looks up a control byte's four lengths in a table, and ids by their rank
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from .common import running, shuffle_width, slices
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 BLOCKS = "part int, block int, total long, doc_ids array<long>, counts array<int>, ranks binary, control binary, payload binary"
 BLOCK_IDS = 1 << 18
-MOST_WORDS = 400_000
+MOST_PIECES, SLOTS = 1_000_000, 1 << 21
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -64,78 +65,171 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """Encodes texts word by word: each distinct word of a task goes through the tokenizer once while it is remembered.
-
-    This equals encoding whole texts for tokenizers whose pre-tokenizer drops white space and whose normalizer leaves
-    words alone. New words are joined by `mark`, a special token's string, and cut apart at its id; words that
-    hold the mark themselves are encoded alone.
+def splits_words(tokenizer) -> bool:
+    """Whether a tokenizer is of the kind that PieceEncoder takes apart: NFC and lower case, white space dropped, runs of letters, single digits and runs of signs apart, word ends marked."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": pattern} and bool(spec["model"].get("end_of_word_suffix"))
+
+
+# Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 sign. Bytes from 0x80 on are letters where PieceEncoder allows them.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: Bytes that make a word special: controls, the apostrophe, and lead bytes of other than U+00C0 to U+00FF.
+_ODD = np.zeros(256, dtype=bool)
+_ODD[:9] = _ODD[14:32] = _ODD[0x27] = _ODD[0x7F] = True
+_ODD[0xC0:] = True
+_ODD[0xC3] = False
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece: each distinct piece of a task goes through the tokenizer once while it is remembered.
+
+    A piece is a run of letters, a digit or a run of signs of a word that has only ASCII and letters of U+00C0 to U+00FF,
+    without an apostrophe, in lower case; the tokenizer cuts there whatever stands around it. Other words are pieces as
+    they are and go through the whole tokenizer; NFC and its cuts never reach across white space. A tokenizer of
+    another kind encodes whole texts.
     """
 
-    def __init__(self, path: str, mark: str):
-        self.tokenizer, self.mark = load(path), mark
-        self.mark_id = self.tokenizer.token_to_id(mark)
-        self.forget()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = load(path)
+        self.by_piece = splits_words(self.tokenizer)
+        if self.by_piece:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix = self.plain.model.end_of_word_suffix
+            self.last = np.zeros(self.plain.get_vocab_size(), dtype=bool)
+            self.last[[i for token, i in self.plain.get_vocab().items() if token.endswith(suffix)]] = True
+            self.forget()
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.slot_key, self.slot_place = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, hashes: list[int], pieces: list[str], odd: list[bool]) -> None:
+        plain, special = [i for i, o in enumerate(odd) if not o], [i for i, o in enumerate(odd) if o]
+        sizes = np.zeros(len(pieces), dtype=np.int64)
         found: list[np.ndarray] = []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            if len(pieces) == len(part):
-                found += [pieces[0], *(x[1:] for x in pieces[1:])]
-            else:
-                found += [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        self.place.update(zip(hashes, range(len(self.starts), len(self.starts) + len(found))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.plain.encode(" ".join([pieces[i] for i in some]), add_special_tokens=False).ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a piece was cut by the tokenizer")
+            sizes[some] = np.diff(ends, prepend=0)
+            found.append(ids)
+        for at in range(0, len(special), 2000):
+            some = special[at : at + 2000]
+            for i, code in zip(some, self.tokenizer.encode_batch([pieces[i] for i in some], add_special_tokens=False)):
+                sizes[i] = len(code.ids)
+                found.append(np.array(code.ids, dtype=np.uint32))
+        order = np.array([*plain, *special], dtype=np.int64)
+        new = np.arange(len(self.starts), len(self.starts) + len(order))
+        keys = np.array(hashes, dtype=np.uint64)[order]
+        self.place.update(zip(keys.tolist(), new.tolist()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes[order]) - sizes[order]])
+        self.sizes = np.concatenate([self.sizes, sizes[order]])
         self.ids = np.concatenate([self.ids, *found])
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        free = self.slot_place[slot] < 0
+        self.slot_key[slot[free]], self.slot_place[slot[free]] = keys[free], new[free]
+        # Two new pieces may have met in a slot; only the one whose key was written may be found there.
+        self.slot_place[slot[free]] = [self.place[k] for k in self.slot_key[slot[free]].tolist()]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the number of ids of each text."""
+        if not self.by_piece:
+            codes = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for c in codes for i in c], dtype=np.uint32), np.array([len(c) for c in codes], dtype=np.int64)
         raw, offs = textvec.utf8(column)
-        a, b, firsts = textvec.word_spans(raw, offs)
+        none = np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        if not len(raw):
+            return none
+        odd = _ODD[raw]
+        wide = np.flatnonzero(raw == 0xC3) + 1
+        odd[wide] |= (raw[wide] == 0x97) | (raw[wide] == 0xB7)
+        odd[1:] |= (raw[1:] == 0x7C) & (raw[:-1] == 0x3C)  # "<|" may begin a special token
+        # Continuation bytes of C2 and higher leads need no mark of their own: their lead has one.
+        kind = _KIND[raw]
+        low = _LOWER[raw]
+        up = wide[(raw[wide] < 0x9F) & (raw[wide] != 0x97)]
+        low[up] += 32
+        special = np.zeros(len(raw), dtype=bool)
+        if odd.any():
+            a, b, _ = textvec.word_spans(raw, offs)
+            sums = np.concatenate([[0], np.cumsum(odd)])
+            hit = np.flatnonzero(sums[b] > sums[a])
+            edge = np.zeros(len(raw) + 1, dtype=np.int8)
+            np.add.at(edge, a[hit], 1)
+            np.add.at(edge, b[hit], -1)
+            special = np.cumsum(edge[:-1]) > 0
+            kind[special] = 1
+            low[special] = raw[special]
+        first = np.ones(len(raw), dtype=bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        first[offs[:-1][offs[:-1] < len(raw)]] = True
+        a = np.flatnonzero(first)
+        b = np.append(a[1:], len(raw))
+        inside = kind[a] > 0
+        a, b = a[inside], b[inside]
         if not len(a):
-            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        keys, at, inverse = np.unique(textvec.span_hash(textvec.byte_sums(raw), a, b), return_index=True, return_inverse=True)
-        if len(self.place) + len(keys) > MOST_WORDS:
-            self.forget()
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.place]
-        if new:
-            data = raw.tobytes()
-            self.learn([known[i] for i in new], [data[a[j] : b[j]].decode() for j in at[new].tolist()])
-        place = np.fromiter((self.place[k] for k in known), np.int64, len(known))[inverse.reshape(-1)]
+            return none
+        keys = textvec.span_hash(textvec.byte_sums(low), a, b)
+        strange = special[a]
+        keys[strange] ^= np.uint64(0x5DEECE66D5DEECE7)
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        place = np.where(self.slot_key[slot] == keys, self.slot_place[slot], -1).astype(np.int64)
+        missed = np.flatnonzero(place < 0)
+        if len(missed):
+            distinct, at, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+            listed = distinct.tolist()
+            new = [i for i, k in enumerate(listed) if k not in self.place]
+            if len(self.place) + len(new) > MOST_PIECES:
+                self.forget()
+                return self.encode(column)
+            data, at = low.tobytes(), missed[at]
+            if new:
+                self.learn([listed[i] for i in new], [data[a[j] : b[j]].decode() for j in at[new].tolist()], strange[at[new]].tolist())
+            place[missed] = np.fromiter((self.place[k] for k in listed), np.int64, len(listed))[inverse.reshape(-1)]
         sizes = self.sizes[place]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])[firsts]
-        return ids, np.diff(upto)
+        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(a, offs)])
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
+    ends = np.cumsum(counts + 1)
+    out = np.empty(len(ids) + len(counts), dtype=np.uint32)
+    body = np.ones(len(out), dtype=bool)
+    body[ends - 1] = False
+    out[body], out[ends - 1] = ids, end_id
+    return out, counts + 1
 
 
 def _block(part: int, block: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    values, inverse, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -times))
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, payload = pack(rank[inverse.reshape(-1)])
+    times = np.bincount(ids)
+    values = np.flatnonzero(times)
+    order = np.lexsort((values, -times[values]))
+    rank = np.empty(len(times), dtype=np.uint32)
+    rank[values[order]] = np.arange(len(order), dtype=np.uint32)
+    control, payload = pack(rank[ids])
     row = {"part": part, "block": block, "total": len(ids), "doc_ids": doc_ids, "counts": counts.tolist(), "ranks": values[order].astype("<u4").tobytes(), "control": control, "payload": payload}
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, mark: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encodes docs into files at path, in ascending id order (null ids first; equal ids by their text).
 
     Null texts are empty: they have the end id alone. A text of any length stays in one block. Repeated rows are
@@ -144,11 +238,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, mark: str, id_col: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer, mark)
+        encoder = PieceEncoder(tokenizer)
         doc_ids: list = []
         counts, ids, held = [], [], 0
         for whole in batches:
-            for batch in slices(whole, "body", 2_000_000):
+            for batch in slices(whole, "body"):
                 some, each = _with_end(*encoder.encode(batch.column("body")), end_id)
                 doc_ids += batch.column("doc_id").to_pylist()
                 counts.append(each)
