@@ -13,7 +13,7 @@ KEYS = ["video_id", "object_id"]
 CHUNK, STRIDE, LAG = 30, 10, 5
 
 
-def _r(df, **digits):
+def _r(df, /, **digits):
     """Rounds the named columns."""
     return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
