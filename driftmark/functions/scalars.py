@@ -13,6 +13,16 @@ def finite(v: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
+def micros(at: Column) -> Column:
+    """Microseconds from 1970 to a timestamp of either kind, as its fields are written, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+
+
+def millis(at: Column) -> Column:
+    """As micros, in milliseconds."""
+    return F.floor(micros(at) / 1000)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(a.cast("double"), b.cast("double"))

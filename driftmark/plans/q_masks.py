@@ -149,10 +149,11 @@ def pick_right(spark, d):
 
 
 @register("object_centres", f"""WITH {views.BOXES}, {views.PIXELS.strip()}, m AS (SELECT frame_idx, object_id, avg(x) / 640 AS mx, avg(y) / 480 AS my FROM pixels GROUP BY 1, 2)
-SELECT coalesce(b.frame_idx, m.frame_idx) AS frame_idx, coalesce(b.object_id, m.object_id) AS object_id, round(coalesce(x + w / 2, mx, 0.5), 4) AS cx, round(coalesce(y + h / 2, my, 0.5), 4) AS cy FROM boxes b FULL JOIN m ON b.frame_idx = m.frame_idx AND b.object_id = m.object_id""")
+SELECT coalesce(b.frame_idx, m.frame_idx) AS frame_idx, coalesce(b.object_id, m.object_id) AS object_id, CAST(floor(coalesce(x + w / 2, mx, 0.5) * 10000 + 0.3) AS BIGINT) AS cx, CAST(floor(coalesce(y + h / 2, my, 0.5) * 10000 + 0.3) AS BIGINT) AS cy FROM boxes b FULL JOIN m ON b.frame_idx = m.frame_idx AND b.object_id = m.object_id""")
 def object_centres(spark, d):
     m = masks.shapes(_runs(spark, d)).select(*KEYS, (F.col("cx") / 640).alias("mx"), (F.col("cy") / 480).alias("my"))
-    return _r(masks.centres(views.boxes(spark, d), m), cx=4, cy=4)
+    steady = lambda c: F.floor(F.col(c) * 10000 + 0.3).cast("long").alias(c)
+    return masks.centres(views.boxes(spark, d), m).select(*KEYS, steady("cx"), steady("cy"))
 
 
 @register("mask_fingerprints")

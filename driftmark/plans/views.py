@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmark.functions.scalars import millis
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -133,10 +135,10 @@ def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled anchor frames of videos: a customer's orders by day, the days since 1992 as frames; durations in milliseconds, every seventh unknown."""
     o = table(spark, sf_dir, "orders")
     day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("long")
-    entered = F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.unix_millis("o_orderdate"))
+    entered = F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(millis(F.col("o_orderdate")))
     took = F.floor(F.col("o_totalprice") / 20).cast("long")
     return o.select(
-        F.col("o_custkey").alias("video_id"), day.alias("frame_idx"), entered.alias("entered_ms"), (F.unix_millis("o_orderdate") + took).alias("committed_ms"),
+        F.col("o_custkey").alias("video_id"), day.alias("frame_idx"), entered.alias("entered_ms"), (millis(F.col("o_orderdate")) + took).alias("committed_ms"),
         F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(took).alias("duration_ms"), F.col("o_orderkey").alias("order_id"),
     )
 
