@@ -52,8 +52,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     Columns: doc_id, template_id, license, containment, first_word (of the first best window's first word, from 0).
     Templates come as (template_id, license, text), `most_templates` at most, so that they can be sent to all
     tasks; more raise ValueError. Templates without words are left out. Null and empty texts match nothing. Rows of
-    a null id are scanned; rows of equal id count as one document. Other columns are not read. No table gives rows
-    if it is empty.
+    a null id are scanned, and repeated rows give repeated results. Other columns are not read. An empty table, on either side, gives no rows.
     """
     if templates.count() > most_templates:
         raise ValueError(f"more than {most_templates} templates: scan them in parts")
@@ -68,15 +67,22 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     sieve = F.array(*[F.lit(i in used) for i in range(slots)])
     listed = F.array(*[F.lit(k) for k in known])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), word_list(F.col(text_col)).alias("words"))
-    texts = texts.select("doc_id", shingle_list(F.col("words"), words).alias("own"))
+    # A row number in each step keeps the optimizer from moving a filter below the step, which would repeat its work for each use.
+    number = F.monotonically_increasing_id()
+    texts = docs.select(F.col(id_col).alias("doc_id"), number.alias("row"), word_list(F.col(text_col)).alias("words"))
+    texts = texts.select("doc_id", F.coalesce("row", number).alias("row"), shingle_list(F.col("words"), words).alias("own"))
     hit = F.transform("own", lambda g: F.element_at(sieve, (F.pmod(g, F.lit(slots)) + 1).cast("int")) & F.array_contains(listed, g))
-    texts = texts.select("doc_id", "own", F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull()).alias("hits")).where("size(hits) > 0")
+    hits = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    texts = texts.select("doc_id", F.coalesce("row", number).alias("row"), "own", hits.alias("hits"))
 
     # Each hit lies in the window that begins at the last multiple of m and in the one before.
     starts = lambda m: F.filter(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(i - i % m, i - i % m - m)))), lambda s: s >= 0)
-    every = F.concat(*[F.transform(starts(m), lambda s, m=m: F.struct(F.lit(m).alias("m"), s.cast("int").alias("first"), F.slice("own", s + 1, F.lit(2 * m)).alias("mine"))) for m in sizes])
-    windows = texts.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.m", "w.first", "w.mine")
+
+    def cut_out(m: int) -> Column:
+        return F.transform(starts(m), lambda s: F.struct(F.lit(m).alias("m"), s.cast("int").alias("first"), F.slice("own", s + 1, F.lit(2 * m)).alias("mine")))
+
+    every = F.concat(*[cut_out(m) for m in sizes])
+    windows = texts.select("doc_id", "row", F.explode(every).alias("w")).select("doc_id", "row", "w.m", "w.first", "w.mine")
 
     def signed(df: DataFrame, grams: str) -> DataFrame:
         bands_ = F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, b))))
@@ -84,6 +90,6 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
 
     candidates = signed(windows, "mine").join(F.broadcast(signed(forms, "theirs")), ["m", "band", "least"])
     share = F.size(F.array_intersect("theirs", "mine")) / F.size("theirs")
-    found = candidates.select("doc_id", "template_id", "license", "first", share.alias("containment")).where(F.col("containment") >= threshold)
+    found = candidates.select("doc_id", "row", "template_id", "license", "first", share.alias("containment")).where(F.col("containment") >= threshold)
     best = F.max(F.struct("containment", (-F.col("first")).alias("first")))
-    return found.groupBy("doc_id", "template_id", "license").agg(best.alias("b")).select("doc_id", "template_id", "license", "b.containment", (-F.col("b.first")).cast("int").alias("first_word"))
+    return found.groupBy("doc_id", "row", "template_id", "license").agg(best.alias("b")).select("doc_id", "template_id", "license", "b.containment", (-F.col("b.first")).cast("int").alias("first_word"))
