@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,18 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or a fresh local one where that is unset."""
-    context = df.sparkSession.sparkContext
+    """df, written to the folder of spark.checkpoint.dir (a fresh local one where that is unset) and read again.
+
+    Unlike a checkpoint, a table that is read carries none of the constraints of the plan that made it; in a loop those
+    grow with every round.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -64,19 +72,9 @@ def affinity(neighbours: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 24, seed: int = 42) -> DataFrame:
-    """Communities by local moving on modularity with a resolution: node, community (0 is the largest).
-
-    In each round half of the nodes, by a hash of the round, move to the neighbouring community of the largest gain;
-    the rounds end when neither half moves a node.
-    """
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut(both.where("weight > 0"))
-    degree = cut(both.groupBy("src").agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k").alias("t")).first().t
-    labels = cut(degree.select(F.col("src").alias("node"), F.col("src").alias("c"), "k"))
-    if not total:
-        return labels.select("node", F.lit(0).alias("community"))
+def _settled(both: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """Local moving: node and c. both: src, dst, weight in both directions, without loops; degree: node, k."""
+    labels = degree.select("node", F.col("node").alias("c"), "k")
     still = 0
     for turn in range(rounds):
         held = labels.groupBy("c").agg(F.sum("k").alias("kc"))
@@ -86,17 +84,41 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 24, see
         scored = options.join(held, "c").join(mine, "src")
         others = F.col("kc") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("k") * others / total, 12)
-        best = scored.groupBy("src", "own").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("to"))
+        best = scored.groupBy("src", "own", "k").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("to"))
         awake = F.pmod(F.xxhash64("src", F.lit(turn // 2 + seed)), F.lit(2)) == turn % 2
-        moved = best.select(F.col("src").alias("node"), F.when(awake, F.col("to")).otherwise(F.col("own")).alias("c"), (awake & (F.col("to") != F.col("own"))).alias("moved"))
-        new = cut(moved.join(labels.select("node", "k"), "node"))
+        new = cut(best.select(F.col("src").alias("node"), F.when(awake, F.col("to")).otherwise(F.col("own")).alias("c"), "k", (awake & (F.col("to") != F.col("own"))).alias("moved")))
         still = still + 1 if new.where("moved").isEmpty() else 0
         labels = new.select("node", "c", "k")
         if still == 2:
             break
+    return labels.select("node", "c")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 16, levels: int = 3, seed: int = 42) -> DataFrame:
+    """Communities by local moving on modularity with a resolution: node, community (0 is the largest).
+
+    In each round half of the nodes, by a hash of the round, move to the neighbouring community of the largest gain;
+    a level ends when neither half moves a node. Its communities are the nodes of the next level.
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = cut(both.where("weight > 0"))
+    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
+    total = degree.agg(F.sum("k").alias("t")).first().t
+    named = degree.select("node", F.col("node").alias("c"))
+    sizes = degree.count()
+    for _ in range(levels if total else 0):
+        labels = _settled(both.where("src <> dst"), degree, total, resolution, rounds, seed)
+        named = cut(named.join(labels.select(F.col("node").alias("c"), F.col("c").alias("_to")), "c").select("node", F.col("_to").alias("c")))
+        a, b = labels.select(F.col("node").alias("src"), F.col("c").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+        both = cut(both.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        degree = cut(degree.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        left = degree.count()
+        if left == sizes:
+            break
+        sizes = left
     order = F.row_number().over(W.orderBy(F.desc("n"), "c")) - 1
-    names = labels.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("community", order)
-    return labels.join(names, "c").select("node", F.col("community").cast("int").alias("community"))
+    names = named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("community", order)
+    return named.join(names, "c").select("node", F.col("community").cast("int").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
