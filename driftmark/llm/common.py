@@ -1,4 +1,4 @@
-"""Session helpers that several operators share: checkpoints, range buckets, ranks and runs of rows."""
+"""Session helpers that several operators share: written tables, range buckets, ranks and runs of rows."""
 
 from __future__ import annotations
 
@@ -28,9 +28,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder that spark.checkpoint.dir names (a fresh one in tests)."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the folder that the driver and all executors share and read again.
+
+    Unlike a checkpoint, a table that is read carries none of the constraints of the plan that made it; in a loop those
+    grow with every round.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -103,10 +103,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Counts are joined by id, text and source. Rows that repeat all three become one row with the sum of their copies.
     """
     counts = mix(docs, id_col, text_col, source_col, **settings)
-    counts = cut(counts.groupBy(F.col("doc_id").alias("_id"), "_crc", F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    counts = cut(counts.groupBy(F.col("doc_id").alias("__mix_id"), F.col("_crc").alias("__mix_crc"), F.col("source").alias("__mix_source")).agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")))
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
-    if not counts.where("_rows > 1").isEmpty():
-        docs = docs.withColumn("_text_crc", crc).dropDuplicates([id_col, "_text_crc", source_col]).drop("_text_crc")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (crc == F.col("_crc")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    taken = docs.join(counts.where("_copies > 0").drop("_rows"), on)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    if not counts.where("__mix_rows > 1").isEmpty():
+        docs = docs.withColumn("__mix_text", crc).dropDuplicates([id_col, "__mix_text", source_col]).drop("__mix_text")
+    on = F.col(id_col).eqNullSafe(F.col("__mix_id")) & (crc == F.col("__mix_crc")) & F.col(source_col).eqNullSafe(F.col("__mix_source"))
+    taken = docs.join(counts.where("__mix_copies > 0").drop("__mix_rows"), on)
+    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)

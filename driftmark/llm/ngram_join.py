@@ -217,6 +217,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of a null id stay. All columns of docs are returned as they are.
     """
-    marks = near_duplicates(docs, id_col, text_col, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).join(marks, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    marks = near_duplicates(docs, id_col, text_col, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    once = docs.where(F.col(id_col).isNotNull()).join(marks, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return once.unionByName(docs.where(F.col(id_col).isNull()))

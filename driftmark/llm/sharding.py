@@ -2,15 +2,14 @@
 
 Documents of equal text are linked. Every document begins in a shard that its id decides. A round joins each group of
 links to the shards' room: the shard that already has most of the group, and room for most of the rest, is the
-group's label; its other documents move there in the order of the groups' size, up to the quota, and the rest wait
-for the next round. Law `rows`: the quotas differ by one at most, and documents without links, which cut no edge
+group's label; its documents move there in the order of the groups' size, as long as the quota holds all of them, and
+the others wait for the next round. A group that no shard can hold fills one and goes on in others. Law `rows`: the quotas differ by one at most, and documents without links, which cut no edge
 anywhere, fill what is left exactly. The rounds work on counts by group and shard, never on a group's documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, running
@@ -22,11 +21,12 @@ def _rooms(spark, quotas: list[int], placed: DataFrame) -> list[int]:
 
 
 def _admit(wishes: DataFrame, rooms: list[int], chunks: int) -> DataFrame:
-    """wishes(g, shard, n) with `taken`: what the shard has room for, larger wishes first."""
+    """wishes(g, shard, n) with `taken`: all of it or nothing, larger wishes first, as the room allows. A wish beyond every shard's room is taken in part."""
     room = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in rooms]), F.col("shard") + 1)
     sized = wishes.withColumn("_level", -F.floor(F.log2(F.col("n").cast("double")))).withColumn("_chunk", F.pmod(F.xxhash64("g"), F.lit(chunks)))
     ranked = running(sized, ["shard"], ["_level", "_chunk"], [F.col("g")], F.col("n"), "_ahead")
-    return ranked.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("n"), room - F.col("_ahead")))).drop("_level", "_chunk", "_ahead")
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), room - F.col("_ahead")))
+    return ranked.withColumn("taken", F.when((part == F.col("n")) | (F.col("n") > max(rooms)), part).otherwise(F.lit(0).cast("long"))).drop("_level", "_chunk", "_ahead")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 8, chunk_rows: int = 4096) -> DataFrame:
@@ -52,10 +52,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     counts = light.groupBy("g", first.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     groups = cut(counts.groupBy("g").agg(F.sum("n").alias("total"), F.collect_list(F.struct("shard", "n")).alias("at")).where("total > 1"))  # at most one entry for each shard
-    placed = groups.select("g", F.explode("at").alias("x")).select("g", "x.shard", "x.n")
-    # Round 0: of each group, the shard with most of it keeps what it has room for.
-    best = F.row_number().over(W.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "shard"), "shard"))
-    kept = _admit(placed.withColumn("_r", best).where("_r = 1").drop("_r"), quotas, chunks)
+    # Round 0: each group moves to the shard that most of it begins in, if that has room for it.
+    most = F.array_max(F.transform("at", lambda x: F.struct(x["n"].alias("n"), F.xxhash64("g", x["shard"]).alias("tie"), x["shard"].alias("shard"))))
+    kept = _admit(groups.select("g", most["shard"].alias("shard"), F.col("total").alias("n")), quotas, chunks)
     placed = cut(kept.select("g", "shard", F.col("taken").alias("n")).where("n > 0"))
     for _ in range(rounds):
         rooms = _rooms(spark, quotas, placed)
