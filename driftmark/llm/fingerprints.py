@@ -105,14 +105,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _one_way(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean over the filters of a of the best match in b. The best of many matches is above one's mean even by chance, and so the mark to beat is."""
     nb = np.bitwise_count(b).sum(axis=1).astype(np.float64)
+    share = nb / BITS
+    luck = np.sqrt(2 * np.log(len(b)))
     total = 0.0
     for f in a:
         na = float(np.bitwise_count(f).sum())
         both = np.bitwise_count(b & f).sum(axis=1)
-        chance = na * nb / BITS
+        chance = na * share + luck * np.sqrt(na * share * (1 - share))
         room = np.minimum(na, nb) - chance
-        total += float(np.max(np.clip((both - chance) / np.maximum(room, 1e-9), 0.0, 1.0)))
+        total += float(np.max(np.where(room > 0, np.clip((both - chance) / np.maximum(room, 1e-9), 0.0, 1.0), 0.0)))
     return total / len(a)
 
 
