@@ -45,13 +45,13 @@ def components(spark, d):
 
 @register("communities")
 def communities(spark, d):
-    return graph.communities(graph.affinity(_near(spark, d)))
+    return graph.communities(graph.affinity(_near(spark, d)), rounds=8, levels=2)
 
 
 @register("modularity")
 def modularity(spark, d):
     edges = graph.affinity(_near(spark, d))
-    return r6(graph.modularity(edges, graph.communities(edges)))
+    return r6(graph.modularity(edges, graph.communities(edges, rounds=8, levels=2)))
 
 
 @register("spectral")

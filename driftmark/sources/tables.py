@@ -95,3 +95,35 @@ def read_features(spark: SparkSession, path: str, metadata: Sequence[str], featu
     """A stored feature table: the columns asked for that it has, in their order; others it may hold are ignored."""
     found = spark.read.option("mergeSchema", "true").parquet(path)
     return found.select(*[c for c in [*metadata, *features] if c in found.columns])
+
+
+#: Columns of a conditions table, in the order in which it is written.
+CONDITIONS = ("video_id", "video_name", "condition", "group", "role", "housing", "treatment", "notes")
+
+
+def conditions_template(videos_: DataFrame, path: str) -> None:
+    """A conditions table to be filled in: a row for each video, its labels empty."""
+    empty = [F.lit(None).cast("string").alias(c) for c in CONDITIONS[2:]]
+    videos_.select("video_id", F.col("name").alias("video_name"), *empty).write.mode("overwrite").csv(path, header=True)
+
+
+def conditions_file(spark: SparkSession, path: str) -> DataFrame:
+    """A filled-in conditions table: texts trimmed, blanks null, rows without any label left out."""
+    from driftmark.operators.registry import conditions
+
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in CONDITIONS))
+    return conditions(raw, CONDITIONS[2:7])
+
+
+def project_tables(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All CSV files of a folder's subfolders as one table, with the subfolder's name as video_id; files without rows add none."""
+    raw = spark.read.option("recursiveFileLookup", "true").csv(path, header=True, schema=schema)
+    return raw.withColumn("video_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def save_results(tables_: dict[str, DataFrame], path: str) -> None:
+    """Each named result as Parquet under path, and as CSV where its columns allow it."""
+    for name, table in tables_.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        if not any(t.startswith(("array", "map", "struct", "binary")) for _, t in table.dtypes):
+            table.write.mode("overwrite").csv(f"{path}/{name}.csv", header=True)
