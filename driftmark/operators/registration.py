@@ -73,3 +73,40 @@ def memory_weights(anchors: DataFrame, video: str = "video_id", part: str = "par
     n = F.count(F.when(F.col("visible"), 1)).over(W.partitionBy(video, part))
     share = F.when(F.col("has_previous"), 1 - previous).otherwise(1.0)
     return anchors.withColumn("weight", F.when(F.col("visible"), share / n))
+
+
+def _eased(v: Column) -> Column:
+    """A ramp from 0 to 1 with level ends."""
+    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    return v * v * (3 - 2 * v)
+
+
+def outside_distance(x: Column, y: Column, corners: Sequence[tuple[Column, Column]]) -> Column:
+    """Distance of a point from a convex quadrilateral; 0 inside and on its border."""
+    sides, signs = [], []
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]]):
+        ex, ey = bx - ax, by - ay
+        along = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * ex + (y - ay) * ey) / (ex * ex + ey * ey)))
+        sides.append(F.hypot(x - ax - along * ex, y - ay - along * ey))
+        signs.append(ex * (y - ay) - ey * (x - ax))
+    inside = (F.least(*signs) >= 0) | (F.greatest(*signs) <= 0)
+    return F.when(inside, 0.0).otherwise(F.least(*sides))
+
+
+def blended(x: Column, y: Column, h: Sequence[Column], corners: Sequence[tuple[Column, Column]], side: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """A point through a homography near the floor and through the affine map of its corners further out.
+
+    The homography's weight falls with the distance from the floor, to nothing at 0.45 frame diagonals, and where its
+    denominator is small beside the corners' or has the other sign; there the affine map, which is bounded, takes over.
+    """
+    bottom = lambda px, py: h[6] * px + h[7] * py + h[8]
+    own, at_corners = bottom(x, y), [bottom(cx, cy) for cx, cy in corners]
+    least = F.greatest(F.least(*[F.abs(w) for w in at_corners]), F.lit(1e-9))
+    middle = F.sort_array(F.array(*at_corners))
+    same = F.signum(own) == F.signum((middle[1] + middle[2]) / 2)
+    reach = F.greatest(0.45 * F.hypot(width, height), F.lit(1.0))
+    weight = _eased(1 - outside_distance(x, y, corners) / reach) * _eased((F.abs(own) - 0.15 * least) / (0.35 * least)) * F.when(same, 1.0).otherwise(0.0)
+    px, py = project(x, y, h)
+    a = affine_of_corners(corners, side)
+    near = lambda p, q: F.when(weight > 0, weight * p).otherwise(0.0) + (1 - weight) * q
+    return near(px, a[0] * x + a[1] * y + a[2]), near(py, a[3] * x + a[4] * y + a[5])

@@ -85,3 +85,33 @@ def reference_frames(spark, d):
 def memory_weights(spark, d):
     a = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("video_id"), F.col("l_returnflag").alias("part_id"), (F.col("l_linenumber") % 2 == 0).alias("visible"), (F.col("l_orderkey") % 2 == 0).alias("has_previous"))
     return _r(registration.memory_weights(a).select("id", "line", "weight"), weight=9)
+
+
+FLOOR = ((100.0, 20.0), (400.0, 30.0), (420.0, 90.0), (90.0, 80.0))
+
+
+def _blend_sql():
+    import numpy as np
+
+    c, goal = np.array(FLOOR), np.array([[0, 0], [99, 0], [99, 99], [0, 99]], float)
+    a = np.linalg.lstsq(np.column_stack([c, np.ones(4)]), goal, rcond=None)[0].T
+    sides, signs = [], []
+    for (ax, ay), (bx, by) in zip(FLOOR, [*FLOOR[1:], FLOOR[0]]):
+        ex, ey = bx - ax, by - ay
+        t = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - {ax}::DOUBLE) * {ex}::DOUBLE + (y - {ay}::DOUBLE) * {ey}::DOUBLE) / {ex * ex + ey * ey}::DOUBLE))"
+        sides.append(f"sqrt((x - {ax}::DOUBLE - {t} * {ex}::DOUBLE) ** 2 + (y - {ay}::DOUBLE - {t} * {ey}::DOUBLE) ** 2)")
+        signs.append(f"({ex}::DOUBLE * (y - {ay}::DOUBLE) - {ey}::DOUBLE * (x - {ax}::DOUBLE))")
+    low = min(abs(H[6] * x + H[7] * y + H[8]) for x, y in FLOOR)
+    return f"""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity * 10 AS x, l_discount * 1000 AS y FROM lineitem),
+d AS (SELECT *, CASE WHEN least({", ".join(signs)}) >= 0 OR greatest({", ".join(signs)}) <= 0 THEN 0 ELSE least({", ".join(sides)}) END AS far, {H[6]}::DOUBLE * x + {H[7]}::DOUBLE * y + {H[8]}::DOUBLE AS w FROM p),
+e AS (SELECT *, least(1, greatest(0, 1 - far / (0.45::DOUBLE * 800))) AS f, least(1, greatest(0, (abs(w) - {0.15 * low}::DOUBLE) / {0.35 * low}::DOUBLE)) AS s FROM d),
+k AS (SELECT *, f * f * (3 - 2 * f) * s * s * (3 - 2 * s) * CASE WHEN w > 0 THEN 1 ELSE 0 END AS k FROM e)
+SELECT id, line, round(k * ({H[0]}::DOUBLE * x + {H[1]}::DOUBLE * y + {H[2]}::DOUBLE) / w + (1 - k) * ({a[0, 0]}::DOUBLE * x + {a[0, 1]}::DOUBLE * y + {a[0, 2]}::DOUBLE), 4) AS x,
+round(k * ({H[3]}::DOUBLE * x + {H[4]}::DOUBLE * y + {H[5]}::DOUBLE) / w + (1 - k) * ({a[1, 0]}::DOUBLE * x + {a[1, 1]}::DOUBLE * y + {a[1, 2]}::DOUBLE), 4) AS y FROM k"""
+
+
+@register("blended_points", _blend_sql())
+def blended_points(spark, d):
+    lit = lambda v: F.lit(float(v))
+    x, y = registration.blended(F.col("x"), F.col("y"), [lit(v) for v in H], [(lit(a), lit(b)) for a, b in FLOOR], lit(100), lit(640), lit(480))
+    return _r(_points(spark, d).select("id", "line", x.alias("x"), y.alias("y")), x=4, y=4)
