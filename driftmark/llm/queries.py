@@ -89,6 +89,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+OP8_SQL = """
+WITH d AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+        greatest(coalesce(greatest(0.1::DOUBLE, 1 - 4 * abs((length(text) - length(replace(text, ' ', ''))) / greatest(length(text), 1) - 0.16::DOUBLE)), 0.1::DOUBLE), 1e-9::DOUBLE) AS quality,
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':11'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents
+),
+k AS (SELECT *, -ln(u) / quality AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM k GROUP BY source),
+r AS (SELECT *, 3 * source_size / weight AS ratio, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS limits, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM r WINDOW w AS (ORDER BY ratio, source NULLS LAST)),
+v AS (SELECT (total - limits) / weights AS level FROM o WHERE (total - limits) / weights <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(3 * source_size, weight * (SELECT level FROM v)), 3 * source_size) AS target FROM o),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+m AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+f AS (SELECT *, size > 0 AND ahead + size <= rest AND epochs < 3 AS fits FROM m),
+g AS (SELECT source, any_value(rest) - coalesce(sum(CASE WHEN fits THEN size END), 0) AS gap FROM f GROUP BY 1),
+l AS (SELECT f.source, arg_min(doc_id, struct_pack(a := abs(gap - size), k := key, d := doc_id)) AS doc FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0 AND epochs < 3 AND abs(gap - size) < gap GROUP BY 1)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, f.source, CAST(epochs + CASE WHEN fits OR coalesce(doc_id = doc, false) THEN 1 ELSE 0 END AS INT) AS copies,
+    CAST(size * (epochs + CASE WHEN fits OR coalesce(doc_id = doc, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM f LEFT JOIN l ON f.source IS NOT DISTINCT FROM l.source
+"""
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(_table(spark, sf_dir, "documents"))
 
@@ -104,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": OP2_SQL, "op3_chat_format": OP3_SQL}
+    return {"op2_licenses": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL}
