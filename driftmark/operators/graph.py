@@ -180,7 +180,7 @@ def bimodal(samples: DataFrame, name: str, value: str, bins: int = 2000, rounds:
     logs = samples.where(F.col(value) >= 0).select(name, F.log(F.col(value) + 1e-6).alias("v"))
     span = logs.groupBy(name).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
-    counted = logs.join(F.broadcast(span), name).groupBy(name, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"))
+    counted = logs.join(span, name).groupBy(name, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
@@ -208,4 +208,4 @@ def bimodal(samples: DataFrame, name: str, value: str, bins: int = 2000, rounds:
 
 def moving_share(samples: DataFrame, fits: DataFrame, name: str, value: str) -> DataFrame:
     """Share of each name's values at or above its threshold."""
-    return samples.where(F.col(value) >= 0).join(F.broadcast(fits.select(name, "threshold")), name).groupBy(name).agg(F.avg((F.col(value) >= F.col("threshold")).cast("double")).alias("moving"))
+    return samples.where(F.col(value) >= 0).join(fits.select(name, "threshold"), name).groupBy(name).agg(F.avg((F.col(value) >= F.col("threshold")).cast("double")).alias("moving"))

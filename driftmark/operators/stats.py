@@ -122,7 +122,7 @@ def histogram(table: DataFrame, keys: Sequence[str], value: str, bins: int) -> D
     """Counts and densities in equal bins from the least to the largest value of each key; the last bin holds its upper edge."""
     kept = table.where(F.col(value).isNotNull())
     edges = kept.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    joined = kept.join(F.broadcast(edges), list(keys)) if keys else kept.crossJoin(edges)  # one row for each key
+    joined = kept.join(edges, list(keys)) if keys else kept.crossJoin(edges)
     width = (F.col("_hi") - F.col("_lo")) / bins
     number = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(F.lit(0))
     out = joined.groupBy(*keys, number.cast("int").alias("bin"), "_lo", width.alias("_w"), "_n").agg(F.count(F.lit(1)).alias("n"))
@@ -143,7 +143,7 @@ def box_stats(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     v, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    joined = kept.join(F.broadcast(q), list(keys)) if keys else kept.crossJoin(q)  # one row for each key
+    joined = kept.join(q, list(keys)) if keys else kept.crossJoin(q)
     return joined.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("fliers"), F.count(F.lit(1)).alias("n"))
 
 
