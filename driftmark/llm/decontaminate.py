@@ -1,11 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, looked up by multi-index Hamming blocks, then verified.
 
-Every window of a document as long as some benchmark item, at every start word, is a query for the items of that length. A window
-that can't reach the similarity, as running sums of the weights it shares with such items show, is left out before
-it is fingerprinted; this loses nothing.
+Every window of a document, at every start word and of every length, is a query for the items of each length; an item that a document
+holds only in part is found in a shorter window, one with words put in in a longer one. A window that begins or ends with a
+shingle which no item of the length has is less similar than without it, and one that can't reach the similarity, as
+running sums of the weights it shares with such items show, is left out before it is fingerprinted; both lose nothing.
 The others get a 64-bit SimHash of their words. The items' fingerprints are cut into 8 blocks and stored under each
 block's value and under all values one bit away. A fingerprint within 15 bits differs in at most one bit in some
-block, so one look-up in each block finds every item within the radius. The exact similarity of the weighted shingles
+block, so one look-up in each block finds every item within the radius. An item none of whose windows comes within the
+radius is lost; README gives the share. The exact similarity of the weighted shingles
 (sum of smaller weights over sum of larger ones) decides. A shingle weighs ln(1 + items / items with it).
 
 The items go to the tasks in parts of at most `part_bytes` of text, one pass over the documents for each part.
@@ -35,6 +37,13 @@ def simhash(words: np.ndarray) -> np.uint64:
     return np.packbits(2 * bits.sum(axis=0) > len(words)).view(">u8")[0].astype(np.uint64)
 
 
+def _stretches(sizes: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Neighbouring entries (from, to) of at most `most` in sum, or one by one."""
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 @dataclass
 class Index:
     """What a task needs of one part of the items, for shingles of k words."""
@@ -46,12 +55,14 @@ class Index:
     counts: list[dict[int, int]]  # of an item's shingles
     lengths: np.ndarray  # distinct ones, in words
     least: np.ndarray  # the smallest total of the items of each length
+    largest: np.ndarray  # and the largest
     known: np.ndarray  # sorted shingles of all items
     weights: np.ndarray
     filter: np.ndarray
     rare: float
     holders: np.ndarray  # for each shingle where its lengths begin in holding (and the last ends)
     holding: np.ndarray  # places in self.lengths of the items that hold a shingle
+    most: np.ndarray  # how often, at most, one of those items holds it
     own: np.ndarray  # for each item the place of its length
     tables: list[list[np.ndarray]]  # for each block and value the items
 
@@ -74,9 +85,16 @@ class Index:
         distinct = np.unique(each)
         least = np.array([totals_[each == w].min() for w in distinct])
         own = np.searchsorted(distinct, each)
-        pairs = sorted({(int(np.searchsorted(known, np.uint64(g))), int(o)) for c, o in zip(counts, own) for g in c})
+        largest = np.array([totals_[each == w].max() for w in distinct])
+        often: dict[tuple[int, int], int] = {}
+        for c, o in zip(counts, own.tolist()):
+            for g, times in c.items():
+                pair = (int(np.searchsorted(known, np.uint64(g))), o)
+                often[pair] = max(often.get(pair, 0), times)
+        pairs = sorted(often)
         holders = np.searchsorted([p[0] for p in pairs], np.arange(len(known) + 1))
         holding = np.array([p[1] for p in pairs], dtype=np.int64)
+        most = np.array([often[p] for p in pairs], dtype=np.int64)
         found: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(BLOCKS)]
         for i, p in enumerate(prints):
             for b in range(BLOCKS):
@@ -84,7 +102,7 @@ class Index:
                 for v in (value, *(value ^ (1 << j) for j in range(8))):
                     found[b][v].append(i)
         tables = [[np.array(x, dtype=np.int64) for x in block] for block in found]
-        return Index(k, np.array([i for i, _ in items]), np.array(prints, dtype=np.uint64), totals_, counts, distinct, least, known, weights, bits, math.log(1 + n), holders, holding, own, tables)
+        return Index(k, np.array([i for i, _ in items]), np.array(prints, dtype=np.uint64), totals_, counts, distinct, least, largest, known, weights, bits, math.log(1 + n), holders, holding, most, own, tables)
 
     def near(self, prints: np.ndarray) -> list[np.ndarray]:
         """For each fingerprint the items within RADIUS bits."""
@@ -99,51 +117,68 @@ class Index:
 
         known: for each shingle of the text its place in self.known, or -1.
         """
-        n = len(words)
+        n, k = len(words), self.k
         all_weights = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, self.weights[known], self.rare))])
         at = np.flatnonzero(known >= 0)
         held = self.holders[known[at] + 1] - self.holders[known[at]]
         spot = np.repeat(at, held)
-        of = self.holding[np.repeat(self.holders[known[at]] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
+        held_at = np.repeat(self.holders[known[at]] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        of = self.holding[held_at]
         best: dict[int, tuple[float, int, int, int]] = {}
         bits = None
-        for place in np.unique(of).tolist():
-            w = min(int(self.lengths[place]), n)
-            width = max(w - self.k + 1, 1)
-            if len(grams) < width:
-                continue
-            shared = np.zeros(len(grams) + 1)
-            mine = spot[of == place]
-            shared[mine + 1] = self.weights[known[mine]]
-            np.cumsum(shared, out=shared)
-            got = shared[width:] - shared[:-width]
-            total = all_weights[width:] - all_weights[:-width]
-            bound = got / (self.least[place] + total - got)  # no item of this length is more similar to the window
-            starts = np.flatnonzero(bound >= threshold - 1e-9)
-            if not len(starts):
-                continue
-            if bits is None:
-                bits = np.zeros((n + 1, 64), dtype=np.int32)
-                np.cumsum(np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
-            prints = np.packbits(2 * (bits[starts + w] - bits[starts]) > w, axis=1).view(">u8").ravel().astype(np.uint64)
-            for start, mark, items in zip(starts.tolist(), prints.tolist(), self.near(prints)):
-                part = None
-                for i in items[self.own[items] == place].tolist():
-                    if i in best and bound[start] < best[i][0] - 1e-9:
-                        continue
-                    if part is None:
-                        values, times = np.unique(known[start : start + width], return_counts=True)
-                        part = {int(v): int(c) for v, c in zip(values, times)}
-                        unknown = part.pop(-1, 0) * self.rare
-                    theirs = self.counts[i]
-                    both = more = 0.0
-                    for v, c in part.items():
-                        other = theirs.get(int(self.known[v]), 0)
-                        both += min(c, other) * float(self.weights[v])
-                        more += max(c - other, 0) * float(self.weights[v])
-                    similarity = both / (self.totals[i] + more + unknown)
-                    if similarity >= threshold - 1e-9 and (i not in best or similarity > best[i][0] + 1e-12):
-                        best[i] = (similarity, start, w, (int(self.prints[i]) ^ mark).bit_count())
+        order = np.argsort(of, kind="stable")
+        edges = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            place = int(of[order[a]])
+            mine = spot[order[a:b]]
+            values, first, times = np.unique(known[mine], return_index=True, return_counts=True)
+            if (self.weights[values] * np.minimum(times, self.most[held_at[order[a:b][first]]])).sum() < threshold * self.least[place] - 1e-9:
+                continue  # the whole text holds too little of any item of this length
+            shared = np.concatenate([[0.0], np.cumsum(self.weights[known[mine]])])
+            # A best window begins and ends with a shingle of the item: pairs of mine, neither too light nor too heavy.
+            low = np.searchsorted(shared, shared[:-1] + threshold * self.least[place] - 1e-6) - 1
+            high = np.searchsorted(all_weights[mine + 1], all_weights[mine] + self.largest[place] / threshold + 1e-6, "right")
+            low = np.maximum(low, np.arange(len(mine)))
+            wide = np.maximum(high - low, 0)
+            for c, d in _stretches(wide):
+                i = np.repeat(np.arange(c, d), wide[c:d])
+                j = np.arange(len(i)) - np.repeat(np.cumsum(wide[c:d]) - wide[c:d], wide[c:d]) + np.repeat(low[c:d], wide[c:d])
+                got = shared[j + 1] - shared[i]
+                total = all_weights[mine[j] + 1] - all_weights[mine[i]]
+                bound = got / (self.least[place] + np.maximum(total - got, 0.0))  # no item of this length is more similar to the window
+                kept = np.flatnonzero(bound >= threshold - 1e-9)
+                if not len(kept):
+                    continue
+                kept = kept[np.argsort(-bound[kept], kind="stable")]
+                starts, ends, bound = mine[i[kept]], mine[j[kept]] + 1, bound[kept]
+                if bits is None:
+                    bits = np.zeros((n + 1, 64), dtype=np.int32)
+                    np.cumsum(np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
+                for e in range(0, len(starts), 4096):
+                    begin, end, top = starts[e : e + 4096], ends[e : e + 4096], bound[e : e + 4096]
+                    stop = np.minimum(end + k - 1, n)
+                    prints = np.packbits(2 * (bits[stop] - bits[begin]) > (stop - begin)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+                    for start, last, w, limit, mark, items in zip(begin.tolist(), end.tolist(), (stop - begin).tolist(), top.tolist(), prints.tolist(), self.near(prints)):
+                        part = None
+                        for item in items[self.own[items] == place].tolist():
+                            if item in best and limit < best[item][0] - 1e-9:
+                                continue
+                            if part is None:
+                                values, times = np.unique(known[start:last], return_counts=True)
+                                part = {int(v): int(x) for v, x in zip(values, times)}
+                                unknown = part.pop(-1, 0) * self.rare
+                            theirs = self.counts[item]
+                            both = more = 0.0
+                            for v, x in part.items():
+                                other = theirs.get(int(self.known[v]), 0)
+                                both += min(x, other) * float(self.weights[v])
+                                more += max(x - other, 0) * float(self.weights[v])
+                            similarity = both / (self.totals[item] + more + unknown)
+                            if similarity < threshold - 1e-9:
+                                continue
+                            now = best.get(item)
+                            if now is None or similarity > now[0] + 1e-12 or (similarity > now[0] - 1e-12 and (start, w) < now[1:3]):
+                                best[item] = (similarity, start, w, (int(self.prints[item]) ^ mark).bit_count())
         return [(int(self.ids[i]), s, w, d, x) for i, (x, s, w, d) in sorted(best.items())]
 
     def places(self, grams: np.ndarray) -> np.ndarray:
@@ -200,8 +235,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """One row for each document and benchmark item of which it holds a window of similarity `threshold` or more.
 
     start_word and n_words are of the most similar window (the first of equals), in words split at ASCII white space;
-    case is ignored. An item of fewer than `words` words is one shingle and must occur as it is. A document shorter
-    than an item is one window. Null or empty texts, on either side, leak nothing; items of a null id are left out;
+    case is ignored. A window may be shorter or longer than the item. An item of fewer than `words` words is one shingle and
+    must occur as it is. Null or empty texts, on either side, leak nothing; items of a null id are left out;
     rows of a null doc_id keep it. Repeated rows give repeated results; items with equal texts give a row each. Other columns are not read.
     """
     out = None

@@ -106,6 +106,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs, none):
     assert decontaminate.leaks(all_docs, bench.limit(0)).count() == 0 and decontaminate.without_leaks(docs, bench).columns == docs.columns
 
 
+def test_leaks_are_found_in_windows_of_other_lengths_than_the_item(spark):
+    items = [(i, " ".join(prose(600 + i, n))) for i, n in enumerate((16, 31, 44, 59))]
+    cut = {i: t.split()[: -(len(t.split()) - 4) // 6] for i, t in items}
+    fuller = {i: t.split()[: len(t.split()) // 2] + ["put", "in"] + t.split()[len(t.split()) // 2 :] for i, t in items if i == 3}
+    leaky = [(10 * k + i, " ".join(prose(700 + i, 40) + w + prose(800 + i, 40))) for k, words in enumerate((cut, fuller), 1) for i, w in words.items()]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(leaky, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(d, d % 10) for d, _ in leaky}
+    for i, w in cut.items():
+        assert (got[10 + i, i].start_word, got[10 + i, i].n_words) == (40, len(w)) and 0.8 <= got[10 + i, i].similarity < 0.9
+    assert all(got[20 + i, i].n_words == len(w) for i, w in fuller.items())
+
+
 def test_blocks_reach_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(50)]
