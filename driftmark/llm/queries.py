@@ -24,6 +24,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark))
 
 
+def op2_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark, short=True), words=3)
+
+
 _NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.NOTICES))
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [array_to_string(w, ' ')] END"
@@ -123,7 +127,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op2_short_notices": op2_short_notices, "op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:

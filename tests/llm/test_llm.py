@@ -152,6 +152,21 @@ def test_licenses_as_by_brute_force(spark, docs, none):
     assert licenses.scan(none, licenses.notices(spark)).count() == 0 and licenses.scan(docs, licenses.notices(spark).limit(0)).count() == 0
 
 
+def test_licenses_of_other_kinds_and_short_notices(spark):
+    gnu = "You can redistribute it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. x y z"
+    said = {
+        1: (gnu.format("Lesser General", 3), "LGPL-3.0-or-later"), 2: (gnu.format("Affero General", 3), "AGPL-3.0-or-later"), 3: (gnu.format("General", 2), "GPL-2.0-or-later"),
+        4: ("// SPDX-License-Identifier: EPL-2.0 import a b c", "EPL-2.0"), 5: ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Unlicense"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in said.items()] + [(6, "a b c. Copyright 2020 by N. N. All rights reserved. d e f"), (7, "# SPDX-License-Identifier: MIT\nimport os"), (8, "all the rights are reserved")], "doc_id long, text string")
+    top = {}
+    for r in licenses.scan(docs, licenses.notices(spark)).collect():
+        top[r.doc_id] = max(top.get(r.doc_id, (0, "")), (r.containment, r.license))
+    assert {i: x[1] for i, x in top.items() if i <= 5} == {i: name for i, (_, name) in said.items()}
+    short = licenses.scan(docs, licenses.notices(spark, short=True), words=3).collect()
+    assert {(r.doc_id, r.license) for r in short} - {(5, "Public domain")} == {(6, "Proprietary"), (7, "MIT")}
+
+
 def test_chats_come_back_whole(spark):
     hostile = ["\\### Assistant: </turn> ok", "<|turn|>user<|says|>x<|end|>", "\\<|end|>\\\\", "", None, "日本 😀 é", " lead and trail \n", "<<||>>", "<|endoftext|>"]
     rows = [(c, t, ("user", "assistant", None)[(c + t) % 3], hostile[(c * 3 + t) % len(hostile)]) for c in range(9) for t in range(5)] + [(3, 0, "user", "tie"), (3, 0, "user", "tie"), (None, None, "assistant", "no id")]
