@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -165,22 +166,27 @@ def pca(table: DataFrame, keys: PAIR, columns: PAIR, k: int = 2) -> DataFrame:
     return model.transform(vectors).select(*keys, *[(pc[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
-def permanova(table: DataFrame, key: str, columns: PAIR, batch: str, permutations: int = 499, seed: int = 42) -> DataFrame:
+def permanova(table: DataFrame, key: str, columns: PAIR, batch: str, permutations: int = 499, seed: int = 42, chunk_rows: int = 100_000) -> DataFrame:
     """Multivariate analysis of variance by permutation: r2, pseudo_f and p of the batches, on z-scored columns.
 
-    Labels are permuted by joining the rows in their order with the rows in a random order of each permutation; squared
-    distances are never formed: the sum within groups is the total less the sum of n times the squared mean. Meant for
-    the few thousand rows that `stratified` leaves.
+    All rows count. Squared distances are never formed: the sum within groups is the total less the sum of n times the squared
+    mean. A permutation ranks the rows by a hash, in chunks of the hash's range, and deals the labels out by rank, each to
+    as many rows as it has; no task sees more of a permutation than one chunk.
     """
     z = zscore(table, columns, ddof=1)
     spark = table.sparkSession
-    numbered = z.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)))
-    labels = numbered.select("_i", F.col(batch).alias("_label"), F.col(key).alias("_key"))
-    perms = spark.range(permutations + 1).select(F.col("id").alias("perm"))
-    order = F.row_number().over(W.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64("_key", "perm", F.lit(seed))), "_i"))
-    dealt = labels.join(perms).withColumn("_at", order).select("perm", "_label", "_at")
-    joined = dealt.join(numbered.select("_i", *columns), F.col("_at") == F.col("_i"))
-    groups = joined.groupBy("perm", "_label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]]
+    own = z.groupBy(F.col(batch).alias("_label")).agg(*sums).select(F.lit(0).cast("long").alias("perm"), "_label", "n", *columns)
+    ends = own.select("_label", F.sum("n").over(W.orderBy("_label")).alias("_end"), "n").select("_label", "_end", (F.col("_end") - F.col("n")).alias("_begin"))  # a row for each batch
+    chunks = max(1, math.ceil(z.count() / chunk_rows))
+    perms = spark.range(1, permutations + 1).select(F.col("id").alias("perm"))
+    hashed = z.select(F.col(key).alias("_key"), *columns).crossJoin(F.broadcast(perms)).withColumn("_h", F.xxhash64("_key", "perm", F.lit(seed)))
+    hashed = hashed.withColumn("_chunk", F.floor((F.shiftrightunsigned("_h", 1) / 2.0**63) * chunks))
+    before = hashed.groupBy("perm", "_chunk").agg(F.count(F.lit(1)).alias("_m")).withColumn("_earlier", F.coalesce(F.sum("_m").over(W.partitionBy("perm").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    place = F.row_number().over(W.partitionBy("perm", "_chunk").orderBy("_h", "_key"))
+    ranked = hashed.withColumn("_place", place).join(before, ["perm", "_chunk"]).withColumn("_rank", F.col("_earlier") + F.col("_place"))
+    dealt = ranked.join(F.broadcast(ends), (F.col("_rank") > F.col("_begin")) & (F.col("_rank") <= F.col("_end")))
+    groups = own.unionByName(dealt.groupBy("perm", "_label").agg(*sums))
     between = groups.groupBy("perm").agg(F.sum(sum(F.col(c) * F.col(c) for c in columns) / F.col("n")).alias("ssb"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     total = z.agg(F.sum(sum(F.col(c) * F.col(c) for c in columns)).alias("sst"))
     f = (F.col("ssb") / (F.col("k") - 1)) / ((F.col("sst") - F.col("ssb")) / (F.col("n") - F.col("k")))

@@ -211,5 +211,4 @@ def stratified_sample(spark, d):
 
 @register("permanova")
 def permanova(spark, d):
-    kept = batch.stratified(views.features(spark, d), "vec_id", "batch", 400)
-    return r6(batch.permanova(kept, "vec_id", COLUMNS, "batch", 99))
+    return r6(batch.permanova(views.features(spark, d), "vec_id", COLUMNS, "batch"))

@@ -141,6 +141,19 @@ def test_combat_removes_batch_means(spark):
     assert 0 <= eta["y"] < 0.1 < eta["x"] <= 1
 
 
+def test_permanova_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    v, g = rng.normal(size=(300, 2)), np.arange(300) % 3
+    v[g == 1] += 1.0
+    t = spark.createDataFrame([(i, f"b{g[i]}", float(v[i, 0]), float(v[i, 1])) for i in range(300)], "k long, batch string, x double, y double")
+    r = one(batch.permanova(t, "k", ["x", "y"], "batch", chunk_rows=70))
+    z = (v - v.mean(0)) / v.std(0, ddof=1)
+    r2 = sum((z[g == b].sum(0) ** 2).sum() / 100 for b in range(3)) / (z**2).sum()
+    assert math.isclose(r.r2, r2, rel_tol=1e-9) and math.isclose(r.pseudo_f, (r2 / 2) / ((1 - r2) / 297), rel_tol=1e-9) and math.isclose(r.p, 1 / 500)
+    mixed = t.withColumn("batch", F.concat(F.lit("b"), F.pmod(F.xxhash64("k"), F.lit(3))))
+    assert one(batch.permanova(mixed, "k", ["x", "y"], "batch", permutations=99, chunk_rows=70)).p > 0.02
+
+
 def test_two_modes(spark):
     rng = np.random.default_rng(5)
     rows = [("m", float(np.exp(v))) for v in np.concatenate([rng.normal(0, 0.3, 400), rng.normal(4, 0.3, 400)])]
