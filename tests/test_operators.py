@@ -120,6 +120,26 @@ def test_mask_quality_reasons(spark):
     assert got == [("empty_mask", False), ("ok", True), ("mask_covers_most_of_frame", False)]
 
 
+def test_components_of_all_rows_as_by_union_find(spark, tmp_path):
+    from driftmark.plans import catalog
+
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), 1 + i % 7, float(i % 50)) for i, (a, b) in enumerate(zip(rng.integers(1, 400, 300), rng.integers(1, 500, 300)))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b, *_ in rows:
+        low, high = sorted((root(a), root(-1 - b)))
+        up[high] = low
+    got = {r.node: r.root for r in catalog.queries()["components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: root(x) for x in list(up)}
+
+
 def test_planted_communities_are_found(spark):
     rng = np.random.default_rng(3)
     edges = [(a, b, 1.0) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.5 if a // 20 == b // 20 else 0.02)]
