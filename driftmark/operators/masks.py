@@ -117,10 +117,14 @@ def frame_features(runs: DataFrame, a: str, b: str, frame: str = "frame_idx") ->
     )
 
 
-def object_pair(frames: DataFrame, video: str, frame: str = "frame_idx", obj: str = "object_id", first: int = 50) -> DataFrame:
-    """The two objects of each video: the smallest keys of the first of its first `first` frames that has two; one key alone where no frame has more."""
-    keys = frames.groupBy(video, frame).agg(F.sort_array(F.collect_set(obj)).alias("k"))
-    probed = keys.withColumn("_r", F.row_number().over(W.partitionBy(video).orderBy(frame))).where(F.col("_r") <= first)
+def object_pair(frames: DataFrame, video: str, frame: str = "frame_idx", obj: str = "object_id", first: int | None = None) -> DataFrame:
+    """The two objects of each video: the smallest keys of its first frame that has two; one key alone where no frame has more.
+
+    All frames count; with `first`, only the first `first` frames that have rows.
+    """
+    probed = frames.groupBy(video, frame).agg(F.sort_array(F.collect_set(obj)).alias("k"))
+    if first is not None:
+        probed = probed.withColumn("_r", F.row_number().over(W.partitionBy(video).orderBy(frame))).where(F.col("_r") <= first)
     two = F.size("k") >= 2
     out = probed.groupBy(video).agg(F.min_by(F.when(two, F.col("k")), F.when(two, F.col(frame))).alias("p"), F.min_by("k", frame).alias("s"))
     return out.select(video, F.coalesce(F.col("p")[0], F.col("s")[0]).alias("object_a"), F.coalesce(F.col("p")[1], F.lit("")).alias("object_b"))

@@ -93,8 +93,16 @@ def frame_angles(spark, d):
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS r FROM k) WHERE r <= 50),
 g AS (SELECT video, arg_min(k, frame_idx) FILTER (len(k) >= 2) AS two, arg_min(k, frame_idx) AS one FROM p GROUP BY 1) SELECT video, coalesce(two[1], one[1]) AS object_a, coalesce(two[2], one[2], '') AS object_b FROM g""")
 def object_pair(spark, d):
-    line = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("video"), F.col("l_orderkey").alias("frame_idx"), F.col("l_linenumber").cast("string").alias("object_id"))
-    return masks.object_pair(line, "video")
+    return masks.object_pair(_numbered_lines(spark, d), "video", first=50)
+
+
+@register("object_pair_all")
+def object_pair_all(spark, d):
+    return masks.object_pair(_numbered_lines(spark, d), "video")
+
+
+def _numbered_lines(spark, d):
+    return views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("video"), F.col("l_orderkey").alias("frame_idx"), F.col("l_linenumber").cast("string").alias("object_id"))
 
 
 @register("box_pairs", f"""WITH {views.BOXES}, k AS (SELECT frame_idx, object_id AS o, x * 640 AS x, y * 480 AS y, w * 640 AS w, h * 480 AS h FROM boxes WHERE w > 0 AND h > 0),

@@ -81,6 +81,12 @@ def test_box_gap(spark):
     assert math.isclose(r.gap_px, 10.0) and math.isclose(r.centre_px, 20.0) and r.pair == "1:2"
 
 
+def test_a_second_object_that_comes_late_is_found(spark):
+    t = spark.createDataFrame([(1, i, "a") for i in range(70)] + [(1, 65, "b"), (2, 0, "c"), (3, 9, "e"), (3, 9, "d"), (3, 9, "f")], "video long, frame_idx long, object_id string")
+    got = {r.video: (r.object_a, r.object_b) for r in masks.object_pair(t, "video").collect()}
+    assert got == {1: ("a", "b"), 2: ("c", ""), 3: ("d", "e")}
+
+
 def test_tails():
     assert math.isclose(tails.fisher_p(3, 1, 1, 3), 34 / 70, rel_tol=1e-9)
     assert math.isclose(tails.t_p(2.0, 10), 0.07338803477074, rel_tol=1e-9)
