@@ -138,31 +138,70 @@ def spectral(edges: DataFrame, k: int = 20, iterations: int = 20) -> DataFrame:
     return model.assignClusters(edges).select(F.col("id").alias("node"), F.col("cluster").alias("community"))
 
 
-def coordinates(edges: DataFrame, rounds: int = 15, seed: int = 42) -> DataFrame:
-    """Two coordinates of each node: leading eigenvectors of the lazy random walk after the constant one, by power iteration with deflation.
+def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5) -> DataFrame:
+    """Two coordinates of each node: leading eigenvectors of the lazy random walk after the constant one.
 
-    The largest coordinate of each is positive. Unlike layouts by optimisation, they are the same up to rounding for any run.
+    A block of `size` vectors is multiplied, several times a pass, and made orthonormal in the degrees' measure by the block's
+    products (a Rayleigh-Ritz step on size times size sums) until both leading vectors' residuals are below `close`; if `rounds`
+    multiplications don't suffice, RuntimeError. The largest coordinate of each is positive.
     """
+    import numpy as np
+    import pandas as pd
+
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = cut(both.where("weight > 0"))
-    degree = both.groupBy("src").agg(F.sum("weight").alias("k"))
-    unit = lambda salt: (F.xxhash64("src", F.lit(salt + seed)) % 1000003) / 1000003.0
-    at = cut(degree.select(F.col("src").alias("node"), F.col("k"), unit(1).alias("x"), unit(2).alias("y")))
-
-    def straight(df: DataFrame) -> DataFrame:
-        """Both columns orthogonal, in the degrees' measure, to the constant and to each other, and of length 1."""
-        s = df.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("x")).alias("x"), F.sum(F.col("k") * F.col("y")).alias("y")).first()
-        df = df.select("node", "k", (F.col("x") - s.x / s.k).alias("x"), (F.col("y") - s.y / s.k).alias("y"))
-        p = df.agg(F.sum(F.col("k") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("k") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("k") * F.col("y") * F.col("y")).alias("yy")).first()
-        lean = p.xy / p.xx if p.xx else 0.0
-        rest = max(p.yy - lean * p.xy, 1e-300)
-        return df.select("node", "k", (F.col("x") / max(p.xx, 1e-300) ** 0.5).alias("x"), ((F.col("y") - lean * F.col("x")) / rest**0.5).alias("y"))
-
-    for _ in range(rounds):
-        at = cut(straight(at))
-        near = both.join(at.select(F.col("node").alias("dst"), "x", "y"), "dst").groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("sx"), F.sum(F.col("weight") * F.col("y")).alias("sy"))
-        at = at.join(near, F.col("node") == F.col("src")).select("node", "k", ((F.col("x") + F.col("sx") / F.col("k")) / 2).alias("x"), ((F.col("y") + F.col("sy") / F.col("k")) / 2).alias("y"))
-    at = cut(straight(at))
+    degree = cut(both.groupBy("src").agg(F.sum("weight").alias("k")).select(F.col("src").alias("node"), "k"))
+    size = min(size, max(degree.count() - 1, 1))
+    at = cut(degree.select("node", "k", F.array(*[F.xxhash64("node", F.lit(j + seed)) % 1000003 / 1000003.0 for j in range(size)]).alias("v")))
+    item = lambda c, i: F.col(c)[i]
+
+    def mixed(c: str, m: np.ndarray):
+        return F.array(*[sum((item(c, i) * float(m[i, j]) for i in range(len(m))), F.lit(0.0)) for j in range(m.shape[1])])
+
+    def multiplied(df: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col("weight") * item("v", i)).alias(f"s{i}") for i in range(size)]
+        near = both.join(df.select(F.col("node").alias("dst"), "v"), "dst").groupBy("src").agg(*sums)
+        half = F.array(*[(item("v", i) + F.col(f"s{i}") / F.col("k")) / 2 for i in range(size)])
+        return df.join(near, F.col("node") == F.col("src")).select("node", "k", "v", half.alias("w"))
+
+    def products(df: DataFrame) -> np.ndarray:
+        """Sums of k v v', k v w' and k w w' and of k v, k: one row from each task."""
+
+        def part(frames):
+            total = np.zeros(3 * size * size + size + 1)
+            for f in frames:
+                if len(f):
+                    k, v, w = f["k"].to_numpy(), np.stack(f["v"].to_numpy()), np.stack(f["w"].to_numpy())
+                    kv = v * k[:, None]
+                    total += np.concatenate([(kv.T @ v).ravel(), (kv.T @ w).ravel(), ((w * k[:, None]).T @ w).ravel(), kv.sum(0), [k.sum()]])
+            yield pd.DataFrame({"s": [total]})
+
+        return np.sum([r.s for r in df.select("k", "v", "w").mapInPandas(part, "s array<double>").collect()], axis=0)
+
+    for _ in range(max(1, rounds // 4)):
+        for _ in range(3):
+            at = multiplied(at).select("node", "k", F.col("w").alias("v"))
+        both_ = cut(multiplied(cut(at)))
+        sums = products(both_)
+        vv, vw, ww = sums[: 3 * size * size].reshape(3, size, size)
+        mean, all_ = sums[3 * size * size : -1], sums[-1]
+        vv, vw, ww = (m - np.outer(mean, mean) / all_ for m in (vv, vw, ww))  # the constant vector is its own image
+        values, vectors = np.linalg.eigh((vv + vv.T) / 2)
+        kept = values > values[-1] * 1e-13
+        white = vectors[:, kept] / np.sqrt(values[kept])
+        ritz, turn = np.linalg.eigh(white.T @ ((vw + vw.T) / 2) @ white)
+        best = white @ turn[:, ::-1]
+        ritz = ritz[::-1]
+        wide = np.zeros((size, size))
+        wide[:, : best.shape[1]] = best
+        left = [best[:, i] @ (ww - ritz[i] * (vw + vw.T) + ritz[i] ** 2 * vv) @ best[:, i] for i in range(min(2, best.shape[1]))]
+        at = both_.select("node", "k", F.transform("v", lambda x, i: x - F.array(*[F.lit(float(m)) for m in mean / all_])[i]).alias("v"))
+        at = cut(at.select("node", "k", mixed("v", wide).alias("v")))
+        if max(left) <= close**2:
+            break
+    else:
+        raise RuntimeError(f"coordinates did not settle in {rounds} rounds")
+    at = at.select("node", item("v", 0).alias("x"), (item("v", 1) if size > 1 else F.lit(0.0)).alias("y"))
     top = at.agg(F.max_by("x", F.abs("x")).alias("x"), F.max_by("y", F.abs("y")).alias("y")).first()
     sign = lambda v: -1.0 if v and v < 0 else 1.0
     return at.select("node", (F.col("x") * sign(top.x)).alias("x"), (F.col("y") * sign(top.y)).alias("y"))

@@ -52,23 +52,23 @@ def components_all(spark, d):
 
 @register("communities")
 def communities(spark, d):
-    return graph.communities(graph.affinity(_near(spark, d)), rounds=8, levels=2)
+    return graph.communities(graph.affinity(_near(spark, d, 30)))
 
 
 @register("modularity")
 def modularity(spark, d):
-    edges = graph.affinity(_near(spark, d))
-    return r6(graph.modularity(edges, graph.communities(edges, rounds=8, levels=2)))
+    edges = graph.affinity(_near(spark, d, 30))
+    return r6(graph.modularity(edges, graph.communities(edges)))
 
 
 @register("spectral")
 def spectral(spark, d):
-    return graph.spectral(graph.affinity(_near(spark, d)), k=10)
+    return graph.spectral(graph.affinity(_near(spark, d, 30)))
 
 
 @register("coordinates")
 def coordinates(spark, d):
-    return _r(graph.coordinates(graph.affinity(_near(spark, d)), rounds=6), x=4, y=4)
+    return _r(graph.coordinates(graph.affinity(_near(spark, d, 30))), x=4, y=4)
 
 
 @register("bimodal")

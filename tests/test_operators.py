@@ -156,6 +156,21 @@ def test_planted_communities_are_found(spark):
     assert len({max(set(x), key=x.count) for x in ([got[i] for i in range(20 * g, 20 * g + 20)] for g in range(3))}) == 3
 
 
+def test_coordinates_as_by_a_dense_eigensolver(spark):
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(90, 2))
+    edges = sorted({(min(a, b), max(a, b)) for a in range(90) for b in np.argsort(((p - p[a]) ** 2).sum(1))[1:7].tolist()})
+    w = np.zeros((90, 90))
+    for a, b in edges:
+        w[a, b] = w[b, a] = 1 + (a + b) % 3
+    got = graph.coordinates(spark.createDataFrame([(a, b, float(w[a, b])) for a, b in edges], "src long, dst long, weight double")).orderBy("node").collect()
+    k = w.sum(1)
+    values, vectors = np.linalg.eigh(w / np.sqrt(np.outer(k, k)))
+    for name, i in (("x", -2), ("y", -3)):
+        mine, theirs = np.array([r[name] for r in got]), vectors[:, i] / np.sqrt(k)
+        assert abs((k * mine * theirs).sum()) > 0.999
+
+
 def test_combat_removes_batch_means(spark):
     rng = np.random.default_rng(4)
     rows = [(i, f"b{i % 2}", float(rng.normal() + (5 if i % 2 else 0)), float(rng.normal() * (3 if i % 2 else 1))) for i in range(200)]
