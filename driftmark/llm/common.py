@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -15,10 +16,15 @@ from pyspark.sql import Window as W
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a fresh local one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session of one machine gets a fresh local one; any other raises ValueError."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,6 +33,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the folder that the driver and all executors share and read again.
 
@@ -38,6 +50,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The table of a loop: each round writes it anew, and the round before is removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, "round")
+        df.write.parquet(path)
+        if self.path:
+            remove(self.spark, self.path)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put on until df has no column of the name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,26 +109,22 @@ def range_bucket(value: Column, bounds: Sequence[int]) -> Column:
     return F.when(value.isNull() | (block < 1), F.lit(0)).otherwise((block - 1) * step + inner)
 
 
-def offsets(df: DataFrame, parts: Sequence[str], chunk: Sequence[str], amount: Column) -> DataFrame:
-    """For each chunk of each part, the sum of amount over the part's earlier chunks, in the order of the chunk columns."""
-    sums = df.groupBy(*parts, *chunk).agg(F.sum(amount).alias("_amount"))
-    order = W.partitionBy(*parts).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn("_earlier", F.coalesce(F.sum("_amount").over(order), F.lit(0))).drop("_amount")
-
-
 def running(df: DataFrame, parts: Sequence[str], chunk: Sequence[str], order: Sequence[Column], amount: Column, name: str) -> DataFrame:
     """Adds the sum of amount over the earlier rows of the same part: sums by chunk first, then a window inside each chunk.
 
     Chunks must come in the order of the rows. No task sees more of a part than one of its chunks and the sums.
     """
-    inside = W.partitionBy(*parts, *chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = offsets(df, parts, chunk, amount)
     keys = [*parts, *chunk]
-    joined = df.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    for k in keys:
-        before = before.withColumnRenamed(k, f"_k_{k}")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return joined.join(before, on, "left").withColumn(name, F.col("_earlier") + F.col("_inside")).drop("_inside", "_earlier", *[f"_k_{k}" for k in keys])
+    amount_, inside, earlier = fresh(df, "_amount", "_inside", "_earlier")
+    by_chunk = df.groupBy(*keys).agg(F.sum(amount).alias(amount_))
+    before = F.sum(amount_).over(W.partitionBy(*parts).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1))
+    named = fresh(df, *[f"_k{i}" for i in range(len(keys))])
+    by_chunk = by_chunk.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.coalesce(before, F.lit(0)).alias(earlier))
+    window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # Dealt out by part and chunk, also where the rows lie dealt out by the part already.
+    dealt = df.repartition(*keys).withColumn(inside, F.coalesce(F.sum(amount).over(window), F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)]
+    return dealt.join(by_chunk, on, "left").withColumn(name, F.col(earlier) + F.col(inside)).drop(inside, earlier, *named)
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -129,26 +163,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterato
             yield batch.slice(a, b - a)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of edges(a long, b long) as rows (node, root), root the smallest node of the component.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges(a, b) of one type as rows (node, root), root the smallest node of the component.
 
     Alternates large-star and small-star steps until the edges stop changing: every step only groups edges by a node.
+    Edges with a null end are left out.
     """
     spark = edges.sparkSession
-    now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds(spark)
+    now = rounds.put(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     said = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
-        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        now = rounds.put(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if said == (new.n, new.s):
             break
         said = (new.n, new.s)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

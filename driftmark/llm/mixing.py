@@ -2,7 +2,10 @@
 
 A source of size S and target T gives every document floor(T / S) times, then the documents of smallest key
 -ln(u) / quality, u uniform from the document's id, until their sizes reach T - floor(T / S) * S.
-Keys are cut into chunks by 1 - exp(-key), so a source of any size is summed chunk by chunk: no task holds a source.
+Spark's range partitioning sorts the rows by source and key into chunks, which are summed one by one: no task holds a source.
+
+What is taken follows from one row for each source: its epochs, the last key that fits and the one document that fills
+the gap. The mixture is made from that row where the documents are read; their texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, running
+from .common import cut, fresh, running, shuffle_width
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -64,49 +67,83 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.1), 1 - 4 * F.abs(share - F.lit(0.16))), F.lit(0.1))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most_epochs: float = 3, quality: Column | None = None, seed: int = 11, chunks: int = 256) -> DataFrame:
+def _order(docs: DataFrame, id_col: str, text_col: str, quality: Column | None, seed: int) -> Column:
+    """What documents are drawn by: the key, then the id, then a hash of the text."""
+    weight = F.greatest(F.coalesce(quality if quality is not None else quality_weight(F.col(text_col)), F.lit(0.0)), F.lit(1e-9))
+    key = -F.log(uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)) / weight
+    return F.struct(key.alias("key"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("text"))
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], most_epochs: float, quality: Column | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs without its text, with `fits`; and for each source what is taken of it:
+
+    epochs; `upto`, the last order that fits, and how many rows of that order fit (`n_upto`) and are there (`m_upto`); `last`, the
+    order that fills the gap.
+    """
+    spark = docs.sparkSession
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _order(docs, id_col, text_col, quality, seed).alias("order"), F.monotonically_increasing_id().alias("row"))
+    light = cut(light)  # the texts are read once
+    chunks = max(shuffle_width(spark), light.count() // 200_000)
+    light = cut(light.repartitionByRange(chunks, F.col("source").asc_nulls_last(), F.col("order"), F.col("row")).withColumn("chunk", F.spark_partition_id()))
+    plan = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    plan = cut(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of"))
+    rows = running(light, ["source"], ["chunk"], [F.col("order"), F.col("row")], F.col("size"), "before")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    drawn = (F.col("size") > 0) & (F.col("epochs") < most_epochs)
+    rows = cut(rows.withColumn("fits", drawn & (F.col("before") + F.col("size") <= F.col("rest"))).drop("of", "before", "chunk"))
+    got = rows.groupBy(F.col("source").alias("of")).agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("sum"), F.max(F.when(F.col("fits"), F.col("order"))).alias("upto"))
+    got = cut(plan.join(got, plan["of"].eqNullSafe(got["of"])).drop(got["of"]).withColumn("gap", F.col("rest") - F.col("sum")))
+    near = F.abs(F.col("gap") - F.col("size"))
+    each = rows.select("source", "size", "order", "fits").join(got.select("of", "epochs", "gap", "upto"), F.col("source").eqNullSafe(F.col("of")))
+    own = F.col("order").eqNullSafe(F.col("upto")) & (F.col("size") > 0)
+    fills = drawn & ~F.col("fits") & (near < F.col("gap"))
+    more = each.groupBy("of").agg(F.count(F.when(own & F.col("fits"), 1)).alias("n_upto"), F.count(F.when(own, 1)).alias("m_upto"), F.min(F.when(fills, F.struct(near.alias("near"), "order")))["order"].alias("last"))
+    return rows, cut(got.join(more, got["of"].eqNullSafe(more["of"])).drop(more["of"]))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most_epochs: float = 3, quality: Column | None = None, seed: int = 11) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken (words), copies.
 
     A document is taken whole. Those of smallest key are drawn while their sum stays within the budget; the gap that
     is left goes to the one other document whose size is nearest to it, if that brings the sum nearer. Null sources form one source. Null and empty texts have size 0
     and are never drawn beyond the whole epochs. Quality weights of null, 0 or less count as 1e-9. Equal keys go by id,
-    then by the text's crc32. Repeated rows are documents of their own. An empty table gives an empty table.
+    then by a hash of the text. Repeated rows are documents of their own. An empty table gives an empty table. Sources
+    are expected to be few: the table of targets, a row for each, is handled in one task.
     """
-    weight = quality if quality is not None else quality_weight(F.col(text_col))
-    light = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1)).alias("_crc"),
-        F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-9)).alias("_quality"),
-    )
-    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)) / F.col("_quality")
-    light = light.withColumn("_key", key).withColumn("_chunk", F.floor((1 - F.exp(-F.col("_key"))) * chunks)).drop("_quality")
-    light = cut(light)  # the texts are read once; what follows needs these few columns three times
-    plan = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = plan.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    summed = running(light, ["source"], ["_chunk"], [F.col("_key"), F.col("doc_id"), F.col("_crc"), F.col("size")], F.col("size"), "_before")
-    plan = plan.withColumnRenamed("source", "_source")
-    mixed = summed.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    fits = (F.col("size") > 0) & (F.col("_before") + F.col("size") <= F.col("_rest")) & (F.col("_epochs") < most_epochs)
-    mixed = cut(mixed.withColumn("_fits", fits))
-    own = F.struct(F.col("_key"), F.col("doc_id"), F.col("_crc"), F.col("size"), F.col("_before"))
-    gaps = mixed.groupBy(F.col("source").alias("_source")).agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))), F.lit(0))).alias("_gap"))
-    open_ = mixed.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).where(~F.col("_fits") & (F.col("size") > 0) & (F.col("_epochs") < most_epochs) & (F.abs(F.col("_gap") - F.col("size")) < F.col("_gap")))
-    last = open_.groupBy("_source").agg(F.min_by(own, F.struct(F.abs(F.col("_gap") - F.col("size")), own)).alias("_last"))
-    mixed = mixed.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
-    mixed = mixed.withColumn("copies", (F.col("_epochs") + F.when(F.col("_fits") | F.coalesce(own == F.col("_last"), F.lit(False)), 1).otherwise(0)).cast("int"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "_crc")
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    rows, plan = _decided(docs, id_col, text_col, source_col, weights, most_epochs, quality, seed)
+    plan = plan.select("of", "last")
+    last = F.col("order").eqNullSafe(F.col("last")) & ~F.col("fits") & (F.col("size") > 0)
+    mixed = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    # Of repeated rows one fills the gap.
+    one = mixed.where(last).groupBy("source").agg(F.min("row").alias("one")).select(F.col("source").alias("of_"), "one")
+    mixed = mixed.join(one, F.col("source").eqNullSafe(F.col("of_")), "left")
+    copies = (F.col("epochs") + F.when(F.col("fits") | F.coalesce(F.col("row") == F.col("one"), F.lit(False)), 1).otherwise(0)).cast("int")
+    return mixed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most_epochs: float = 3, quality: Column | None = None, seed: int = 11) -> DataFrame:
     """The mixture itself: each row of docs as many times as `mix` takes it, with all its columns.
 
-    Counts are joined by id, text and source. Rows that repeat all three become one row with the sum of their copies.
+    Rows that agree in id and text are drawn in the order of their places in docs where not all of them fit. Nulls, empty
+    texts, ties and empty tables are as in `mix`; columns may have any names.
     """
-    counts = mix(docs, id_col, text_col, source_col, **settings)
-    counts = cut(counts.groupBy(F.col("doc_id").alias("__mix_id"), F.col("_crc").alias("__mix_crc"), F.col("source").alias("__mix_source")).agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")))
-    crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1))
-    if not counts.where("__mix_rows > 1").isEmpty():
-        docs = docs.withColumn("__mix_text", crc).dropDuplicates([id_col, "__mix_text", source_col]).drop("__mix_text")
-    on = F.col(id_col).eqNullSafe(F.col("__mix_id")) & (crc == F.col("__mix_crc")) & F.col(source_col).eqNullSafe(F.col("__mix_source"))
-    taken = docs.join(counts.where("__mix_copies > 0").drop("__mix_rows"), on)
-    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    _, plan = _decided(docs, id_col, text_col, source_col, weights, most_epochs, quality, seed)
+    names = fresh(docs, "order", "of", "epochs", "upto", "last", "n_upto", "m_upto", "copies", "part", "row", "place")
+    order, of, epochs, upto, last, n_upto, m_upto, copies, part, row, place = names
+    plan = plan.select(*[F.col(c).alias(n) for c, n in zip(("of", "epochs", "upto", "last", "n_upto", "m_upto"), (of, epochs, upto, last, n_upto, m_upto))])
+    # A row for each source: small, so that the planner sends it to the tasks.
+    marked = docs.withColumn(order, _order(docs, id_col, text_col, quality, seed)).join(plan, F.col(source_col).eqNullSafe(F.col(of)))
+    words = F.coalesce(F.regexp_like(text_col, F.lit(WORDS)), F.lit(False))
+    at_end, at_last = F.col(order).eqNullSafe(F.col(upto)), F.col(order).eqNullSafe(F.col(last))
+    below = F.coalesce(F.col(order) < F.col(upto), F.lit(False)) & ~at_last
+    # Rows of the last order that fits, or of the one that fills the gap, are all taken, or else numbered: those are repeated rows.
+    told = F.when(at_end & at_last, F.col(n_upto) + 1).when(at_end, F.col(n_upto)).when(at_last, F.lit(1))
+    whole = at_end & ~at_last & (F.col(n_upto) == F.col(m_upto))
+    extra = lambda yes: (F.col(epochs) + F.when(words & yes, 1).otherwise(0)).cast("int")
+    sure = marked.where(~(at_end | at_last) | whole).withColumn(copies, extra(below | whole))
+    rest = marked.where((at_end | at_last) & ~whole).withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+    rest = running(cut(rest), [of, order], [part], [F.col(row)], F.lit(1), place)
+    rest = rest.withColumn(copies, extra(F.col(place) < told))
+    taken = sure.select(*docs.columns, copies).unionByName(rest.select(*docs.columns, copies)).where(F.col(copies) > 0)
+    return taken.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
