@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, looked up by multi-index Hamming blocks, then verified.
 
-Every window of a document, at every start word and of every length, is a query for the items of each length; an item that a document
+The blocks retrieve the items; before them stands an exact filter, after them an exact comparison. Every window of a document, at every start word and of every length, is a query for the items of each length; an item that a document
 holds only in part is found in a shorter window, one with words put in in a longer one. A window that begins or ends with a
 shingle which no item of the length has is less similar than without it, and one that can't reach the similarity, as
 running sums of the weights it shares with such items show, is left out before it is fingerprinted; both lose nothing.
@@ -10,7 +10,8 @@ block, so one look-up in each block finds every item within the radius. An item
 radius is lost; README gives the share. The exact similarity of the weighted shingles
 (sum of smaller weights over sum of larger ones) decides. A shingle weighs ln(1 + items / items with it).
 
-The items go to the tasks in parts of at most `part_bytes` of text, one pass over the documents for each part.
+The items go to the tasks in parts of at most `part_bytes` in memory, one pass over the documents for each part, whose
+result is written before the next part is read: the driver and the tasks hold one part at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import slices
+from .common import Rounds, cut, slices
 
 RADIUS, BLOCKS = 15, 8
 LEAKS = "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double"
@@ -37,6 +38,21 @@ def simhash(words: np.ndarray) -> np.uint64:
     return np.packbits(2 * bits.sum(axis=0) > len(words)).view(">u8")[0].astype(np.uint64)
 
 
+def window_prints(words: np.ndarray, begin: np.ndarray, stop: np.ndarray, piece: int = 65_536) -> np.ndarray:
+    """SimHash of the windows from begin to stop, from counts at their ends; the words are gone through `piece` at a time."""
+    places = np.unique(np.concatenate([begin, stop]))
+    counts = np.zeros((len(places), 64), dtype=np.int32)
+    total = np.zeros(64, dtype=np.int32)
+    for a in range(int(places[0]), int(places[-1]), piece):
+        b = min(a + piece, int(places[-1]))
+        bits = np.cumsum(np.unpackbits(words[a:b].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32)
+        inside = (places > a) & (places <= b)
+        counts[inside] = total + bits[places[inside] - a - 1]
+        total = total + bits[-1]
+    ones = counts[np.searchsorted(places, stop)] - counts[np.searchsorted(places, begin)]
+    return np.packbits(2 * ones > (stop - begin)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def _stretches(sizes: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Neighbouring entries (from, to) of at most `most` in sum, or one by one."""
     part = np.cumsum(sizes, dtype=np.int64) // most
@@ -125,7 +141,6 @@ class Index:
         held_at = np.repeat(self.holders[known[at]] - (np.cumsum(held) - held), held) + np.arange(held.sum())
         of = self.holding[held_at]
         best: dict[int, tuple[float, int, int, int]] = {}
-        bits = None
         order = np.argsort(of, kind="stable")
         edges = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -151,13 +166,10 @@ class Index:
                     continue
                 kept = kept[np.argsort(-bound[kept], kind="stable")]
                 starts, ends, bound = mine[i[kept]], mine[j[kept]] + 1, bound[kept]
-                if bits is None:
-                    bits = np.zeros((n + 1, 64), dtype=np.int32)
-                    np.cumsum(np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
                 for e in range(0, len(starts), 4096):
                     begin, end, top = starts[e : e + 4096], ends[e : e + 4096], bound[e : e + 4096]
                     stop = np.minimum(end + k - 1, n)
-                    prints = np.packbits(2 * (bits[stop] - bits[begin]) > (stop - begin)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+                    prints = window_prints(words, begin, stop)
                     for start, last, w, limit, mark, items in zip(begin.tolist(), end.tolist(), (stop - begin).tolist(), top.tolist(), prints.tolist(), self.near(prints)):
                         part = None
                         for item in items[self.own[items] == place].tolist():
@@ -191,8 +203,8 @@ class Index:
         return out
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str, k: int, part_bytes: int) -> Iterator[list[Index]]:
-    """The items as indexes, in parts of bounded size. Weights are counted over all items, by Spark."""
+def _parts(items: DataFrame, id_col: str, text_col: str, k: int, part_bytes: int) -> tuple[int, Iterator[list[Index]]]:
+    """The items as indexes, in parts of bounded size, and the number of parts. Weights are counted over all items, by Spark."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("body")).where("body is not null and item_id is not null")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +214,25 @@ def _parts(items: DataFrame, id_col: str, text_col: str, k: int, part_bytes: int
             sets = [sorted({int(g) for g in textvec.shingles(words[a:b], np.array([0, b - a]), k)[0].view(np.int64)}) for a, b in zip(firsts[:-1], firsts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), flat, pa.array(sets, pa.list_(pa.int64()))], names=["item_id", "words", "grams"])
 
-    hashed = rows.mapInArrow(split, "item_id long, words array<long>, grams array<long>").where("size(words) > 0")
+    hashed = cut(rows.mapInArrow(split, "item_id long, words array<long>, grams array<long>").where("size(words) > 0"))
     n, words = hashed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     frequent = hashed.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     pieces = max(1, math.ceil(words * 200 / part_bytes))  # an item's word takes about 200 bytes in an index
-    for piece in range(pieces):
-        mine = hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == piece)
-        grams = mine.select(F.explode("grams").alias("gram")).distinct()
-        df = {r.gram & (2**64 - 1): r["count"] for r in frequent.join(grams, "gram", "left_semi").toLocalIterator()}
-        by_k: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for r in mine.select("item_id", "words").orderBy("item_id", "words").toLocalIterator():
-            by_k.setdefault(min(k, len(r.words)), []).append((r.item_id, np.array(r.words, dtype=np.int64).view(np.uint64)))
-        if by_k:
-            yield [Index.build(kk, mine_, df, n) for kk, mine_ in sorted(by_k.items())]
+    if pieces > 1:
+        frequent = cut(frequent)
+
+    def built() -> Iterator[list[Index]]:
+        for piece in range(pieces if n else 0):
+            mine = hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == piece)
+            grams = mine.select(F.explode("grams").alias("gram")).distinct()
+            df = {r.gram & (2**64 - 1): r["count"] for r in frequent.join(grams, "gram", "left_semi").toLocalIterator()}
+            by_k: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for r in mine.select("item_id", "words").orderBy("item_id", "words").toLocalIterator():
+                by_k.setdefault(min(k, len(r.words)), []).append((r.item_id, np.array(r.words, dtype=np.int64).view(np.uint64)))
+            if by_k:
+                yield [Index.build(kk, mine_, df, n) for kk, mine_ in sorted(by_k.items())]
+
+    return pieces, built()
 
 
 def _search(batch: pa.RecordBatch, text_col: str, indexes: list[Index], threshold: float) -> list[tuple]:
@@ -241,7 +259,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     out = None
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    for indexes in _parts(items, item_col, item_text, words, part_bytes):
+    pieces, parts = _parts(items, item_col, item_text, words, part_bytes)
+    for indexes in parts:
 
         def scan(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -252,14 +271,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(distance, pa.int32()), pa.array(similarity, pa.float64())], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
         part = base.mapInArrow(scan, LEAKS)
+        part = part if pieces == 1 else cut(part)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8, part_bytes: int = 64_000_000) -> DataFrame:
-    """The rows of docs in which `leaks` finds nothing, with all their columns; they are filtered where they are read."""
+    """The rows of docs in which `leaks` finds nothing, with all their columns; they are filtered where they are read.
+
+    Null and empty texts stay, and so do all rows where no item has words. Equal rows stay or go together. An empty table gives an empty table.
+    Columns may have any names.
+    """
     out = docs
-    for indexes in _parts(items, item_col, item_text, words, part_bytes):
+    pieces, parts = _parts(items, item_col, item_text, words, part_bytes)
+    rounds = Rounds(docs.sparkSession)
+    for indexes in parts:
 
         def keep(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -268,4 +294,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                     yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
 
         out = out.mapInArrow(keep, docs.schema)
+        out = out if pieces == 1 else rounds.put(out)
     return out

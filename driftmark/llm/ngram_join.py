@@ -271,7 +271,7 @@ def near_duplicates(
 
     Null text counts as empty. Empty texts equal each other and link to nothing else. A text of fewer than `words`
     words has one shingle. Rows of a null id take part like others; class_id is null where a component has only such.
-    Rows of one id may have different texts, which are classes of their own. Repeated rows count as copies. Columns other than the id
+    Rows of one id may have different texts, which are classes of their own; where such an id is the smallest of two components, both have its class_id. Repeated rows count as copies. Columns other than the id
     and the text are not read. An empty table gives an empty table.
     """
     base, by_class = _classes(docs, id_col, text_col, words, threshold, trees, target_recall, measured, seed)

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import slices
+from .common import cut, slices
 
 PASSAGE, BUCKETS, ENCODED, GATE = 48, 48, 24, 12
 #: Kind of each byte: every ASCII sign is its own kind; letters, digits, spaces and other bytes are classes.
@@ -135,12 +136,13 @@ def train(x: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarr
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_of_a_class: int = 1500, most_passages: int = 24, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_of_a_class: int = 1500, most_passages: int = 400_000, seed: int = 5) -> Model | None:
     """Trains on at most `most_of_a_class` labelled documents of each class, those of the smallest hash, weighted to the classes' true shares.
 
-    A training document gives its first, last and evenly spaced passages, most_passages at most; scoring reads all.
-    Labels other than 0 and 1 and null are left out; of several labels of a document the smallest counts.
-    None if no document is labelled.
+    A training document gives all its passages. Documents of a class are taken in the order of the hash until they have half of
+    `most_passages`, the first one always; this bounds what the driver holds.
+    Labels other than 0 and 1 and null are left out; of several labels of a document the smallest counts, of several
+    texts that of the least features. None if no document is labelled.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
@@ -157,13 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for whole in batches:
             for batch in slices(whole, "_body"):
                 x, starts = passages(batch.column("_body"))
-                parts = []
-                for s, e in zip(starts[:-1], starts[1:]):
-                    at = np.unique(np.linspace(s, e - 1, min(e - s, most_passages)).astype(np.int64))
-                    parts.append(x[at].astype("<f4").tobytes())
+                parts = [x[a:b].astype("<f4").tobytes() for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(parts, pa.binary())], names=["_id", "_label", "x"])
 
-    got = rows.mapInArrow(describe, "_id long, _label int, x binary").dropDuplicates(["_id"]).orderBy("_id").collect()
+    described = cut(rows.mapInArrow(describe, "_id long, _label int, x binary").groupBy("_id", "_label").agg(F.min("x").alias("x")))
+    order = W.partitionBy("_label").orderBy(F.xxhash64("_id", F.lit(seed)), "_id").rowsBetween(W.unboundedPreceding, 0)
+    upto = described.select("_id", F.sum(F.octet_length("x") / (4 * WIDTH)).over(order).alias("upto"), F.count(F.lit(1)).over(order).alias("place"))  # of 2 * most_of_a_class rows
+    got = described.join(upto.where((F.col("upto") <= most_passages / 2) | (F.col("place") == 1)), "_id", "left_semi").orderBy("_id").collect()
     if not got:
         return None
     bags = [np.frombuffer(r.x, dtype="<f4").reshape(-1, WIDTH) for r in got]
@@ -195,7 +197,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def good_rows(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with all their columns; they are filtered where they are read. Without a model all stay."""
+    """The rows of docs whose score is at least `least`, with all their columns; they are filtered where they are read. Without a model all stay.
+
+    Null and empty texts have the score of one passage without words, so that they stay or go together. Ties with `least` stay; repeated
+    rows stay or go together. An empty table gives an empty table. Columns may have any names; only the text is an input.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -141,6 +141,46 @@ def test_leaks_are_found_in_windows_of_other_lengths_than_the_item(spark):
     assert all(got[20 + i, i].n_words == len(w) for i, w in fuller.items())
 
 
+def test_leaks_are_those_of_all_windows(spark):
+    """Every window of every text against every item, by counting."""
+    import math
+
+    items = {i: prose(3000 + i, 8 + 3 * i) for i in range(8)}
+    items[8] = items[3][:10] + prose(3100, 9)
+    texts = {}
+    for d in range(12):
+        item, other = items[d % 9], items[(d + 4) % 9]
+        kept = item[: len(item) - d % 3] if d % 2 else item[:4] + ["put"] + item[4:]
+        texts[d] = prose(3200 + d, 15) + kept + prose(3300 + d, 9) + other[d % 4 :] + prose(3400 + d, 5)
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    df = Counter(g for w in items.values() for g in set(grams(w)))
+    weight = lambda g: math.log(1 + len(items) / df[g]) if df[g] else math.log(1 + len(items))
+    want = {}
+    for d, w in texts.items():
+        for i, t in items.items():
+            theirs = Counter(grams(t))
+            total = sum(weight(g) * n for g, n in theirs.items())
+            for a in range(len(w)):
+                for b in range(a + 5, len(w) + 1):
+                    mine = Counter(grams(w[a:b]))
+                    both = sum(weight(g) * min(n, theirs[g]) for g, n in mine.items())
+                    s = both / (total + sum(weight(g) * n for g, n in mine.items()) - both)
+                    if s >= 0.8 - 1e-9 and s > want.get((d, i), (0,))[0] + 1e-9:
+                        want[d, i] = (s, a, b - a)
+    found = decontaminate.leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in found}
+    assert len(want) >= 15 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(np.isclose(got[k][0], want[k][0]) and got[k][1:] == want[k][1:] for k in got)
+
+
+def test_prints_of_windows_piece_by_piece():
+    words = np.random.default_rng(2).integers(0, 2**63, 300).astype(np.uint64)
+    begin = np.array([0, 5, 17, 100, 250, 299, 0])
+    stop = np.array([4, 60, 18, 290, 300, 300, 300])
+    want = [decontaminate.simhash(words[a:b]) for a, b in zip(begin, stop)]
+    assert all(np.array_equal(decontaminate.window_prints(words, begin, stop, piece), want) for piece in (7, 64, 1000))
+
+
 def test_blocks_reach_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(50)]

@@ -23,4 +23,4 @@ def test_the_whole_run(spark):
 
 def test_all_ten_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and set(queries.oracle_sql()) <= set(names)
