@@ -9,35 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmark.llm import decontaminate, mixing, ngram_join, quality, sharding
-from driftmark.llm.common import shared_path
+from driftmark.llm.common import remove, shared_path
 
 #: No SQL: the first stage trains a model, and the later ones work on what it keeps.
 ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a classifier trained on the labels of docs rejects."""
+    """Drops the documents that a classifier trained on the labels of docs rejects.
+
+    Null and empty texts are scored like others. Without labels, and of an empty table, all rows stay.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.good_rows(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that of the smallest id.
+
+    Null and empty texts are one group. Repeated ids with different texts are different documents.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item. Null and empty texts hold none and stay."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and draws documents until the sources have their target weights."""
+    """Repeats and draws documents until the sources have their target weights.
+
+    Null sources are one source. Documents without words are in it only as often as their source is taken whole.
+    """
     return mixing.mixed_rows(docs)
 
 
 def deal_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts every row of the mixture into one of 24 shards, copies of a text together where the quotas allow."""
+    """Puts every row of the mixture into one of 24 shards, copies of a text together where the quotas allow.
+
+    Null ids, null texts and repeated rows are rows like others.
+    """
     return sharding.shard(docs)
 
 
@@ -51,9 +63,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. A stage's table is removed once the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"stage{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
