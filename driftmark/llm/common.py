@@ -170,12 +170,13 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end are left out.
     """
     spark = edges.sparkSession
-    rounds = Rounds(spark)
+    rounds, lows = Rounds(spark), Rounds(spark)
     now = rounds.put(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     said = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that the join's shuffle is its own and Spark can split it at a node with very many edges.
+        least = lows.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")

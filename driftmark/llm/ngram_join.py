@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes pairs, exact shingle sets decide.
 
-1. Equal texts become one class, named by the text's md5. One pass computes for each text `trees` labels of 8 bytes,
+1. Equal texts, by their md5, become one class with a number of its own. One pass computes for each text `trees` labels of 8 bytes,
    each byte taken from one MinHash of its word shingles. A label read from its first byte is a path in a prefix trie.
 2. The labels of each tree are sorted inside sub-tries of 6 bytes, which have 65,536 different leaves at most: equal labels
    are one leaf, and neighbours in the sorted order share their longest prefix. Two texts meet at depth d if they share d bytes in some tree.
@@ -128,10 +128,10 @@ def _depth(pairs: DataFrame, base: DataFrame, classes: DataFrame, words: int, th
     order = F.xxhash64("a", "b")
     picked = pairs.withColumn("o", order).orderBy("o", "a", "b", "tree").limit(measured * trees).groupBy("o", "a", "b").agg(F.min("tree").alias("tree"))
     picked = cut(picked.orderBy("o", "a", "b").limit(measured).drop("o"))
-    ends = picked.select(F.col("a").alias("same")).unionByName(picked.select(F.col("b").alias("same"))).distinct()
-    named = cut(classes.join(ends, "same", "left_semi").select("same", "rid", "labels"))
-    texts = cut(base.join(named.select("rid", "same"), ["rid", "same"], "left_semi").select("same", "body").dropDuplicates(["same"]).join(named.drop("rid"), "same"))
-    side = lambda s: texts.select(F.col("same").alias(s), F.col("body").alias(f"body_{s}"), F.col("labels").alias(f"labels_{s}"))
+    ends = picked.select(F.col("a").alias("node")).unionByName(picked.select(F.col("b").alias("node"))).distinct()
+    named = cut(classes.join(ends, "node", "left_semi").select("node", "same", "rid", "labels"))
+    texts = cut(base.join(named, ["rid", "same"]).select("node", "body", "labels").dropDuplicates(["node"]))
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("body").alias(f"body_{s}"), F.col("labels").alias(f"labels_{s}"))
     rows = picked.join(side("a"), "a").join(side("b"), "b").select("tree", "body_a", "body_b", "labels_a", "labels_b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,26 +188,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 )
 
     signed = base.mapInArrow(sign, "same binary, rid long, rep long, copies long, size int, labels array<long>")
-    classes = cut(signed.groupBy("same").agg(F.min("rid").alias("rid"), F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.max("size").alias("size"), F.first("labels").alias("labels")))
+    classes = signed.groupBy("same").agg(F.min("rid").alias("rid"), F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.max("size").alias("size"), F.first("labels").alias("labels"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
     # The sub-tries that hold more than one text, their leaves in order, and who meets whom from which depth on.
-    entries = classes.where("size > 0").select("same", F.posexplode("labels").alias("tree", "label"))
-    entries = entries.select("same", "tree", "label", F.shiftrightunsigned("label", 64 - 8 * SHORTEST).alias("path"))
+    entries = classes.where("size > 0").select("node", F.posexplode("labels").alias("tree", "label"))
+    entries = entries.select("node", "tree", "label", F.shiftrightunsigned("label", 64 - 8 * SHORTEST).alias("path"))
     crowded = entries.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
     held = cut(entries.join(crowded, ["tree", "path"]))
-    leaves = held.groupBy("tree", "path", "label").agg(F.min("same").alias("head"))
+    leaves = held.groupBy("tree", "path", "label").agg(F.min("node").alias("head"))
     before = F.lag(F.struct("label", "head")).over(W.partitionBy("tree", "path").orderBy("label"))
     cut_at = lambda c, d: F.shiftrightunsigned(c, 64 - 8 * d)
     prefix = F.when(cut_at("label", 7) == cut_at("p.label", 7), 7).otherwise(SHORTEST)
     trie = leaves.withColumn("p", before).where("p is not null").select(F.col("head").alias("a"), F.col("p.head").alias("b"), "tree", prefix.alias("depth"))
-    equal = held.join(leaves.drop("path"), ["tree", "label"]).where("same <> head").select(F.col("same").alias("a"), F.col("head").alias("b"), "tree", F.lit(LEVELS).alias("depth"))
+    equal = held.join(leaves.drop("path"), ["tree", "label"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), "tree", F.lit(LEVELS).alias("depth"))
     meet = cut(trie.unionByName(equal).where("a <> b"))
     depth, _ = _depth(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree"), base, classes, words, threshold, trees, target_recall, measured)
     shift = 64 - 8 * depth
     groups = cut(components(meet.where(F.col("depth") >= depth).select("a", "b")))  # (node, root)
 
     # Texts of a component in the order of their sizes, cut into blocks; only blocks whose sizes can be similar enough meet.
-    members = _in_blocks(groups.join(classes.select(F.col("same").alias("node"), "rid", "size", "copies", "labels"), "node"), groups.count())
+    members = _in_blocks(groups.join(classes.select("node", "same", "rid", "size", "copies", "labels"), "node"), groups.count())
     spans = members.groupBy("root", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.lit(1)).alias("n"))
     other = spans.select("root", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     fit = f"(block = block2 and n > 1) or (block < block2 and lo2 * {share[0]}L <= hi * {share[1]}L and lo * {share[0]}L <= hi2 * {share[1]}L)"
@@ -215,13 +216,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     units = meets.select("root", "block", F.col("block").alias("u"), F.col("block2").alias("v"), F.lit(0).alias("side")).unionByName(
         meets.where("block <> block2").select("root", F.col("block2").alias("block"), F.col("block").alias("u"), F.col("block2").alias("v"), F.lit(1).alias("side"))
     )
-    texts = base.select("rid", F.col("same").alias("node"), "body").join(members, ["rid", "node"]).dropDuplicates(["node"])
+    texts = base.select("rid", "same", "body").join(members, ["rid", "same"]).dropDuplicates(["node"])
     dealt = texts.join(units, ["root", "block"]).select(F.xxhash64("root", "u", "v").alias("unit"), "side", "node", "copies", "labels", "body")
     dealt = dealt.repartition("unit").sortWithinPartitions("unit", "side", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, "unit"):
-            node = unit.column("node").combine_chunks()
+            node = unit.column("node").to_numpy()
             side = unit.column("side").to_numpy()
             copies = unit.column("copies").to_numpy()
             labels = np.asarray(unit.column("labels").combine_chunks().flatten()).reshape(len(node), trees)
@@ -236,18 +237,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
             links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
             root = _roots(len(node), i, j)
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(hit)), pa.array(links[hit].astype(np.int64)), node.take(pa.array(root[hit]))], names=["node", "links", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit].astype(np.int64)), pa.array(node[root[hit]])], names=["node", "links", "head"])
 
-    found = cut(dealt.mapInArrow(verify, "node binary, links long, head binary"))
+    found = cut(dealt.mapInArrow(verify, "node long, links long, head long"))
     linked = cut(components(found.select(F.col("node").alias("a"), F.col("head").alias("b"))))
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
-    first = linked.join(classes.select(F.col("same").alias("node"), "rep"), "node").groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
+    first = linked.join(classes.select("node", "same", "rep"), "node").groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "same")).alias("first"))
     by_class = (
-        classes.select("same", "rep", "copies")
-        .join(totals, F.col("same") == F.col("node"), "left").drop("node")
-        .join(linked, F.col("same") == F.col("node"), "left").drop("node")
+        classes.select("node", "same", "rep", "copies")
+        .join(totals, "node", "left").join(linked, "node", "left")
         .join(first, "root", "left")
-        .select("same", "rep", F.coalesce("first.rep", "rep").alias("class_id"), (F.coalesce("first.node", "same") == F.col("same")).alias("lead"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .select("same", "rep", F.coalesce("first.rep", "rep").alias("class_id"), (F.coalesce("first.same", "same") == F.col("same")).alias("lead"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     return base, by_class
 
