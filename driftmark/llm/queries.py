@@ -21,22 +21,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark))
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark, short=None))
 
 
 def op2_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark, short=True), words=3)
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark, short=True))
 
 
-_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.NOTICES))
+_RULES = [(i, *x) for i, x in enumerate(licenses.NOTICES + licenses.TEXTS)] + [(1000 + i, *x) for i, x in enumerate(licenses.SHORT)]
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, name, text in _RULES)
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) ELSE [array_to_string(w, ' ')] END"
+_SHINGLES = "CASE WHEN len(w) >= k THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')) ELSE [array_to_string(w, ' ')] END"
 OP2_SQL = f"""
 WITH notices(template_id, license, text) AS (VALUES {_NOTICES}),
-theirs AS (SELECT DISTINCT template_id, license, unnest({_SHINGLES}) AS gram FROM (SELECT template_id, license, {_WORDS} AS w FROM notices) WHERE len(w) > 0),
+theirs AS (SELECT DISTINCT template_id, license, k, unnest({_SHINGLES}) AS gram FROM (SELECT *, CASE WHEN len(w) >= 5 THEN 5 ELSE 3 END AS k FROM (SELECT template_id, license, {_WORDS} AS w FROM notices)) WHERE len(w) > 0),
 sizes AS (SELECT template_id, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS m FROM theirs GROUP BY 1),
-own AS (SELECT number, doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) - 1 AS place FROM (SELECT number, doc_id, {_SHINGLES} AS grams FROM (SELECT row_number() OVER () AS number, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0)),
-hits AS (SELECT number, doc_id, t.template_id, license, n, m, o.gram, place FROM own o JOIN theirs t ON o.gram = t.gram JOIN sizes z ON t.template_id = z.template_id),
+own AS (SELECT number, doc_id, k, unnest(grams) AS gram, generate_subscripts(grams, 1) - 1 AS place FROM (SELECT number, doc_id, k, {_SHINGLES} AS grams FROM (SELECT row_number() OVER () AS number, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), (VALUES (3), (5)) AS kinds(k) WHERE len(w) > 0)),
+hits AS (SELECT number, doc_id, t.template_id, license, n, m, o.gram, place FROM own o JOIN theirs t ON o.gram = t.gram AND o.k = t.k JOIN sizes z ON t.template_id = z.template_id),
 windows AS (SELECT * FROM (SELECT *, place - place % m AS start FROM hits UNION ALL SELECT *, place - place % m - m FROM hits) WHERE start >= 0),
 scored AS (SELECT number, doc_id, template_id, license, start, count(DISTINCT gram) / any_value(n) AS containment FROM windows GROUP BY ALL)
 SELECT doc_id, template_id, license, max(containment) AS containment, CAST(arg_max(start, struct_pack(c := containment, s := -start)) AS INT) AS first_word FROM scored WHERE containment >= 0.8 GROUP BY number, doc_id, template_id, license

@@ -204,7 +204,7 @@ def test_licenses_as_by_brute_force(spark, docs, none):
     want = Counter()
     for r in all_docs.collect():
         own = grams(words(r.text))
-        for k, (_, notice) in enumerate(licenses.NOTICES):
+        for k, (_, notice) in enumerate(licenses.NOTICES + licenses.TEXTS):
             t = set(grams(words(notice)))
             m = 1 << (len(t) - 1).bit_length()
             best = max((len(t & set(own[s : s + 2 * m])) for s in range(0, max(1, len(own)), m)), default=0)
@@ -226,10 +226,24 @@ def test_licenses_of_other_kinds_and_short_notices(spark):
     for r in licenses.scan(docs, licenses.notices(spark)).collect():
         top[r.doc_id] = max(top.get(r.doc_id, (0, "")), (r.containment, r.license))
     assert {i: x[1] for i, x in top.items() if i <= 5} == {i: name for i, (_, name) in said.items()}
-    short = licenses.scan(docs, licenses.notices(spark, short=True), words=3).collect()
+    short = licenses.scan(docs, licenses.notices(spark, short=True)).collect()
     assert {(r.doc_id, r.license) for r in short} - {(5, "Public domain")} == {(6, "Proprietary"), (7, "MIT")}
 
 
+def test_licenses_by_many_long_templates(spark, tmp_path):
+    """Thousands of templates of hundreds of words, in one pass and in several; whole files as templates."""
+    rows = [(i, f"own-{i}", " ".join(prose(9000 + i, 200 + i % 300))) for i in range(2000)]
+    forms = spark.createDataFrame(rows, "template_id int, license string, text string").repartition(4)
+    texts = [(i, " ".join(prose(70 + i, 100)) + " " + " ".join(rows[i * 7][2].split()[: 190 + i]) + " end " + " ".join(prose(90 + i, 300))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.template_id) for r in licenses.scan(docs, forms).collect()}
+    want = {(i, i * 7) for i in range(30) if 190 + i - 4 >= 0.8 * (200 + (i * 7) % 300 - 4)}
+    assert got == want and len(want) >= 5
+    assert {(r.doc_id, r.template_id) for r in licenses.scan(docs, forms, most_sent=300_000).collect()} == want
+    (tmp_path / "OWN-1.txt").write_text(rows[0][2])
+    assert [(r.doc_id, r.license) for r in licenses.scan(docs, licenses.templates_of(spark, str(tmp_path))).collect()] == [(0, "OWN-1")]
+
+
 def test_chats_come_back_whole(spark):
     hostile = ["\\### Assistant: </turn> ok", "<|turn|>user<|says|>x<|end|>", "\\<|end|>\\\\", "", None, "日本 😀 é", " lead and trail \n", "<<||>>", "<|endoftext|>"]
     rows = [(c, t, ("user", "assistant", None)[(c + t) % 3], hostile[(c * 3 + t) % len(hostile)]) for c in range(9) for t in range(5)] + [(3, 0, "user", "tie"), (3, 0, "user", "tie"), (None, None, "assistant", "no id")]
