@@ -66,12 +66,16 @@ def effects(table: DataFrame, batch: str, feature: str = "feature", value: str =
     the share is 0 and p null.
     """
     v = F.col(value)
-    sums = table.where(v.isNotNull()).groupBy(feature, batch).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    sums = table.where(v.isNotNull()).groupBy(feature, batch).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("v"))
     whole = W.partitionBy(feature)
-    n, s, ss = (F.sum(c).over(whole) for c in ("n", "s", "ss"))
-    part = F.when(F.col("n") >= 2, F.col("n") * F.pow(F.col("s") / F.col("n") - s / n, F.lit(2)))
-    out = sums.select(feature, n.alias("n"), (ss - s * s / n).alias("sst"), part.alias("b"), F.when(F.col("n") >= 2, 1).alias("k"), F.when(F.col("n") >= 2, F.col("n")).alias("m"))
-    out = out.groupBy(feature, "n", "sst").agg(F.coalesce(F.sum("b"), F.lit(0.0)).alias("ssb"), F.count("k").alias("groups"), F.sum("m").alias("m"))
+    grand = F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
+    apart = F.col("n") * F.pow(F.col("m") - grand, F.lit(2))
+    out = sums.select(feature, "n", apart.alias("apart"), (F.col("n") * F.col("v")).alias("inside"), (F.col("n") >= 2).alias("counts"))
+    counts = F.col("counts")
+    out = out.groupBy(feature).agg(
+        F.sum(F.col("apart") + F.col("inside")).alias("sst"), F.coalesce(F.sum(F.when(counts, F.col("apart"))), F.lit(0.0)).alias("ssb"),
+        F.count(F.when(counts, 1)).alias("groups"), F.sum(F.when(counts, F.col("n"))).alias("m"), F.sum("n").alias("n"),
+    )
     flat = (F.col("n") < 3) | (F.col("sst") < 1e-12)
     eta = F.when(flat, 0.0).otherwise(F.least(F.lit(1.0), F.col("ssb") / F.col("sst")))
     value_f = F.try_divide(F.col("ssb") / (F.col("groups") - 1), (F.col("sst") - F.col("ssb")) / (F.col("m") - F.col("groups")))
@@ -98,32 +102,34 @@ def batch_centroids(table: DataFrame, columns: PAIR, batch: str) -> DataFrame:
 
 
 def stratified(table: DataFrame, key: str, batch: str, most: int, seed: int = 42) -> DataFrame:
-    """At most `most` rows, as many of each batch (two at least), those of the smallest hash of their key."""
+    """At most `most` rows, as many of each batch (two at least), those of the smallest md5 of their key and the seed."""
     batches = table.select(batch).distinct().count()
     each = max(2, most // max(1, batches))
-    order = F.row_number().over(W.partitionBy(batch).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return table.withColumn("_r", order).where(F.col("_r") <= each).drop("_r").orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    order = F.row_number().over(W.partitionBy(batch).orderBy(mark, key))
+    return table.withColumn("_r", order).where(F.col("_r") <= each).drop("_r").orderBy(mark, key).limit(most)
 
 
 def combat(table: DataFrame, keys: PAIR, columns: PAIR, batch: str, rounds: int = 500, close: float = 1e-4) -> DataFrame:
     """Empirical-Bayes correction of additive and multiplicative batch effects, without covariates.
 
-    Counts, sums and sums of squares by batch and feature are all that the estimates need; they are batches times
+    Counts, means and variances by batch and feature are all that the estimates need; they are batches times
     features rows, and the iterations run on them in the driver. Fewer than two batches leave the table as it is.
     """
     import numpy as np
 
-    aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
+    aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("v", F.var_pop))]
     got = table.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy(batch).collect()  # a row for each batch
     if len(got) < 2:
         return table
     n = np.array([r.n for r in got], float)[:, None]
-    s = np.array([[r[f"s_{c}"] for c in columns] for r in got])
-    q = np.array([[r[f"q_{c}"] for c in columns] for r in got])
-    grand = s.sum(0) / n.sum()
-    within = (q - s * s / n).sum(0) / max(n.sum() - len(got), 1)
+    mean = np.array([[r[f"m_{c}"] for c in columns] for r in got])
+    var = np.array([[r[f"v_{c}"] for c in columns] for r in got])
+    grand = (n * mean).sum(0) / n.sum()
+    within = (n * var).sum(0) / max(n.sum() - len(got), 1)
     spread = np.sqrt(np.where(within < 1e-12, 1.0, within))
-    zs, zq = (s - n * grand) / spread, (q - 2 * grand * s + n * grand**2) / spread**2
+    zs = n * (mean - grand) / spread
+    zq = n * (var + (mean - grand) ** 2) / spread**2
     gamma = zs / n
     delta = np.where(n > 1, (zq - zs * zs / n) / np.maximum(n - 1, 1), 1.0)
     delta = np.where(delta < 1e-12, 1.0, delta)

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _path(spark: SparkSession) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir. Where that is unset, a session of one machine gets a fresh local one; any other raises ValueError."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return f"{context._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir (a fresh local one where that is unset) and read again.
+    """df, written to the folder that the driver and all executors share and read again.
 
     Unlike a checkpoint, a table that is read carries none of the constraints of the plan that made it; in a loop those
     grow with every round.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = _path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges(a, b): node and its component's smallest node. Labels fall to the least neighbour's and are shortened each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges(a, b): node and its component's smallest node. Labels fall to the least neighbour's and are shortened each round, until none falls."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(rounds):
+    while True:
         least = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         fallen = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("_was"))
         jump = fallen.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -38,20 +50,82 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("root <> _was").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def nearest(table: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
-    """The k nearest other rows of each row by Euclidean distance, exactly: every row against all, k kept while they are compared.
+def _closest(queries: DataFrame, targets: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k nearest targets of each query of a cell: queries(src, x, cell), targets(dst, y, cell), both dealt out in blocks of a cell."""
+    import numpy as np
+    import pandas as pd
 
-    For the size of a sample; `nearest_hashed` is the one for large tables.
+    parts = targets.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("tn")).join(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("qn")), "cell")  # a row for each cell
+    q = queries.join(parts, "cell").select("src", "x", "cell", F.pmod(F.xxhash64("src"), F.col("qn")).alias("qs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("ts"))
+    t = targets.join(parts, "cell").select("dst", "y", F.col("cell").alias("cell_"), F.pmod(F.xxhash64("dst"), F.col("tn")).alias("ts_"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("qs_"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        right = right.sort_values("dst")
+        x, y, dst = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy()), right["dst"].to_numpy()
+        out = []
+        for a in range(0, len(x), 256):
+            squares = np.zeros((len(x[a : a + 256]), len(y)))
+            for i in range(x.shape[1]):
+                squares += (x[a : a + 256, i][:, None] - y[:, i][None, :]) ** 2
+            src = left["src"].to_numpy()[a : a + 256]
+            squares[src[:, None] == dst[None, :]] = np.inf
+            at = np.argsort(squares, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"src": np.repeat(src, at.shape[1]), "dst": dst[at].ravel(), "distance": np.sqrt(np.take_along_axis(squares, at, 1)).ravel()}))
+        out = pd.concat(out)
+        return out[np.isfinite(out["distance"])]
+
+    found = q.groupBy("cell", "qs", "ts").cogroup(t.groupBy("cell_", "qs_", "ts_")).applyInPandas(best, "src long, dst long, distance double")
+    return found.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("place") <= k)
+
+
+def nearest(table: DataFrame, key: str, columns: Sequence[str], k: int, most_cells: int = 4096, block_rows: int = 2048, seed: int = 42) -> DataFrame:
+    """The k nearest other rows of each row by Euclidean distance, exactly: src, dst, distance, place.
+
+    Rows are dealt to the cells of pivots (rows of the smallest hash, as many as the square root of the rows, `most_cells` at most). A row is
+    compared with its own cell first. The k-th distance so far bounds the cells that can hold nearer rows: those whose pivot is
+    no further away than it and the cell's radius together. The row is compared with those, too. Cells are joined by their numbers, in
+    blocks of `block_rows` rows. Rows with a missing value have no neighbours. `nearest_hashed` is for tables where the cells don't separate.
     """
-    other = table.select(F.col(key).alias("dst"), F.array(*columns).alias("_y"))
-    mine = table.select(F.col(key).alias("src"), F.array(*columns).alias("_x"))
-    squares = F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    pairs = mine.join(other, F.col("src") != F.col("dst")).select("src", "dst", F.sqrt(squares).alias("distance"))
-    r = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return pairs.withColumn("place", r).where(F.col("place") <= k)
+    import numpy as np
+
+    rows = cut(table.select(F.col(key).cast("long").alias("src"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    cells = max(1, min(most_cells, math.isqrt(rows.count())))
+    pivots = np.array([r.x for r in rows.orderBy(F.xxhash64("src", F.lit(seed)), "src").limit(cells).collect()]).reshape(-1, len(columns))
+
+    def distances(batch):
+        x = np.array(batch.column("x").flatten()).reshape(-1, pivots.shape[1])
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T, 0.0))
+
+    def deal(batches):
+        for batch in batches:
+            d = distances(batch)
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["src", "x", "cell", "far"])
+
+    dealt = cut(rows.mapInArrow(deal, "src long, x array<double>, cell int, far double"))
+    targets = dealt.select(F.col("src").alias("dst"), F.col("x").alias("y"), "cell")
+    own = cut(_closest(dealt.select("src", "x", "cell"), targets, k, block_rows))
+    radius = np.full(len(pivots), -np.inf)
+    for r in dealt.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row for each cell
+        radius[r.cell] = r.far
+    reach = own.where(F.col("place") == k).select("src", F.col("distance").alias("reach"))
+
+    def reached(batches):
+        for batch in batches:
+            d = distances(batch)
+            near = d - radius[None, :] <= (batch.column("reach").to_numpy(zero_copy_only=False) * (1 + 1e-9) + 1e-6)[:, None]
+            near[np.arange(len(d)), batch.column("cell").to_numpy()] = False
+            at, cell = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("x").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["src", "x", "cell"])
+
+    further = dealt.join(reach, "src", "left").select("src", "x", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    others = cut(further.mapInArrow(reached, "src long, x array<double>, cell int"))
+    both = own.unionByName(_closest(others, targets, k, block_rows)).drop("place")
+    return both.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("place") <= k)
 
 
 def nearest_hashed(table: DataFrame, key: str, columns: Sequence[str], k: int, reach: float, length: float = 0.5, tables: int = 6, seed: int = 42) -> DataFrame:

@@ -26,9 +26,14 @@ m AS (SELECT frame_idx, object_id, CAST(count(*) AS DOUBLE) AS area, avg(x) AS c
 s AS (SELECT *, sqrt(greatest((vxx + vyy) / 2 + sqrt(((vxx - vyy) / 2) ** 2 + vxy ** 2), 0)) AS major, sqrt(greatest((vxx + vyy) / 2 - sqrt(((vxx - vyy) / 2) ** 2 + vxy ** 2), 0)) AS minor FROM m)"""
 
 
-@register("mask_shapes", f"WITH {MOMENTS} SELECT frame_idx, object_id, area, round(cx, 5) AS cx, round(cy, 5) AS cy, round(major, 4) AS major, round(CASE WHEN minor < 1e-5 THEN 0 ELSE minor END, 4) AS minor FROM s")
+@register("mask_shapes", f"WITH {MOMENTS} SELECT frame_idx, object_id, area, round(cx, 5) AS cx, round(cy, 5) AS cy, round(major, 4) AS major, round(CASE WHEN minor < 1e-5 THEN 0 ELSE minor END, 4) AS minor, "
+          "CASE WHEN major - minor > 1e-3 AND abs(vxy) > 1e-6 THEN round(atan2(2 * vxy, vxx - vyy) / 2, 4) END AS orientation, round(CASE WHEN major < 1e-5 THEN 0 WHEN minor < 1e-5 THEN 1 ELSE sqrt(greatest(1 - (minor / major) ** 2, 0)) END, 3) AS eccentricity FROM s")
 def mask_shapes(spark, d):
-    out = masks.shapes(_runs(spark, d)).drop("orientation", "eccentricity")
+    """The orientation is compared where the axes differ and don't lie along the frame's, as it is noise or one of two ends elsewhere."""
+    out = masks.shapes(_runs(spark, d))
+    skew = (F.col("major") - F.col("minor")) * F.abs(F.sin(2 * F.col("orientation"))) * (F.col("major") + F.col("minor")) / 2  # the covariance
+    out = out.withColumn("orientation", F.when((F.col("major") - F.col("minor") > 1e-3) & (skew > 1e-6), F.round("orientation", 4)))
+    out = out.withColumn("eccentricity", F.round(F.when(F.col("major") < 1e-5, 0.0).when(F.col("minor") < 1e-5, 1.0).otherwise(F.col("eccentricity")), 3))
     return _r(out.withColumn("minor", F.when(F.col("minor") < 1e-5, 0.0).otherwise(F.col("minor"))), cx=5, cy=5, major=4, minor=4)
 
 
@@ -164,6 +169,8 @@ def object_centres(spark, d):
     return masks.centres(views.boxes(spark, d), m).select(*KEYS, steady("cx"), steady("cy"))
 
 
-@register("mask_fingerprints")
+@register("mask_fingerprints", f"""WITH {views.PIXELS}, c AS (SELECT frame_idx, object_id, x, y, y - row_number() OVER (PARTITION BY frame_idx, object_id, x ORDER BY y) AS island FROM pixels),
+r AS (SELECT frame_idx, object_id, x, min(y) AS y0, count(*) AS len FROM c GROUP BY frame_idx, object_id, x, island), t AS (SELECT frame_idx, object_id, lpad(CAST(x AS VARCHAR), 6, '0') || ':' || lpad(CAST(y0 AS VARCHAR), 6, '0') || ':' || len AS t FROM r)
+SELECT frame_idx, object_id, substr(sha256(string_agg(t, ',' ORDER BY t)), 1, 16) AS fingerprint FROM t GROUP BY 1, 2""")
 def mask_fingerprints(spark, d):
     return masks.fingerprint(_runs(spark, d))

@@ -48,19 +48,20 @@ def mann_whitney(spark, d):
 
 
 @register("mann_whitney_ties", f"""WITH {views.LABELLED}, t AS (SELECT batch AS feature, CASE WHEN side = 0 THEN 'g0' ELSE 'g1' END AS side, floor(value / 500) AS value FROM labelled){RANKED}
-SELECT feature, n_a, n_b, u, round(z, 6) AS z FROM q WHERE n_a > 0 AND n_b > 0""")
+SELECT feature, n_a, n_b, u, round(z, 6) AS z, round(least(1, {_erfc("z / sqrt(2)")}), 6) AS p FROM q WHERE n_a > 0 AND n_b > 0""")
 def mann_whitney_ties(spark, d):
     t = views.labelled(spark, d).select(F.col("batch").alias("feature"), F.when(F.col("side") == 0, "g0").otherwise("g1").alias("side"), F.floor(F.col("value") / 500).alias("value"))
-    return _r(stats.mann_whitney(t, ["feature"], "value", "side", "g0", "g1").drop("p"), z=6)
+    return _r(stats.mann_whitney(t, ["feature"], "value", "side", "g0", "g1", exact=0), z=6, p=6)
 
 
 @register("signed_rank", f"""WITH {views.FEATURES}, t AS (SELECT batch, round(f0 - f1, 2) AS d FROM features), k AS (SELECT * FROM t WHERE d <> 0),
 r AS (SELECT batch, d, rank() OVER (PARTITION BY batch ORDER BY abs(d)) + (count(*) OVER (PARTITION BY batch, abs(d)) - 1) / 2 AS rank, count(*) OVER (PARTITION BY batch, abs(d)) AS ties FROM k),
 s AS (SELECT batch, count(*) AS n, sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS plus, sum(ties * ties - 1.0) AS tie FROM r GROUP BY 1 HAVING count(*) >= 3)
-SELECT batch, n, least(plus, n * (n + 1) / 2 - plus) AS w, round(abs(plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z FROM s""")
+SELECT batch, n, least(plus, n * (n + 1) / 2 - plus) AS w, round(abs(plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z,
+round(least(1, {_erfc("abs(plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) / sqrt(2)")}), 6) AS p FROM s""")
 def signed_rank(spark, d):
     t = views.features(spark, d).select("batch", F.round(F.col("f0") - F.col("f1"), 2).alias("x"), F.lit(0.0).alias("y"))
-    return _r(stats.signed_rank(t, ["batch"], "x", "y").drop("p"), z=6)
+    return _r(stats.signed_rank(t, ["batch"], "x", "y", exact=0), z=6, p=6)
 
 
 @register("fisher", f"""WITH {views.ETHOGRAM}, c AS (SELECT cluster, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS c, max(ta) AS ta, max(tc) AS tc FROM (SELECT cluster, "group" = 'g0' AS g, count(*) FILTER ("group" = 'g0') OVER () AS ta, count(*) FILTER ("group" <> 'g0') OVER () AS tc FROM ethogram) GROUP BY 1),
@@ -204,7 +205,8 @@ def pca(spark, d):
     return _r(batch.pca(views.features(spark, d), ["vec_id"], COLUMNS), pc1=4, pc2=4)
 
 
-@register("stratified_sample")
+@register("stratified_sample", f"""WITH {views.FEATURES}, r AS (SELECT vec_id, batch, md5(CAST(vec_id AS VARCHAR) || ':42') AS mark, row_number() OVER (PARTITION BY batch ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) AS r FROM features)
+SELECT vec_id, batch FROM r WHERE r <= greatest(2, 200 // (SELECT count(DISTINCT batch) FROM features)) ORDER BY mark, vec_id LIMIT 200""")
 def stratified_sample(spark, d):
     return batch.stratified(views.features(spark, d), "vec_id", "batch", 200).select("vec_id", "batch")
 

@@ -39,16 +39,15 @@ class Deltas(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.last.get() if self.last.exists() else None
-        for part in rows:
-            out = []
-            for r in part.sort_values("frame_idx").itertuples():
-                x, y = float(r.cx), float(r.cy)
-                if at is not None and self.largest is not None and (d := ((x - at[0]) ** 2 + (y - at[1]) ** 2) ** 0.5) > self.largest:
-                    x, y = at[0] + (x - at[0]) * self.largest / d, at[1] + (y - at[1]) * self.largest / d
-                out.append((*key, r.frame_idx, x, y, None if at is None else ((x - at[0]) ** 2 + (y - at[1]) ** 2) ** 0.5))
-                at = (x, y)
-            if out:
-                yield pd.DataFrame(out, columns=["video_id", "object_id", "frame_idx", "x", "y", "step"])
+        # A track's rows of one batch come in several frames of data, in no order.
+        out = []
+        for r in pd.concat(rows).sort_values("frame_idx").itertuples():
+            x, y = float(r.cx), float(r.cy)
+            if at is not None and self.largest is not None and (d := ((x - at[0]) ** 2 + (y - at[1]) ** 2) ** 0.5) > self.largest:
+                x, y = at[0] + (x - at[0]) * self.largest / d, at[1] + (y - at[1]) * self.largest / d
+            out.append((*key, r.frame_idx, x, y, None if at is None else ((x - at[0]) ** 2 + (y - at[1]) ** 2) ** 0.5))
+            at = (x, y)
+        yield pd.DataFrame(out, columns=["video_id", "object_id", "frame_idx", "x", "y", "step"])
         if at is not None:
             self.last.update(at)
 
@@ -73,11 +72,10 @@ class Transitions(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.last.get()[0] if self.last.exists() else None
         changed: dict[tuple[str, str], int] = {}
-        for part in rows:
-            for label in part.sort_values("start_frame")["cluster"]:
-                if at is not None:
-                    changed[at, label] = changed.get((at, label), 0) + 1
-                at = label
+        for label in pd.concat(rows).sort_values("start_frame")["cluster"]:
+            if at is not None:
+                changed[at, label] = changed.get((at, label), 0) + 1
+            at = label
         out = []
         for pair, n in changed.items():
             n += self.counts.getValue(pair)[0] if self.counts.containsKey(pair) else 0

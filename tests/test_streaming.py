@@ -26,3 +26,17 @@ def test_transition_counts_grow(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     got = {(r.from_label, r.to_label): r.n for r in run(spark, live.transitions(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path / "c", "update")}
     assert got == {("A", "A"): 1, ("A", "B"): 1, ("B", "A"): 1}
+
+
+def test_rows_of_a_batch_are_taken_in_the_order_of_frames(spark, tmp_path):
+    """Also where a track's rows reach Python in several chunks."""
+    schema = "video_id long, object_id string, frame_idx long, cx double, cy double"
+    rows = [(1, "a", i, float(i), 0.0) for i in (7, 2, 9, 0, 5, 1, 8, 3, 6, 4)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = run(spark, live.deltas(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path / "c")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.frame_idx, r.step) for r in got if r.step is not None) == [(i, 1.0) for i in range(1, 10)]
