@@ -220,3 +220,41 @@ def fingerprint(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """16 hex digits of the SHA-256 of each mask's runs in order."""
     text = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.lpad("x", 6, "0"), F.lpad("y0", 6, "0"), "len"))), ",")  # of one mask
     return runs.groupBy(*keys).agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+
+
+def runs_of(pixels_: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Distinct pixels x, y as disjoint runs of columns."""
+    island = F.col("y") - F.row_number().over(W.partitionBy(*keys, "x").orderBy("y"))
+    return pixels_.withColumn("_i", island).groupBy(*keys, "x", "_i").agg(F.min("y").alias("y0"), F.count(F.lit(1)).alias("len")).drop("_i")
+
+
+#: Where a mask of two expected animals is likely bedding, and where the water port (fixed values).
+BEDDING_GAP, WATER_PORT = (0.42, 0.56), 0.74
+
+
+def frame_checks(found: DataFrame, expected: DataFrame, near: float = 0.08, frame: str = "frame_idx", obj: str = "object_id") -> DataFrame:
+    """One row for each frame and expected object: ok, and the reasons against it, joined by commas.
+
+    found: frame, object, ok, reason, area, box x, y, w, h; expected: object, side (left, right or null, by its name), the same for all frames. An object
+    without a row is missing. Two centres within `near` on both axes are one place. With two expected objects or more a centre in the bedding gap or
+    beyond the water port is doubtful, and so are the first left and the first right object (by their keys) if the left one is further right.
+    """
+    spine = found.select(frame).distinct().join(expected.select(obj, "side"))  # expected objects are few
+    rows = spine.join(found, [frame, obj], "left")
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    rows = rows.withColumn("_cx", F.when(F.coalesce("area", F.lit(0)) > 0, cx)).withColumn("_cy", F.when(F.coalesce("area", F.lit(0)) > 0, cy))
+    pairs = same_place(found.where("area > 0 AND x IS NOT NULL"), near, frame, obj)
+    shared = pairs.select(frame, F.explode(F.array("a", "b")).alias(obj)).distinct().withColumn("_shared", F.lit(True))
+    w = W.partitionBy(frame)
+    first = lambda s: F.min(F.when((F.col("side") == s) & F.col("_cx").isNotNull(), F.struct(obj, "_cx"))).over(w)
+    rows = rows.join(shared, [frame, obj], "left").withColumn("_l", first("left")).withColumn("_r", first("right")).withColumn("_many", F.count(F.lit(1)).over(w) >= 2)
+    swapped = (F.col("_l._cx") > F.col("_r._cx")) & ((F.col(obj) == F.col(f"_l.{obj}")) | (F.col(obj) == F.col(f"_r.{obj}")))
+    missing = F.col("ok").isNull()
+    rules = [
+        (missing, "missing_mask"), (F.col("_shared"), "same_location_as_other_object"), (F.col("_many") & F.col("_cx").between(*BEDDING_GAP), "likely_bedding"),
+        (F.col("_many") & (F.col("_cx") >= WATER_PORT), "likely_water_port"), (F.col("_many") & swapped, "identity_swap"),
+    ]
+    own = F.when(~missing & (F.coalesce("reason", F.lit("ok")) != "ok") & (F.col("reason") != ""), F.col("reason"))
+    said = F.concat_ws(",", own, *[F.when(rule, name) for rule, name in rules])
+    bad = sum((F.coalesce(rule, F.lit(False)).cast("int") for rule, _ in rules[1:]), F.coalesce(rules[0][0], F.lit(False)).cast("int"))
+    return rows.select(frame, obj, (F.coalesce("ok", F.lit(False)) & (bad == 0)).alias("ok"), F.when(said == "", "ok").otherwise(said).alias("reason"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -110,3 +111,71 @@ def blended(x: Column, y: Column, h: Sequence[Column], corners: Sequence[tuple[C
     a = affine_of_corners(corners, side)
     near = lambda p, q: F.when(weight > 0, weight * p).otherwise(0.0) + (1 - weight) * q
     return near(px, a[0] * x + a[1] * y + a[2]), near(py, a[3] * x + a[4] * y + a[5])
+
+
+def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Sequence[str] = ("frame_idx", "object_id")) -> DataFrame:
+    """Masks through a homography of nine columns onto a canvas, by nearest neighbour, as disjoint runs.
+
+    Of each mask the canvas pixels in the box of its warped corners are taken back through the inverse and rounded; those that fall on one of its runs are set.
+    """
+    from driftmark.operators.masks import runs_of
+
+    box = runs.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y0").alias("_y0"), F.max(F.col("y0") + F.col("len") - 1).alias("_y1"))
+    ends = [project(x, y, h) for x in (F.col("x0") - 1.0, F.col("x1") + 1.0) for y in (F.col("_y0") - 1.0, F.col("_y1") + 1.0)]
+    low = lambda i: F.greatest(F.lit(0), F.floor(F.least(*[e[i] for e in ends])))
+    high = lambda i, n: F.least(F.lit(n - 1), F.ceil(F.greatest(*[e[i] for e in ends])))
+    spans = box.select(*keys, low(0).cast("long").alias("a"), high(0, width).cast("long").alias("b"), low(1).cast("long").alias("c"), high(1, height).cast("long").alias("d")).where("a <= b AND c <= d")
+    pixels = spans.select(*keys, F.explode(F.sequence("a", "b")).alias("px"), "c", "d").select(*keys, "px", F.explode(F.sequence("c", "d")).alias("py"))
+    cross = lambda i, j, k, m: h[i] * h[m] - h[j] * h[k]
+    inverse = [cross(4, 5, 7, 8), cross(2, 1, 8, 7), cross(1, 2, 4, 5), cross(5, 3, 8, 6), cross(0, 2, 6, 8), cross(2, 0, 5, 3), cross(3, 4, 6, 7), cross(1, 0, 7, 6), cross(0, 1, 3, 4)]  # up to a factor
+    sx, sy = project(F.col("px").cast("double"), F.col("py").cast("double"), inverse)
+    back = pixels.select(*keys, "px", "py", F.rint(sx).cast("long").alias("x"), F.rint(sy).cast("long").alias("sy"))
+    hit = back.join(runs, [*keys, "x"]).where("sy >= y0 AND sy < y0 + len")
+    return runs_of(hit.select(*keys, F.col("px").alias("x"), F.col("py").alias("y")), keys)
+
+
+def regular_poses(tracks: DataFrame, reference: DataFrame, strength: float = 0.9, scale_step: float = 0.025, turn_step: float = math.radians(20), video: str = "video_id") -> DataFrame:
+    """Tracked landmarks drawn towards their object's reference shape, moved, turned and scaled to fit.
+
+    tracks: video, object_id, part_id, frame_idx, x, y (null: not tracked), visible; reference: object_id, part_id, x, y. A frame's shape is fitted to the landmarks that
+    are tracked. Scale and turn follow the fit by `scale_step` and `turn_step` at most from frame to frame; where the landmarks have collapsed the turn goes
+    on as before. Visible landmarks become `strength` of the fitted shape, others the shape itself. Objects of one landmark are left as they are.
+    A track depends on its frames' order, so each one is gone through in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_idx", "part_id"])
+        if pdf["part_id"].nunique() < 2:
+            return pdf[["video_id", "object_id", "part_id", "frame_idx", "x", "y"]]
+        scale, angle, speed, out = 1.0, 0.0, 0.0, []
+        for _, rows in pdf.groupby("frame_idx", sort=True):
+            at = rows["x"].to_numpy(float) + 1j * rows["y"].to_numpy(float)
+            shape = rows["rx"].to_numpy(float) + 1j * rows["ry"].to_numpy(float)
+            seen = np.isfinite(at)
+            middle = shape[seen].mean() if seen.sum() >= 2 else shape.mean()
+            centre = at[seen].mean() if seen.any() else middle
+            fit, turn = scale, angle
+            if seen.sum() >= 2:
+                s, z = shape[seen] - middle, at[seen] - centre
+                straight = (np.conj(s) * z).sum()
+                fit, turn = max(abs(straight), abs((s * z).sum())) / max((abs(s) ** 2).sum(), 1e-8), np.angle(straight)
+            if fit >= max(0.55, 0.65 * scale):
+                step = np.clip((turn - angle + np.pi) % (2 * np.pi) - np.pi, -turn_step, turn_step)
+                speed = 0.75 * speed + 0.25 * step
+            else:
+                step = np.clip(speed, -turn_step, turn_step)
+            scale = float(np.clip(fit, max(0.75, scale * (1 - scale_step)), min(2.0, scale * (1 + scale_step))))
+            angle += step
+            fitted = centre + scale * np.exp(1j * angle) * (shape - middle)
+            share = np.where(rows["visible"].to_numpy(bool) & seen, strength, 1.0)
+            new = (1 - share) * np.where(seen, at, 0) + share * fitted
+            out.append(rows.assign(x=new.real, y=new.imag)[["video_id", "object_id", "part_id", "frame_idx", "x", "y"]])
+        return pd.concat(out)
+
+    shapes = reference.select("object_id", "part_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    rows = tracks.select(F.col(video).alias("video_id"), "object_id", "part_id", "frame_idx", "x", "y", F.coalesce("visible", F.lit(False)).alias("visible")).join(shapes, ["object_id", "part_id"])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("video_id", "object_id", "part_id", "frame_idx")) + ", x double, y double"
+    return rows.groupBy("video_id", "object_id").applyInPandas(walk, schema).withColumnRenamed("video_id", video)

@@ -112,11 +112,11 @@ def video_summary(frames: DataFrame, rows: DataFrame, fps: float, video: str = "
     return out.withColumn("saves_per_s", ratio(F.col("frames"), F.col("save_s"))).withColumn("realtime_factor", ratio(F.col("save_s"), F.col("frames") / fps))
 
 
-def gap_groups(rows: DataFrame, gap: str, duration: str, near: float = 0.02) -> DataFrame:
+def gap_groups(rows: DataFrame, gap: str, duration: str, near: float = 0.02, keys: Sequence[str] = ()) -> DataFrame:
     """Durations by how near two boxes are: touching or apart, near or far; a gap of exactly the border is neither near nor far."""
     g = F.col(gap)
     named = F.array_compact(F.array(F.when(g <= 1e-12, "touching"), F.when(g > 1e-12, "apart"), F.when(g < near, "near"), F.when(g > near, "far")))
-    return rows.where(g.isNotNull() & F.col(duration).isNotNull()).select(F.explode(named).alias("gap_group"), duration)
+    return rows.where(g.isNotNull() & F.col(duration).isNotNull()).select(*keys, F.explode(named).alias("gap_group"), duration)
 
 
 def merge_summaries(base: DataFrame, again: DataFrame, key: str) -> DataFrame:
@@ -168,3 +168,63 @@ def split_frames(frames: DataFrame, keys: Sequence[str], train: float, gap: int)
     place, n = F.row_number().over(w.orderBy("frame_idx")) - 1, F.count(F.lit(1)).over(w)
     edge = F.floor(n * train)
     return frames.withColumn("split", F.when(place < edge, "train").when(place < edge + gap, "gap").otherwise("eval"))
+
+
+GAP_GROUPS = ("touching", "apart", "near", "far")
+
+
+def _quartiles(name: str, value: str) -> list[Column]:
+    return [F.percentile(value, p).alias(f"{name}_{q}") for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+
+
+def video_metrics(videos: DataFrame, frames: DataFrame, anchors: DataFrame, prompts: DataFrame, rows: DataFrame, video: str = "video_id") -> DataFrame:
+    """All metrics of each video, a row for each: length, coverage, anchors, prompts, labelling times, gaps between boxes, saving and its bursts.
+
+    videos: video, num_frames, fps; frames (saved): video, frame_idx, updated_at; anchors: video, frame_idx; prompts: video, frame_idx, points (a number); rows (labelled
+    anchors): video, duration_s, gap, centre. What a source doesn't have is 0 if it is a count, else null; so is a quotient by 0.
+    """
+    from driftmark.operators import stats
+
+    saved = frames.groupBy(video).agg(F.countDistinct("frame_idx").alias("saved"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.min("updated_at").alias("first_update"), F.max("updated_at").alias("last_update"), ((micros(F.max("updated_at")) - micros(F.min("updated_at"))) / 1_000_000).alias("elapsed_s"))
+    bursts = throughput(frames.withColumn("bytes", F.lit(0)), video).where("fps IS NOT NULL").select(video, "fps")
+    quart = bursts.groupBy(video).agg(*_quartiles("burst_fps", "fps"))
+    reach = 1.5 * (F.col("burst_fps_q75") - F.col("burst_fps_q25"))
+    odd = bursts.join(quart, video).groupBy(video).agg(F.count_if((F.col("fps") < F.col("burst_fps_q25") - reach) | (F.col("fps") > F.col("burst_fps_q75") + reach)).alias("burst_outliers"))
+    marks = anchors.select(video, "frame_idx").distinct()
+    own = marks.groupBy(video).agg(F.count(F.lit(1)).alias("anchors"))
+    asked = prompts.groupBy(video).agg(F.countDistinct("frame_idx").alias("prompted_frames"), F.sum("points").cast("long").alias("prompts"))
+    timed = rows.groupBy(video).agg(
+        F.count("duration_s").alias("timed"), F.sum("duration_s").alias("label_s"), *_quartiles("label", "duration_s"), F.avg("duration_s").alias("label_mean"), F.max("duration_s").alias("label_max"),
+        F.count("gap").alias("gaps"), *_quartiles("gap", "gap"), F.percentile("centre", 0.5).alias("centre_median"),
+    )
+    rank = lambda c, n: stats.spearman(rows, [video], "duration_s", c).where("n >= 2").select(video, F.col("rho").alias(n))
+    grouped = gap_groups(rows, "gap", "duration_s", keys=[video])
+    parts = stats.summary(grouped, [video, "gap_group"], "duration_s").groupBy(video).pivot("gap_group", list(GAP_GROUPS)).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.first("mean").alias("mean"), F.first("sd").alias("sd"))
+    out = videos
+    for part in (saved, quart, odd, own, anchor_interval(marks, video), asked, timed, rank("gap", "rho_gap"), rank("centre", "rho_centre"), parts):
+        out = out.join(part, video, "left")
+    zero = ["saved", "burst_outliers", "anchors", "prompted_frames", "prompts", "timed", "gaps", *[f"{g}_n" for g in GAP_GROUPS]]
+    out = out.na.fill(0, zero).withColumn("span", F.coalesce(F.col("last_frame") - F.col("first_frame") + 1, F.lit(0)))
+    c = F.col
+    return (
+        out.withColumn("video_s", ratio(c("num_frames"), c("fps"))).withColumn("coverage", ratio(c("saved"), c("num_frames"))).withColumn("span_coverage", ratio(c("saved"), c("span")))
+        .withColumn("frames_per_anchor", ratio(c("num_frames"), c("anchors"))).withColumn("saved_per_anchor", ratio(c("saved"), c("anchors"))).withColumn("anchor_share", ratio(c("anchors"), c("num_frames")))
+        .withColumn("saves_per_s", ratio(c("saved"), c("elapsed_s"))).withColumn("realtime_factor", ratio(c("saves_per_s"), c("fps"))).withColumn("s_per_video_s", ratio(F.nullif(c("elapsed_s"), F.lit(0.0)), c("span") / c("fps")))
+    )
+
+
+#: The metrics that are summarised across videos.
+ACROSS = (
+    "num_frames", "saved", "anchors", "frames_per_anchor", "saved_per_anchor", "coverage", "label_median", "gap_median", "centre_median", "rho_gap", "rho_centre", "touching_median", "apart_median",
+    "near_median", "far_median", "saves_per_s", "burst_fps_q25", "burst_fps_median", "burst_fps_q75", "s_per_video_s",
+)
+
+
+def across_videos(metrics: DataFrame, pooled: dict[str, DataFrame], video: str = "video_id") -> DataFrame:
+    """Summaries of the metrics across videos, and of pooled values (one column each) under their names: metric, n, mean, sd, quartiles, min, max."""
+    from driftmark.operators import stats
+
+    long = metrics.select(video, *[F.col(m).cast("double").alias(m) for m in ACROSS]).unpivot([video], list(ACROSS), "metric", "value").select("metric", "value")
+    for name, values in pooled.items():
+        long = long.unionByName(values.select(F.lit(name).alias("metric"), F.col(values.columns[0]).cast("double").alias("value")))
+    return stats.summary(long, ["metric"], "value")

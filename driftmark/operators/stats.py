@@ -78,12 +78,16 @@ def two_by_two(table: DataFrame, keys: Sequence[str], first: Column, second: Col
     return table.groupBy(*keys).agg(count(first, second).alias("a"), count(first, ~second).alias("b"), count(~first, second).alias("c"), count(~first, ~second).alias("d"))
 
 
-def enrichment(table: DataFrame, keys: Sequence[str], value: str, side: str, first: object, second: object) -> DataFrame:
-    """Cohen's d (pooled, 0 where the spread is), log2 fold change of shifted means, direction, and the odds ratio of being above the median of all rows with Fisher's p."""
+def enrichment(table: DataFrame, keys: Sequence[str], value: str, side: str, first: object, second: object, medians: DataFrame | None = None) -> DataFrame:
+    """Cohen's d (pooled, 0 where the spread is), log2 fold change of shifted means, direction, and the odds ratio of being above the median of all rows with Fisher's p.
+
+    The medians are those of the table's keys, or given by some of the keys.
+    """
     both = table.where(F.col(value).isNotNull())
-    mid = both.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
+    mid = medians if medians is not None else both.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
     is_a, is_b = F.col(side) == F.lit(first), F.col(side) == F.lit(second)
-    joined = both.join(mid, list(keys)) if keys else both.crossJoin(mid)
+    on = [k for k in keys if k in mid.columns]
+    joined = both.join(mid, on) if on else both.crossJoin(mid)
     v = F.col(value)
     up = v > F.col("median")
     count = lambda x: F.count_if(x)

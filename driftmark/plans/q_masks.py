@@ -174,3 +174,33 @@ r AS (SELECT frame_idx, object_id, x, min(y) AS y0, count(*) AS len FROM c GROUP
 SELECT frame_idx, object_id, substr(sha256(string_agg(t, ',' ORDER BY t)), 1, 16) AS fingerprint FROM t GROUP BY 1, 2""")
 def mask_fingerprints(spark, d):
     return masks.fingerprint(_runs(spark, d))
+
+
+@register("truth_matches", f"""WITH {views.PIXELS}, n AS (SELECT frame_idx, object_id, count(*) AS n FROM pixels GROUP BY 1, 2), o AS (SELECT p.frame_idx, p.object_id AS a, q.object_id AS b, count(*) AS overlap FROM pixels p JOIN pixels q ON p.frame_idx = q.frame_idx AND p.x = q.x AND p.y = q.y AND p.object_id < q.object_id GROUP BY 1, 2, 3),
+s AS (SELECT o.frame_idx, b, overlap / (x.n + y.n - overlap) AS iou, overlap / x.n AS prec FROM o JOIN n x ON o.frame_idx = x.frame_idx AND x.object_id = a JOIN n y ON o.frame_idx = y.frame_idx AND y.object_id = b) SELECT frame_idx, b, round(iou, 6) AS iou, round(prec, 6) AS "precision", iou >= 0.25 AND prec >= 0.35 AS ok FROM s""")
+def truth_matches(spark, d):
+    return r6(masks.best_match(masks.similarity(_runs(spark, d)), "frame_idx", "b"))
+
+
+@register("frame_checks", f"""WITH {views.BOXES}, e AS (SELECT * FROM (VALUES ('1', 'left'), ('2', 'right'), ('3', NULL)) AS t(object_id, side)), f AS (SELECT frame_idx, object_id, x, y, w, h, x + w / 2 AS cx, y + h / 2 AS cy FROM boxes),
+s AS (SELECT DISTINCT p.frame_idx, unnest([p.object_id, q.object_id]) AS object_id FROM f p JOIN f q ON p.frame_idx = q.frame_idx AND p.object_id < q.object_id AND abs(p.cx - q.cx) < 0.0799 AND abs(p.cy - q.cy) < 0.0799),
+r AS (SELECT k.frame_idx, e.object_id, e.side, cx, s.object_id IS NOT NULL AS shared FROM (SELECT DISTINCT frame_idx FROM f) k CROSS JOIN e LEFT JOIN f ON f.frame_idx = k.frame_idx AND f.object_id = e.object_id LEFT JOIN s ON s.frame_idx = k.frame_idx AND s.object_id = e.object_id),
+w AS (SELECT *, max(CASE WHEN side = 'left' THEN cx END) OVER p > max(CASE WHEN side = 'right' THEN cx END) OVER p AS swapped FROM r WINDOW p AS (PARTITION BY frame_idx)),
+t AS (SELECT frame_idx, object_id, concat_ws(',', CASE WHEN cx IS NULL THEN 'missing_mask' END, CASE WHEN shared THEN 'same_location_as_other_object' END, CASE WHEN cx BETWEEN 0.42 AND 0.56 THEN 'likely_bedding' END, CASE WHEN cx >= 0.74 THEN 'likely_water_port' END, CASE WHEN swapped AND side IS NOT NULL THEN 'identity_swap' END) AS said FROM w)
+SELECT frame_idx, object_id, said = '' AS ok, CASE WHEN said = '' THEN 'ok' ELSE said END AS reason FROM t""")
+def frame_checks(spark, d):
+    found = views.boxes(spark, d).select("*", F.lit(True).alias("ok"), F.lit("ok").alias("reason"), F.lit(100).alias("area"))
+    expected = spark.createDataFrame([("1", "left"), ("2", "right"), ("3", None)], "object_id string, side string")
+    return masks.frame_checks(found, expected, 0.0799)
+
+
+@register("warped_masks", f"""WITH {views.PIXELS}, b AS (SELECT frame_idx, object_id, min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM pixels GROUP BY 1, 2),
+g AS (SELECT frame_idx, object_id, px, unnest(range(CAST(greatest(0, floor(0.1 * x0 + 1.2 * y0 + 2)) AS BIGINT), CAST(least(79, ceil(0.1 * x1 + 1.2 * y1 + 2)) AS BIGINT) + 1)) AS py FROM (SELECT *, unnest(range(CAST(greatest(0, floor(1.5 * x0 + 0.2 * y0 + 3)) AS BIGINT), CAST(least(79, ceil(1.5 * x1 + 0.2 * y1 + 3)) AS BIGINT) + 1)) AS px FROM b)),
+i AS (SELECT *, CAST(round((1.2 * (px - 3) - 0.2 * (py - 2)) / 1.78) AS BIGINT) AS x, CAST(round((1.5 * (py - 2) - 0.1 * (px - 3)) / 1.78) AS BIGINT) AS y FROM g),
+h AS (SELECT i.* FROM i JOIN pixels p ON p.frame_idx = i.frame_idx AND p.object_id = i.object_id AND p.x = i.x AND p.y = i.y) SELECT frame_idx, object_id, count(*) AS area, CAST(sum(px * 131 + py) AS BIGINT) AS mark FROM h GROUP BY 1, 2""")
+def warped_masks(spark, d):
+    from driftmark.operators import registration
+
+    h = [F.lit(float(v)) for v in (1.5, 0.2, 3, 0.1, 1.2, 2, 0, 0, 1)]
+    out = masks.pixels(registration.warp(_runs(spark, d), h, 80, 80))
+    return out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("area"), F.sum(F.col("x") * 131 + F.col("y")).alias("mark"))

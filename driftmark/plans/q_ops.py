@@ -210,3 +210,62 @@ def object_counts(spark, d):
     spine = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame_idx"))
     counts = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame_idx")).agg(F.countDistinct("l_linenumber").alias("objects"))
     return spine.join(counts, "frame_idx", "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
+
+
+ROWS = LABEL + """,
+lr AS (SELECT l.video_id, l.frame_idx, l.order_id, duration_s, CASE WHEN order_id % 9 > 0 THEN (order_id % 50) / 1000 END AS gap, CASE WHEN order_id % 9 > 0 THEN (order_id % 50) / 1000 + (order_id % 7) / 100 END AS centre FROM l)"""
+USER_SAVES = "saves AS (SELECT user_id AS video_id, date_trunc('hour', ts) AS updated_at, event_id AS frame_idx FROM events)"
+
+
+def _metrics(spark, d):
+    videos = views.table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), (F.lit(4000) + F.col("c_custkey") % 50).alias("num_frames"), F.lit(30.0).alias("fps"))
+    saves = views.table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.date_trunc("hour", "ts").alias("updated_at"), F.col("event_id").alias("frame_idx"))
+    rows = report.labelling_rows(_t(spark, d), tie=["order_id"])
+    gap = F.when(F.col("order_id") % 9 > 0, (F.col("order_id") % 50) / 1000)
+    rows = rows.select("video_id", "duration_s", gap.alias("gap"), (gap + (F.col("order_id") % 7) / 100).alias("centre"))
+    prompts = _t(spark, d).select("video_id", "frame_idx", (1 + F.col("frame_idx") % 3).alias("points"))
+    return report.video_metrics(videos, saves, _anchors(spark, d), prompts, rows), rows, saves
+
+
+def _parts(group: str, rule: str) -> str:
+    return ", ".join((f"count(*) FILTER ({rule}) AS {group}_n", f"median(duration_s) FILTER ({rule}) AS {group}_median", f"avg(duration_s) FILTER ({rule}) AS {group}_mean", f"CASE WHEN count(*) FILTER ({rule}) = 1 THEN 0 ELSE stddev_samp(duration_s) FILTER ({rule}) END AS {group}_sd"))
+
+
+RULES = (("touching", "gap <= 1e-12"), ("apart", "gap > 1e-12"), ("near", "gap < 0.02"), ("far", "gap > 0.02"))
+RANK = lambda c, n: f"(SELECT video_id, CASE WHEN count(*) >= 2 THEN corr(a, b) END AS {n} FROM (SELECT video_id, rank() OVER (PARTITION BY video_id ORDER BY duration_s) + (count(*) OVER (PARTITION BY video_id, duration_s) - 1) / 2 AS a, rank() OVER (PARTITION BY video_id ORDER BY {c}) + (count(*) OVER (PARTITION BY video_id, {c}) - 1) / 2 AS b FROM lr WHERE duration_s IS NOT NULL AND {c} IS NOT NULL) GROUP BY 1)"
+METRICS = f"""{USER_SAVES}, {ROWS.strip()},
+v AS (SELECT c_custkey AS video_id, 4000 + c_custkey % 50 AS num_frames, 30.0::DOUBLE AS fps FROM customer),
+sv AS (SELECT video_id, count(DISTINCT frame_idx) AS saved, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, min(updated_at) AS first_update, max(updated_at) AS last_update, CAST(epoch(max(updated_at)) - epoch(min(updated_at)) AS DOUBLE) AS elapsed_s FROM saves GROUP BY 1),
+bu AS (SELECT video_id, n / nullif(epoch(updated_at) - epoch(lag(updated_at) OVER (PARTITION BY video_id ORDER BY updated_at)), 0) AS f FROM (SELECT video_id, updated_at, count(*) AS n FROM saves GROUP BY ALL)),
+bq AS (SELECT video_id, quantile_cont(f, 0.25) AS burst_fps_q25, median(f) AS burst_fps_median, quantile_cont(f, 0.75) AS burst_fps_q75 FROM bu WHERE f IS NOT NULL GROUP BY 1),
+bo AS (SELECT bu.video_id, count(*) FILTER (f < burst_fps_q25 - 1.5 * (burst_fps_q75 - burst_fps_q25) OR f > burst_fps_q75 + 1.5 * (burst_fps_q75 - burst_fps_q25)) AS burst_outliers FROM bu JOIN bq ON bu.video_id = bq.video_id GROUP BY 1),
+an AS (SELECT DISTINCT video_id, frame_idx FROM timing), ac AS (SELECT video_id, count(*) AS anchors FROM an GROUP BY 1), ai AS (SELECT video_id, median(g) AS "interval" FROM (SELECT video_id, frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS g FROM an) WHERE g > 0 GROUP BY 1),
+pr AS (SELECT video_id, count(DISTINCT frame_idx) AS prompted_frames, CAST(sum(1 + frame_idx % 3) AS BIGINT) AS prompts FROM timing GROUP BY 1),
+ti AS (SELECT video_id, count(duration_s) AS timed, sum(duration_s) AS label_s, quantile_cont(duration_s, 0.25) AS label_q25, median(duration_s) AS label_median, quantile_cont(duration_s, 0.75) AS label_q75, avg(duration_s) AS label_mean, max(duration_s) AS label_max,
+    count(gap) AS gaps, quantile_cont(gap, 0.25) AS gap_q25, median(gap) AS gap_median, quantile_cont(gap, 0.75) AS gap_q75, median(centre) AS centre_median FROM lr GROUP BY 1),
+gg AS (SELECT video_id, {", ".join(_parts(*r) for r in RULES)} FROM lr WHERE gap IS NOT NULL AND duration_s IS NOT NULL GROUP BY 1),
+mt AS (SELECT v.*, coalesce(saved, 0) AS saved, first_frame, last_frame, first_update, last_update, elapsed_s, burst_fps_q25, burst_fps_median, burst_fps_q75, coalesce(burst_outliers, 0) AS burst_outliers, coalesce(anchors, 0) AS anchors, "interval", coalesce(prompted_frames, 0) AS prompted_frames, coalesce(prompts, 0) AS prompts,
+    coalesce(timed, 0) AS timed, label_s, label_q25, label_median, label_q75, label_mean, label_max, coalesce(gaps, 0) AS gaps, gap_q25, gap_median, gap_q75, centre_median, rho_gap, rho_centre,
+    {", ".join(f"coalesce({g}_n, 0) AS {g}_n, {g}_median, {g}_mean, {g}_sd" for g, _ in RULES)}, coalesce(last_frame - first_frame + 1, 0) AS span, num_frames / fps AS video_s, coalesce(saved, 0) / num_frames AS coverage, coalesce(saved, 0) / nullif(coalesce(last_frame - first_frame + 1, 0), 0) AS span_coverage,
+    num_frames / nullif(coalesce(anchors, 0), 0) AS frames_per_anchor, coalesce(saved, 0) / nullif(coalesce(anchors, 0), 0) AS saved_per_anchor, coalesce(anchors, 0) / num_frames AS anchor_share, saved / nullif(elapsed_s, 0) AS saves_per_s, saved / nullif(elapsed_s, 0) / fps AS realtime_factor,
+    nullif(elapsed_s, 0) / ((last_frame - first_frame + 1) / fps) AS s_per_video_s
+    FROM v LEFT JOIN sv USING (video_id) LEFT JOIN bq USING (video_id) LEFT JOIN bo USING (video_id) LEFT JOIN ac USING (video_id) LEFT JOIN ai USING (video_id) LEFT JOIN pr USING (video_id) LEFT JOIN ti USING (video_id) LEFT JOIN {RANK("gap", "rho_gap")} USING (video_id) LEFT JOIN {RANK("centre", "rho_centre")} USING (video_id) LEFT JOIN gg USING (video_id))"""
+NUMBERS = [
+    "elapsed_s", "burst_fps_q25", "burst_fps_median", "burst_fps_q75", "interval", "label_s", "label_q25", "label_median", "label_q75", "label_mean", "label_max", "gap_q25", "gap_median", "gap_q75", "centre_median", "rho_gap", "rho_centre",
+    *[f"{g}_{c}" for g, _ in RULES for c in ("median", "mean", "sd")], "video_s", "coverage", "span_coverage", "frames_per_anchor", "saved_per_anchor", "anchor_share", "saves_per_s", "realtime_factor", "s_per_video_s",
+]
+
+
+@register("video_metrics", f"WITH {METRICS} SELECT * REPLACE (" + ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in NUMBERS) + ") FROM mt")
+def video_metrics(spark, d):
+    return r6(_metrics(spark, d)[0])
+
+
+SUMMARY_SQL = "count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS sd, round(quantile_cont(v, 0.25), 6) AS q25, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(min(v), 6) AS min, round(max(v), 6) AS max"
+
+
+@register("across_videos", f"WITH {METRICS}, x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM mt" for m in report.ACROSS) + f" UNION ALL SELECT 'pooled_label_s', duration_s FROM lr UNION ALL SELECT 'pooled_gap', gap FROM lr UNION ALL SELECT 'pooled_burst_fps', f FROM bu) SELECT metric, {SUMMARY_SQL} FROM x WHERE v IS NOT NULL GROUP BY 1")
+def across_videos(spark, d):
+    metrics, rows, saves = _metrics(spark, d)
+    bursts = report.throughput(saves.withColumn("bytes", F.lit(0)))
+    return r6(report.across_videos(metrics, {"pooled_label_s": rows.select("duration_s"), "pooled_gap": rows.select("gap"), "pooled_burst_fps": bursts.select("fps")}))
