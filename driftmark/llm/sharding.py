@@ -9,10 +9,12 @@ anywhere, fill what is left exactly. The rounds work on counts by group and shar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running
+from .common import Rounds, cut, running
 
 
 def _rooms(spark, quotas: list[int], placed: DataFrame) -> list[int]:
@@ -29,13 +31,14 @@ def _admit(wishes: DataFrame, rooms: list[int], chunks: int) -> DataFrame:
     return ranked.withColumn("taken", F.when((part == F.col("n")) | (F.col("n") > max(rooms)), part).otherwise(F.lit(0).cast("long"))).drop("_level", "_chunk", "_ahead")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 8, chunk_rows: int = 4096) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 8, chunk_rows: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not `key`).
 
     Counts of rows by shard differ by one at most. size is the text's UTF-8 bytes and 8; slots number a shard's rows
     without gaps in an order that the ids decide. Null texts equal each other, and differ from empty ones; text_crc32
     of null is 0. Rows of a null id and repeated rows are documents like others. An empty table gives an empty table.
-    Of docs only the id and the text are read, once.
+    Of docs only the id and the text are read, once. Rows are numbered in chunks of `chunk_rows` rows, or of more where chunks would
+    outnumber four times the root of the rows, so that neither a chunk nor the table of their sums grows with the rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -45,7 +48,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
     light = cut(light)
     total = light.count()
-    chunks = max(64, total // chunk_rows)
+    chunks = max(64, min(total // chunk_rows, 4 * math.isqrt(total)))
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     light = light.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks)))
     first = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).cast("int")
@@ -55,7 +58,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     # Round 0: each group moves to the shard that most of it begins in, if that has room for it.
     most = F.array_max(F.transform("at", lambda x: F.struct(x["n"].alias("n"), F.xxhash64("g", x["shard"]).alias("tie"), x["shard"].alias("shard"))))
     kept = _admit(groups.select("g", most["shard"].alias("shard"), F.col("total").alias("n")), quotas, chunks)
-    placed = cut(kept.select("g", "shard", F.col("taken").alias("n")).where("n > 0"))
+    turns, moves = Rounds(spark), Rounds(spark)
+    placed = turns.put(kept.select("g", "shard", F.col("taken").alias("n")).where("n > 0"))
     for _ in range(rounds):
         rooms = _rooms(spark, quotas, placed)
         have = placed.groupBy("g").agg(F.sum("n").alias("have"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by"))
@@ -67,10 +71,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if max(rooms) <= 0:
             break
         wishes = waiting.withColumn("shard", F.array_max(options)["shard"]).select("g", "shard", "n")
-        moved = cut(_admit(wishes, rooms, chunks).where("taken > 0").select("g", "shard", F.col("taken").alias("n")))
+        moved = moves.put(_admit(wishes, rooms, chunks).where("taken > 0").select("g", "shard", F.col("taken").alias("n")))
         if moved.isEmpty():
             break
-        placed = cut(placed.unionByName(moved).groupBy("g", "shard").agg(F.sum("n").alias("n")))
+        placed = turns.put(placed.unionByName(moved).groupBy("g", "shard").agg(F.sum("n").alias("n")))
 
     # What still waits, group by group, and then the documents without links fill the rooms in the order of the shards.
     rooms = _rooms(spark, quotas, placed)
@@ -97,3 +101,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     out = cut(linked.select(*columns).unionByName(single.select(*columns)))
     out = running(out, ["shard"], ["chunk"], [F.col("doc_id"), F.col("row")], F.lit(1), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_links(sharded: DataFrame) -> DataFrame:
+    """What a sharding cuts: links (pairs of rows of equal size and text_crc32) and how many of them lie in two shards. One row; 0 of 0 for an empty table."""
+    counts = sharded.groupBy("size", "text_crc32", "shard").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    groups = counts.groupBy("size", "text_crc32").agg(pairs(F.sum("n")).alias("links"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return groups.agg(F.coalesce(F.sum("links"), F.lit(0.0)).cast("long").alias("links"), F.coalesce(F.sum(F.col("links") - F.col("kept")), F.lit(0.0)).cast("long").alias("cut"))

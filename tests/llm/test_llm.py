@@ -300,6 +300,21 @@ def test_shards_are_even_and_keep_copies_together(spark, docs, rows, none):
     assert sum(len(s) == 1 for s in where.values()) >= 110
 
 
+def test_few_links_are_cut(spark, none):
+    """Within 5 % and 8 links of the least that any filling of the quotas cuts: groups that fit a shard stay whole, one beyond it fills whole shards first."""
+    for sizes, shards in (([5, 4, 4, 3, 3, 2, 2, 1], 4), ([30, 3, 3, 2, 2, 2, 2, 2, 2], 8), ([2] * 50 + [1] * 20, 6)):
+        rows = [(1000 * g + i, f"text of {g}") for g, n in enumerate(sizes) for i in range(n)]
+        out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards)
+        got = sharding.cut_links(out).first()
+        quota = len(rows) // shards
+        over = lambda n: n * (n - 1) // 2 - sum(k * (k - 1) // 2 for k in [quota] * (n // quota) + [n % quota])
+        least = sum(over(n) for n in sizes if n > quota)
+        by = Counter((r.doc_id // 1000, r.shard) for r in out.collect())
+        want = sum(n * (n - 1) // 2 for n in sizes) - sum(n * (n - 1) // 2 for n in by.values())
+        assert (got.links, got.cut) == (sum(n * (n - 1) // 2 for n in sizes), want) and got.cut <= 1.05 * least + 8
+    assert tuple(sharding.cut_links(sharding.shard(none)).first()) == (0, 0)
+
+
 def test_quality_learns_from_its_fold_only(spark, none):
     rng = np.random.default_rng(3)
     good = [" ".join(prose(i, 100)) for i in range(150)]
