@@ -232,11 +232,23 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
     def mixed(c: str, m: np.ndarray):
         return F.array(*[sum((item(c, i) * float(m[i, j]) for i in range(len(m))), F.lit(0.0)) for j in range(m.shape[1])])
 
-    def multiplied(df: DataFrame) -> DataFrame:
+    def multiplied(df: DataFrame, *kept: str) -> DataFrame:
         sums = [F.sum(F.col("weight") * item("v", i)).alias(f"s{i}") for i in range(size)]
         near = both.join(df.select(F.col("node").alias("dst"), "v"), "dst").groupBy("src").agg(*sums)
         half = F.array(*[(item("v", i) + F.col(f"s{i}") / F.col("k")) / 2 for i in range(size)])
-        return df.join(near, F.col("node") == F.col("src")).select("node", "k", "v", half.alias("w"))
+        return df.join(near, F.col("node") == F.col("src")).select("node", "k", "v", *kept, half.alias("w"))
+
+    def filtered(df: DataFrame, bound: float | None) -> DataFrame:
+        """Three multiplications: powers at first, then the Chebyshev polynomial that keeps eigenvalues up to bound small and lets those above grow."""
+        if bound is None:
+            for _ in range(3):
+                df = multiplied(df).select("node", "k", F.col("w").alias("v"))
+            return df
+        one = F.zip_with("w", "v", lambda w, v: w * (2 / bound) - v)
+        df = multiplied(df).select("node", "k", one.alias("v"), F.col("v").alias("p"))
+        for _ in range(2):
+            df = multiplied(df, "p").select("node", "k", F.zip_with(one, "p", lambda a, p: 2 * a - p).alias("v"), F.col("v").alias("p"))
+        return df.drop("p")
 
     def products(df: DataFrame) -> np.ndarray:
         """Sums of k v v', k v w' and k w w' and of k v, k: one row from each task."""
@@ -252,10 +264,9 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
 
         return np.sum([r.s for r in df.select("k", "v", "w").mapInPandas(part, "s array<double>").collect()], axis=0)
 
+    bound = None
     for _ in range(max(1, rounds // 4)):
-        for _ in range(3):
-            at = multiplied(at).select("node", "k", F.col("w").alias("v"))
-        both_ = cut(multiplied(cut(at)))
+        both_ = cut(multiplied(cut(filtered(at, bound))))
         sums = products(both_)
         vv, vw, ww = sums[: 3 * size * size].reshape(3, size, size)
         mean, all_ = sums[3 * size * size : -1], sums[-1]
@@ -266,6 +277,7 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
         ritz, turn = np.linalg.eigh(white.T @ ((vw + vw.T) / 2) @ white)
         best = white @ turn[:, ::-1]
         ritz = ritz[::-1]
+        bound = max(float(ritz[-1]), 0.05)
         wide = np.zeros((size, size))
         wide[:, : best.shape[1]] = best
         left = [best[:, i] @ (ww - ritz[i] * (vw + vw.T) + ritz[i] ** 2 * vv) @ best[:, i] for i in range(min(2, best.shape[1]))]
