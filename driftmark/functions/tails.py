@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,7 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(p) for x in range(max(0, row + col - n), min(row, col) + 1) if (p := log(x)) <= own))
 
 
+@lru_cache(maxsize=256)
 def rank_sum_counts(m: int, n: int) -> list[int]:
     """Number of ways in which m of m + n untied values give each U, from 0 to m * n."""
     ways = {(0, 0): [1]}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions import tails
 from driftmark.functions.scalars import finite
+from driftmark.operators import stats
 
 PAIR = Sequence[str]
 
@@ -18,8 +19,13 @@ PAIR = Sequence[str]
 def impute_median(table: DataFrame, columns: PAIR) -> DataFrame:
     """Missing and non-finite values of each column become its median; 0 where all are missing."""
     clean = table.select(*[c for c in table.columns if c not in columns], *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    medians = clean.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    return clean.select(*[c for c in table.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(float(medians[c] or 0))).alias(c) for c in columns])
+    medians = _quantiles(clean, columns, [0.5])
+    return clean.select(*[c for c in table.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(float(medians[c][0] if c in medians else 0))).alias(c) for c in columns])
+
+
+def _quantiles(table: DataFrame, columns: PAIR, shares: Sequence[float]) -> dict[str, list[float]]:
+    """Percentiles of each column that has values: a row for each column."""
+    return {r.feature: r["_q"] for r in stats.quantiles(long(table, [], columns), ["feature"], "value", shares).collect()}
 
 
 def _apply(table: DataFrame, columns: PAIR, how) -> DataFrame:
@@ -36,7 +42,8 @@ def zscore(table: DataFrame, columns: PAIR, ddof: int = 0) -> DataFrame:
 
 def robust(table: DataFrame, columns: PAIR) -> DataFrame:
     """Values less the median over the interquartile range."""
-    got = table.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    none = [0.0, 0.0, 0.0]
+    got = {c: none for c in columns} | _quantiles(table, columns, (0.25, 0.5, 0.75))
     return _apply(table, columns, lambda c: (F.col(c) - F.lit(got[c][1])) / F.lit(got[c][2] - got[c][0] if got[c][2] - got[c][0] >= 1e-12 else 1.0))
 
 

@@ -43,7 +43,7 @@ def feature_pairs(table: DataFrame, feature: str, value: str, group: str, least:
     sizes = counted.groupBy(group, feature).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max("n").alias("n"))
     sized = pairs.join(sizes.select(F.col(group).alias("group_a"), F.col("n").alias("_a")), "group_a", "left").join(sizes.select(F.col(group).alias("group_b"), F.col("n").alias("_b")), "group_b", "left")
     few = (F.coalesce("_a", F.lit(0)) < least) | (F.coalesce("_b", F.lit(0)) < least)
-    medians = counted.groupBy(feature).agg(F.percentile(value, 0.5).alias("median"))
+    medians = stats.quantiles(counted, [feature], value, [0.5]).select(feature, F.col("_q")[0].alias("median"))
     tested = features(in_pairs(table, group, sized.where(~few).select("group_a", "group_b")), ["group_a", "group_b"], feature, value, "side", "a", "b", medians)
     noted = sized.where(few).select("group_a", "group_b", F.lit(TOO_FEW).alias("note"))
     return tested.withColumn("note", F.lit(None).cast("string")).unionByName(noted, allowMissingColumns=True)

@@ -76,10 +76,16 @@ def pixels(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def boundary(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pixels that lack one of their four neighbours: each pixel votes for itself and its neighbours, and the votes are counted."""
-    votes = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(s).alias("own")) for dx, dy, s in ((0, 0, 1), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0))])
-    counted = pixels(runs, keys).select(*keys, F.explode(votes).alias("v")).groupBy(*keys, "v.x", "v.y").agg(F.sum(F.col("v.own")).alias("_own"), F.count(F.lit(1)).alias("_n"))
-    return counted.where("_own = 1 AND _n < 5").select(*keys, "x", "y")
+    """Pixels of merged runs that lack one of their four neighbours.
+
+    A run's ends lack a neighbour in their column and its other pixels don't; each pixel votes for itself and for those
+    beside it, and the votes are counted.
+    """
+    listed = runs.select(*keys, "x", F.posexplode(F.sequence("y0", F.col("y0") + F.col("len") - 1)).alias("_at", "y"), "len")
+    end = ((F.col("_at") == 0) | (F.col("_at") == F.col("len") - 1)).cast("int")
+    votes = F.array(*[F.struct((F.col("x") + dx).alias("x"), F.lit(own).alias("own"), (end * own).alias("end")) for dx, own in ((0, 1), (1, 0), (-1, 0))])
+    counted = listed.select(*keys, "y", F.explode(votes).alias("v")).groupBy(*keys, "v.x", "y").agg(F.sum(F.col("v.own")).alias("_own"), F.sum(F.col("v.end")).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    return counted.where("_own = 1 AND (_end = 1 OR _n < 3)").select(*keys, "x", "y")
 
 
 def contour_sample(contour: DataFrame, most: int = 200, keys: Sequence[str] = KEYS) -> DataFrame:

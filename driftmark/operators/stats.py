@@ -17,19 +17,56 @@ from driftmark.functions.scalars import finite, normal_p, ratio
 SUMMARY = ("n", "mean", "sd", "q25", "median", "q75", "min", "max")
 
 
+def placed(counts: DataFrame, keys: Sequence[str], value: str, chunks: int = 128) -> DataFrame:
+    """Adds _below, how many of the key's rows have a smaller value, and _n, how many it has. counts has one row, with the number _c, for each key and value.
+
+    Values are cut at quantiles into chunks, the window runs inside a chunk of a key and the sums of the chunks before are
+    added, so that no task sorts all values, with or without keys. Keys may be null.
+    """
+    points = [i / chunks for i in range(1, chunks)]
+    bounds = counts.agg(F.percentile_approx(F.col(value).cast("double"), points, 20 * chunks).alias("_bounds"))  # one row
+    chunk = F.size(F.filter("_bounds", lambda b: b <= F.col(value)))
+    chunked = counts.crossJoin(F.broadcast(bounds)).withColumn("_chunk", chunk).drop("_bounds")
+    by = W.partitionBy(*keys)
+    total = F.sum("_m").over(by)
+    sums = chunked.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_m"))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_chunk"])], (F.sum("_m").over(by.orderBy("_chunk")) - F.col("_m")).alias("_before"), total.alias("_n"))
+    inside = F.sum("_c").over(W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    dealt = chunked.repartition(*keys, "_chunk").withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_chunk"])]
+    return dealt.join(sums, on).select(*counts.columns, (F.col("_before") + F.col("_inside")).alias("_below"), "_n")
+
+
+def quantiles(table: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "_q") -> DataFrame:
+    """Exact interpolated percentiles of each key's values as one array of doubles; nulls don't count. Without keys, a table without values gives an array of nulls."""
+    counts = table.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    at = [F.col("_n") * share - share for share in shares]
+    held = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_v")))
+    ends = [(held(F.floor(p)), held(F.ceil(p)), F.max(p - F.floor(p))) for p in at]
+    return placed(counts, keys, "_v").groupBy(*keys).agg(F.array(*[low + (high - low) * part for low, high, part in ends]).alias(name))
+
+
+def joined(table: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins one row of each key to the table's rows; null keys are keys like others."""
+    if not keys:
+        return table.crossJoin(F.broadcast(few))  # one row
+    named = few.withColumnsRenamed({k: f"_on{i}" for i, k in enumerate(keys)})
+    return table.join(named, [F.col(k).eqNullSafe(F.col(f"_on{i}")) for i, k in enumerate(keys)]).drop(*[f"_on{i}" for i in range(len(keys))])
+
+
 def summary(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, sample deviation (0 for one value), quartiles, least and largest of the finite values of each key. Texts that are no numbers are missing."""
     v = finite(F.col(value).try_cast("double"))
-    q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = table.select(*keys, v.alias("_v")).where("_v IS NOT NULL").groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("_sd"), q.alias("_q"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    kept = table.select(*keys, v.alias("_x")).where("_x IS NOT NULL")
+    out = kept.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("_sd"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    out = joined(out, quantiles(kept, keys, "_x", (0.25, 0.5, 0.75)), keys)
     return out.select(*keys, "n", "mean", F.when(F.col("n") == 1, 0.0).otherwise(F.col("_sd")).alias("sd"), F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "min", "max")
 
 
 def average_ranks(table: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Adds each value's rank among its keys' values, equal ones sharing the mean of their ranks."""
     counts = table.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*keys, value, (below + (F.col("_c") + 1) / 2).alias(name))
+    ranks = placed(counts, keys, value).select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
     return table.join(ranks, [*keys, value])
 
 
@@ -37,8 +74,7 @@ def mann_whitney(table: DataFrame, keys: Sequence[str], value: str, side: str, f
     """U of the first side, z and the two-sided p of each key: exact for untied sides of at most `exact` values, else normal with ties and continuity corrected."""
     both = table.where(F.col(side).isin(first, second) & F.col(value).isNotNull())
     counts = both.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), F.count(F.when(F.col(side) == F.lit(first), 1)).alias("_a"))
-    below = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select(*keys, "_c", "_a", (below + (F.col("_c") + 1) / 2).alias("_rank"))
+    ranked = placed(counts, keys, value).select(*keys, "_c", "_a", (F.col("_below") + (F.col("_c") + 1) / 2).alias("_rank"))
     c = F.col("_c").cast("double")
     out = ranked.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum(F.col("_c") - F.col("_a")).alias("n_b"), F.sum(F.col("_a") * F.col("_rank")).alias("_sum"), F.sum(c * c * c - c).alias("_ties"))
     n = (F.col("n_a") + F.col("n_b")).cast("double")
@@ -54,10 +90,9 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], first: str, second: str,
     """Wilcoxon's signed ranks of paired values by key: differences of 0 are dropped; exact for few untied differences, else normal."""
     d = pairs.select(*keys, (F.col(first) - F.col(second)).alias("_d")).where("_d IS NOT NULL AND _d <> 0").withColumn("_size", F.abs("_d"))
     counts = d.groupBy(*keys, "_size").agg(F.count(F.lit(1)).alias("_c"), F.count(F.when(F.col("_d") > 0, 1)).alias("_up"))
-    below = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = below + (F.col("_c") + 1) / 2
+    rank = F.col("_below") + (F.col("_c") + 1) / 2
     c = F.col("_c").cast("double")
-    out = counts.select(*keys, "_c", "_up", rank.alias("_rank")).groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(c * c * c - c).alias("_ties"))
+    out = placed(counts, keys, "_size").select(*keys, "_c", "_up", rank.alias("_rank")).groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(c * c * c - c).alias("_ties"))
     n = F.col("n").cast("double")
     w = F.least(F.col("w_plus"), n * (n + 1) / 2 - F.col("w_plus"))
     z = (F.abs(F.col("w_plus") - n * (n + 1) / 4)) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
@@ -84,14 +119,13 @@ def enrichment(table: DataFrame, keys: Sequence[str], value: str, side: str, fir
     The medians are those of the table's keys, or given by some of the keys.
     """
     both = table.where(F.col(value).isNotNull())
-    mid = medians if medians is not None else both.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
+    mid = medians if medians is not None else quantiles(both, keys, value, [0.5]).select(*keys, F.col("_q")[0].alias("median"))
     is_a, is_b = F.col(side) == F.lit(first), F.col(side) == F.lit(second)
     on = [k for k in keys if k in mid.columns]
-    joined = both.join(mid, on) if on else both.crossJoin(mid)
     v = F.col(value)
     up = v > F.col("median")
     count = lambda x: F.count_if(x)
-    out = joined.groupBy(*keys).agg(
+    out = joined(both, mid, on).groupBy(*keys).agg(
         F.first("median").alias("median"), F.count(F.when(is_a, v)).alias("n_a"), F.count(F.when(is_b, v)).alias("n_b"), F.avg(F.when(is_a, v)).alias("mean_a"), F.avg(F.when(is_b, v)).alias("mean_b"),
         F.var_samp(F.when(is_a, v)).alias("_va"), F.var_samp(F.when(is_b, v)).alias("_vb"), count(is_a & up).alias("a"), count(is_a & ~up).alias("b"), count(is_b & up).alias("c"), count(is_b & ~up).alias("d"),
     )
@@ -126,39 +160,35 @@ def histogram(table: DataFrame, keys: Sequence[str], value: str, bins: int) -> D
     """Counts and densities in equal bins from the least to the largest value of each key; the last bin holds its upper edge."""
     kept = table.where(F.col(value).isNotNull())
     edges = kept.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    joined = kept.join(edges, list(keys)) if keys else kept.crossJoin(edges)
     width = (F.col("_hi") - F.col("_lo")) / bins
     number = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(F.lit(0))
-    out = joined.groupBy(*keys, number.cast("int").alias("bin"), "_lo", width.alias("_w"), "_n").agg(F.count(F.lit(1)).alias("n"))
+    out = joined(kept, edges, keys).groupBy(*keys, number.cast("int").alias("bin"), "_lo", width.alias("_w"), "_n").agg(F.count(F.lit(1)).alias("n"))
     return out.select(*keys, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("edge"), "n", F.try_divide(F.col("n"), F.col("_n") * F.col("_w")).alias("density"))
 
 
 def ecdf(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Share of values at most x, for each distinct x of each key."""
     counts = table.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*keys)
-    return counts.select(*keys, value, (F.sum("_c").over(w.orderBy(value)) / F.sum("_c").over(w)).alias("share"))
+    return placed(counts, keys, value).select(*keys, value, ((F.col("_below") + F.col("_c")) / F.col("_n")).alias("share"))
 
 
 def box_stats(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (the extreme values within 1.5 interquartile ranges) and the number of values beyond them."""
     kept = table.where(F.col(value).isNotNull())
-    q = kept.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantiles(kept, keys, value, (0.25, 0.5, 0.75)).select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     v, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    joined = kept.join(q, list(keys)) if keys else kept.crossJoin(q)
-    return joined.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("fliers"), F.count(F.lit(1)).alias("n"))
+    return joined(kept, q, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("fliers"), F.count(F.lit(1)).alias("n"))
 
 
 def clipped(table: DataFrame, value: str, share: float = 0.99) -> DataFrame:
     """The value's percentile, and how many values are at most it and above it."""
-    top = table.agg(F.percentile(value, share).alias("limit"))
+    top = quantiles(table, [], value, [share]).select(F.col("_q")[0].alias("limit"))
     return table.crossJoin(F.broadcast(top)).groupBy("limit").agg(F.count_if(F.col(value) <= F.col("limit")).alias("kept"), F.count_if(F.col(value) > F.col("limit")).alias("clipped"))
 
 
 def throughput_outliers(table: DataFrame, value: str) -> DataFrame:
     """Adds the quartiles of all values and whether a value lies beyond 1.5 interquartile ranges of them."""
-    q = table.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")).select(F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+    q = quantiles(table, [], value, (0.25, 0.5, 0.75)).select(F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     return table.crossJoin(F.broadcast(q)).withColumn("outlier", (F.col(value) < F.col("q25") - reach) | (F.col(value) > F.col("q75") + reach))

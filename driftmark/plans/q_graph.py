@@ -35,16 +35,8 @@ def affinity(spark, d):
     return r6(graph.affinity(_near(spark, d)))
 
 
-@register("components", """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey % 97 - 1000 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 8 AND l_orderkey >= 0),
-n AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT a, a FROM e UNION ALL SELECT b, b FROM e)),
-w AS (SELECT a AS node, a AS root FROM n UNION SELECT n.b, w.root FROM w JOIN n ON w.node = n.a) SELECT node, min(root) AS root FROM w GROUP BY 1""")
+@register("components")
 def components(spark, d):
-    line = views.table(spark, d, "lineitem").where("l_linenumber = 7 AND l_quantity < 8")
-    return graph.components(line.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") % 97 - 1000).alias("b")))
-
-
-@register("components_all")
-def components_all(spark, d):
     """Orders and parts as nodes, all rows of lineitem as edges; too long for a recursive SQL."""
     line = views.table(spark, d, "lineitem")
     return graph.components(line.select(F.col("l_orderkey").cast("long").alias("a"), (-1 - F.col("l_partkey")).cast("long").alias("b")))

@@ -82,11 +82,14 @@ def fisher(spark, d):
 s AS (SELECT l.feature, any_value(median) AS median, count(*) FILTER ("group" = 'g0') AS n_a, count(*) FILTER ("group" = 'g1') AS n_b, avg(value) FILTER ("group" = 'g0') AS mean_a, avg(value) FILTER ("group" = 'g1') AS mean_b,
     var_samp(value) FILTER ("group" = 'g0') AS va, var_samp(value) FILTER ("group" = 'g1') AS vb, count(*) FILTER ("group" = 'g0' AND value > median) AS a, count(*) FILTER ("group" = 'g0' AND value <= median) AS b,
     count(*) FILTER ("group" = 'g1' AND value > median) AS c, count(*) FILTER ("group" = 'g1' AND value <= median) AS d FROM long l JOIN m ON l.feature = m.feature GROUP BY 1),
-k AS (SELECT *, abs(least(mean_a, mean_b, median)) + 1 AS shift FROM s)
-SELECT feature, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(median, 6) AS median, round((mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) AS cohens_d,
-round(log2((mean_a + shift) / (mean_b + shift)), 6) AS log2_fold, CASE WHEN mean_a > mean_b THEN 'up' ELSE 'down' END AS direction, round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) AS odds_ratio FROM k""")
+k AS (SELECT *, abs(least(mean_a, mean_b, median)) + 1 AS shift FROM s),
+x AS (SELECT feature, a, a + b AS rw, a + c AS cl, a + b + c + d AS n, unnest(range(greatest(0, a - d), a + least(b, c) + 1)) AS x FROM s),
+y AS (SELECT feature, x = a AS seen, lgamma(rw + 1) - lgamma(x + 1) - lgamma(rw - x + 1) + lgamma(n - rw + 1) - lgamma(cl - x + 1) - lgamma(n - rw - cl + x + 1) + lgamma(cl + 1) + lgamma(n - cl + 1) - lgamma(n + 1) AS lp FROM x),
+p AS (SELECT feature, least(1, sum(CASE WHEN lp <= own + 1e-7 THEN exp(lp) ELSE 0 END)) AS fisher_p FROM (SELECT *, max(CASE WHEN seen THEN lp END) OVER (PARTITION BY feature) AS own FROM y) GROUP BY 1)
+SELECT k.feature, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(median, 6) AS median, round((mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) AS cohens_d,
+round(log2((mean_a + shift) / (mean_b + shift)), 6) AS log2_fold, CASE WHEN mean_a > mean_b THEN 'up' ELSE 'down' END AS direction, round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) AS odds_ratio, round(fisher_p, 6) AS fisher_p FROM k JOIN p ON k.feature = p.feature""")
 def enrichment(spark, d):
-    return r6(stats.enrichment(_long(spark, d), ["feature"], "value", "group", "g0", "g1").drop("fisher_p"))
+    return r6(stats.enrichment(_long(spark, d), ["feature"], "value", "group", "g0", "g1"))
 
 
 @register("top_effects", f"""WITH {views.LONG}, s AS (SELECT feature, count(*) FILTER ("group" = 'g0') AS n_a, count(*) FILTER ("group" = 'g1') AS n_b, avg(value) FILTER ("group" = 'g0') - avg(value) FILTER ("group" = 'g1') AS d, var_samp(value) FILTER ("group" = 'g0') AS va, var_samp(value) FILTER ("group" = 'g1') AS vb FROM long GROUP BY 1)

@@ -48,6 +48,33 @@ def test_ranks_and_snapshot(spark):
     assert q.q25 == 1.75 and q.n == 4
 
 
+def test_quantiles_and_ranks_in_chunks_with_null_keys(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, float(v)) for k, n in (("a", 700), (None, 61), ("b", 2), ("c", 1)) for v in rng.integers(-20, 40, n) / 3] + [("d", None)]
+    t = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.05, 0.5, 0.99, 1.0)
+    of = lambda k: np.array([v for key, v in rows if key == k and v is not None])
+    got = {r.k: r["_q"] for r in stats.quantiles(t, ["k"], "v", shares).collect()}
+    assert set(got) == {"a", None, "b", "c"}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile(of(k), shares), rtol=1e-12, atol=1e-12)
+    assert np.allclose(one(stats.quantiles(t, [], "v", shares))["_q"], np.quantile([v for _, v in rows if v is not None], shares))
+    assert one(stats.quantiles(t.where("v IS NULL"), [], "v", [0.5]))["_q"] == [None]
+    counts = t.where("v IS NOT NULL").groupBy("k", "v").agg(F.count(F.lit(1)).alias("_c"))
+    for r in stats.placed(counts, ["k"], "v", chunks=7).collect():
+        assert r["_below"] == (of(r.k) < r.v).sum() and r["_n"] == len(of(r.k))
+    assert {r.k: r.n for r in stats.summary(t, ["k"], "v").collect()} == {"a": 700, None: 61, "b": 2, "c": 1}
+
+
+def test_boundary_as_by_neighbours(spark):
+    rng = np.random.default_rng(12)
+    p = {(f, int(x), int(y)) for f in range(3) for x, y in rng.integers(0, 12, (110, 2))}
+    runs = masks.merged(spark.createDataFrame([(f, "a", x, y, 1) for f, x, y in p], "frame_idx long, object_id string, x long, y0 long, len long"))
+    want = {(f, x, y) for f, x, y in p if not {(f, x + 1, y), (f, x - 1, y), (f, x, y + 1), (f, x, y - 1)} <= p}
+    got = [(r.frame_idx, r.x, r.y) for r in masks.boundary(runs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_square_mask(spark):
     runs = spark.createDataFrame([(0, "a", x, 5, 3) for x in (2, 3, 4)] + [(0, "a", 2, 6, 1)], "frame_idx long, object_id string, x long, y0 long, len long")
     m = masks.merged(runs)
@@ -142,7 +169,7 @@ def test_components_of_all_rows_as_by_union_find(spark, tmp_path):
     for a, b, *_ in rows:
         low, high = sorted((root(a), root(-1 - b)))
         up[high] = low
-    got = {r.node: r.root for r in catalog.queries()["components_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.root for r in catalog.queries()["components"](spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in list(up)}
 
 
