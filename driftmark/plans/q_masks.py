@@ -79,13 +79,23 @@ def contour_distances(spark, d):
     return r6(masks.contour_distances(masks.contour_sample(masks.boundary(_runs(spark, d)), 100_000)))
 
 
-@register("frame_features", f"""WITH {MOMENTS}, o AS (SELECT p.frame_idx, count(*) AS overlap FROM pixels p JOIN pixels q ON p.frame_idx = q.frame_idx AND p.x = q.x AND p.y = q.y AND p.object_id = 'A' AND q.object_id = 'R' GROUP BY 1),
-a AS (SELECT * FROM s WHERE object_id = 'A'), r AS (SELECT * FROM s WHERE object_id = 'R')
-SELECT coalesce(a.frame_idx, r.frame_idx) AS frame_idx, a.area AS a_area, r.area AS b_area, round(sqrt((r.cx - a.cx) ** 2 + (r.cy - a.cy) ** 2), 5) AS centroid_distance, CASE WHEN a.area IS NOT NULL AND r.area IS NOT NULL THEN coalesce(overlap, 0) END AS overlap_area, a.area + r.area AS combined_area
-FROM a FULL JOIN r ON a.frame_idx = r.frame_idx LEFT JOIN o ON coalesce(a.frame_idx, r.frame_idx) = o.frame_idx""")
+AXES = ", ".join(f"{s}.area AS {n}_area, round({s}.cx, 5) AS {n}_cx, round({s}.cy, 5) AS {n}_cy, round({s}.major, 4) AS {n}_major, round(CASE WHEN {s}.minor < 1e-5 THEN 0 ELSE {s}.minor END, 4) AS {n}_minor" for s, n in (("a", "a"), ("r", "b")))
+
+
+@register("frame_features", f"""WITH {MOMENTS}{BOUNDARY.removeprefix(views.PIXELS)}, o AS (SELECT p.frame_idx, count(*) AS overlap FROM pixels p JOIN pixels q ON p.frame_idx = q.frame_idx AND p.x = q.x AND p.y = q.y AND p.object_id = 'A' AND q.object_id = 'R' GROUP BY 1),
+a AS (SELECT * FROM s WHERE object_id = 'A'), r AS (SELECT * FROM s WHERE object_id = 'R'), k AS (SELECT unnest(range(200)) AS k),
+e AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY frame_idx, object_id) AS n FROM boundary WHERE object_id IN ('A', 'R') WINDOW w AS (PARTITION BY frame_idx, object_id ORDER BY y, x)),
+h AS (SELECT * FROM e WHERE n <= 200 OR EXISTS (SELECT 1 FROM k WHERE (k.k * (n - 1)) // 199 = i)),
+c AS (SELECT p.frame_idx, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS contour FROM h p JOIN h q ON p.frame_idx = q.frame_idx AND p.object_id = 'A' AND q.object_id = 'R' GROUP BY 1)
+SELECT coalesce(a.frame_idx, r.frame_idx) AS frame_idx, {AXES}, round(sqrt((r.cx - a.cx) ** 2 + (r.cy - a.cy) ** 2), 5) AS centroid_distance, round(contour, 5) AS min_contour_distance, CASE WHEN a.area IS NOT NULL AND r.area IS NOT NULL THEN coalesce(overlap, 0) END AS overlap_area, a.area + r.area AS combined_area
+FROM a FULL JOIN r ON a.frame_idx = r.frame_idx LEFT JOIN o ON coalesce(a.frame_idx, r.frame_idx) = o.frame_idx LEFT JOIN c ON coalesce(a.frame_idx, r.frame_idx) = c.frame_idx""")
 def frame_features(spark, d):
     out = masks.frame_features(_runs(spark, d), "A", "R")
-    return _r(out.select("frame_idx", "a_area", "b_area", "centroid_distance", "overlap_area", "combined_area"), centroid_distance=5)
+    for s in "ab":
+        out = out.withColumn(f"{s}_minor", F.when(F.col(f"{s}_minor") < 1e-5, 0.0).otherwise(F.col(f"{s}_minor")))
+    sides = [f"{s}_{c}" for s in "ab" for c in ("area", "cx", "cy", "major", "minor")]
+    digits = {f"{s}_{c}": n for s in "ab" for c, n in (("cx", 5), ("cy", 5), ("major", 4), ("minor", 4))}
+    return _r(out.select("frame_idx", *sides, "centroid_distance", "min_contour_distance", "overlap_area", "combined_area"), centroid_distance=5, min_contour_distance=5, **digits)
 
 
 @register("frame_angles")

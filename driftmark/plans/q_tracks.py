@@ -164,18 +164,24 @@ chased AS (SELECT l.video_id, l.start_frame, max(dot / norm) AS c FROM lagged l
 )
 
 
-@register("pair_features", f"""WITH {PAIRS} SELECT b.video_id, b.start_frame, round(CASE WHEN enough THEN approach_retreat_rate END, 5) AS approach_retreat_rate,
+PAIR_ROWS = """SELECT b.video_id, b.start_frame, round(CASE WHEN enough THEN approach_retreat_rate END, 5) AS approach_retreat_rate,
 round(CASE WHEN enough AND joint_frames >= 3 AND both_steps >= 2 THEN cosine END, 5) AS parallel_movement_score, round(CASE WHEN enough AND joint_frames >= 12 THEN c END, 5) AS chase_metric,
 round(CASE WHEN enough THEN frac_close_proximity END, 5) AS frac_close_proximity, round(CASE WHEN enough THEN mean_relative_heading END, 5) AS mean_relative_heading,
 round(CASE WHEN enough THEN min_distance_mean END, 5) AS min_distance_mean, round(CASE WHEN enough THEN min_distance_std END, 5) AS min_distance_std, round(CASE WHEN enough THEN overlap_frac_mean END, 5) AS overlap_frac_mean
-FROM base b LEFT JOIN chased c ON b.video_id = c.video_id AND b.start_frame = c.start_frame""")
+FROM base b LEFT JOIN chased c ON b.video_id = c.video_id AND b.start_frame = c.start_frame"""
+
+
+@register("pair_features", f"WITH {PAIRS} {PAIR_ROWS}")
 def pair_features(spark, d):
     out = features.pair_features(pair_frames(spark, d), ["video_id"], CHUNK, STRIDE, max_lag=LAG).drop("chase_lag")
     return _r(out, **{c: 5 for c in features.PAIR_FEATURES if c != "chase_lag"})
 
 
-@register("chase_lag", f"""WITH {PAIRS} SELECT b.video_id, b.start_frame, CAST(CASE WHEN enough AND joint_frames >= 12 THEN arg_min(lag, struct_pack(a := -round(dot / norm, 9), l := lag)) END AS DOUBLE) AS chase_lag
-FROM base b LEFT JOIN norms n ON b.video_id = n.video_id AND b.start_frame = n.start_frame AND norm > 1e-12 LEFT JOIN lagged l ON l.video_id = n.video_id AND l.start_frame = n.start_frame GROUP BY b.video_id, b.start_frame, enough, joint_frames""")
+LAG_ROWS = """SELECT b.video_id, b.start_frame, CAST(CASE WHEN enough AND joint_frames >= 12 THEN arg_min(lag, struct_pack(a := -round(dot / norm, 9), l := lag)) END AS DOUBLE) AS chase_lag
+FROM base b LEFT JOIN norms n ON b.video_id = n.video_id AND b.start_frame = n.start_frame AND norm > 1e-12 LEFT JOIN lagged l ON l.video_id = n.video_id AND l.start_frame = n.start_frame GROUP BY b.video_id, b.start_frame, enough, joint_frames"""
+
+
+@register("chase_lag", f"WITH {PAIRS} {LAG_ROWS}")
 def chase_lag(spark, d):
     return features.pair_features(pair_frames(spark, d), ["video_id"], CHUNK, STRIDE, max_lag=LAG).select("video_id", "start_frame", "chase_lag")
 
@@ -186,17 +192,17 @@ def all_features(spark, d):
     return features.window_features(side("a"), side("b"), features.pair_features(pair_frames(spark, d), ["video_id"], CHUNK, STRIDE, max_lag=LAG), ["video_id"])
 
 
-SIDES = ", ".join(f"round(CASE WHEN {s}.enough THEN {s}.{c} END, 4) AS {s}_{c}" for s in "ab" for c in ("energy", "speed_mean", "area_slope", "mean_eccentricity"))
+SIDES = ", ".join(f"round(CASE WHEN {s}.enough THEN {s}.{c} END, 4) AS {s}_{c}" for s in "ab" for c in features.OBJECT_FEATURES)
 
 
-@register("window_features", f"""WITH {OBJECT}, {"joint AS" + PAIRS.split("joint AS", 1)[1]}
-SELECT coalesce(a.video_id, b.video_id, p.video_id) AS video_id, coalesce(a.start_frame, b.start_frame, p.start_frame) AS start_frame, {SIDES}, round(CASE WHEN p.enough THEN approach_retreat_rate END, 4) AS approach_retreat_rate
+@register("window_features", f"""WITH {OBJECT}, {"joint AS" + PAIRS.split("joint AS", 1)[1]}, pairs AS ({PAIR_ROWS}), lags AS ({LAG_ROWS})
+SELECT coalesce(a.video_id, b.video_id, p.video_id) AS video_id, coalesce(a.start_frame, b.start_frame, p.start_frame) AS start_frame, {SIDES}, p.* EXCLUDE (video_id, start_frame), l.chase_lag
 FROM (SELECT * FROM objects WHERE object_id = 'a') a FULL JOIN (SELECT * FROM objects WHERE object_id = 'b') b ON a.video_id = b.video_id AND a.start_frame = b.start_frame
-FULL JOIN base p ON coalesce(a.video_id, b.video_id) = p.video_id AND coalesce(a.start_frame, b.start_frame) = p.start_frame""")
+FULL JOIN pairs p ON coalesce(a.video_id, b.video_id) = p.video_id AND coalesce(a.start_frame, b.start_frame) = p.start_frame
+LEFT JOIN lags l ON l.video_id = p.video_id AND l.start_frame = p.start_frame""")
 def window_features(spark, d):
-    out = all_features(spark, d)
-    names = [f"{s}_{c}" for s in "ab" for c in ("energy", "speed_mean", "area_slope", "mean_eccentricity")] + ["approach_retreat_rate"]
-    return _r(out.select("video_id", "start_frame", *names), **{c: 4 for c in names})
+    sides = {f"{s}_{c}": 4 for s in "ab" for c in features.OBJECT_FEATURES}
+    return _r(all_features(spark, d), **sides, **{c: 5 for c in features.PAIR_FEATURES if c != "chase_lag"})
 
 
 @register("focal_rows", f"""WITH {OBJECT} SELECT object_id AS focal_side, count(*) AS n, round(avg(CASE WHEN enough THEN energy END), 4) AS energy, round(avg(CASE WHEN enough THEN speed_max END), 4) AS speed_max FROM objects GROUP BY 1""")
