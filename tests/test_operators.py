@@ -183,6 +183,41 @@ def test_planted_communities_are_found(spark):
     assert len({max(set(x), key=x.count) for x in ([got[i] for i in range(20 * g, 20 * g + 20)] for g in range(3))}) == 3
 
 
+def test_hashed_neighbours_reach_the_exact_ones(spark):
+    rng = np.random.default_rng(14)
+    v = rng.uniform(0, 1, (400, 3))
+    t = spark.createDataFrame([(i, *map(float, v[i])) for i in range(400)], "k long, x double, y double, z double")
+    want = {(a, int(b)) for a in range(400) for b in np.argsort(((v - v[a]) ** 2).sum(1), kind="stable")[1:7]}
+    exact = {(r.src, r.dst) for r in graph.nearest(t, "k", ["x", "y", "z"], 6).collect()}
+    assert exact == want
+    hashed = {(r.src, r.dst) for r in graph.nearest_hashed(t, "k", ["x", "y", "z"], 6, reach=0.6).collect()}
+    assert len(want & hashed) >= 0.9 * len(want)
+
+
+def test_modularity_as_by_its_sum_over_pairs(spark):
+    rng = np.random.default_rng(15)
+    w = np.triu(rng.integers(0, 3, (12, 12)), 1).astype(float)
+    c = rng.integers(0, 3, 12)
+    edges = spark.createDataFrame([(a, b, w[a, b].item()) for a in range(12) for b in range(a + 1, 12) if w[a, b]], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(i, int(c[i])) for i in range(12)], "node long, community int")
+    w = w + w.T
+    k, m = w.sum(1), w.sum()
+    want = sum(w[a, b] / m - 1.5 * k[a] * k[b] / m**2 for a in range(12) for b in range(12) if c[a] == c[b])
+    assert math.isclose(one(graph.modularity(edges, labels, resolution=1.5)).q, want, rel_tol=1e-9)
+
+
+def test_components_of_variance_as_by_singular_values(spark):
+    rng = np.random.default_rng(16)
+    v = rng.normal(size=(80, 4)) @ np.diag([3.0, 1.0, 1.0, 0.2]) @ rng.normal(size=(4, 4))
+    t = spark.createDataFrame([(i, *map(float, v[i])) for i in range(80)], "k long, p double, q double, r double, s double")
+    got = batch.pca(t, ["k"], ["p", "q", "r", "s"]).orderBy("k").collect()
+    z = (v - v.mean(0)) / v.std(0, ddof=1)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    for name, axis in zip(("pc1", "pc2"), axes):
+        axis = axis * np.sign(axis[np.argmax(np.abs(axis))])
+        assert np.allclose([r[name] for r in got], z @ axis, atol=1e-8)
+
+
 def test_coordinates_as_by_a_dense_eigensolver(spark):
     rng = np.random.default_rng(6)
     p = rng.normal(size=(90, 2))
