@@ -212,7 +212,7 @@ def spectral(edges: DataFrame, k: int = 20, iterations: int = 20) -> DataFrame:
     return model.assignClusters(edges).select(F.col("id").alias("node"), F.col("cluster").alias("community"))
 
 
-def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5) -> DataFrame:
+def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, most_degree: int = 8) -> DataFrame:
     """Two coordinates of each node: leading eigenvectors of the lazy random walk after the constant one.
 
     A block of `size` vectors is multiplied, several times a pass, and made orthonormal in the degrees' measure by the block's
@@ -225,6 +225,8 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = cut(both.where("weight > 0"))
     degree = cut(both.groupBy("src").agg(F.sum("weight").alias("k")).select(F.col("src").alias("node"), "k"))
+    # The lazy walk stays with a half: an edge of each node to itself, as heavy as all its others. It carries what the node keeps.
+    steps = cut(both.withColumn("own", F.lit(False)).unionByName(degree.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.col("k").alias("weight"), F.lit(True).alias("own"))))
     size = min(size, max(degree.count() - 1, 1))
     at = cut(degree.select("node", "k", F.array(*[F.xxhash64("node", F.lit(j + seed)) % 1000003 / 1000003.0 for j in range(size)]).alias("v")))
     item = lambda c, i: F.col(c)[i]
@@ -233,20 +235,23 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
         return F.array(*[sum((item(c, i) * float(m[i, j]) for i in range(len(m))), F.lit(0.0)) for j in range(m.shape[1])])
 
     def multiplied(df: DataFrame, *kept: str) -> DataFrame:
+        """Adds the product w. df is read once, so that a chain of products is a chain of joins."""
         sums = [F.sum(F.col("weight") * item("v", i)).alias(f"s{i}") for i in range(size)]
-        near = both.join(df.select(F.col("node").alias("dst"), "v"), "dst").groupBy("src").agg(*sums)
-        half = F.array(*[(item("v", i) + F.col(f"s{i}") / F.col("k")) / 2 for i in range(size)])
-        return df.join(near, F.col("node") == F.col("src")).select("node", "k", "v", *kept, half.alias("w"))
+        own = [F.max_by(c, "own").alias(c) for c in ("k", "v", *kept)]
+        near = steps.join(df.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(*own, *sums)
+        return near.select(F.col("src").alias("node"), "k", "v", *kept, F.array(*[F.col(f"s{i}") / (2 * F.col("k")) for i in range(size)]).alias("w"))
 
     def filtered(df: DataFrame, bound: float | None) -> DataFrame:
-        """Three multiplications: powers at first, then the Chebyshev polynomial that keeps eigenvalues up to bound small and lets those above grow."""
+        """Several multiplications: powers at first, then the Chebyshev polynomial that keeps eigenvalues up to bound small and lets those above grow."""
         if bound is None:
             for _ in range(3):
                 df = multiplied(df).select("node", "k", F.col("w").alias("v"))
             return df
+        # As high a degree as lets nothing grow beyond what the sums of products can hold.
+        degree_ = max(2, min(most_degree, int(math.acosh(1e5) / math.acosh(2 / bound - 1)))) if bound < 1 else most_degree
         one = F.zip_with("w", "v", lambda w, v: w * (2 / bound) - v)
         df = multiplied(df).select("node", "k", one.alias("v"), F.col("v").alias("p"))
-        for _ in range(2):
+        for _ in range(degree_ - 1):
             df = multiplied(df, "p").select("node", "k", F.zip_with(one, "p", lambda a, p: 2 * a - p).alias("v"), F.col("v").alias("p"))
         return df.drop("p")
 
@@ -266,7 +271,7 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
 
     bound = None
     for _ in range(max(1, rounds // 4)):
-        both_ = cut(multiplied(cut(filtered(at, bound))))
+        both_ = cut(multiplied(filtered(at, bound)))
         sums = products(both_)
         vv, vw, ww = sums[: 3 * size * size].reshape(3, size, size)
         mean, all_ = sums[3 * size * size : -1], sums[-1]
