@@ -114,6 +114,12 @@ def focal_rows(windows_: DataFrame, keys: Sequence[str]) -> DataFrame:
     return windows_.select(*keys, "start_frame", F.explode(F.array(*rows)).alias("r")).select(*keys, "start_frame", "r.*")
 
 
+def focal_a(windows_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Windows of videos with one animal: the a side alone, without a prefix."""
+    own = side_columns(windows_.columns, "a")
+    return windows_.select(*keys, "start_frame", F.lit("a").alias("focal_side"), *[F.col(c).alias(c.removeprefix("a_")) for c in own])
+
+
 def missing_profile(table: DataFrame, columns: Sequence[str], worst: int = 5) -> DataFrame:
     """The columns with most missing values: feature, missing, share."""
     counts = table.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

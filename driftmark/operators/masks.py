@@ -136,6 +136,11 @@ def object_pair(frames: DataFrame, video: str, frame: str = "frame_idx", obj: st
     return out.select(video, F.coalesce(F.col("p")[0], F.col("s")[0]).alias("object_a"), F.coalesce(F.col("p")[1], F.lit("")).alias("object_b"))
 
 
+def at_frames(rows: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("frame_idx",)) -> DataFrame:
+    """The rows of the wanted frames; frames that are wanted more than once come once."""
+    return rows.join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def box_pairs(boxes: DataFrame, width: float, height: float, frame: str = "frame_idx", obj: str = "object_id") -> DataFrame:
     """The pair of boxes with the smallest gap between edges in each frame (ties: the first pair), with the gap and the centres' distance in pixels and over the diagonal."""
     ok = boxes.where("w > 0 AND h > 0")

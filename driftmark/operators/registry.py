@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftmark.functions.scalars import micros, shave_key
+from driftmark.functions.scalars import micros, shave_key, video_camera, video_session
 
 
 def keep_last(table: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -91,6 +91,27 @@ def role_rules(a_role: Column, a_housing: Column, b_role: Column, b_housing: Col
     }
 
 
+def focal_rules(role: Column, housing: Column, experiment: Column) -> dict[str, Column]:
+    """The rules of the five roles of a focal animal, for `pair_roles`; unlike `focal_role`, an animal may have several or none."""
+    return {
+        "SH_resident": (experiment == "test_day") & (role == "resident") & (housing == "SH"), "SH_intruder": (experiment == "sh_intruder") & (housing == "SH"),
+        "GH_resident": experiment.isin("test_day", "sh_intruder") & (role == "resident") & (housing == "GH"), "GH_intruder": (experiment == "test_day") & (role == "intruder") & (housing == "GH"), "GH_littermate": experiment == "hab",
+    }
+
+
+def probed(videos: DataFrame, name: str = "name") -> DataFrame:
+    """Adds camera and session of each video's name and, where the name tells neither, both null and a reason."""
+    camera = video_camera(F.col(name))
+    out = videos.withColumn("camera", camera).withColumn("session", F.when(F.col("camera").isNotNull(), video_session(F.col(name))))
+    return out.withColumn("reason", F.when(F.col("camera").isNull(), "name is not camera_video_session_date_time.mp4"))
+
+
+def all_resolved(probed_: DataFrame) -> DataFrame:
+    """One row: names that tell their conditions, those that don't, and whether there are names and all do."""
+    counts = probed_.agg(F.count_if(F.col("reason").isNull()).alias("resolvable"), F.count_if(F.col("reason").isNotNull()).alias("unresolved"))
+    return counts.withColumn("all_resolved", (F.col("unresolved") == 0) & (F.col("resolvable") > 0))
+
+
 def conditions(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Rows of a conditions table with blanks as null, that have one of the fields at least."""
     clean = raw.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in raw.columns])
@@ -132,3 +153,10 @@ def complete(videos: DataFrame, frames: DataFrame, video: str = "video_id") -> D
     missing = spine.join(frames.select(video, "frame_idx").distinct(), [video, "frame_idx"], "left_anti").groupBy(video).agg(F.count(F.lit(1)).alias("missing"))
     out = videos.join(missing, video, "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
     return out.withColumn("verdict", F.when(~F.col("flag"), "incomplete").when(F.col("missing") > 0, "missing masks").otherwise("complete"))
+
+
+def fast_complete(videos: DataFrame, stores: DataFrame, video: str = "video_id") -> DataFrame:
+    """Videos with a verdict that trusts their flag and looks for stored masks without reading frames. videos: flag, folder; stores: a row or more for each video with masks."""
+    found = stores.select(video).distinct().withColumn("_found", F.lit(True))
+    rules = F.when(~F.coalesce("flag", F.lit(False)), "incomplete").when(F.col("folder").isNull(), "no folder").when(F.col("_found").isNull(), "no masks")
+    return videos.join(found, video, "left").withColumn("verdict", rules.otherwise("complete")).drop("_found")

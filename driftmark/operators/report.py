@@ -228,3 +228,9 @@ def across_videos(metrics: DataFrame, pooled: dict[str, DataFrame], video: str =
     for name, values in pooled.items():
         long = long.unionByName(values.select(F.lit(name).alias("metric"), F.col(values.columns[0]).cast("double").alias("value")))
     return stats.summary(long, ["metric"], "value")
+
+
+def first_existing(candidates: DataFrame, existing: DataFrame, keys: Sequence[str], path: str, order: Column) -> DataFrame:
+    """Of each key the first candidate path that exists, null where none does."""
+    known = candidates.withColumn("_order", order).join(existing.select(path).distinct().withColumn("_there", F.lit(True)), path, "left")
+    return known.groupBy(*keys).agg(F.min_by(F.when(F.col("_there"), F.col(path)), F.when(F.col("_there"), F.col("_order"))).alias(path))

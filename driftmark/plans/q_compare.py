@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftmark.operators import batch, compare
+from driftmark.operators import batch, compare, report
 from driftmark.plans import views
 from driftmark.plans.base import register
 from driftmark.plans.q_stats import _erfc, _long
@@ -160,3 +160,11 @@ def listed_names(spark, d):
     state = F.to_json(F.struct(F.concat(F.lit("project "), "o_orderstatus").alias("project_name"), F.array(F.struct(F.lit("other").alias("id"), F.lit("x").alias("name")), video).alias("videos")))
     runs = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), (F.col("o_custkey") % 7).alias("video_id"), F.when(F.col("o_orderkey") % 3 == 0, "no json").otherwise(state).alias("state_json"))
     return compare.listed_names(runs).select("id", "project_name", "video_name")
+
+
+@register("first_existing", "SELECT l_orderkey AS run, arg_min(l_partkey, struct_pack(n := l_linenumber, p := l_partkey)) FILTER (p_size < 10) AS path FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def first_existing(spark, d):
+    """Lines as candidates in their order, small parts as what exists."""
+    candidates = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("path"), "l_linenumber")
+    existing = views.table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("path"))
+    return report.first_existing(candidates, existing, ["run"], "path", F.struct("l_linenumber", "path"))

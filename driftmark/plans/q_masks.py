@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmark.operators import masks
 from driftmark.plans import views
-from driftmark.plans.base import register
+from driftmark.plans.base import oracle_sql, register
 from driftmark.plans.q_tracks import _r, r6
 
 KEYS = ["frame_idx", "object_id"]
@@ -111,7 +111,8 @@ def object_pair(spark, d):
     return masks.object_pair(_numbered_lines(spark, d), "video", first=50)
 
 
-@register("object_pair_all")
+@register("object_pair_all", """WITH k AS (SELECT l_suppkey AS video, l_orderkey AS frame_idx, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))) AS k FROM lineitem GROUP BY 1, 2),
+g AS (SELECT video, arg_min(k, frame_idx) FILTER (len(k) >= 2) AS two, arg_min(k, frame_idx) AS one FROM k GROUP BY 1) SELECT video, coalesce(two[1], one[1]) AS object_a, coalesce(two[2], one[2], '') AS object_b FROM g""")
 def object_pair_all(spark, d):
     return masks.object_pair(_numbered_lines(spark, d), "video")
 
@@ -214,3 +215,9 @@ def warped_masks(spark, d):
     h = [F.lit(float(v)) for v in (1.5, 0.2, 3, 0.1, 1.2, 2, 0, 0, 1)]
     out = masks.pixels(registration.warp(_runs(spark, d), h, 80, 80))
     return out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("area"), F.sum(F.col("x") * 131 + F.col("y")).alias("mark"))
+
+
+@register("box_pairs_at_frames", oracle_sql()["box_pairs"].replace("WHERE w > 0", "WHERE frame_idx IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND w > 0"))
+def box_pairs_at_frames(spark, d):
+    wanted = views.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("frame_idx"))
+    return _r(masks.box_pairs(masks.at_frames(views.boxes(spark, d), wanted), 640, 480), gap_px=5, centre_px=5, gap_norm=6, centre_norm=6)

@@ -124,3 +124,39 @@ def completeness(spark, d):
 def keep_first(spark, d):
     o = views.table(spark, d, "orders")
     return registry.keep_first(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select(F.col("o_custkey").alias("video_id"), "o_orderkey")
+
+
+@register("focal_roles", f"""WITH {META} SELECT id, 'SH_resident' AS role FROM meta WHERE e = 'test_day' AND ra = 'resident' AND ha = 'SH' UNION ALL SELECT id, 'SH_intruder' FROM meta WHERE e = 'sh_intruder' AND ha = 'SH'
+UNION ALL SELECT id, 'GH_resident' FROM meta WHERE e IN ('test_day', 'sh_intruder') AND ra = 'resident' AND ha = 'GH' UNION ALL SELECT id, 'GH_intruder' FROM meta WHERE e = 'test_day' AND ra = 'intruder' AND ha = 'GH' UNION ALL SELECT id, 'GH_littermate' FROM meta WHERE e = 'hab'""")
+def focal_roles(spark, d):
+    return registry.pair_roles(_meta(spark, d), registry.focal_rules(F.col("ra"), F.col("ha"), F.col("e"))).select("id", "role")
+
+
+@register("fast_completeness", "SELECT c_custkey AS video_id, CASE WHEN c_custkey % 4 = 0 THEN 'incomplete' WHEN c_nationkey = 3 THEN 'no folder' WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'no masks' ELSE 'complete' END AS verdict FROM customer")
+def fast_completeness(spark, d):
+    """Customers as videos; those with orders have stored masks."""
+    k = F.col("c_custkey")
+    videos = views.table(spark, d, "customer").select(k.alias("video_id"), (k % 4 != 0).alias("flag"), F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("folder"))
+    return registry.fast_complete(videos, views.table(spark, d, "orders").select(F.col("o_custkey").alias("video_id"))).select("video_id", "verdict")
+
+
+NAMES = """
+names AS (SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_orderpriority || '.mp4' ELSE 'cam' || (o_orderkey % 4) || '_video_' || o_orderpriority || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || CASE WHEN o_orderkey % 5 = 0 THEN '99' ELSE '123456' END || '.mp4' END AS name FROM orders),
+probed AS (SELECT video_id, regexp_matches(name, '^(\\w+)_video_(.+)_(\\d{8})_(\\d{6})\\.mp4$') IS TRUE AS ok, name FROM names)"""
+
+
+def _probed(spark, d):
+    k = F.col("o_orderkey")
+    full = F.concat(F.lit("cam"), k % 4, F.lit("_video_"), "o_orderpriority", F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.when(k % 5 == 0, "99").otherwise("123456"), F.lit(".mp4"))
+    videos = views.table(spark, d, "orders").select(k.alias("video_id"), F.when(k % 9 == 0, None).when(k % 7 == 0, F.concat("o_orderpriority", F.lit(".mp4"))).otherwise(full).alias("name"))
+    return registry.probed(videos)
+
+
+@register("probed_names", f"""WITH {NAMES} SELECT video_id, CASE WHEN ok THEN regexp_extract(name, '^(\\w+)_video_(.+)_(\\d{{8}})_(\\d{{6}})\\.mp4$', 1) END AS camera, CASE WHEN ok THEN regexp_extract(name, '^(\\w+)_video_(.+)_(\\d{{8}})_(\\d{{6}})\\.mp4$', 2) END AS session, CASE WHEN NOT ok THEN 'name is not camera_video_session_date_time.mp4' END AS reason FROM probed""")
+def probed_names(spark, d):
+    return _probed(spark, d).select("video_id", "camera", "session", "reason")
+
+
+@register("all_resolved", f"WITH {NAMES} SELECT count(*) FILTER (ok) AS resolvable, count(*) FILTER (NOT ok) AS unresolved, count(*) FILTER (NOT ok) = 0 AND count(*) FILTER (ok) > 0 AS all_resolved FROM probed")
+def all_resolved(spark, d):
+    return registry.all_resolved(_probed(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.scalars import diagonal, fold_heading
 from driftmark.operators import features, locomotion, transitions, windows
 from driftmark.plans import views
-from driftmark.plans.base import register
+from driftmark.plans.base import oracle_sql, register
 
 KEYS = ["video_id", "object_id"]
 CHUNK, STRIDE, LAG = 30, 10, 5
@@ -302,3 +302,16 @@ def centroid_spine(spark, d):
     spine = windows.frame_spine(axes, ["video_id"], "start", "stop").join(t.select("object_id").distinct())
     dense = spine.join(t.select(*KEYS, "frame_idx", "cx"), [*KEYS, "frame_idx"], "left")
     return _r(dense.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("frames"), F.count("cx").alias("seen"), F.sum("cx").alias("sum_cx")), sum_cx=4)
+
+
+_WINDOWS = oracle_sql()["window_features"]
+
+
+@register("analysed_features", f"SELECT * EXCLUDE ({', '.join(features.NOT_ANALYSED)}) FROM ({_WINDOWS})")
+def analysed_features(spark, d):
+    return features.analysed(window_features(spark, d))
+
+
+@register("focal_a", f"SELECT video_id, start_frame, 'a' AS focal_side, {', '.join(f'a_{c} AS {c}' for c in features.OBJECT_FEATURES)} FROM ({_WINDOWS})")
+def focal_a(spark, d):
+    return features.focal_a(window_features(spark, d), ["video_id"])
