@@ -43,6 +43,9 @@ scored AS (SELECT number, doc_id, template_id, license, start, count(DISTINCT gr
 SELECT doc_id, template_id, license, max(containment) AS containment, CAST(arg_max(start, struct_pack(c := containment, s := -start)) AS INT) AS first_word FROM scored WHERE containment >= 0.8 GROUP BY number, doc_id, template_id, license
 """
 
+#: Short notices have ids from 1000 on.
+OP2_SHORT_SQL = f"SELECT * FROM ({OP2_SQL}) WHERE template_id >= 1000"
+
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -132,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_licenses": OP2_SQL, "op2_short_notices": OP2_SHORT_SQL, "op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL}
