@@ -124,12 +124,17 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            edges = column("ids").offsets.to_numpy()
+            edges = edges - edges[0]
+            starts, ends, loss = (column(name).flatten().to_numpy(zero_copy_only=False) for name in ("starts", "ends", "loss"))
             out = []
-            for r in batch.to_pylist():
-                turns = parse(r["formatted"])
-                under = text_under(r["formatted"], np.array(r["starts"], int), np.array(r["ends"], int), np.array(r["loss"], bool))
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                out.append((r["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(r["formatted"]), len(r["ids"])))
+            for i, (conv_id, text) in enumerate(zip(column("conv_id").to_pylist(), column("formatted").to_pylist())):
+                own = slice(edges[i], edges[i + 1])
+                turns = parse(text)
+                under = text_under(text, starts[own], ends[own], loss[own])
+                said = "".join(f"{role}\n{body}\n" for role, body in turns)
+                out.append((conv_id, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text), int(edges[i + 1] - edges[i])))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha256" in n else pa.int64()) for c, n in zip(columns, names)], names=names)
