@@ -183,6 +183,15 @@ def test_planted_communities_are_found(spark):
     assert len({max(set(x), key=x.count) for x in ([got[i] for i in range(20 * g, 20 * g + 20)] for g in range(3))}) == 3
 
 
+def test_spectral_clusters_of_two_planted_groups(spark):
+    rng = np.random.default_rng(13)
+    edges = [(a, b, 1.0 if a // 20 == b // 20 else 0.01) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.7]
+    got = {r.node: r.community for r in graph.spectral(spark.createDataFrame(edges, "src long, dst long, weight double"), k=2).collect()}
+    first, second = ([got[i] for i in range(20 * g, 20 * g + 20)] for g in range(2))
+    assert max(first.count(c) for c in set(first)) >= 18 and max(second.count(c) for c in set(second)) >= 18
+    assert max(set(first), key=first.count) != max(set(second), key=second.count)
+
+
 def test_hashed_neighbours_reach_the_exact_ones(spark):
     rng = np.random.default_rng(14)
     v = rng.uniform(0, 1, (400, 3))
