@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, licenses, mixing, ngram_join, quality, sharding, token_counts, token_files
+from . import chat_format, chat_repair, decontaminate, fingerprints, lexical, licenses, mixing, ngram_join, personal, quality, sharding, sql, token_counts, token_files
 from .common import shared_path
 
 
@@ -130,9 +130,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.spans(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("text_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("text_spans", lambda s: s["kind"].isin(*personal.BASE))
+    return found.select("doc_id", *[count(kind) for kind in personal.BASE], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said("text_spans").alias("spans"))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = chat_repair.repair(chat_repair.damage(_table(spark, sf_dir, "conversations")), absent=F.col("gone"))
+    said = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said.cast("binary"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op2_short_notices": op2_short_notices, "op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files}
+    return {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op2_short_notices": op2_short_notices, "op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op6_ngram_join": op6_ngram_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_token_files": op10_token_files, "op11_lexical": op11_lexical, "op12_personal": op12_personal, "op13_chat_repair": op13_chat_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": OP2_SQL, "op2_short_notices": OP2_SHORT_SQL, "op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_licenses": OP2_SQL, "op2_short_notices": OP2_SHORT_SQL, "op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL, "op11_lexical": sql.OP11_SQL, "op12_personal": sql.OP12_SQL, "op13_chat_repair": sql.OP13_SQL}

@@ -47,9 +47,8 @@ def utf8(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
     return raw, offs - offs[0]
 
 
-def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word (run of other than ASCII white space), and for each text its first word's number (one more entry at the end)."""
-    inside = ~SPACE[raw]
+def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each run of bytes that are inside, never across texts, and for each text its first run's number (one more entry at the end)."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     first, last = inside.copy(), inside.copy()
@@ -63,6 +62,11 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b, np.searchsorted(a, offs)
 
 
+def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `spans`, of words: runs of other than ASCII white space."""
+    return spans(~SPACE[raw], offs)
+
+
 def byte_sums(raw: np.ndarray) -> np.ndarray:
     """Running sums from which span_hash reads the hash of any span of bytes."""
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
