@@ -1,8 +1,8 @@
 """Document fingerprints: digests of improbable features.
 
 A feature is a window of 16 bytes. Its rarity is the information it carries, the sum of -log2 p(byte | byte before)
-under the byte pairs of all documents, in whole thousandths of a bit. A window is selected if no window that begins up to 16 bytes
-before is as rare and none up to 16 bytes after is rarer; texts below 512 bytes also give windows of 8 bytes so, with a reach of 4. Selected windows go, in their order, into Bloom filters of
+under the byte pairs of all documents, in whole thousandths of a bit. A window is selected if no window that begins up to 8 bytes
+before is as rare and none up to 8 bytes after is rarer, in texts of any length. Selected windows go, in their order, into Bloom filters of
 2,048 bits with 5 hashes; after 160 features the next filter of the chain begins. Filters are compared by the bits
 they share beyond what chance gives, over the most they could share beyond it.
 """
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import range_bounds, range_bucket, shuffle_width, slices
 
-WINDOW, REACH, BITS, HASHES, FEATURES = 16, 16, 2048, 5, 160
-SHORT, FINE_WINDOW, FINE_REACH = 512, 8, 4
-_FACTORS = np.array([pow(textvec.BASE, 2 * i + 1, 1 << 64) for i in range(WINDOW // 8)], dtype=np.uint64)
+WINDOW, REACH, BITS, HASHES, FEATURES = 16, 8, 2048, 5, 160
+_FACTORS = np.array([pow(int(textvec.FACTOR), 2 * i + 1, 1 << 64) for i in range(WINDOW // 8)], dtype=np.uint64)
 
 
 def byte_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -50,8 +49,10 @@ def byte_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.rint(-1000 * np.log2((counts + 1) / (counts.sum(axis=1, keepdims=True) + 256))).astype(np.int64).ravel()
 
 
-def _selected(data: bytes, rarity: np.ndarray, window: int, reach: int) -> np.ndarray:
-    """64-bit hashes of the selected windows of one size. A text no longer than a window is one window, filled up with zeros."""
+def features(data: bytes, rarity: np.ndarray, window: int = WINDOW, reach: int = REACH) -> np.ndarray:
+    """64-bit hashes of the selected windows, distinct, in the order of the text. A text no longer than a window is one window, filled up with zeros; an empty one has none."""
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
     if len(data) <= window:
         b = np.frombuffer(data.ljust(window, b"\0"), dtype=np.uint8)[None, :]
     else:
@@ -68,16 +69,7 @@ def _selected(data: bytes, rarity: np.ndarray, window: int, reach: int) -> np.nd
         at = np.flatnonzero((own > best[: len(own)]) & (own >= best[reach + 1 : reach + 1 + len(own)]))
         b = np.lib.stride_tricks.sliding_window_view(b, window)[at]
     words = np.ascontiguousarray(b).view("<u8")
-    return textvec.mix((textvec.mix(words.copy()) * _FACTORS[: window // 8]).sum(axis=1, dtype=np.uint64))
-
-
-def features(data: bytes, rarity: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the selected windows, distinct, in the order of the text; a short text's finer ones follow."""
-    if not data:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = _selected(data, rarity, WINDOW, REACH)
-    if len(data) < SHORT:
-        hashes = np.concatenate([hashes, _selected(data, rarity, FINE_WINDOW, FINE_REACH)])
+    hashes = textvec.mix((textvec.mix(words.copy()) * _FACTORS[: window // 8]).sum(axis=1, dtype=np.uint64))
     _, first = np.unique(hashes, return_index=True)
     return hashes[np.sort(first)]
 
@@ -105,15 +97,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _one_way(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean over the filters of a of the best match in b. The best of many matches is above one's mean even by chance, and so the mark to beat is."""
+    """Mean over the filters of a of the best match in b.
+
+    The best of many matches is above one's mean even by chance, and so is the mark to beat: Bernstein's bound for as many filters as b has.
+    """
     nb = np.bitwise_count(b).sum(axis=1).astype(np.float64)
     share = nb / BITS
-    luck = np.sqrt(2 * np.log(len(b)))
+    most = 2 * np.log(len(b))
     total = 0.0
     for f in a:
         na = float(np.bitwise_count(f).sum())
         both = np.bitwise_count(b & f).sum(axis=1)
-        chance = na * share + luck * np.sqrt(na * share * (1 - share))
+        chance = na * share + np.sqrt(most * na * share * (1 - share)) + most / 3
         room = np.minimum(na, nb) - chance
         total += float(np.max(np.where(room > 0, np.clip((both - chance) / np.maximum(room, 1e-9), 0.0, 1.0), 0.0)))
     return total / len(a)

@@ -42,9 +42,7 @@ def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     raw, offs = textvec.utf8(column)
     inside = TERM[raw]
     a, b, firsts = textvec.spans(inside, offs)
-    places = np.concatenate([[0], np.cumsum(b - a)])
-    data = LOWER[raw[inside]]
-    return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]), firsts
+    return textvec.pieces(LOWER[raw], inside, a, b), firsts
 
 
 def weight(n: int, df: int) -> int:

@@ -33,6 +33,18 @@ KIND[10] = 5
 KIND[128:] = 6
 KINDS = 7 + len(_SIGNS)
 WIDTH = KINDS + 4 + BUCKETS
+BASE = int(textvec.FACTOR)
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _hashes(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes from running sums, for the bag of words alone: words that collide share a bucket."""
+    powers = np.full(len(raw) + 1, BASE, dtype=np.uint64)
+    inverse = np.full(len(raw) + 1, INVERSE, dtype=np.uint64)
+    powers[0] = inverse[0] = 1
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[:-1], out=sums[1:])
+    return textvec.mix((sums[b] - sums[a]) * np.cumprod(inverse)[a])
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +70,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = np.maximum(np.bincount(number, minlength=n), 1).astype(np.float64)
     size = np.minimum(b - a, 100).astype(np.float64)
     mean = np.bincount(number, size, n) / words
-    hashes = textvec.span_hash(textvec.byte_sums(raw), a, b)
+    hashes = _hashes(raw, a, b)
     distinct = np.unique(number.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
     out[:, KINDS] = mean / 10
     out[:, KINDS + 1] = np.sqrt(np.maximum(np.bincount(number, size * size, n) / words - mean**2, 0)) / 10

@@ -5,23 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _POWERS[base] = have
-    return have[:n]
+#: An odd factor with bits all over it.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,48 +56,56 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return spans(~SPACE[raw], offs)
 
 
-def byte_sums(raw: np.ndarray) -> np.ndarray:
-    """Running sums from which span_hash reads the hash of any span of bytes."""
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(raw)), out=sums[1:])
-    return sums
+def pieces(raw: np.ndarray, inside: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The bytes from a to b of each span, as a column; the spans are all that is inside."""
+    places = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(places), pa.py_buffer(raw[inside])])
 
 
-def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((sums[b] - sums[a]) * _powers(INVERSE, len(sums))[a])
+def words(column: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of a column of texts, each different one once in the dictionary, and for each text its first word's number."""
+    raw, offs = utf8(column, lower)
+    inside = ~SPACE[raw]
+    a, b, firsts = spans(inside, offs)
+    return pieces(raw, inside, a, b).dictionary_encode(), firsts
 
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each word of a column of texts, and for each text its first word's number."""
-    raw, offs = utf8(column, lower)
-    a, b, firsts = word_spans(raw, offs)
-    return span_hash(byte_sums(raw), a, b), firsts
+    """The 64-bit hash (xxh3) of each word of a column of texts, and for each text its first word's number."""
+    found, firsts = words(column, lower)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return each[found.indices.to_numpy()], firsts
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of k words, and for each text the number of its first one. A text of 1 to k - 1 words has one shingle of them all; one without words has none."""
+    """Hash of each run of k words, and for each text the number of its first one. A text of 1 to k - 1 words has one shingle of them all; one without words has none.
+
+    Each word is mixed into the hash of those before it, so that no sum over a shingle's words decides.
+    """
     n = len(words)
     counts = np.diff(firsts)
     own = np.where(counts == 0, 0, np.maximum(counts - k + 1, 1))
     starts = np.zeros(len(firsts), dtype=np.int64)
     np.cumsum(own, out=starts[1:])
-    factors = [np.uint64(pow(BASE, 2 * j + 1, 1 << 64)) for j in range(k)]
     out = np.zeros(starts[-1], dtype=np.uint64)
     if n >= k:
-        whole = words[: n - k + 1] * factors[0]
+        whole = mix(words[: n - k + 1])
         for j in range(1, k):
-            whole += words[j : n - k + 1 + j] * factors[j]
+            whole = mix(whole * FACTOR + words[j : n - k + 1 + j])
         inside = np.ones(len(whole), dtype=bool)  # not across texts
         for j in range(1, k):
             at = firsts[1:-1] - j
             inside[at[(at >= 0) & (at < len(whole))]] = False
-        short = np.flatnonzero((counts > 0) & (counts < k))
-        if not len(short):
-            return mix(whole[inside]), starts
         out[np.repeat(counts >= k, own)] = whole[inside]
-    for t in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-        out[starts[t]] = (words[firsts[t] : firsts[t + 1]] * np.array(factors[: counts[t]])).sum()
-    return mix(out), starts
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    if len(short):
+        first = firsts[:-1][short]
+        some = mix(words[first])
+        for j in range(1, k - 1):
+            more = counts[short] > j
+            some[more] = mix(some[more] * FACTOR + words[first[more] + j])
+        out[starts[:-1][short]] = some
+    return out, starts
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:

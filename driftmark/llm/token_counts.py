@@ -26,7 +26,7 @@ MARK = "▁"
 #: White space beyond ASCII, as the Unicode property White_Space has it (fixed values).
 WIDE_SPACE = re.compile("[\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 UNKNOWN_PENALTY = 10.0
-MOST_WORDS = 500_000
+MOST_WORDS, MOST_BYTES = 500_000, 1 << 25
 
 
 @lru_cache(maxsize=2)
@@ -51,7 +51,8 @@ class Counter:
         self.automaton.make_automaton()
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, word: str) -> int:
         """Pieces of one word, its mark included in it."""
@@ -84,19 +85,18 @@ class Counter:
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Pieces of each text of a column."""
-        raw, offs = textvec.utf8(column)
-        a, b, firsts = textvec.word_spans(raw, offs)
-        if not len(a):
-            return np.zeros(len(offs) - 1, dtype=np.int64)
-        keys, at, inverse = np.unique(textvec.span_hash(textvec.byte_sums(raw), a, b), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > MOST_WORDS:
-            self.known = {}
-        data = raw.tobytes()
-        known, keys = self.known, keys.tolist()
-        for k, i in zip(keys, at.tolist()):
-            if k not in known:
-                known[k] = self.word(data[a[i] : b[i]].decode())
-        each = np.fromiter((known[k] for k in keys), np.int64, len(keys))[inverse.reshape(-1)]
+        found, firsts = textvec.words(column, lower=False)
+        if not len(found):
+            return np.zeros(len(firsts) - 1, dtype=np.int64)
+        distinct = found.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > MOST_WORDS or self.held > MOST_BYTES:
+            self.known, self.held = {}, 0
+        known = self.known
+        for word in distinct:
+            if word not in known:
+                known[word] = self.word(word.decode())
+                self.held += len(word)
+        each = np.fromiter((known[word] for word in distinct), np.int64, len(distinct))[found.indices.to_numpy()]
         return np.diff(np.concatenate([[0], np.cumsum(each)])[firsts])
 
 

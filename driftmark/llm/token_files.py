@@ -28,7 +28,7 @@ from .common import running, shuffle_width, slices
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 BLOCKS = "part int, block int, total long, doc_ids array<long>, counts array<int>, ranks binary, control binary, payload binary"
 BLOCK_IDS = 1 << 18
-MOST_PIECES, SLOTS = 1_000_000, 1 << 21
+MOST_PIECES, MOST_BYTES = 500_000, 1 << 25
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -89,7 +89,7 @@ _ODD[0xC3] = False
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece: each distinct piece of a task goes through the tokenizer once while it is remembered.
+    """Encodes texts piece by piece: each distinct piece of a task, by its bytes, goes through the tokenizer once while it is remembered.
 
     A piece is a run of letters, a digit or a run of signs of a word that has only ASCII and letters of U+00C0 to U+00FF,
     without an apostrophe, in lower case; the tokenizer cuts there whatever stands around it. Other words are pieces as
@@ -112,12 +112,13 @@ class PieceEncoder:
             self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.slot_key, self.slot_place = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
 
-    def learn(self, hashes: list[int], pieces: list[str], odd: list[bool]) -> None:
+    def learn(self, keys: list[bytes], odd: list[bool]) -> None:
+        pieces = [k.decode() for k in keys]
         plain, special = [i for i, o in enumerate(odd) if not o], [i for i, o in enumerate(odd) if o]
         sizes = np.zeros(len(pieces), dtype=np.int64)
         found: list[np.ndarray] = []
@@ -135,17 +136,11 @@ class PieceEncoder:
                 sizes[i] = len(code.ids)
                 found.append(np.array(code.ids, dtype=np.uint32))
         order = np.array([*plain, *special], dtype=np.int64)
-        new = np.arange(len(self.starts), len(self.starts) + len(order))
-        keys = np.array(hashes, dtype=np.uint64)[order]
-        self.place.update(zip(keys.tolist(), new.tolist()))
+        self.place.update((keys[i], len(self.starts) + n) for n, i in enumerate(order.tolist()))
+        self.held += sum(map(len, keys))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes[order]) - sizes[order]])
         self.sizes = np.concatenate([self.sizes, sizes[order]])
         self.ids = np.concatenate([self.ids, *found])
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        free = self.slot_place[slot] < 0
-        self.slot_key[slot[free]], self.slot_place[slot[free]] = keys[free], new[free]
-        # Two new pieces may have met in a slot; only the one whose key was written may be found there.
-        self.slot_place[slot[free]] = [self.place[k] for k in self.slot_key[slot[free]].tolist()]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the number of ids of each text."""
@@ -185,23 +180,17 @@ class PieceEncoder:
         a, b = a[inside], b[inside]
         if not len(a):
             return none
-        keys = textvec.span_hash(textvec.byte_sums(low), a, b)
-        strange = special[a]
-        keys[strange] ^= np.uint64(0x5DEECE66D5DEECE7)
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        place = np.where(self.slot_key[slot] == keys, self.slot_place[slot], -1).astype(np.int64)
-        missed = np.flatnonzero(place < 0)
-        if len(missed):
-            distinct, at, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
-            listed = distinct.tolist()
-            new = [i for i, k in enumerate(listed) if k not in self.place]
-            if len(self.place) + len(new) > MOST_PIECES:
-                self.forget()
-                return self.encode(column)
-            data, at = low.tobytes(), missed[at]
-            if new:
-                self.learn([listed[i] for i in new], [data[a[j] : b[j]].decode() for j in at[new].tolist()], strange[at[new]].tolist())
-            place[missed] = np.fromiter((self.place[k] for k in listed), np.int64, len(listed))[inverse.reshape(-1)]
+        # A piece's bytes say whether it is a special one: only those hold an odd byte or "<|".
+        found = textvec.pieces(low, kind > 0, a, b).dictionary_encode()
+        codes, keys = found.indices.to_numpy(), found.dictionary.to_pylist()
+        if len(self.place) + len(keys) > MOST_PIECES or self.held > MOST_BYTES:
+            self.forget()
+        new = [i for i, k in enumerate(keys) if k not in self.place]
+        if new:
+            at = np.zeros(len(keys), dtype=np.int64)
+            at[codes] = a
+            self.learn([keys[i] for i in new], special[at[new]].tolist())
+        place = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))[codes]
         sizes = self.sizes[place]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -230,7 +219,7 @@ def _block(part: int, block: int, doc_ids: list, counts: np.ndarray, ids: np.nda
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
-    """Encodes docs into files at path, in ascending id order (null ids first; equal ids by their text).
+    """Encodes docs into files at path, in ascending id order (null ids first; equal ids by a hash of their text, and those by the text).
 
     Null texts are empty: they have the end id alone. A text of any length stays in one block. Repeated rows are
     written again. Columns other than the id and the text are not read. An empty table gives files without blocks.
@@ -255,7 +244,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             yield _block(part, block, doc_ids, np.concatenate(counts), np.concatenate(ids))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    rows = rows.repartitionByRange(max(1, shuffle_width(docs.sparkSession)), "doc_id").sortWithinPartitions("doc_id", "body")
+    rows = rows.withColumn("tie", F.xxhash64("body"))
+    rows = rows.repartitionByRange(max(1, shuffle_width(docs.sparkSession)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "body").drop("tie")
     rows.mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
