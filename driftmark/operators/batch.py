@@ -48,9 +48,9 @@ def robust(table: DataFrame, columns: PAIR) -> DataFrame:
 
 
 def minmax(table: DataFrame, columns: PAIR) -> DataFrame:
-    """Values from 0 to 1 between the column's least and largest."""
+    """Values from 0 to 1 between the column's least and largest; a column without values becomes 0."""
     got = table.agg(*[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]).first()
-    span = lambda c: got[f"b_{c}"] - got[f"a_{c}"]
+    span = lambda c: (got[f"b_{c}"] or 0.0) - (got[f"a_{c}"] or 0.0)
     return _apply(table, columns, lambda c: (F.col(c) - F.lit(got[f"a_{c}"])) / F.lit(span(c) if span(c) >= 1e-12 else 1.0))
 
 
@@ -96,6 +96,12 @@ def effect_summary(shares: DataFrame, value: str = "eta_squared") -> DataFrame:
     return shares.agg(F.count(F.lit(1)).alias("features"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"), F.count_if(F.col(value) > 0.1).alias("above_10"), F.count_if(F.col(value) > 0.25).alias("above_25"))
 
 
+def largest_effects(shares: DataFrame, most: int = 30, value: str = "eta_squared") -> DataFrame:
+    """The `most` features of the largest shares (ties: by name), numbered from 1."""
+    top = shares.orderBy(F.desc_nulls_last(value), "feature").limit(most)  # few rows from here on
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last(value), "feature")).cast("long"))
+
+
 def effect_change(before: DataFrame, after: DataFrame, value: str = "eta_squared") -> DataFrame:
     """Shares before and after a correction, 0 where missing after, and the reduction in percent."""
     post = after.select("feature", F.col(value).alias("after"))
@@ -121,14 +127,18 @@ def combat(table: DataFrame, keys: PAIR, columns: PAIR, batch: str, rounds: int
     """Empirical-Bayes correction of additive and multiplicative batch effects, without covariates.
 
     Counts, means and variances by batch and feature are all that the estimates need; they are batches times
-    features rows, and the iterations run on them in the driver. Fewer than two batches leave the table as it is.
+    features rows, and the iterations run on them in the driver. Fewer than two batches leave the table as it is, and so does a column of which some
+    batch has no value. A missing value stays missing.
     """
     import numpy as np
 
+    asked = list(columns)
     aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("v", F.var_pop))]
     got = table.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy(batch).collect()  # a row for each batch
-    if len(got) < 2:
+    whole = [c for c in columns if all(r[f"m_{c}"] is not None for r in got)]
+    if len(got) < 2 or not whole:
         return table
+    left, columns = [c for c in columns if c not in whole], whole
     n = np.array([r.n for r in got], float)[:, None]
     mean = np.array([[r[f"m_{c}"] for c in columns] for r in got])
     var = np.array([[r[f"v_{c}"] for c in columns] for r in got])
@@ -161,7 +171,7 @@ def combat(table: DataFrame, keys: PAIR, columns: PAIR, batch: str, rounds: int
         return ((z - F.col(f"_g_{c}")) / F.col(f"_d_{c}") * F.lit(float(spread[j])) + F.lit(float(grand[j]))).alias(c)
 
     kept = [c for c in table.columns if c not in columns]
-    return table.join(star, F.col(batch).eqNullSafe(F.col("_b"))).select(*kept, *[fixed(j, c) for j, c in enumerate(columns)])
+    return table.join(star, F.col(batch).eqNullSafe(F.col("_b"))).select(*kept, *[fixed(j, c) for j, c in enumerate(columns)]).select(*[c for c in kept if c not in left], *asked)
 
 
 def pca(table: DataFrame, keys: PAIR, columns: PAIR, k: int = 2) -> DataFrame:

@@ -73,10 +73,39 @@ def merged_projects(left: DataFrame, right: DataFrame, left_name: str, right_nam
     """The videos of two projects under new ids, ordered by name without case. Merging a project with itself is an error."""
     if left_name == right_name:
         raise ValueError("a project can't be merged with itself")
-    one = lambda df, p: df.withColumn("project", F.lit(p)).withColumn("new_id", F.substring(F.sha2(F.concat_ws("/", F.lit(p), F.col(video).cast("string")), 256), 1, 12))
+    one = lambda df, p: df.withColumn("project", F.lit(p)).withColumn("new_id", new_video_id(F.lit(p), F.col(video)))
     return one(left, left_name).unionByName(one(right, right_name)).orderBy(F.lower(name), "new_id")
 
 
+def new_video_id(project: Column, video: Column) -> Column:
+    """The id of a video in a merged project: 12 hex digits of the SHA-256 of both names."""
+    return F.substring(F.sha2(F.concat_ws("/", project, video.cast("string")), 256), 1, 12)
+
+
+def united(tables: dict[str, DataFrame], video: str = "video_id") -> DataFrame:
+    """Tables of several projects (windows, frames, labels) as one: project and new_id before their columns; a column that a table lacks is null."""
+    out = None
+    for project, table in tables.items():
+        named = table.select(F.lit(project).alias("project"), new_video_id(F.lit(project), F.col(video)).alias("new_id"), *table.columns)
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def key_sets(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How the distinct keys of two tables compare, one row: n_a, n_b, equal, a_in_b, and whether a's are the first of b's in their order.
+
+    The keys of a are the first of b's if b has them all and none that a lacks comes before a's last.
+    """
+    both = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b"))).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    key = F.struct(*keys)
+    out = both.agg(
+        F.count_if(F.col("_a") == 1).alias("n_a"), F.count_if(F.col("_b") == 1).alias("n_b"), F.count_if(F.col("_a") > F.col("_b")).alias("_only_a"), F.count_if(F.col("_a") < F.col("_b")).alias("_only_b"),
+        F.max(F.when(F.col("_a") == 1, key)).alias("_last"), F.min(F.when(F.col("_a") < F.col("_b"), key)).alias("_first"),
+    )
+    inside = F.col("_only_a") == 0
+    return out.select("n_a", "n_b", (inside & (F.col("_only_b") == 0)).alias("equal"), inside.alias("a_in_b"), (inside & F.coalesce(F.col("_last") < F.col("_first"), F.lit(True))).alias("a_first"))
+
+
 def stale_caches(videos: DataFrame, cache: DataFrame, keys: Sequence[str] = ("video_id", "signature")) -> DataFrame:
     """The videos to be computed again: no cache of the same signature that is newer than the source. videos: keys, changed_at; cache: keys, cached_at."""
     return videos.join(cache.select(*keys, "cached_at"), list(keys), "left").where("cached_at IS NULL OR cached_at < changed_at").select(*videos.columns)

@@ -108,9 +108,14 @@ def side_columns(columns: Sequence[str], side: str) -> list[str]:
     return [c for c in columns if (c in PAIR_FEATURES if side == "pair" else c.startswith(f"{side}_"))]
 
 
-def focal_rows(windows_: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each pair row as two focal rows: the focal object's features without a prefix, the pair's with the headings and lag as they are."""
-    rows = [F.struct(F.lit(s).alias("focal_side"), *[F.col(f"{s}_{c}").alias(c) for c in OBJECT_FEATURES], *[F.col(c) for c in PAIR_FEATURES if c not in NOT_ANALYSED]) for s in ("a", "b")]
+def focal_rows(windows_: DataFrame, keys: Sequence[str], identity: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Each pair row as two focal rows: the focal object's features without a prefix, the pair's with the headings and lag as they are.
+
+    identity: pairs of columns that say of a and of b the same (id, role, housing, name). Of the focal object b they are exchanged, so that the first of
+    each is always the focal object's.
+    """
+    said = {"a": [F.col(x).alias(x) for pair in identity for x in pair], "b": [F.col(y).alias(x) for a, b in identity for x, y in ((a, b), (b, a))]}
+    rows = [F.struct(F.lit(s).alias("focal_side"), *said[s], *[F.col(f"{s}_{c}").alias(c) for c in OBJECT_FEATURES], *[F.col(c) for c in PAIR_FEATURES if c not in NOT_ANALYSED]) for s in ("a", "b")]
     return windows_.select(*keys, "start_frame", F.explode(F.array(*rows)).alias("r")).select(*keys, "start_frame", "r.*")
 
 

@@ -63,10 +63,11 @@ def similarity(runs: DataFrame, frame: str = "frame_idx", obj: str = "object_id"
     return out.select(frame, "a", "b", "overlap", (F.col("overlap") / (F.col("area_a") + F.col("area_b") - F.col("overlap"))).alias("iou"), (F.col("overlap") / F.col("area_a")).alias("precision"))
 
 
-def best_match(scores: DataFrame, key: str, truth: str, least_iou: float = 0.25, least_precision: float = 0.35) -> DataFrame:
-    """For each mask the truth of the largest IoU (ties: the first truth), and whether it is good enough."""
-    best = F.max_by(F.struct(truth, "iou", "precision"), F.struct("iou", F.xxhash64(truth)))
-    out = scores.groupBy(key).agg(best.alias("m")).select(key, "m.*")
+def best_match(scores: DataFrame, key: str | Sequence[str], truth: str, least_iou: float = 0.25, least_precision: float = 0.35) -> DataFrame:
+    """For each mask the truth of the largest IoU (ties: the first truth by its key), and whether it is good enough."""
+    best = F.min_by(F.struct(truth, "iou", "precision"), F.struct(-F.col("iou"), truth))
+    keys = [key] if isinstance(key, str) else list(key)
+    out = scores.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
     return out.withColumn("ok", (F.col("iou") >= least_iou) & (F.col("precision") >= least_precision))
 
 
@@ -211,7 +212,11 @@ def frame_verdicts(masks: DataFrame, expected: DataFrame, frame: str = "frame_id
     return out.groupBy(frame).agg(F.count(F.lit(1)).alias("expected"), F.count("ok").alias("found"), F.count_if(F.col("ok").isNull()).alias("missing"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("all_ok"))
 
 
-def pick(detections: DataFrame, side: str, keys: Sequence[str], animal: float = 0.45, port: float = 0.8) -> DataFrame:
+#: Centres from which on a detection can be the right animal, and where the water port begins; centres of likely bedding (fixed values).
+RIGHT_ANIMAL, WATER_PORT, BEDDING_GAP = 0.55, 0.74, (0.42, 0.56)
+
+
+def pick(detections: DataFrame, side: str, keys: Sequence[str], animal: float = RIGHT_ANIMAL, port: float = WATER_PORT) -> DataFrame:
     """One detection of each key by the side asked for: the leftmost left of the animal's border (else of all), or the rightmost between it and the port (else left of the port, else of all)."""
     cx = F.col("cx")
     if side == "left":
@@ -239,10 +244,6 @@ def runs_of(pixels_: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return pixels_.withColumn("_i", island).groupBy(*keys, "x", "_i").agg(F.min("y").alias("y0"), F.count(F.lit(1)).alias("len")).drop("_i")
 
 
-#: Where a mask of two expected animals is likely bedding, and where the water port (fixed values).
-BEDDING_GAP, WATER_PORT = (0.42, 0.56), 0.74
-
-
 def frame_checks(found: DataFrame, expected: DataFrame, near: float = 0.08, frame: str = "frame_idx", obj: str = "object_id") -> DataFrame:
     """One row for each frame and expected object: ok, and the reasons against it, joined by commas.
 

@@ -58,16 +58,22 @@ def anchor_interval(anchors: DataFrame, video: str = "video_id") -> DataFrame:
     return anchors.select(video, gap.alias("gap")).where("gap > 0").groupBy(video).agg(F.percentile("gap", 0.5).alias("interval"))
 
 
-def labelling_rows(timing: DataFrame, video: str = "video_id", tie: Sequence[str] = ()) -> DataFrame:
+def labelling_rows(timing: DataFrame, video: str = "video_id", tie: Sequence[str] = (), prompts: DataFrame | None = None) -> DataFrame:
     """Labelled frames in the order of being entered: number, seconds from the first entered to entering and committing, duration and cumulative duration.
 
-    An unknown duration is committed less entered.
+    An unknown duration is committed less entered; a frame whose duration stays unknown is left out before the others are numbered. prompts (video, frame_idx, prompts) adds
+    prompt_count, 0 for a frame without.
     """
+    timing = timing.where(F.coalesce(F.col("duration_ms"), F.col("committed_ms") - F.col("entered_ms")).isNotNull())
     w = W.partitionBy(video).orderBy(F.col("entered_ms").asc_nulls_last(), "frame_idx", *tie)
     first = F.min("entered_ms").over(W.partitionBy(video))
     took = F.coalesce(F.col("duration_ms"), F.col("committed_ms") - F.col("entered_ms")) / 1000
     rows = timing.select(video, "frame_idx", *tie, F.row_number().over(w).cast("long").alias("number"), ((F.col("entered_ms") - first) / 1000).alias("start_s"), ((F.col("committed_ms") - first) / 1000).alias("commit_s"), took.alias("duration_s"))
-    return rows.withColumn("cumulative_s", F.sum("duration_s").over(W.partitionBy(video).orderBy("number").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("cumulative_s", F.sum("duration_s").over(W.partitionBy(video).orderBy("number").rowsBetween(W.unboundedPreceding, 0)))
+    if prompts is None:
+        return rows
+    counts = prompts.groupBy(video, "frame_idx").agg(F.sum("prompts").cast("long").alias("prompt_count"))
+    return rows.join(counts, [video, "frame_idx"], "left").withColumn("prompt_count", F.coalesce("prompt_count", F.lit(0).cast("long")))
 
 
 def labelling_totals(timing: DataFrame, video: str = "video_id") -> DataFrame:
@@ -127,8 +133,16 @@ def merge_summaries(base: DataFrame, again: DataFrame, key: str) -> DataFrame:
 
 
 def prompt_counts(prompts: DataFrame, points: str, by: Sequence[str]) -> DataFrame:
-    """Points placed by key."""
-    return prompts.groupBy(*by).agg(F.sum(F.size(points)).cast("long").alias("prompts"))
+    """Points placed by key: the entries of a list; any other value that isn't empty counts as one. Values may be arrays, JSON texts, or of any other type."""
+    kind, value = dict(prompts.dtypes)[points], F.col(points)
+    if kind.startswith("array"):
+        one = F.greatest(F.size(value), F.lit(0))
+    elif kind == "string":
+        nothing = F.trim(value).isin("", "null", "false", "0", "0.0", "{}", '""')
+        one = F.coalesce(F.json_array_length(value), F.when(~nothing, 1))
+    else:
+        one = F.when(value.isNotNull() & ~F.lower(value.cast("string")).isin("0", "0.0", "-0.0", "false"), 1)
+    return prompts.groupBy(*by).agg(F.sum(F.coalesce(one, F.lit(0))).cast("long").alias("prompts"))
 
 
 def long_metrics(summary: DataFrame, key: str) -> DataFrame:
@@ -220,13 +234,22 @@ ACROSS = (
 )
 
 
-def across_videos(metrics: DataFrame, pooled: dict[str, DataFrame], video: str = "video_id") -> DataFrame:
-    """Summaries of the metrics across videos, and of pooled values (one column each) under their names: metric, n, mean, sd, quartiles, min, max."""
+def across_videos(metrics: DataFrame, pooled: dict[str, DataFrame], video: str = "video_id", rows: DataFrame | None = None, least: float = 4.0) -> DataFrame:
+    """Summaries of the metrics across videos, and of pooled values (one column each) under their names: metric, n, mean, sd, quartiles, min, max.
+
+    rows (labelled anchors: video, duration_s, gap) adds the durations by how near the boxes are, and by video the anchors timed, those of less than `least`
+    seconds, the others and the share left out. The durations are those of the others.
+    """
     from driftmark.operators import stats
 
     long = metrics.select(video, *[F.col(m).cast("double").alias(m) for m in ACROSS]).unpivot([video], list(ACROSS), "metric", "value").select("metric", "value")
     for name, values in pooled.items():
         long = long.unionByName(values.select(F.lit(name).alias("metric"), F.col(values.columns[0]).cast("double").alias("value")))
+    if rows is not None:
+        kept, clicks = without_clicks(rows, least, video)
+        grouped = gap_groups(kept, "gap", "duration_s").select(F.concat(F.lit("pooled_label_s_"), "gap_group").alias("metric"), F.col("duration_s").cast("double").alias("value"))
+        counts = clicks.select(video, *[c.cast("double").alias(n) for n, c in (("timed_raw", F.col("rows")), ("clicks_excluded", F.col("excluded")), ("timed_analysed", F.col("rows") - F.col("excluded")), ("click_share", F.col("excluded_share")))])
+        long = long.unionByName(grouped).unionByName(counts.unpivot([video], counts.columns[1:], "metric", "value").select("metric", "value"))
     return stats.summary(long, ["metric"], "value")
 
 

@@ -109,6 +109,37 @@ def merge_projects(spark, d):
     return edits.merged_projects(a, b, "p1", "p2").select("new_id", "video_id", "name")
 
 
+@register("united_labels", "SELECT 'p1' AS project, left(sha256('p1/' || c_custkey), 12) AS new_id, c_custkey AS video_id, o_orderkey AS start_frame, NULL::VARCHAR AS cluster FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'p2', left(sha256('p2/' || l_suppkey), 12), l_suppkey, l_orderkey, l_returnflag FROM lineitem")
+def united_labels(spark, d):
+    """The windows of two projects under the ids that their videos have in the merged project; only the second has labels."""
+    o = views.table(spark, d, "orders").join(views.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("start_frame"))
+    line = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("video_id"), F.col("l_orderkey").alias("start_frame"), F.col("l_returnflag").alias("cluster"))
+    return edits.united({"p1": o, "p2": line})
+
+
+_KEYS = lambda name, a, b: f"""SELECT '{name}' AS pair, (SELECT count(*) FROM ({a})) AS n_a, (SELECT count(*) FROM ({b})) AS n_b, NOT EXISTS ({a} EXCEPT {b}) AND NOT EXISTS ({b} EXCEPT {a}) AS equal, NOT EXISTS ({a} EXCEPT {b}) AS a_in_b,
+NOT EXISTS ({a} EXCEPT {b}) AND coalesce((SELECT max(k) FROM ({a})) < (SELECT min(k) FROM ({b} EXCEPT {a})), true) AS a_first"""
+_SETS = {
+    "all": ("SELECT DISTINCT l_orderkey AS k FROM lineitem", "SELECT o_orderkey AS k FROM orders"),
+    "first": ("SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 1000", "SELECT o_orderkey AS k FROM orders"),
+    "part": ("SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT o_orderkey AS k FROM orders"),
+    "more": ("SELECT o_orderkey AS k FROM orders", "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'"),
+}
+
+
+@register("key_sets", " UNION ALL ".join(_KEYS(name, *sides) for name, sides in _SETS.items()))
+def key_sets(spark, d):
+    """Sets of frames compared: equal ones, a prefix, a subset that is none, and a set that is too large."""
+    orders = views.table(spark, d, "orders").withColumn("k", F.col("o_orderkey"))
+    lines = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
+    sets = {"all": (lines, orders), "first": (orders.where("k < 1000"), orders), "part": (orders.where("o_orderstatus = 'F'"), orders), "more": (orders, orders.where("o_orderstatus <> 'P'"))}
+    out = None
+    for name, (a, b) in sets.items():
+        one = edits.key_sets(a, b, ["k"]).select(F.lit(name).alias("pair"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("stale_caches", "SELECT o_orderkey AS video_id FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 10 >= 5")
 def stale_caches(spark, d):
     o = views.table(spark, d, "orders").withColumnRenamed("o_orderkey", "video_id")

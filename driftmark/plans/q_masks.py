@@ -160,13 +160,13 @@ def frame_verdicts(spark, d):
     return masks.frame_verdicts(ok, spark.createDataFrame([("A",), ("R",), ("N",)], "object_id string"))
 
 
-@register("pick_left", f"WITH {views.BOXES}, c AS (SELECT frame_idx, object_id, round(x + w / 2, 6) AS cx FROM boxes) SELECT frame_idx, min(cx) AS cx FROM c GROUP BY 1")
+@register("pick_left", f"WITH {views.BOXES}, c AS (SELECT frame_idx, object_id, round(x + w / 2, 6) AS cx FROM boxes) SELECT frame_idx, coalesce(min(cx) FILTER (cx < 0.55), min(cx)) AS cx FROM c GROUP BY 1")
 def pick_left(spark, d):
     c = views.boxes(spark, d).select("frame_idx", F.col("object_id").alias("detection"), F.round(F.col("x") + F.col("w") / 2, 6).alias("cx"))
     return masks.pick(c, "left", ["frame_idx"]).select("frame_idx", "cx")
 
 
-@register("pick_right", f"WITH {views.BOXES}, c AS (SELECT frame_idx, round(x + w / 2, 6) AS cx FROM boxes) SELECT frame_idx, coalesce(max(cx) FILTER (cx >= 0.45 AND cx < 0.8), max(cx) FILTER (cx < 0.8), max(cx)) AS cx FROM c GROUP BY 1")
+@register("pick_right", f"WITH {views.BOXES}, c AS (SELECT frame_idx, round(x + w / 2, 6) AS cx FROM boxes) SELECT frame_idx, coalesce(max(cx) FILTER (cx >= 0.55 AND cx < 0.74), max(cx) FILTER (cx < 0.74), max(cx)) AS cx FROM c GROUP BY 1")
 def pick_right(spark, d):
     c = views.boxes(spark, d).select("frame_idx", F.col("object_id").alias("detection"), F.round(F.col("x") + F.col("w") / 2, 6).alias("cx"))
     return masks.pick(c, "right", ["frame_idx"]).select("frame_idx", "cx")
@@ -188,9 +188,10 @@ def mask_fingerprints(spark, d):
 
 
 @register("truth_matches", f"""WITH {views.PIXELS}, n AS (SELECT frame_idx, object_id, count(*) AS n FROM pixels GROUP BY 1, 2), o AS (SELECT p.frame_idx, p.object_id AS a, q.object_id AS b, count(*) AS overlap FROM pixels p JOIN pixels q ON p.frame_idx = q.frame_idx AND p.x = q.x AND p.y = q.y AND p.object_id < q.object_id GROUP BY 1, 2, 3),
-s AS (SELECT o.frame_idx, b, overlap / (x.n + y.n - overlap) AS iou, overlap / x.n AS prec FROM o JOIN n x ON o.frame_idx = x.frame_idx AND x.object_id = a JOIN n y ON o.frame_idx = y.frame_idx AND y.object_id = b) SELECT frame_idx, b, round(iou, 6) AS iou, round(prec, 6) AS "precision", iou >= 0.25 AND prec >= 0.35 AS ok FROM s""")
+s AS (SELECT o.frame_idx, a, b, overlap / (x.n + y.n - overlap) AS iou, overlap / x.n AS prec FROM o JOIN n x ON o.frame_idx = x.frame_idx AND x.object_id = a JOIN n y ON o.frame_idx = y.frame_idx AND y.object_id = b) SELECT frame_idx, a, b, round(iou, 6) AS iou, round(prec, 6) AS "precision", iou >= 0.25 AND prec >= 0.35 AS ok FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, a ORDER BY iou DESC, b) AS place FROM s) WHERE place = 1""")
 def truth_matches(spark, d):
-    return r6(masks.best_match(masks.similarity(_runs(spark, d)), "frame_idx", "b"))
+    """Masks of the flag A, which may overlap N and R: of equal overlaps the first counts."""
+    return r6(masks.best_match(masks.similarity(_runs(spark, d)), ["frame_idx", "a"], "b"))
 
 
 @register("frame_checks", f"""WITH {views.BOXES}, e AS (SELECT * FROM (VALUES ('1', 'left'), ('2', 'right'), ('3', NULL)) AS t(object_id, side)), f AS (SELECT frame_idx, object_id, x, y, w, h, x + w / 2 AS cx, y + h / 2 AS cy FROM boxes),

@@ -81,12 +81,13 @@ def anchor_interval(spark, d):
 
 LABEL = T + """,
 l AS (SELECT video_id, frame_idx, order_id, row_number() OVER (PARTITION BY video_id ORDER BY entered_ms NULLS LAST, frame_idx, order_id) AS number, (entered_ms - min(entered_ms) OVER (PARTITION BY video_id)) / 1000 AS start_s,
-    (committed_ms - min(entered_ms) OVER (PARTITION BY video_id)) / 1000 AS commit_s, coalesce(duration_ms, committed_ms - entered_ms) / 1000 AS duration_s FROM timing)"""
+    (committed_ms - min(entered_ms) OVER (PARTITION BY video_id)) / 1000 AS commit_s, coalesce(duration_ms, committed_ms - entered_ms) / 1000 AS duration_s FROM timing WHERE coalesce(duration_ms, committed_ms - entered_ms) IS NOT NULL)"""
 
 
-@register("labelling_rows", f"WITH {LABEL} SELECT video_id, frame_idx, order_id, number, round(start_s, 3) AS start_s, round(commit_s, 3) AS commit_s, round(duration_s, 3) AS duration_s, round(sum(duration_s) OVER (PARTITION BY video_id ORDER BY number ROWS UNBOUNDED PRECEDING), 3) AS cumulative_s FROM l")
+@register("labelling_rows", f"WITH {LABEL}, pc AS (SELECT video_id, frame_idx, CAST(sum(1 + order_id % 3) AS BIGINT) AS prompt_count FROM timing WHERE order_id % 5 > 0 GROUP BY 1, 2) SELECT video_id, frame_idx, order_id, coalesce(prompt_count, 0) AS prompt_count, number, round(start_s, 3) AS start_s, round(commit_s, 3) AS commit_s, round(duration_s, 3) AS duration_s, round(sum(duration_s) OVER (PARTITION BY video_id ORDER BY number ROWS UNBOUNDED PRECEDING), 3) AS cumulative_s FROM l LEFT JOIN pc USING (video_id, frame_idx)")
 def labelling_rows(spark, d):
-    return _r(report.labelling_rows(_t(spark, d), tie=["order_id"]), start_s=3, commit_s=3, duration_s=3, cumulative_s=3)
+    prompts = _t(spark, d).where("order_id % 5 > 0").select("video_id", "frame_idx", (1 + F.col("order_id") % 3).alias("prompts"))
+    return _r(report.labelling_rows(_t(spark, d), tie=["order_id"], prompts=prompts), start_s=3, commit_s=3, duration_s=3, cumulative_s=3)
 
 
 @register("labelling_totals", f"WITH {T} SELECT video_id, min(entered_ms) AS first_ms, max(committed_ms) AS last_ms, CAST(sum(duration_ms) AS BIGINT) AS total_ms, count(*) AS frames, max(committed_ms) - min(entered_ms) AS wall_ms FROM timing GROUP BY 1")
@@ -159,6 +160,13 @@ def merge_summaries(spark, d):
     return report.merge_summaries(base, again, "video_id")
 
 
+@register("prompt_texts", f"WITH {T} SELECT video_id, frame_idx, CAST(sum([2, 1, 0, 0, 1, 0][CAST(order_id % 6 AS INT) + 1]) AS BIGINT) AS prompts FROM timing GROUP BY 1, 2")
+def prompt_texts(spark, d):
+    """Prompts kept as JSON: lists count their entries, other values that aren't empty count as one."""
+    texts = F.array(*[F.lit(t) for t in ("[[1, 2], [3, 4]]", '{"x": 1}', "[]", "null", "7", "0")])
+    return report.prompt_counts(_t(spark, d).withColumn("points", F.get(texts, (F.col("order_id") % 6).cast("int"))), "points", ["video_id", "frame_idx"])
+
+
 @register("prompt_counts", f"WITH {T} SELECT video_id, CAST(sum(1 + frame_idx % 3) AS BIGINT) AS prompts FROM timing GROUP BY 1")
 def prompt_counts(spark, d):
     prompts = _t(spark, d).withColumn("points", F.array_repeat(F.lit(1), (1 + F.col("frame_idx") % 3).cast("int")))
@@ -264,8 +272,8 @@ def video_metrics(spark, d):
 SUMMARY_SQL = "count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS sd, round(quantile_cont(v, 0.25), 6) AS q25, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(min(v), 6) AS min, round(max(v), 6) AS max"
 
 
-@register("across_videos", f"WITH {METRICS}, x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM mt" for m in report.ACROSS) + f" UNION ALL SELECT 'pooled_label_s', duration_s FROM lr UNION ALL SELECT 'pooled_gap', gap FROM lr UNION ALL SELECT 'pooled_burst_fps', f FROM bu) SELECT metric, {SUMMARY_SQL} FROM x WHERE v IS NOT NULL GROUP BY 1")
+@register("across_videos", f"WITH {METRICS}, x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM mt" for m in report.ACROSS) + f" UNION ALL SELECT 'pooled_label_s', duration_s FROM lr UNION ALL SELECT 'pooled_gap', gap FROM lr UNION ALL SELECT 'pooled_burst_fps', f FROM bu " + " ".join(f"UNION ALL SELECT 'pooled_label_s_{g}', duration_s FROM lr WHERE {rule} AND duration_s >= 4" for g, rule in RULES) + f" UNION ALL SELECT unnest(['timed_raw', 'clicks_excluded', 'timed_analysed', 'click_share']), unnest([n, q, n - q, q / n]) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (duration_s < 4) AS q FROM lr GROUP BY video_id)) SELECT metric, {SUMMARY_SQL} FROM x WHERE v IS NOT NULL GROUP BY 1")
 def across_videos(spark, d):
     metrics, rows, saves = _metrics(spark, d)
     bursts = report.throughput(saves.withColumn("bytes", F.lit(0)))
-    return r6(report.across_videos(metrics, {"pooled_label_s": rows.select("duration_s"), "pooled_gap": rows.select("gap"), "pooled_burst_fps": bursts.select("fps")}))
+    return r6(report.across_videos(metrics, {"pooled_label_s": rows.select("duration_s"), "pooled_gap": rows.select("gap"), "pooled_burst_fps": bursts.select("fps")}, rows=rows))

@@ -176,6 +176,13 @@ def batch_effects(spark, d):
     return _r(batch.effects(_long(spark, d), "batch").drop("p"), eta_squared=6, f=5)
 
 
+@register("largest_effects", f"WITH {EFFECTS} SELECT feature, round(least(1, ssb / sst), 6) AS eta_squared, place FROM (SELECT *, row_number() OVER (ORDER BY round(least(1, ssb / sst), 9) DESC, feature) AS place FROM e) WHERE place <= 5")
+def largest_effects(spark, d):
+    """The five of eight features whose variance the batches explain best."""
+    shares = batch.effects(_long(spark, d), "batch").withColumn("eta_squared", F.round("eta_squared", 9))
+    return _r(batch.largest_effects(shares, 5).select("feature", "eta_squared", "place"), eta_squared=6)
+
+
 @register("effect_summary", f"WITH {EFFECTS}, x AS (SELECT ssb / sst AS v FROM e) SELECT count(*) AS features, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(max(v), 6) AS max, count(*) FILTER (v > 0.1) AS above_10, count(*) FILTER (v > 0.25) AS above_25 FROM x")
 def effect_summary(spark, d):
     return r6(batch.effect_summary(batch.effects(_long(spark, d), "batch")))

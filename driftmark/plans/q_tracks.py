@@ -205,6 +205,24 @@ def window_features(spark, d):
     return _r(all_features(spark, d), **sides, **{c: 5 for c in features.PAIR_FEATURES if c != "chase_lag"})
 
 
+_SIDE = lambda s, own, other: f"""SELECT {s}.video_id, {s}.start_frame, '{s}' AS focal_side, 'm' || (2 * {s}.video_id + {own}) AS mouse_a, 'm' || (2 * {s}.video_id + {other}) AS mouse_b, CASE WHEN (2 * {s}.video_id + {own}) % 3 = 0 THEN 'SH' ELSE 'GH' END AS housing_a, CASE WHEN (2 * {s}.video_id + {other}) % 3 = 0 THEN 'SH' ELSE 'GH' END AS housing_b, round(CASE WHEN enough THEN energy END, 4) AS energy FROM objects {s} WHERE object_id = '{s}'"""
+
+
+@register("focal_identities", f"WITH {OBJECT} {_SIDE('a', 0, 1)} UNION ALL {_SIDE('b', 1, 0)}")
+def focal_identities(spark, d):
+    """Focal rows with the identity and housing of the focal and of the other animal; rows of a side without windows are left out."""
+    t = views.tracks(spark, d)
+    side = lambda s: features.object_features(t.where(F.col("object_id") == s).drop("object_id"), ["video_id"], CHUNK, STRIDE, moving=5)
+    pair = features.pair_features(pair_frames(spark, d), ["video_id"], CHUNK, STRIDE, max_lag=LAG)
+    windows_ = features.window_features(side("a").withColumn("_s", F.lit(True)), side("b"), pair, ["video_id"])
+    for i, s in enumerate("ab"):
+        number = 2 * F.col("video_id") + i
+        windows_ = windows_.withColumn(f"mouse_{s}", F.concat(F.lit("m"), number)).withColumn(f"housing_{s}", F.when(number % 3 == 0, "SH").otherwise("GH"))
+    rows = features.focal_rows(windows_, ["video_id"], [("mouse_a", "mouse_b"), ("housing_a", "housing_b")])
+    there = side("a").withColumn("focal_side", F.lit("a")).unionByName(side("b").withColumn("focal_side", F.lit("b"))).select("video_id", "start_frame", "focal_side")
+    return _r(rows.join(there, ["video_id", "start_frame", "focal_side"], "left_semi").select("video_id", "start_frame", "focal_side", "mouse_a", "mouse_b", "housing_a", "housing_b", "energy"), energy=4)
+
+
 @register("focal_rows", f"""WITH {OBJECT} SELECT object_id AS focal_side, count(*) AS n, round(avg(CASE WHEN enough THEN energy END), 4) AS energy, round(avg(CASE WHEN enough THEN speed_max END), 4) AS speed_max FROM objects GROUP BY 1""")
 def focal_rows(spark, d):
     t = views.tracks(spark, d)

@@ -77,8 +77,8 @@ ethogram AS (
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask runs of columns: orders as frames, return flags A and R as objects, lines as columns."""
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')")
+    """Mask runs of columns: orders as frames, return flags as objects, lines as columns."""
+    line = table(spark, sf_dir, "lineitem")
     return line.select(
         F.col("l_orderkey").alias("frame_idx"), F.col("l_returnflag").alias("object_id"), F.col("l_linenumber").cast("long").alias("x"),
         F.floor("l_quantity").cast("long").alias("y0"), (F.lit(1) + F.floor(F.round(F.col("l_discount") * 100))).cast("long").alias("len"),
@@ -89,7 +89,7 @@ PIXELS = """
 pixels AS (
     SELECT DISTINCT l_orderkey AS frame_idx, l_returnflag AS object_id, CAST(l_linenumber AS BIGINT) AS x,
         unnest(range(CAST(floor(l_quantity) AS BIGINT), CAST(floor(l_quantity) AS BIGINT) + 1 + CAST(round(l_discount * 100) AS BIGINT))) AS y
-    FROM lineitem WHERE l_returnflag IN ('A', 'R')
+    FROM lineitem
 )"""
 
 

@@ -11,9 +11,10 @@ from driftmark.operators.edits import in_range
 
 #: Project files: dynamic ids are maps, and fields that a file lacks are null.
 PROJECT = (
-    "project_id string, name string, videos map<string, struct<name: string, num_frames: int, fps: double, width: int, height: int, start_frame: int, anchor_batch_size: string, propagation_complete: boolean, status: string, "
+    "project_id string, name string, videos map<string, struct<name: string, num_frames: int, fps: double, width: int, height: int, start_frame: int, anchor_batch_size: string, propagation_complete: boolean, whole_video_inference: struct<status: string>, "
     "objects: map<string, struct<name: string, color: string, description: string>>, point_prompts: map<string, map<string, struct<points: array<array<double>>, labels: array<int>>>>, annotated_anchors: array<int>, "
-    "anchor_labeling_timing: map<string, struct<entered_frontend_ms: bigint, committed_ms: bigint, duration_ms: bigint>>>>"
+    "anchor_labeling_timing: struct<frames: map<string, struct<entered_frontend_ms: bigint, committed_ms: bigint, duration_ms: bigint>>, "
+    "video: struct<first_anchor_entered_ms: bigint, last_anchor_committed_ms: bigint, whole_video_labeling_wall_ms: bigint, sum_anchor_durations_ms: bigint>>>>"
 )
 REGISTRY = "experiment int, experiment_name string, session string, box int, mouse_id string, shave_pattern string, role string, housing string"
 
@@ -27,7 +28,8 @@ def videos(project: DataFrame) -> DataFrame:
     """A row for each video, with defaults for what the file lacks."""
     v = project.select("project_id", F.explode("videos").alias("video_id", "v"))
     size = F.greatest(F.lit(10), F.least(F.lit(10000), F.coalesce(F.col("v.anchor_batch_size").try_cast("int"), F.lit(1000))))
-    return v.select("project_id", "video_id", "v.name", F.coalesce("v.num_frames", F.lit(0)).alias("num_frames"), F.coalesce("v.fps", F.lit(30.0)).alias("fps"), "v.width", "v.height", F.coalesce("v.start_frame", F.lit(0)).alias("start_frame"), size.alias("anchor_batch_size"), F.coalesce("v.propagation_complete", F.lit(False)).alias("propagation_complete"), F.coalesce("v.status", F.lit("none")).alias("status"))
+    status = F.when(F.col("v.propagation_complete"), "complete").otherwise(F.coalesce("v.whole_video_inference.status", F.lit("none")))
+    return v.select("project_id", "video_id", "v.name", F.coalesce("v.num_frames", F.lit(0)).alias("num_frames"), F.coalesce("v.fps", F.lit(30.0)).alias("fps"), "v.width", "v.height", F.coalesce("v.start_frame", F.lit(0)).alias("start_frame"), size.alias("anchor_batch_size"), F.coalesce("v.propagation_complete", F.lit(False)).alias("propagation_complete"), status.alias("status"))
 
 
 def objects(project: DataFrame) -> DataFrame:
@@ -44,8 +46,15 @@ def prompts(project: DataFrame) -> DataFrame:
 
 
 def timing(project: DataFrame) -> DataFrame:
+    """A row for each labelled frame; frames that are no numbers are left out."""
     v = project.select(F.explode("videos").alias("video_id", "v"))
-    return v.select("video_id", F.explode("v.anchor_labeling_timing").alias("frame", "t")).select("video_id", F.col("frame").try_cast("int").alias("frame_idx"), F.col("t.entered_frontend_ms").alias("entered_ms"), "t.committed_ms", "t.duration_ms")
+    return v.select("video_id", F.explode("v.anchor_labeling_timing.frames").alias("frame", "t")).select("video_id", F.col("frame").try_cast("int").alias("frame_idx"), F.col("t.entered_frontend_ms").alias("entered_ms"), "t.committed_ms", "t.duration_ms").where("frame_idx IS NOT NULL")
+
+
+def video_timing(project: DataFrame) -> DataFrame:
+    """What the file says of each video's labelling: first entered, last committed, wall time and sum of durations."""
+    v = project.select(F.explode("videos").alias("video_id", "v")).select("video_id", F.col("v.anchor_labeling_timing.video").alias("t")).where("t IS NOT NULL")
+    return v.select("video_id", F.col("t.first_anchor_entered_ms").alias("first_ms"), F.col("t.last_anchor_committed_ms").alias("last_ms"), F.col("t.whole_video_labeling_wall_ms").alias("wall_ms"), F.col("t.sum_anchor_durations_ms").alias("total_ms"))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,9 @@ from driftmark.sources import tables
 PROJECT = {
     "project_id": "p", "name": "n",
     "videos": {
-        "v1": {"name": "a.mp4", "num_frames": 10, "anchor_batch_size": "x", "objects": {"1": {"name": "noshave"}}, "point_prompts": {"1": {"3": {"points": [[1.0, 2.0], [3.0, 4.0]], "labels": [1, 0]}, "bad": {"points": []}}}, "anchor_labeling_timing": {"3": {"entered_frontend_ms": 5, "committed_ms": 9}}},
-        "v2": {"name": "b.mp4", "anchor_batch_size": "5"},
+        "v1": {"name": "a.mp4", "num_frames": 10, "anchor_batch_size": "x", "objects": {"1": {"name": "noshave"}}, "point_prompts": {"1": {"3": {"points": [[1.0, 2.0], [3.0, 4.0]], "labels": [1, 0]}, "bad": {"points": []}}}, "propagation_complete": True, "whole_video_inference": {"status": "running", "updated_at": None, "host": "h"},
+            "anchor_labeling_timing": {"frames": {"3": {"entered_frontend_ms": 5, "committed_ms": 9}, "x": {"entered_frontend_ms": 1}, "4": {"entered_frontend_ms": 7, "committed_ms": 11, "duration_ms": 4}}, "video": {"first_anchor_entered_ms": 5, "last_anchor_committed_ms": 11, "whole_video_labeling_wall_ms": 6, "sum_anchor_durations_ms": 4}}},
+        "v2": {"name": "b.mp4", "anchor_batch_size": "5", "whole_video_inference": {"status": "running"}}, "v3": {"name": "c.mp4"},
     },
 }
 
@@ -17,11 +18,12 @@ def test_project_file(spark, tmp_path):
     (tmp_path / "config.json").write_text(json.dumps(PROJECT))
     p = tables.projects(spark, str(tmp_path / "config.json"))
     videos = {r.video_id: r for r in tables.videos(p).collect()}
-    assert (videos["v1"].anchor_batch_size, videos["v2"].anchor_batch_size, videos["v2"].num_frames, videos["v1"].fps, videos["v2"].status) == (1000, 10, 0, 30.0, "none")
+    assert (videos["v1"].anchor_batch_size, videos["v2"].anchor_batch_size, videos["v2"].num_frames, videos["v1"].fps, *[videos[v].status for v in ("v1", "v2", "v3")]) == (1000, 10, 0, 30.0, "complete", "running", "none")
     prompts = tables.prompts(p).collect()
     assert [(r.frame_idx, len(r.points)) for r in prompts] == [(3, 2)]
     assert [r.name for r in tables.objects(p).collect()] == ["noshave"]
-    assert [(r.frame_idx, r.entered_ms, r.duration_ms) for r in tables.timing(p).collect()] == [(3, 5, None)]
+    assert [(r.frame_idx, r.entered_ms, r.duration_ms) for r in tables.timing(p).orderBy("frame_idx").collect()] == [(3, 5, None), (4, 7, 4)]
+    assert [tuple(r) for r in tables.video_timing(p).collect()] == [("v1", 5, 11, 6, 4)]
 
 
 def test_progress_lines_that_are_no_numbers_are_skipped(spark, tmp_path):
