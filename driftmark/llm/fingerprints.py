@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rarity = byte_pairs(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "body")):
             prints = [digest(features((t or "").encode(), rarity)).tobytes().hex() for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
@@ -157,7 +157,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     dealt = dealt.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "extra", F.col("doc_id").desc_nulls_last(), F.desc("tie"))
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "body")):
             yield from zip(batch.column("pid").to_pylist(), batch.column("extra").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("body").to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
