@@ -1,4 +1,4 @@
-"""Neighbour graphs, components, communities and coordinates, as joins and aggregations of edge tables."""
+"""Neighbour graphs, components, communities, eigenvectors and what is built on them, as joins and aggregations of edge tables."""
 
 from __future__ import annotations
 
@@ -38,17 +38,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The table of a loop: each round writes it anew, and the one before is removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = _path(self.spark)
+        df.write.parquet(path)
+        self.drop()
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        if self.path:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self.path = None
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): node and its component's smallest node. Labels fall to the least neighbour's and are shortened each round, until none falls."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    kept, turns = Rounds(edges.sparkSession), Rounds(edges.sparkSession)
+    both = kept.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = turns.put(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         least = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         fallen = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("_was"))
         jump = fallen.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = cut(fallen.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"), "_was"))
+        new = turns.put(fallen.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"), "_was"))
         labels = new.select("node", "root")
         if new.where("root <> _was").isEmpty():
+            kept.drop()
             return labels
 
 
@@ -146,10 +168,14 @@ def affinity(neighbours: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def _settled(both: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
-    """Local moving: node and c. both: src, dst, weight in both directions, without loops; degree: node, k."""
-    labels = degree.select("node", F.col("node").alias("c"), "k")
-    still = 0
+def _both(edges: DataFrame) -> DataFrame:
+    """src, dst, weight in both directions; weights of 0 or less are left out."""
+    return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0")
+
+
+def _settled(turns: Rounds, both: DataFrame, start: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """Local moving from start (node, c, k): node, c, k. both: src, dst, weight in both directions, without loops."""
+    labels, still = start, 0
     for turn in range(rounds):
         held = labels.groupBy("c").agg(F.sum("k").alias("kc"))
         links = both.join(labels.select(F.col("node").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("weight").alias("w"))
@@ -160,39 +186,98 @@ def _settled(both: DataFrame, degree: DataFrame, total: float, resolution: float
         gain = F.round(F.col("w") - resolution * F.col("k") * others / total, 12)
         best = scored.groupBy("src", "own", "k").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("to"))
         awake = F.pmod(F.xxhash64("src", F.lit(turn // 2 + seed)), F.lit(2)) == turn % 2
-        new = cut(best.select(F.col("src").alias("node"), F.when(awake, F.col("to")).otherwise(F.col("own")).alias("c"), "k", (awake & (F.col("to") != F.col("own"))).alias("moved")))
+        new = turns.put(best.select(F.col("src").alias("node"), F.when(awake, F.col("to")).otherwise(F.col("own")).alias("c"), "k", (awake & (F.col("to") != F.col("own"))).alias("moved")))
         still = still + 1 if new.where("moved").isEmpty() else 0
         labels = new.select("node", "c", "k")
         if still == 2:
             break
-    return labels.select("node", "c")
+    return labels
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 16, levels: int = 3, seed: int = 42) -> DataFrame:
-    """Communities by local moving on modularity with a resolution: node, community (0 is the largest).
+def _refined(turns: Rounds, both: DataFrame, labels: DataFrame, total: float, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """Splits each community of labels (node, c, k) into connected parts: node, part, c, k.
 
-    In each round half of the nodes, by a hash of the round, move to the neighbouring community of the largest gain;
-    a level ends when neither half moves a node. Its communities are the nodes of the next level.
+    Parts begin as single nodes. In a round, nodes that are still alone and wake join, along an edge inside their community, the part of the largest gain among
+    those that don't move in the round: parts of several nodes and nodes that sleep. A part grows only by nodes that have an edge to it, so that it
+    stays connected. Only nodes and parts that are linked well enough to the rest of their community take part.
     """
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut(both.where("weight > 0"))
-    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    total = degree.agg(F.sum("k").alias("t")).first().t
-    named = degree.select("node", F.col("node").alias("c"))
-    sizes = degree.count()
-    for _ in range(levels if total else 0):
-        labels = _settled(both.where("src <> dst"), degree, total, resolution, rounds, seed)
-        named = cut(named.join(labels.select(F.col("node").alias("c"), F.col("c").alias("_to")), "c").select("node", F.col("_to").alias("c")))
-        a, b = labels.select(F.col("node").alias("src"), F.col("c").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
-        both = cut(both.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
-        degree = cut(degree.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
-        left = degree.count()
+    inside = both.join(labels.select(F.col("node").alias("src"), "c"), "src").join(labels.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c = c2").select("src", "dst", "weight")
+    kept = Rounds(both.sparkSession)
+    inside = kept.put(inside)
+    size = labels.groupBy("c").agg(F.sum("k").alias("kc"))
+    now = labels.select("node", F.col("node").alias("part"), "c", "k")
+    still = 0
+    for turn in range(rounds):
+        parts = now.groupBy("part", "c").agg(F.sum("k").alias("kp"), F.count(F.lit(1)).alias("n"))
+        ends = now.select(F.col("node").alias("dst"), F.col("part").alias("to"))
+        links = inside.join(ends, "dst").join(now.select(F.col("node").alias("src"), F.col("part").alias("own")), "src")
+        outward = links.where("own <> to").groupBy("own").agg(F.sum("weight").alias("cut"))
+        awake = F.pmod(F.xxhash64("part", F.lit(turn // 2 + seed)), F.lit(2)) == turn % 2
+        known = parts.join(size, "c").join(outward.withColumnRenamed("own", "part"), "part").withColumn("firm", F.col("cut") >= resolution * F.col("kp") * (F.col("kc") - F.col("kp")) / total).withColumn("awake", awake & (F.col("n") == 1))
+        movers = known.where("awake AND firm").select(F.col("part").alias("src"), F.col("kp").alias("k"))
+        goals = known.where("NOT awake AND firm").select(F.col("part").alias("to"), "kp")
+        options = links.groupBy("src", "own", "to").agg(F.sum("weight").alias("w")).where("own <> to").join(movers, "src").join(goals, "to")
+        gain = F.round(F.col("w") - resolution * F.col("k") * F.col("kp") / total, 12)
+        best = options.withColumn("gain", gain).where("gain > 0").groupBy("src").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
+        new = turns.put(now.join(best.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("to", "part").alias("part"), "c", "k", F.col("to").isNotNull().alias("moved")))
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        now = new.select("node", "part", "c", "k")
+        if still == 2:
+            break
+    kept.drop()
+    return now
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 16, levels: int = 10, seed: int = 42) -> DataFrame:
+    """Connected communities by local moving and refinement on modularity with a resolution: node, community (0 is the largest).
+
+    A level moves nodes to the neighbouring community of the largest gain, in each round half of them, by a hash of the round, until neither half moves one. Each
+    community is then split into parts that are connected, and the parts are the nodes of the next level, which begins with the communities found. Levels end when
+    no part holds more than one node. A community of parts without an edge between them is taken apart at last, which raises modularity.
+    """
+    spark = edges.sparkSession
+    graph, named_, labels_, moving, refining = (Rounds(spark) for _ in range(5))
+    whole = cut(_both(edges))
+    both = whole
+    start = labels_.put(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).select("node", F.col("node").alias("c"), "k"))
+    total = start.agg(F.sum("k").alias("t")).first().t
+    if not total:
+        return spark.createDataFrame([], f"node {dict(edges.dtypes)['src']}, community int")
+    named = named_.put(start.select("node", F.col("node").alias("at")))  # each node's node of the level
+    sizes = start.count()
+    for _ in range(levels):
+        apart = both.where("src <> dst")
+        labels = _settled(moving, apart, start, total, resolution, rounds, seed)
+        parts = _refined(refining, apart, labels, total, resolution, max(2, rounds // 2), seed)
+        found = named.select("node", "at").join(parts.select(F.col("node").alias("at"), "part", "c"), "at")
+        named = named_.put(found.select("node", F.col("part").alias("at"), "c"))
+        a, b = parts.select(F.col("node").alias("src"), F.col("part").alias("_a")), parts.select(F.col("node").alias("dst"), F.col("part").alias("_b"))
+        new = both.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        both = graph.put(new)
+        # A community's label is the least of its parts, so that a label is a node of the level.
+        grouped = parts.groupBy("part", "c").agg(F.sum("k").alias("k"))
+        least = grouped.groupBy("c").agg(F.min("part").alias("to"))
+        start = labels_.put(grouped.join(least, "c").select(F.col("part").alias("node"), F.col("to").alias("c"), "k"))
+        left = start.count()
         if left == sizes:
             break
         sizes = left
-    order = F.row_number().over(W.orderBy(F.desc("n"), "c")) - 1
-    names = named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("community", order)
-    return named.join(names, "c").select("node", F.col("community").cast("int").alias("community"))
+    of = named.select("node", "c")
+    inner = whole.join(of.select(F.col("node").alias("src"), "c"), "src").join(of.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c = c2 AND src < dst")
+    roots = components(inner.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    final = cut(of.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c")))
+    for table in (graph, named_, labels_, moving, refining):
+        table.drop()
+    return _numbered(final)
+
+
+def _numbered(named: DataFrame) -> DataFrame:
+    """Numbers communities (node, c) by their size, the largest 0, equal ones by label: places among those of a size, after the numbers of the larger ones."""
+    names = named.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    counts = names.groupBy("n").agg(F.count(F.lit(1)).alias("m"))  # a row for each size that occurs
+    before = counts.withColumn("before", F.coalesce(F.sum("m").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
+    placed = names.withColumn("place", F.row_number().over(W.partitionBy("n").orderBy("c")) - 1).join(before, "n")
+    return named.join(placed, "c").select("node", (F.col("before") + F.col("place")).cast("int").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -204,55 +289,86 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return per.withColumn("t", F.sum("k").over(W.partitionBy())).agg(F.sum(F.col("inside") / F.col("t") - resolution * F.pow(F.col("k") / F.col("t"), F.lit(2))).alias("q"))
 
 
-def spectral(edges: DataFrame, k: int = 20, iterations: int = 20) -> DataFrame:
-    """Clusters by power iteration on the normalised graph: node, community."""
-    from pyspark.ml.clustering import PowerIterationClustering
+def _contracted(both: DataFrame, degree: DataFrame, seed: int) -> DataFrame:
+    """A coarser graph's node for each node: a third of the nodes, by their hash, are heads, and others join the head that they are linked to most; those without one stay."""
+    head = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(3)) == 0
+    near = both.where(~head("src") & head("dst")).groupBy("src").agg(F.max_by("dst", F.struct("weight", -F.col("dst"))).alias("to"))
+    return degree.select("node", "k").join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("to", "node").alias("c"), "k")
 
-    model = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight", srcCol="src", dstCol="dst")
-    return model.assignClusters(edges).select(F.col("id").alias("node"), F.col("cluster").alias("community"))
 
+def _solved(both: DataFrame, degree: DataFrame, size: int):
+    """Eigenvalues and vectors of a small graph's walk, after the constant one, the largest first: values, and rows node, k, v. Dense, on the driver."""
+    import numpy as np
 
-def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, most_degree: int = 8) -> DataFrame:
-    """Two coordinates of each node: leading eigenvectors of the lazy random walk after the constant one.
-
-    A block of `size` vectors is multiplied, several times a pass, and made orthonormal in the degrees' measure by the block's
-    products (a Rayleigh-Ritz step on size times size sums) until both leading vectors' residuals are below `close`; if `rounds`
-    multiplications don't suffice, RuntimeError. The largest coordinate of each is positive.
+    nodes = degree.select("node", "k").orderBy("node").collect()
+    place = {r.node: i for i, r in enumerate(nodes)}
+    k = np.array([r.k for r in nodes])
+    m = np.zeros((len(nodes), len(nodes)))
+    for r in both.collect():
+        m[place[r.src], place[r.dst]] += r.weight
+    root = np.sqrt(k)
+    m = m / np.outer(root, root)
+    flat = root / np.linalg.norm(root)
+    values, vectors = np.linalg.eigh((m + m.T) / 2 - 3 * np.outer(flat, flat))  # the constant one goes to the end
+    order = np.argsort(-values)[: min(size, max(len(nodes) - 1, 1))]
+    v = vectors[:, order] / root[:, None]
+    rows = [(r.node, float(r.k), [float(x) for x in v[i]]) for i, r in enumerate(nodes)]
+    return values[order], both.sparkSession.createDataFrame(rows, f"node {dict(degree.dtypes)['node']}, k double, v array<double>")
+
+
+def eigenvectors(edges: DataFrame, wanted: int, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, most_degree: int = 8, small: int = 1000) -> DataFrame:
+    """The `wanted` leading eigenvectors of the graph's random walk after the constant one: node, k (its degree), v (an array). An empty graph gives an empty table.
+
+    The graph is contracted until it has at most `small` nodes, where they are found densely. On the way back each node begins with its coarse node's values, and a block
+    of `size` vectors is multiplied by the lazy walk, several times a pass, and made orthonormal in the degrees' measure by the block's products (a Rayleigh-Ritz
+    step on size times size sums); two passes on each graph between, and on the whole one until the wanted vectors' residuals are below `close`. If `rounds`
+    multiplications don't suffice, RuntimeError. A graph of at most `small` nodes is solved at once.
     """
     import numpy as np
     import pandas as pd
 
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut(both.where("weight > 0"))
+    spark = edges.sparkSession
+    size = max(size, wanted + 4)
+    both = cut(_both(edges))
     degree = cut(both.groupBy("src").agg(F.sum("weight").alias("k")).select(F.col("src").alias("node"), "k"))
-    # The lazy walk stays with a half: an edge of each node to itself, as heavy as all its others. It carries what the node keeps.
-    steps = cut(both.withColumn("own", F.lit(False)).unionByName(degree.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.col("k").alias("weight"), F.lit(True).alias("own"))))
-    size = min(size, max(degree.count() - 1, 1))
-    at = cut(degree.select("node", "k", F.array(*[F.xxhash64("node", F.lit(j + seed)) % 1000003 / 1000003.0 for j in range(size)]).alias("v")))
+    nodes = degree.count()
+    if not nodes:
+        return spark.createDataFrame([], f"node {dict(edges.dtypes)['src']}, k double, v array<double>")
+    levels = []  # finer graphs and where their nodes went
+    while nodes > small:
+        to = cut(_contracted(both, degree, seed + len(levels)))
+        levels.append((both, degree, to))
+        a, b = to.select(F.col("node").alias("src"), F.col("c").alias("_a")), to.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
+        both = cut(both.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        degree = cut(to.groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        before, nodes = nodes, degree.count()
+        if nodes > 0.95 * before:
+            raise RuntimeError(f"a graph of {nodes} nodes has too few edges to be contracted to {small}")
+    values, at = _solved(both, degree, size)
+    if not levels:
+        return at.select("node", "k", F.slice("v", 1, wanted).alias("v"))
+    size = len(values)
     item = lambda c, i: F.col(c)[i]
+    turns, tries = Rounds(spark), Rounds(spark)
+    bound = max((1 + float(values[-1])) / 2, 0.05)
 
     def mixed(c: str, m: np.ndarray):
         return F.array(*[sum((item(c, i) * float(m[i, j]) for i in range(len(m))), F.lit(0.0)) for j in range(m.shape[1])])
 
-    def multiplied(df: DataFrame, *kept: str) -> DataFrame:
+    def multiplied(steps: DataFrame, df: DataFrame, *kept: str) -> DataFrame:
         """Adds the product w. df is read once, so that a chain of products is a chain of joins."""
         sums = [F.sum(F.col("weight") * item("v", i)).alias(f"s{i}") for i in range(size)]
         own = [F.max_by(c, "own").alias(c) for c in ("k", "v", *kept)]
         near = steps.join(df.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(*own, *sums)
         return near.select(F.col("src").alias("node"), "k", "v", *kept, F.array(*[F.col(f"s{i}") / (2 * F.col("k")) for i in range(size)]).alias("w"))
 
-    def filtered(df: DataFrame, bound: float | None) -> DataFrame:
-        """Several multiplications: powers at first, then the Chebyshev polynomial that keeps eigenvalues up to bound small and lets those above grow."""
-        if bound is None:
-            for _ in range(3):
-                df = multiplied(df).select("node", "k", F.col("w").alias("v"))
-            return df
-        # As high a degree as lets nothing grow beyond what the sums of products can hold.
+    def filtered(steps: DataFrame, df: DataFrame) -> DataFrame:
+        """The Chebyshev polynomial that keeps eigenvalues up to bound small and lets those above grow, of as high a degree as lets nothing grow beyond what the sums of products can hold."""
         degree_ = max(2, min(most_degree, int(math.acosh(1e5) / math.acosh(2 / bound - 1)))) if bound < 1 else most_degree
         one = F.zip_with("w", "v", lambda w, v: w * (2 / bound) - v)
-        df = multiplied(df).select("node", "k", one.alias("v"), F.col("v").alias("p"))
+        df = multiplied(steps, df).select("node", "k", one.alias("v"), F.col("v").alias("p"))
         for _ in range(degree_ - 1):
-            df = multiplied(df, "p").select("node", "k", F.zip_with(one, "p", lambda a, p: 2 * a - p).alias("v"), F.col("v").alias("p"))
+            df = multiplied(steps, df, "p").select("node", "k", F.zip_with(one, "p", lambda a, p: 2 * a - p).alias("v"), F.col("v").alias("p"))
         return df.drop("p")
 
     def products(df: DataFrame) -> np.ndarray:
@@ -269,73 +385,66 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
 
         return np.sum([r.s for r in df.select("k", "v", "w").mapInPandas(part, "s array<double>").collect()], axis=0)
 
-    bound = None
-    for _ in range(max(1, rounds // 4)):
-        both_ = cut(multiplied(filtered(at, bound)))
-        sums = products(both_)
-        vv, vw, ww = sums[: 3 * size * size].reshape(3, size, size)
-        mean, all_ = sums[3 * size * size : -1], sums[-1]
-        vv, vw, ww = (m - np.outer(mean, mean) / all_ for m in (vv, vw, ww))  # the constant vector is its own image
-        values, vectors = np.linalg.eigh((vv + vv.T) / 2)
-        kept = values > values[-1] * 1e-13
-        white = vectors[:, kept] / np.sqrt(values[kept])
-        ritz, turn = np.linalg.eigh(white.T @ ((vw + vw.T) / 2) @ white)
-        best = white @ turn[:, ::-1]
-        ritz = ritz[::-1]
-        bound = max(float(ritz[-1]), 0.05)
-        wide = np.zeros((size, size))
-        wide[:, : best.shape[1]] = best
-        left = [best[:, i] @ (ww - ritz[i] * (vw + vw.T) + ritz[i] ** 2 * vv) @ best[:, i] for i in range(min(2, best.shape[1]))]
-        at = both_.select("node", "k", F.transform("v", lambda x, i: x - F.array(*[F.lit(float(m)) for m in mean / all_])[i]).alias("v"))
-        at = cut(at.select("node", "k", mixed("v", wide).alias("v")))
-        if max(left) <= close**2:
-            break
-    else:
-        raise RuntimeError(f"coordinates did not settle in {rounds} rounds")
-    at = at.select("node", item("v", 0).alias("x"), (item("v", 1) if size > 1 else F.lit(0.0)).alias("y"))
-    top = at.agg(F.max_by("x", F.abs("x")).alias("x"), F.max_by("y", F.abs("y")).alias("y")).first()
+    for depth in range(len(levels) - 1, -1, -1):
+        both, degree, to = levels[depth]
+        # The lazy walk stays with a half: an edge of each node to itself, as heavy as all its others. It carries what the node keeps.
+        steps = cut(both.withColumn("own", F.lit(False)).unionByName(degree.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.col("k").alias("weight"), F.lit(True).alias("own"))))
+        at = turns.put(to.join(at.select(F.col("node").alias("c"), "v"), "c").select("node", "k", "v"))
+        for turn in range(max(1, rounds // 4)):
+            tried = tries.put(multiplied(steps, filtered(steps, at)))
+            sums = products(tried)
+            vv, vw, ww = sums[: 3 * size * size].reshape(3, size, size)
+            mean, all_ = sums[3 * size * size : -1], sums[-1]
+            vv, vw, ww = (m - np.outer(mean, mean) / all_ for m in (vv, vw, ww))  # the constant vector is its own image
+            held, axes = np.linalg.eigh((vv + vv.T) / 2)
+            kept = held > held[-1] * 1e-13
+            white = axes[:, kept] / np.sqrt(held[kept])
+            ritz, turned = np.linalg.eigh(white.T @ ((vw + vw.T) / 2) @ white)
+            best = white @ turned[:, ::-1]
+            ritz = ritz[::-1]
+            bound = max(float(ritz[-1]), 0.05)
+            wide = np.zeros((size, size))
+            wide[:, : best.shape[1]] = best
+            left = [best[:, i] @ (ww - ritz[i] * (vw + vw.T) + ritz[i] ** 2 * vv) @ best[:, i] for i in range(min(wanted, best.shape[1]))]
+            at = tried.select("node", "k", F.transform("v", lambda x, i: x - F.array(*[F.lit(float(m)) for m in mean / all_])[i]).alias("v"))  # noqa: B023
+            at = turns.put(at.select("node", "k", mixed("v", wide).alias("v")))
+            if depth and turn or not depth and max(left) <= close**2:
+                break
+        else:
+            raise RuntimeError(f"eigenvectors did not settle in {rounds} rounds")
+    tries.drop()
+    return at.select("node", "k", F.slice("v", 1, wanted).alias("v"))
+
+
+def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, small: int = 1000) -> DataFrame:
+    """Two coordinates of each node, node, x, y: the leading `eigenvectors`, of residuals below `close`. The largest coordinate of each is positive. No edges give no rows."""
+    v = eigenvectors(edges, 2, rounds, seed, size, close, small=small)
+    at = v.select("node", F.coalesce(F.get("v", F.lit(0)), F.lit(0.0)).alias("x"), F.coalesce(F.get("v", F.lit(1)), F.lit(0.0)).alias("y"))
+    top = at.agg(F.max_by("x", F.struct(F.round(F.abs("x"), 9), "node")).alias("x"), F.max_by("y", F.struct(F.round(F.abs("y"), 9), "node")).alias("y")).first()
     sign = lambda v: -1.0 if v and v < 0 else 1.0
     return at.select("node", (F.col("x") * sign(top.x)).alias("x"), (F.col("y") * sign(top.y)).alias("y"))
 
 
-def bimodal(samples: DataFrame, name: str, value: str, bins: int = 2000, rounds: int = 100, close: float = 1e-3, least: int = 10) -> DataFrame:
-    """Mixture of two normal distributions of log(value + 1e-6) for each name: means, deviations, weights, threshold and BIC.
+def spectral(edges: DataFrame, k: int = 20, seeds: int = 5, seed: int = 42, close: float = 1e-3, small: int = 1000) -> DataFrame:
+    """Spectral clusters: node, community.
 
-    Values are counted in `bins` bins of each name's range first, so that a name's mixture is fitted on at most `bins`
-    rows however many values it has. Negative and missing values are left out; names with fewer than `least` values too.
+    Each node's row of the k leading eigenvectors, the constant one among them and scaled by the root of its degree, is brought to length 1. K-means of the
+    rows runs from `seeds` starts, and the one of the least sum of squares counts. A graph of fewer than k nodes has as many clusters; no edges give no rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    logs = samples.where(F.col(value) >= 0).select(name, F.log(F.col(value) + 1e-6).alias("v"))
-    span = logs.groupBy(name).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
-    counted = logs.join(span, name).groupBy(name, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy(float)
-        total = n.sum()
-        high = np.cumsum(n) > total / 2
-        r = np.where(high, 0.99, 0.01)
-        last, loglik = -np.inf, 0.0
-        for _ in range(rounds):
-            w = np.array([(n * (1 - r)).sum(), (n * r).sum()])
-            m = np.array([(n * (1 - r) * v).sum(), (n * r * v).sum()]) / np.maximum(w, 1e-12)
-            s = np.sqrt(np.maximum(np.array([(n * (1 - r) * (v - m[0]) ** 2).sum(), (n * r * (v - m[1]) ** 2).sum()]) / np.maximum(w, 1e-12), 1e-6))
-            p = np.maximum(w, 1e-12)[:, None] / total * np.exp(-0.5 * ((v - m[:, None]) / s[:, None]) ** 2) / (s[:, None] * np.sqrt(2 * np.pi))
-            mix = np.maximum(p.sum(0), 1e-300)
-            r, loglik = p[1] / mix, (n * np.log(mix)).sum()
-            if abs(loglik / total - last) < close:
-                break
-            last = loglik / total
-        low, up = (0, 1) if m[0] <= m[1] else (1, 0)
-        return pd.DataFrame({name: [pdf[name].iloc[0]], "n": [int(total)], "mean_low": [m[low]], "mean_high": [m[up]], "weight_low": [w[low] / total], "threshold": [float(np.exp((m[0] + m[1]) / 2))], "bic": [-2 * loglik + 5 * np.log(total)]})
-
-    kind = dict(samples.dtypes)[name]
-    return counted.groupBy(name).applyInPandas(fit, f"`{name}` {kind}, n long, mean_low double, mean_high double, weight_low double, threshold double, bic double")
-
-
-def moving_share(samples: DataFrame, fits: DataFrame, name: str, value: str) -> DataFrame:
-    """Share of each name's values at or above its threshold."""
-    return samples.where(F.col(value) >= 0).join(fits.select(name, "threshold"), name).groupBy(name).agg(F.avg((F.col(value) >= F.col("threshold")).cast("double")).alias("moving"))
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = eigenvectors(edges, k - 1, seed=seed, close=close, small=small, size=k + 8)
+    count = v.count()
+    if not count:
+        return edges.sparkSession.createDataFrame([], f"node {dict(edges.dtypes)['src']}, community int")
+    if count <= 2 or k < 2:
+        return v.select("node", F.lit(0).alias("community"))
+    total = v.agg(F.sum("k").alias("t")).first().t
+    # Of unit length in the degrees' measure, the constant vector is one over the root of all degrees.
+    raw = F.concat(F.array(F.lit(total**-0.5)), "v")
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+    rows = cut(v.select("node", array_to_vector(F.transform(raw, lambda x: x / norm)).alias("features")))
+    models = [KMeans(k=min(k, count), seed=seed + i, maxIter=50).fit(rows) for i in range(seeds)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).select("node", F.col("prediction").alias("community"))

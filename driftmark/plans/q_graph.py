@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftmark.operators import graph
+from driftmark.operators import graph, mixtures
 from driftmark.plans import views
 from driftmark.plans.base import register
 from driftmark.plans.q_tracks import _r, r6
@@ -65,10 +65,18 @@ def coordinates(spark, d):
 
 @register("bimodal")
 def bimodal(spark, d):
-    return _r(graph.bimodal(views.table(spark, d, "events"), "event_type", "value"), mean_low=3, mean_high=3, weight_low=3, threshold=3, bic=1)
+    fits = mixtures.bimodal(views.table(spark, d, "events"), "event_type", "value")
+    return _r(fits, mean_low=6, mean_high=6, sd_low=6, sd_high=6, weight_low=6, weight_high=6, threshold=6, bic=3)
+
+
+@register("bimodal_labels")
+def bimodal_labels(spark, d):
+    """Values of each event type by the component that they belong to."""
+    e = views.table(spark, d, "events").select("event_id", "event_type", "value")
+    return mixtures.labels(e, mixtures.bimodal(e, "event_type", "value"), "event_type", "value").groupBy("event_type", "label").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @register("moving_share")
 def moving_share(spark, d):
     e = views.table(spark, d, "events")
-    return _r(graph.moving_share(e, graph.bimodal(e, "event_type", "value"), "event_type", "value"), moving=3)
+    return _r(mixtures.moving_share(e, mixtures.bimodal(e, "event_type", "value"), "event_type", "value"), moving=6)

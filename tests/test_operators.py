@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmark.functions import scalars, tails
-from driftmark.operators import batch, edits, features, graph, locomotion, masks, registration, report, stats, transitions, windows
+from driftmark.operators import batch, edits, features, graph, locomotion, masks, mixtures, registration, report, stats, transitions, windows
 
 
 def one(df):
@@ -270,9 +270,9 @@ def test_two_modes(spark):
     rng = np.random.default_rng(5)
     rows = [("m", float(np.exp(v))) for v in np.concatenate([rng.normal(0, 0.3, 400), rng.normal(4, 0.3, 400)])]
     t = spark.createDataFrame(rows, "name string, v double")
-    fit = one(graph.bimodal(t, "name", "v"))
-    assert abs(fit.mean_low) < 0.1 and abs(fit.mean_high - 4) < 0.1 and abs(fit.weight_low - 0.5) < 0.05
-    assert abs(one(graph.moving_share(t, graph.bimodal(t, "name", "v"), "name", "v")).moving - 0.5) < 0.05
+    fit = one(mixtures.bimodal(t, "name", "v"))
+    assert abs(np.log(fit.mean_low)) < 0.1 and abs(np.log(fit.mean_high) - 4) < 0.1 and abs(fit.weight_low - 0.5) < 0.05
+    assert abs(one(mixtures.moving_share(t, mixtures.bimodal(t, "name", "v"), "name", "v")).moving - 0.5) < 0.05
 
 
 def test_quad_to_square(spark):
