@@ -76,17 +76,31 @@ def pixels(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return runs.select(*keys, "x", F.explode(F.sequence("y0", F.col("y0") + F.col("len") - 1)).alias("y"))
 
 
-def boundary(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pixels of merged runs that lack one of their four neighbours.
+def boundary_runs(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Pixels of merged runs that lack one of their four neighbours, as runs that don't overlap; no pixel is listed.
 
-    A run's ends lack a neighbour in their column and its other pixels don't; each pixel votes for itself and for those
-    beside it, and the votes are counted.
+    A run's inner pixels are its own without its ends, where the runs of both columns beside it cover them. Each column meets its neighbours once: a run is
+    handed to the three columns that it matters for, and a column's runs are taken from each other as sorted intervals.
     """
-    listed = runs.select(*keys, "x", F.posexplode(F.sequence("y0", F.col("y0") + F.col("len") - 1)).alias("_at", "y"), "len")
-    end = ((F.col("_at") == 0) | (F.col("_at") == F.col("len") - 1)).cast("int")
-    votes = F.array(*[F.struct((F.col("x") + dx).alias("x"), F.lit(own).alias("own"), (end * own).alias("end")) for dx, own in ((0, 1), (1, 0), (-1, 0))])
-    counted = listed.select(*keys, "y", F.explode(votes).alias("v")).groupBy(*keys, "v.x", "y").agg(F.sum(F.col("v.own")).alias("_own"), F.sum(F.col("v.end")).alias("_end"), F.count(F.lit(1)).alias("_n"))
-    return counted.where("_own = 1 AND (_end = 1 OR _n < 3)").select(*keys, "x", "y")
+    end = F.col("y0") + F.col("len")
+    sent = F.array(*[F.struct((F.col("x") + dx).alias("x"), F.lit(side).alias("side")) for dx, side in ((0, 0), (1, 1), (-1, 2))])
+    columns = runs.select(*keys, F.explode(sent).alias("s"), "y0", end.alias("y1")).select(*keys, "s.x", "s.side", "y0", "y1")
+    of = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("y0", "y1")))).alias(f"r{side}")  # noqa: E731  # of one column of one mask
+    met = columns.groupBy(*keys, "x").agg(of(0), of(1), of(2)).where("size(r0) > 0")
+    own = met.select(*keys, "x", "r1", "r2", F.explode("r0").alias("r"))
+    a, b = F.col("r.y0"), F.col("r.y1")
+    # The covered part of (a, b): what both neighbours cover, without the run's ends.
+    both = F.flatten(F.transform("r1", lambda l: F.filter(F.transform("r2", lambda q: F.struct(F.greatest(l["y0"], q["y0"], a + 1).alias("y0"), F.least(l["y1"], q["y1"], b - 1).alias("y1"))), lambda i: i["y0"] < i["y1"])))
+    inner = F.sort_array(both)
+    begins = F.concat(F.array(a), F.transform(inner, lambda i: i["y1"]))
+    ends = F.concat(F.transform(inner, lambda i: i["y0"]), F.array(b))
+    left = F.filter(F.arrays_zip(begins.alias("y0"), ends.alias("y1")), lambda i: i["y0"] < i["y1"])
+    return own.select(*keys, "x", F.explode(left).alias("i")).select(*keys, "x", "i.y0", (F.col("i.y1") - F.col("i.y0")).alias("len"))
+
+
+def boundary(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Pixels of merged runs that lack one of their four neighbours: those of `boundary_runs`."""
+    return pixels(boundary_runs(runs, keys), keys)
 
 
 def contour_sample(contour: DataFrame, most: int = 200, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -100,10 +114,16 @@ def contour_sample(contour: DataFrame, most: int = 200, keys: Sequence[str] = KE
 
 
 def contour_distances(sample: DataFrame, frame: str = "frame_idx", obj: str = "object_id") -> DataFrame:
-    """Least distance of the sampled contours of each two objects a < b of a frame."""
-    a = sample.select(frame, F.col(obj).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = sample.select(frame, F.col(obj).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, frame).where("a < b").groupBy(frame, "a", "b").agg(F.min(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("distance"))
+    """Least distance of the sampled contours of each two objects a < b of a frame.
+
+    A contour's points are one array, as long as the sample is, so that a frame's objects are joined once and not their points.
+    """
+    points = sample.groupBy(frame, obj).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))  # at most the sample of one mask
+    side = lambda s: points.select(frame, F.col(obj).alias(s), F.col("p").alias(f"p{s}"))
+    square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+    nearest = lambda p: F.aggregate("pb", F.lit(float("inf")), lambda low, q: F.least(low, square(p, q)))
+    least = F.aggregate("pa", F.lit(float("inf")), lambda low, p: F.least(low, nearest(p)))
+    return side("a").join(side("b"), frame).where("a < b").select(frame, "a", "b", F.sqrt(least).alias("distance"))
 
 
 def frame_features(runs: DataFrame, a: str, b: str, frame: str = "frame_idx") -> DataFrame:
@@ -155,23 +175,79 @@ def box_pairs(boxes: DataFrame, width: float, height: float, frame: str = "frame
     return out.select(frame, "pairs", "m.pair", "m.gap_px", "m.centre_px", (F.col("m.gap_px") / diagonal).alias("gap_norm"), (F.col("m.centre_px") / diagonal).alias("centre_norm"))
 
 
-def run_edges(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Runs of neighbouring columns that touch, diagonals included, as edges between run ids; each run also meets itself."""
-    named = runs.withColumn("id", F.xxhash64(*keys, "x", "y0"))
-    left = named.select(*keys, F.col("x").alias("x"), F.col("id").alias("a"), F.col("y0").alias("a0"), (F.col("y0") + F.col("len")).alias("a1"))
-    right = named.select(*keys, (F.col("x") - 1).alias("x"), F.col("id").alias("b"), F.col("y0").alias("b0"), (F.col("y0") + F.col("len")).alias("b1"))
-    return left.join(right, [*keys, "x"]).where("a0 <= b1 AND b0 <= a1").select("a", "b").unionByName(named.select(F.col("id").alias("a"), F.col("id").alias("b")))
+def components(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each run with its 8-connected component: keys, x, y0, len, part, numbered from 0 in the order of a mask's columns.
+
+    Runs are sorted by mask, column and row and read as a stream: a task holds the runs of one mask and joins those of neighbouring columns that touch,
+    diagonals included, by union and find. Masks never meet, and no table is written.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = runs.select(*keys, F.col("x").cast("long").alias("x"), F.col("y0").cast("long").alias("y0"), F.col("len").cast("long").alias("len")).where("len > 0")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "x", "y0")
+
+    def parts(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Component of each run of one mask, sorted by column and row; b is the row after the last."""
+        up = list(range(len(x)))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        xs, lo, hi = x.tolist(), a.tolist(), b.tolist()
+        begin = 0  # the first run of the column before that can still touch
+        for i in range(len(xs)):
+            if i and xs[i] == xs[i - 1] and lo[i] <= hi[i - 1]:
+                up[root(i)] = root(i - 1)
+            while begin < i and (xs[begin] < xs[i] - 1 or (xs[begin] == xs[i] - 1 and hi[begin] < lo[i])):
+                begin += 1
+            k = begin
+            while k < i and xs[k] == xs[i] - 1 and lo[k] <= hi[i]:
+                one, two = root(i), root(k)
+                up[max(one, two)] = min(one, two)
+                k += 1
+        roots = np.array([root(i) for i in range(len(xs))])
+        return np.unique(roots, return_inverse=True)[1].reshape(-1)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            mark = [table.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
+            n = table.num_rows
+            if not n:
+                continue
+            change = np.zeros(n, dtype=bool)
+            for m in mark:
+                m = np.nan_to_num(m.astype(float), nan=-1)
+                change[1:] |= m[1:] != m[:-1]
+            edges = [0, *np.flatnonzero(change).tolist()]
+            yield from solved(table, [*edges])  # all but the last mask, which may go on
+            held = table.slice(edges[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            if table.num_rows:
+                yield from solved(table, [0, table.num_rows])
+
+    def solved(table, edges):
+        if len(edges) < 2:
+            return
+        x, y0, size = (table.column(c).to_numpy() for c in ("x", "y0", "len"))
+        part = np.concatenate([parts(x[a:b], y0[a:b], y0[a:b] + size[a:b]) for a, b in zip(edges, edges[1:])])
+        yield from table.slice(0, edges[-1]).append_column("part", pa.array(part.astype(np.int64))).to_batches()
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", part long")
 
 
 def large_components(runs: DataFrame, least: int = 250, share: float = 0.12, keys: Sequence[str] = KEYS) -> DataFrame:
     """Number of 8-connected components of each mask, and of those of at least max(least, share of the area) pixels."""
-    from driftmark.operators.graph import components
-
-    roots = components(run_edges(runs, keys))
-    named = runs.withColumn("id", F.xxhash64(*keys, "x", "y0"))
-    parts = named.join(roots, F.col("id") == F.col("node")).groupBy(*keys, "root").agg(F.sum("len").alias("part"))
-    area = F.sum("part").over(W.partitionBy(*keys))
-    sized = parts.withColumn("_big", F.col("part") >= F.greatest(F.lit(float(least)), share * area))
+    sizes = components(runs, keys).groupBy(*keys, "part").agg(F.sum("len").alias("size"))
+    area = F.sum("size").over(W.partitionBy(*keys))
+    sized = sizes.withColumn("_big", F.col("size") >= F.greatest(F.lit(float(least)), share * area))
     return sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("components"), F.count_if("_big").alias("large"))
 
 

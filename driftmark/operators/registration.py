@@ -116,22 +116,52 @@ def blended(x: Column, y: Column, h: Sequence[Column], corners: Sequence[tuple[C
 def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Sequence[str] = ("frame_idx", "object_id")) -> DataFrame:
     """Masks through a homography of nine columns onto a canvas, by nearest neighbour, as disjoint runs.
 
-    Of each mask the canvas pixels in the box of its warped corners are taken back through the inverse and rounded; those that fall on one of its runs are set.
+    A canvas pixel is set if its place, taken back through the inverse and rounded, falls on a run. On a canvas column that place moves along a line, so that the
+    pixels of one run are an interval: four inequalities that are linear in the row bound it, and only the pixels at its ends are taken back. There is a row
+    for each run and canvas column that it can reach, not for each pixel. Where a run's corners lie on both sides of the horizon all columns are tried.
     """
-    from driftmark.operators.masks import runs_of
-
-    box = runs.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y0").alias("_y0"), F.max(F.col("y0") + F.col("len") - 1).alias("_y1"))
-    ends = [project(x, y, h) for x in (F.col("x0") - 1.0, F.col("x1") + 1.0) for y in (F.col("_y0") - 1.0, F.col("_y1") + 1.0)]
-    low = lambda i: F.greatest(F.lit(0), F.floor(F.least(*[e[i] for e in ends])))
-    high = lambda i, n: F.least(F.lit(n - 1), F.ceil(F.greatest(*[e[i] for e in ends])))
-    spans = box.select(*keys, low(0).cast("long").alias("a"), high(0, width).cast("long").alias("b"), low(1).cast("long").alias("c"), high(1, height).cast("long").alias("d")).where("a <= b AND c <= d")
-    pixels = spans.select(*keys, F.explode(F.sequence("a", "b")).alias("px"), "c", "d").select(*keys, "px", F.explode(F.sequence("c", "d")).alias("py"))
+    from driftmark.operators.masks import merged
+
+    one = F.lit(1.0)
+    h = [c * one for c in h]
+    y1 = F.col("y0") + F.col("len") - 1
+    corners = [(x * one, y * one) for x in (F.col("x") - 1, F.col("x") + 1) for y in (F.col("y0") - 1, y1 + 1)]
+    below = [h[6] * x + h[7] * y + h[8] for x, y in corners]
+    across = [project(x, y, h)[0] for x, y in corners]
+    plain = (F.least(*below) > 0) | (F.greatest(*below) < 0)
+    first = F.when(plain, F.greatest(F.lit(0.0), F.floor(F.least(*across)))).otherwise(0)
+    last = F.when(plain, F.least(F.lit(width - 1.0), F.ceil(F.greatest(*across)))).otherwise(width - 1)
     cross = lambda i, j, k, m: h[i] * h[m] - h[j] * h[k]
     inverse = [cross(4, 5, 7, 8), cross(2, 1, 8, 7), cross(1, 2, 4, 5), cross(5, 3, 8, 6), cross(0, 2, 6, 8), cross(2, 0, 5, 3), cross(3, 4, 6, 7), cross(1, 0, 7, 6), cross(0, 1, 3, 4)]  # up to a factor
-    sx, sy = project(F.col("px").cast("double"), F.col("py").cast("double"), inverse)
-    back = pixels.select(*keys, "px", "py", F.rint(sx).cast("long").alias("x"), F.rint(sy).cast("long").alias("sy"))
-    hit = back.join(runs, [*keys, "x"]).where("sy >= y0 AND sy < y0 + len")
-    return runs_of(hit.select(*keys, F.col("px").alias("x"), F.col("py").alias("y")), keys)
+    back = [F.col(f"_i{i}") for i in range(9)]
+    wide = runs.select(*keys, "x", "y0", "len", first.cast("long").alias("_a"), last.cast("long").alias("_b"), *[c.alias(f"_i{i}") for i, c in enumerate(inverse)], F.signum(cross(0, 1, 3, 4) * h[8] - cross(0, 2, 3, 5) * h[7] + cross(1, 2, 4, 5) * h[6]).alias("_det"), ((h[6] * F.col("x") + h[7] * (F.col("y0") + y1) / 2 + h[8])).alias("_w"))
+    lines = wide.where("_a <= _b").withColumn("px", F.explode(F.sequence("_a", "_b")))
+    px = F.col("px") * one
+    # What is seen from in front of the horizon has the sign of the determinant and of the run's own denominator.
+    sign = F.col("_det") * F.signum("_w")
+    at = lambda i: (back[i] * px + back[i + 2], back[i + 1])  # noqa: E731  # constant and slope in the row
+    (nx, mx), (ny, my), (nd, md) = at(0), at(3), at(6)
+    rules = []
+    for n, m, low, high in ((nx, mx, F.col("x") - 0.5, F.col("x") + 0.5), (ny, my, F.col("y0") - 0.5, y1 + 0.5)):
+        rules += [(sign * (n - low * nd), sign * (m - low * md)), (sign * (high * nd - n), sign * (high * md - m))]
+    # Each step is exploded, so that the planner doesn't put the steps into one another.
+    kept = [*keys, "x", "y0", "len", "px", *[f"_i{i}" for i in range(9)]]
+    step = lambda df, **columns: df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_s")).select(*kept, "_s.*")
+    ruled = step(lines, **{f"{n}{i}": c for i, r in enumerate(rules) for n, c in zip("pq", r)})
+    every = [(F.col(f"p{i}"), F.col(f"q{i}")) for i in range(4)]
+    far = F.lit(1e18)
+    begin = F.greatest(*[F.when(q > 0, -p / q).when((q == 0) & (p < -1e-9), far).otherwise(-far) for p, q in every])
+    end = F.least(*[F.when(q < 0, -p / q).otherwise(far) for p, q in every])
+    spans = step(ruled, _f=F.greatest(F.lit(0.0), F.ceil(begin - 1e-6)), _l=F.least(F.lit(height - 1.0), F.floor(end + 1e-6))).where("_f <= _l")
+
+    def hit(row: Column) -> Column:
+        sx, sy = project(px, row, back)
+        return (F.rint(sx) == F.col("x")) & (F.rint(sy) >= F.col("y0")) & (F.rint(sy) <= y1)
+
+    inner = step(spans, _a=F.when(hit(F.col("_f")), F.col("_f")).otherwise(F.col("_f") + 1), _b=F.when(hit(F.col("_l")), F.col("_l")).otherwise(F.col("_l") - 1)).where("_a <= _b")
+    inner = inner.where(hit(F.col("_a")) & hit(F.col("_b")))  # where the line runs along a border of the run, all its places are on one side
+    out = inner.select(*keys, F.col("px").cast("long").alias("x"), F.col("_a").cast("long").alias("y0"), (F.col("_b") - F.col("_a") + 1).cast("long").alias("len"))
+    return merged(out, keys)
 
 
 def regular_poses(tracks: DataFrame, reference: DataFrame, strength: float = 0.9, scale_step: float = 0.025, turn_step: float = math.radians(20), video: str = "video_id") -> DataFrame:

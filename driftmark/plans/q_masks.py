@@ -98,10 +98,16 @@ def frame_features(spark, d):
     return _r(out.select("frame_idx", *sides, "centroid_distance", "min_contour_distance", "overlap_area", "combined_area"), centroid_distance=5, min_contour_distance=5, **digits)
 
 
-@register("frame_angles")
+@register("frame_angles", f"""WITH {MOMENTS}, t AS (SELECT *, CASE WHEN major - minor > 1e-3 AND abs(vxy) > 1e-6 THEN atan2(2 * vxy, vxx - vyy) / 2 END AS o FROM s),
+p AS (SELECT a.frame_idx, a.o AS oa, r.o AS ob, r.cx - a.cx AS dx, r.cy - a.cy AS dy FROM (SELECT * FROM t WHERE object_id = 'A') a JOIN (SELECT * FROM t WHERE object_id = 'R') r ON a.frame_idx = r.frame_idx)
+SELECT frame_idx, round(cos(2 * (oa - ob)), 4) AS body, round(cos(atan2(dy, dx) - oa), 4) AS heading_a, round(cos(atan2(-dy, -dx) - ob), 4) AS heading_b, round(abs(sin(atan2(dy, dx) - oa)), 4) AS side_a FROM p WHERE oa IS NOT NULL AND ob IS NOT NULL AND (abs(dx) > 1e-9 OR abs(dy) > 1e-9)""")
 def frame_angles(spark, d):
+    """Body angle and headings where both masks have an axis, as cosines and sines: two angles that mean the same are equal so."""
     out = masks.frame_features(_runs(spark, d), "A", "R")
-    return _r(out.select("frame_idx", "relative_body_angle", "heading_a_to_b", "heading_b_to_a", "min_contour_distance"), relative_body_angle=4, heading_a_to_b=4, heading_b_to_a=4, min_contour_distance=5)
+    has = lambda s: (F.col(f"{s}_major") - F.col(f"{s}_minor") > 1e-3) & ((F.col(f"{s}_major") - F.col(f"{s}_minor")) * F.abs(F.sin(2 * F.col(f"{s}_orientation"))) * (F.col(f"{s}_major") + F.col(f"{s}_minor")) / 2 > 1e-6)
+    out = out.where(has("a") & has("b") & (F.col("centroid_distance") > 1e-9))
+    out = out.select("frame_idx", F.cos(2 * F.col("relative_body_angle")).alias("body"), F.cos("heading_a_to_b").alias("heading_a"), F.cos("heading_b_to_a").alias("heading_b"), F.abs(F.sin("heading_a_to_b")).alias("side_a"))
+    return _r(out, body=4, heading_a=4, heading_b=4, side_a=4)
 
 
 @register("object_pair", """WITH k AS (SELECT l_suppkey AS video, l_orderkey AS frame_idx, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))) AS k FROM lineitem GROUP BY 1, 2),
@@ -128,7 +134,15 @@ def box_pairs(spark, d):
     return _r(masks.box_pairs(views.boxes(spark, d), 640, 480), gap_px=5, centre_px=5, gap_norm=6, centre_norm=6)
 
 
-@register("mask_components")
+#: No mask has more than seven columns, so that the least number of a component reaches all its runs in as many rounds.
+_TIMES = 14
+
+
+@register("mask_components", f"""WITH {views.PIXELS}, c AS (SELECT frame_idx, object_id, x, y, y - row_number() OVER (PARTITION BY frame_idx, object_id, x ORDER BY y) AS island FROM pixels),
+r AS (SELECT frame_idx, object_id, x, min(y) AS a, max(y) AS b, row_number() OVER (PARTITION BY frame_idx, object_id ORDER BY x, min(y)) AS i FROM c GROUP BY frame_idx, object_id, x, island),
+l0 AS (SELECT *, i AS part FROM r), {", ".join(f"l{k + 1} AS (SELECT p.frame_idx, p.object_id, p.x, p.a, p.b, p.i, least(p.part, coalesce(min(q.part), p.part)) AS part FROM l{k} p LEFT JOIN l{k} q ON p.frame_idx = q.frame_idx AND p.object_id = q.object_id AND abs(p.x - q.x) = 1 AND p.a <= q.b + 1 AND q.a <= p.b + 1 GROUP BY p.frame_idx, p.object_id, p.x, p.a, p.b, p.i, p.part)" for k in range(_TIMES))},
+s AS (SELECT frame_idx, object_id, part, sum(b - a + 1) AS size FROM l{_TIMES} GROUP BY ALL)
+SELECT frame_idx, object_id, count(*) AS components, count(*) FILTER (size >= greatest(3, 0.12 * area)) AS large FROM (SELECT *, sum(size) OVER (PARTITION BY frame_idx, object_id) AS area FROM s) GROUP BY 1, 2""")
 def mask_components(spark, d):
     return masks.large_components(_runs(spark, d), least=3)
 

@@ -6,6 +6,7 @@ import sqlite3
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftmark.operators import masks as shapes
@@ -106,3 +107,70 @@ def test_poses_keep_their_shape(spark):
     assert np.allclose(got["a", "nose", 10], true("nose", 10), atol=1e-6)
     assert np.allclose(got["a", "mid", 12], true("mid", 12), atol=0.5)  # from the other two
     assert abs(got["a", "tail", 20][1] - true("tail", 20)[1]) < 4.0  # drawn back
+
+
+def random_masks(seed, count=12, width=14, height=12):
+    """Pixels of masks with holes, diagonals and single pixels."""
+    rng = np.random.default_rng(seed)
+    return {(m % 4, f"o{m // 4}"): {(x, y) for x in range(width) for y in range(height) if rng.random() < (0.2, 0.45, 0.6, 0.9)[m % 4]} for m in range(count)}
+
+
+def as_runs(spark, found):
+    pixels = spark.createDataFrame([(*k, x, y) for k, p in found.items() for x, y in p], "frame_idx long, object_id string, x long, y long")
+    return shapes.runs_of(pixels).select("frame_idx", "object_id", "x", "y0", "len")
+
+
+def test_borders_and_parts_of_random_masks(spark):
+    found = random_masks(21)
+    runs = as_runs(spark, found)
+    want = {(*k, x, y) for k, p in found.items() for x, y in p if not {(x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)} <= p}
+    assert {tuple(r) for r in shapes.boundary(runs).select("frame_idx", "object_id", "x", "y").collect()} == want
+    inner = shapes.boundary_runs(runs).withColumn("end", F.col("y0") + F.col("len"))
+    assert inner.agg(F.sum("len")).first()[0] == len(want)
+    by = {}
+    for r in shapes.components(runs).collect():
+        for y in range(r.y0, r.y0 + r.len):
+            by[r.frame_idx, r.object_id, r.x, y] = r.part
+    for k, p in found.items():
+        left, number = sorted(p), {}
+        for start in left:
+            if start not in number:
+                todo = [start]
+                number[start] = start
+                while todo:
+                    x, y = todo.pop()
+                    for q in ((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                        if q in p and q not in number:
+                            number[q] = start
+                            todo.append(q)
+        assert len({(by[(*k, *q)], number[q]) for q in p}) == len({by[(*k, *q)] for q in p}) == len(set(number.values()))
+
+
+def test_nearest_points_of_sampled_contours(spark):
+    found = random_masks(22)
+    sample = shapes.contour_sample(shapes.boundary(as_runs(spark, found)), 20)
+    points = {}
+    for r in sample.collect():
+        points.setdefault((r.frame_idx, r.object_id), []).append((r.x, r.y))
+    assert max(map(len, points.values())) <= 20
+    want = {(f, a, b): min(math.dist(p, q) for p in points[f, a] for q in points[f, b]) for f in range(4) for a in ("o0", "o1", "o2") for b in ("o0", "o1", "o2") if a < b and (f, a) in points and (f, b) in points}
+    got = {(r.frame_idx, r.a, r.b): r.distance for r in shapes.contour_distances(sample).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("h", [(1.3, 0.2, 2, -0.4, 1.1, 6, 0.01, -0.008, 1), (-1.03, 0.13, 20, 0.21, -1.41, 22, 0, 0.01, 1), (0.5, 0, 1, 0, 0.5, 1, 0, 0, 1), (2.0, 0, 0, 0, 2.0, 0, 0, 0, 1), (13, 2, 20, -4, 11, 60, 0.1, -0.08, 10), (-1.3, -0.2, -2, 0.4, -1.1, -6, -0.01, 0.008, -1)])
+def test_warps_are_those_of_every_pixel(spark, h):
+    found = random_masks(23)
+    inverse = np.linalg.inv(np.array(h, float).reshape(3, 3))
+    forward = np.array(h, float).reshape(3, 3)
+    want = set()
+    for k, p in found.items():
+        for x in range(30):
+            for y in range(30):
+                back = inverse @ (x, y, 1)
+                sx, sy = back[:2] / back[2]
+                if (int(np.rint(sx)), int(np.rint(sy))) in p and (forward @ (sx, sy, 1))[2] * (forward @ (7, 6, 1))[2] > 0:
+                    want.add((*k, x, y))
+    out = shapes.pixels(registration.warp(as_runs(spark, found), [F.lit(float(v)) for v in h], 30, 30))
+    got = [tuple(r) for r in out.select("frame_idx", "object_id", "x", "y").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
