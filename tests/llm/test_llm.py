@@ -315,6 +315,47 @@ def test_few_links_are_cut(spark, none):
     assert tuple(sharding.cut_links(sharding.shard(none)).first()) == (0, 0)
 
 
+def test_placed_documents_move_on(spark):
+    """Groups dealt out at random over full shards: only exchanges can bring them together, which filling shards in turn never does."""
+    cut = lambda rows: sum(sum(n for _, n in own) * (sum(n for _, n in own) - 1) // 2 - sum(n * (n - 1) // 2 for _, n in own) for own in rows.values())
+
+    def by_group(placed):
+        out = defaultdict(list)
+        for r in placed.collect():
+            out[r.g].append((r.shard, r.n))
+        return out
+
+    rng = np.random.default_rng(11)
+    rows = Counter((f"g{g}", int(rng.integers(0, 5))) for g in range(30) for _ in range(int(rng.integers(2, 9))))
+    placed = spark.createDataFrame([(g, s, n) for (g, s), n in rows.items()], "g string, shard int, n long")
+    loads = [sum(n for (_, s), n in rows.items() if s == shard) for shard in range(5)]
+    costs = []
+    for moves in (0, 1, 3, 40):
+        after = by_group(sharding.propagated(placed, loads, moves))
+        assert [sum(n for own in after.values() for s, n in own if s == shard) for shard in range(5)] == loads
+        assert {g: sum(n for _, n in own) for g, own in after.items()} == {f"g{g}": sum(n for (h, _), n in rows.items() if h == f"g{g}") for g in range(30)}
+        costs.append(cut(after))
+    assert costs == sorted(costs, reverse=True) and costs[-1] < 0.25 * costs[0]
+    # A group of five on two full shards comes together by a swap with a whole group of two.
+    stuck = spark.createDataFrame([("g", 0, 3), ("g", 1, 2), ("q", 0, 2), ("r", 1, 3)], "g string, shard int, n long")
+    assert cut(by_group(sharding.propagated(stuck, [5, 5], 0))) == 6 and cut(by_group(sharding.propagated(stuck, [5, 5]))) == 0
+
+
+def test_flows_keep_the_quotas():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(2, 9))
+        wants = {(a, b): int(rng.integers(0, 20)) for a in range(n) for b in range(n) if a != b and rng.random() < 0.4}
+        rooms = [int(x) for x in rng.integers(0, 6, n) * (rng.random(n) < 0.3)]
+        flows = sharding._flows(wants, rooms)
+        assert all(0 <= x <= wants[k] for k, x in flows.items())
+        net = [sum(x for (a, b), x in flows.items() if b == s) - sum(x for (a, b), x in flows.items() if a == s) for s in range(n)]
+        assert all(net[s] <= rooms[s] for s in range(n))
+        left = {k: v - flows.get(k, 0) for k, v in wants.items()}
+        assert all(min(left.get((a, b), 0), left.get((b, a), 0)) == 0 for a in range(n) for b in range(n))
+        assert all(not (x > 0 and rooms[b] - net[b] > 0) for (_, b), x in left.items())
+
+
 def test_quality_learns_from_its_fold_only(spark, none):
     rng = np.random.default_rng(3)
     good = [" ".join(prose(i, 100)) for i in range(150)]
