@@ -164,44 +164,56 @@ def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Se
     return merged(out, keys)
 
 
+#: Scale, angle and angular speed of a track without frames so far.
+START = (1.0, 0.0, 0.0)
+
+
+def pose_step(state: tuple[float, float, float], at, shape, visible, strength: float, scale_step: float, turn_step: float):
+    """One frame of a track: its landmarks drawn towards the shape, and the track's scale, angle and angular speed after it. at and shape are arrays of complex numbers; a landmark that is nan is not tracked."""
+    import numpy as np
+
+    scale, angle, speed = state
+    seen = np.isfinite(at)
+    middle = shape[seen].mean() if seen.sum() >= 2 else shape.mean()
+    centre = at[seen].mean() if seen.any() else middle
+    fit, turn = scale, angle
+    if seen.sum() >= 2:
+        s, z = shape[seen] - middle, at[seen] - centre
+        straight = (np.conj(s) * z).sum()
+        fit, turn = max(abs(straight), abs((s * z).sum())) / max((abs(s) ** 2).sum(), 1e-8), np.angle(straight)
+    if fit >= max(0.55, 0.65 * scale):
+        step = float(np.clip((turn - angle + np.pi) % (2 * np.pi) - np.pi, -turn_step, turn_step))
+        speed = 0.75 * speed + 0.25 * step
+    else:
+        step = float(np.clip(speed, -turn_step, turn_step))
+    scale = float(np.clip(fit, max(0.75, scale * (1 - scale_step)), min(2.0, scale * (1 + scale_step))))
+    angle += step
+    fitted = centre + scale * np.exp(1j * angle) * (shape - middle)
+    share = np.where(visible & seen, strength, 1.0)
+    return (1 - share) * np.where(seen, at, 0) + share * fitted, (scale, float(angle), float(speed))
+
+
 def regular_poses(tracks: DataFrame, reference: DataFrame, strength: float = 0.9, scale_step: float = 0.025, turn_step: float = math.radians(20), video: str = "video_id") -> DataFrame:
     """Tracked landmarks drawn towards their object's reference shape, moved, turned and scaled to fit.
 
     tracks: video, object_id, part_id, frame_idx, x, y (null: not tracked), visible; reference: object_id, part_id, x, y. A frame's shape is fitted to the landmarks that
     are tracked. Scale and turn follow the fit by `scale_step` and `turn_step` at most from frame to frame; where the landmarks have collapsed the turn goes
     on as before. Visible landmarks become `strength` of the fitted shape, others the shape itself. Objects of one landmark are left as they are.
-    A track depends on its frames' order, so each one is gone through in one task.
+    A track depends on its frames' order, so each one is gone through in one task; `streaming.live.poses` does the same on a stream.
     """
-    import numpy as np
     import pandas as pd
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_idx", "part_id"])
+        columns = ["video_id", "object_id", "part_id", "frame_idx", "x", "y"]
         if pdf["part_id"].nunique() < 2:
-            return pdf[["video_id", "object_id", "part_id", "frame_idx", "x", "y"]]
-        scale, angle, speed, out = 1.0, 0.0, 0.0, []
+            return pdf[columns]
+        state, out = START, []
         for _, rows in pdf.groupby("frame_idx", sort=True):
             at = rows["x"].to_numpy(float) + 1j * rows["y"].to_numpy(float)
             shape = rows["rx"].to_numpy(float) + 1j * rows["ry"].to_numpy(float)
-            seen = np.isfinite(at)
-            middle = shape[seen].mean() if seen.sum() >= 2 else shape.mean()
-            centre = at[seen].mean() if seen.any() else middle
-            fit, turn = scale, angle
-            if seen.sum() >= 2:
-                s, z = shape[seen] - middle, at[seen] - centre
-                straight = (np.conj(s) * z).sum()
-                fit, turn = max(abs(straight), abs((s * z).sum())) / max((abs(s) ** 2).sum(), 1e-8), np.angle(straight)
-            if fit >= max(0.55, 0.65 * scale):
-                step = np.clip((turn - angle + np.pi) % (2 * np.pi) - np.pi, -turn_step, turn_step)
-                speed = 0.75 * speed + 0.25 * step
-            else:
-                step = np.clip(speed, -turn_step, turn_step)
-            scale = float(np.clip(fit, max(0.75, scale * (1 - scale_step)), min(2.0, scale * (1 + scale_step))))
-            angle += step
-            fitted = centre + scale * np.exp(1j * angle) * (shape - middle)
-            share = np.where(rows["visible"].to_numpy(bool) & seen, strength, 1.0)
-            new = (1 - share) * np.where(seen, at, 0) + share * fitted
-            out.append(rows.assign(x=new.real, y=new.imag)[["video_id", "object_id", "part_id", "frame_idx", "x", "y"]])
+            new, state = pose_step(state, at, shape, rows["visible"].to_numpy(bool), strength, scale_step, turn_step)
+            out.append(rows.assign(x=new.real, y=new.imag)[columns])
         return pd.concat(out)
 
     shapes = reference.select("object_id", "part_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
