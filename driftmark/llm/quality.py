@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     A training document gives all its passages. Documents of a class are taken in the order of the hash until they have half of
     `most_passages`, the first one always; this bounds what the driver holds.
     Labels other than 0 and 1 and null are left out; of several labels of a document the smallest counts, of several
-    texts that of the least features. None if no document is labelled.
+    texts that of the least features. None unless documents of both labels are found: from one alone nothing can be told.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
@@ -183,6 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bags = [np.frombuffer(r.x, dtype="<f4").reshape(-1, WIDTH) for r in got]
     label = np.array([r._label for r in got], dtype=np.float64)
     found = {v: int((label == v).sum()) for v in (0, 1)}
+    if not all(found.values()):
+        return None
     weight = np.array([sizes[int(v)] / found[int(v)] for v in label])
     return train(np.concatenate(bags).astype(np.float64), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), label, weight / weight.mean(), seed=seed)
 
