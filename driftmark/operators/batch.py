@@ -189,30 +189,130 @@ def pca(table: DataFrame, keys: PAIR, columns: PAIR, k: int = 2) -> DataFrame:
     return model.transform(vectors).select(*keys, *[(pc[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
-def permanova(table: DataFrame, key: str, columns: PAIR, batch: str, permutations: int = 499, seed: int = 42, chunk_rows: int = 100_000) -> DataFrame:
+def _scrambled(x):
+    """A bijective 64-bit scrambler (published mixing constants)."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _borders(hashes: DataFrame, ends: list[int], marks, parts: int, few: int):
+    """For each permutation and each of `ends` the hash value of that rank, as an array: exact order statistics of all permutations from counts.
+
+    hashes: h, one for each row; marks: a number for each permutation. Around the place where a rank should lie, hashes are counted in `parts` parts, and the part
+    that holds the rank is counted again, until it holds at most `few` rows; those are collected. What is shuffled and collected is a row for each permutation, rank and part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = hashes.count()
+    perms, ranks = len(marks), np.array(ends, dtype=np.int64)
+    share = ranks / rows
+    reach = 6 * np.sqrt(share * (1 - share) / rows) + 4 / rows
+    whole = 2.0**64
+    low = np.tile((np.clip(share - reach, 0, 1) * (whole - 2048)).astype(np.uint64), (perms, 1))
+    high = np.tile((np.clip(share + reach, 0, 1) * (whole - 2048)).astype(np.uint64), (perms, 1))
+
+    def edges_of(low, high):
+        width = (high - low) // np.uint64(parts) + np.uint64(1)
+        steps = np.arange(parts + 1, dtype=np.uint64)
+        out = low[:, :, None] + np.minimum(steps * width[:, :, None], (high - low)[:, :, None])
+        return out
+
+    while True:
+        edges = edges_of(low, high)
+
+        def count(batches, edges=edges):
+            total = np.zeros(edges.shape, dtype=np.int64)
+            for batch in batches:
+                h = batch.column("h").to_numpy().view(np.uint64)
+                for p in range(perms):
+                    total[p] += np.searchsorted(np.sort(_scrambled(h ^ marks[p])), edges[p], "left")
+            at = np.flatnonzero(total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+        below = np.zeros(edges.size, dtype=np.int64)
+        for r in hashes.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each permutation, rank and part
+            below[r.at] = r.n
+        below = below.reshape(edges.shape)
+        missed = (below[:, :, 0] >= ranks) | (below[:, :, -1] < ranks)  # not in the window at all
+        part = np.minimum((below < ranks[None, :, None]).sum(axis=2) - 1, parts - 1).clip(0)
+        pick = lambda x, k: np.take_along_axis(x, k[:, :, None], 2)[:, :, 0]
+        low, high = pick(edges, part), pick(edges, part + 1)
+        low[missed], high[missed] = 0, np.uint64((1 << 64) - 2048)
+        left, held = pick(below, part), pick(below, part + 1) - pick(below, part)
+        if not missed.any() and ((held <= few) | (high - low <= 1)).all():
+            break
+
+    def gather(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            out = [[], [], []]
+            for p in range(perms):
+                x = np.sort(_scrambled(h ^ marks[p]))
+                for j, (a, b) in enumerate(zip(np.searchsorted(x, low[p], "left").tolist(), np.searchsorted(x, high[p], "left").tolist())):
+                    if b > a:
+                        out[0].append(np.full(b - a, p))
+                        out[1].append(np.full(b - a, j))
+                        out[2].append(x[a:b].view(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["p", "j", "x"])
+
+    found: dict[tuple[int, int], list[int]] = {}
+    for r in hashes.mapInArrow(gather, "p long, j long, x long").collect():  # at most `few` rows for each permutation and rank
+        found.setdefault((r.p, r.j), []).append(r.x & ((1 << 64) - 1))
+    return np.array([[sorted(found[p, j])[int(ranks[j] - left[p, j]) - 1] for j in range(len(ends))] for p in range(perms)], dtype=np.uint64).reshape(perms, len(ends))
+
+
+def permanova(table: DataFrame, key: str, columns: PAIR, batch: str, permutations: int = 499, seed: int = 42, parts: int = 32, few: int = 16) -> DataFrame:
     """Multivariate analysis of variance by permutation: r2, pseudo_f and p of the batches, on z-scored columns.
 
     All rows count. Squared distances are never formed: the sum within groups is the total less the sum of n times the squared
-    mean. A permutation ranks the rows by a hash, in chunks of the hash's range, and deals the labels out by rank, each to
-    as many rows as it has; no task sees more of a permutation than one chunk.
+    mean. A permutation orders the rows by a hash of their key and deals the labels out in that order, each to as many rows as it has. The hashes at the borders
+    between labels are found first, from counts; then one pass adds each row to a sum for each permutation and label inside its task, and only those sums are shuffled. Rows of
+    equal keys have the same label in a permutation. Batches have a row each in the driver. One batch, or an empty table, gives r2 and null for what can't be told.
     """
+    import numpy as np
+    import pyarrow as pa
+
     z = zscore(table, columns, ddof=1)
     spark = table.sparkSession
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]]
-    own = z.groupBy(F.col(batch).alias("_label")).agg(*sums).select(F.lit(0).cast("long").alias("perm"), "_label", "n", *columns)
-    ends = own.select("_label", F.sum("n").over(W.orderBy("_label")).alias("_end"), "n").select("_label", "_end", (F.col("_end") - F.col("n")).alias("_begin"))  # a row for each batch
-    chunks = max(1, math.ceil(z.count() / chunk_rows))
-    perms = spark.range(1, permutations + 1).select(F.col("id").alias("perm"))
-    hashed = z.select(F.col(key).alias("_key"), *columns).crossJoin(F.broadcast(perms)).withColumn("_h", F.xxhash64("_key", "perm", F.lit(seed)))
-    hashed = hashed.withColumn("_chunk", F.floor((F.shiftrightunsigned("_h", 1) / 2.0**63) * chunks))
-    before = hashed.groupBy("perm", "_chunk").agg(F.count(F.lit(1)).alias("_m")).withColumn("_earlier", F.coalesce(F.sum("_m").over(W.partitionBy("perm").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    place = F.row_number().over(W.partitionBy("perm", "_chunk").orderBy("_h", "_key"))
-    ranked = hashed.withColumn("_place", place).join(before, ["perm", "_chunk"]).withColumn("_rank", F.col("_earlier") + F.col("_place"))
-    dealt = ranked.join(F.broadcast(ends), (F.col("_rank") > F.col("_begin")) & (F.col("_rank") <= F.col("_end")))
-    groups = own.unionByName(dealt.groupBy("perm", "_label").agg(*sums))
-    between = groups.groupBy("perm").agg(F.sum(sum(F.col(c) * F.col(c) for c in columns) / F.col("n")).alias("ssb"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    own = z.groupBy(F.col(batch).alias("_label")).agg(*sums).orderBy(F.col("_label").asc_nulls_first()).collect()  # a row for each batch
+    sizes = [r.n for r in own]
+    rows = z.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    marks = _scrambled(np.arange(1, permutations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    width = len(columns)
+    made = [(0, i, r.n, *[float(r[c]) for c in columns]) for i, r in enumerate(own)]
+    schema = ", ".join(["perm long, label long, n long", *[f"`{c}` double" for c in columns]])
+    groups = spark.createDataFrame(made, schema)
+    if len(sizes) > 1:
+        borders = _borders(rows.select("h"), np.cumsum(sizes)[:-1].tolist(), marks, parts, few)
+
+        def deal(batches):
+            total = np.zeros((permutations, len(sizes), width + 1))
+            for b in batches:
+                h = b.column("h").to_numpy().view(np.uint64)
+                v = np.asarray(b.column("v").flatten()).reshape(-1, width)
+                for p in range(permutations):
+                    label = np.searchsorted(borders[p], _scrambled(h ^ marks[p]), "left")
+                    total[p, :, 0] += np.bincount(label, minlength=len(sizes))
+                    for c in range(width):
+                        total[p, :, c + 1] += np.bincount(label, v[:, c], len(sizes))
+            p, label = (x.ravel() for x in np.indices(total.shape[:2]))
+            flat = total.reshape(-1, width + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(p + 1), pa.array(label), pa.array(flat[:, 0].astype(np.int64)), *[pa.array(flat[:, c + 1]) for c in range(width)]], names=["perm", "label", "n", *columns])
+
+        groups = groups.unionByName(rows.mapInArrow(deal, schema).groupBy("perm", "label").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]))
+    between = groups.groupBy("perm").agg(F.sum(F.try_divide(sum(F.col(c) * F.col(c) for c in columns), F.col("n"))).alias("ssb"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     total = z.agg(F.sum(sum(F.col(c) * F.col(c) for c in columns)).alias("sst"))
-    f = (F.col("ssb") / (F.col("k") - 1)) / ((F.col("sst") - F.col("ssb")) / (F.col("n") - F.col("k")))
-    stats = between.crossJoin(total).withColumn("pseudo_f", f).withColumn("r2", F.col("ssb") / F.col("sst"))
-    seen = stats.where("perm = 0").select(F.col("pseudo_f").alias("seen"), "r2")
-    return stats.where("perm > 0").crossJoin(seen.withColumnRenamed("r2", "_r2")).groupBy("seen", "_r2").agg(((F.count_if(F.col("pseudo_f") >= F.col("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select(F.col("_r2").alias("r2"), F.col("seen").alias("pseudo_f"), "p")
+    f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("sst") - F.col("ssb"), F.col("n") - F.col("k")))
+    stats_ = between.crossJoin(F.broadcast(total)).withColumn("pseudo_f", f).withColumn("r2", F.try_divide(F.col("ssb"), F.col("sst")))
+    seen = stats_.where("perm = 0").select(F.col("pseudo_f").alias("seen"), F.col("r2").alias("_r2"))
+    dealt = stats_.where("perm > 0").select("perm", "pseudo_f")
+    compared = seen.join(dealt, F.lit(True), "left").groupBy("seen", "_r2").agg(F.count_if(F.col("pseudo_f") >= F.col("seen")).alias("as_large"), F.count("perm").alias("of"))
+    return compared.select(F.col("_r2").alias("r2"), F.col("seen").alias("pseudo_f"), F.when(F.col("of") > 0, (F.col("as_large") + 1) / (F.col("of") + 1)).alias("p"))

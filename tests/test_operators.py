@@ -258,12 +258,26 @@ def test_permanova_of_all_rows(spark):
     v, g = rng.normal(size=(300, 2)), np.arange(300) % 3
     v[g == 1] += 1.0
     t = spark.createDataFrame([(i, f"b{g[i]}", float(v[i, 0]), float(v[i, 1])) for i in range(300)], "k long, batch string, x double, y double")
-    r = one(batch.permanova(t, "k", ["x", "y"], "batch", chunk_rows=70))
+    r = one(batch.permanova(t, "k", ["x", "y"], "batch"))
     z = (v - v.mean(0)) / v.std(0, ddof=1)
     r2 = sum((z[g == b].sum(0) ** 2).sum() / 100 for b in range(3)) / (z**2).sum()
     assert math.isclose(r.r2, r2, rel_tol=1e-9) and math.isclose(r.pseudo_f, (r2 / 2) / ((1 - r2) / 297), rel_tol=1e-9) and math.isclose(r.p, 1 / 500)
     mixed = t.withColumn("batch", F.concat(F.lit("b"), F.pmod(F.xxhash64("k"), F.lit(3))))
-    assert one(batch.permanova(mixed, "k", ["x", "y"], "batch", permutations=99, chunk_rows=70)).p > 0.02
+    assert one(batch.permanova(mixed, "k", ["x", "y"], "batch", permutations=99)).p > 0.02
+
+
+def test_permutations_deal_every_label_as_often(spark):
+    """Borders of hashes against sorting all of them, with one row for a label and many rows to a part."""
+    n = 4000
+    rows = spark.range(n).select(F.xxhash64("id").alias("h"))
+    marks = batch._scrambled(np.arange(1, 20, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ends = [1, 900, 901, 2500, 3999]
+    h = np.array([r.h for r in rows.collect()], dtype=np.int64).view(np.uint64)
+    for parts, few in ((32, 16), (2, 1), (8, 4000)):
+        got = batch._borders(rows, ends, marks, parts, few)
+        assert all(got[p].tolist() == np.sort(batch._scrambled(h ^ m))[np.array(ends) - 1].tolist() for p, m in enumerate(marks))
+    one_label = spark.createDataFrame([(i, "b", float(i)) for i in range(5)], "k long, batch string, x double")
+    assert one(batch.permanova(one_label, "k", ["x"], "batch")).p is None and one(batch.permanova(one_label, "k", ["x"], "batch")).pseudo_f is None
 
 
 def test_two_modes(spark):
