@@ -118,12 +118,19 @@ def nearest(table: DataFrame, key: str, columns: Sequence[str], k: int, most_cel
     cells = max(1, min(most_cells, math.isqrt(rows.count())))
     pivots = np.array([r.x for r in rows.orderBy(F.xxhash64("src", F.lit(seed)), "src").limit(cells).collect()]).reshape(-1, len(columns))
 
+    def bounded(batches):
+        """Batches of so many rows that their distances from all pivots are 2 million at most."""
+        step = max(1, 2_000_000 // max(1, len(pivots)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                yield batch.slice(a, step)
+
     def distances(batch):
         x = np.array(batch.column("x").flatten()).reshape(-1, pivots.shape[1])
         return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T, 0.0))
 
     def deal(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             d = distances(batch)
             cell = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["src", "x", "cell", "far"])
@@ -137,7 +144,7 @@ def nearest(table: DataFrame, key: str, columns: Sequence[str], k: int, most_cel
     reach = own.where(F.col("place") == k).select("src", F.col("distance").alias("reach"))
 
     def reached(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             d = distances(batch)
             near = d - radius[None, :] <= (batch.column("reach").to_numpy(zero_copy_only=False) * (1 + 1e-9) + 1e-6)[:, None]
             near[np.arange(len(d)), batch.column("cell").to_numpy()] = False
@@ -300,23 +307,22 @@ def _solved(both: DataFrame, degree: DataFrame, size: int):
     """Eigenvalues and vectors of a small graph's walk, after the constant one, the largest first: values, and rows node, k, v. Dense, on the driver."""
     import numpy as np
 
-    nodes = degree.select("node", "k").orderBy("node").collect()
-    place = {r.node: i for i, r in enumerate(nodes)}
-    k = np.array([r.k for r in nodes])
+    known = degree.select("node", "k").orderBy("node").toArrow()
+    nodes, k = known.column("node").to_numpy(), known.column("k").to_numpy()
+    links = both.select("src", "dst", "weight").toArrow()
     m = np.zeros((len(nodes), len(nodes)))
-    for r in both.collect():
-        m[place[r.src], place[r.dst]] += r.weight
+    np.add.at(m, tuple(np.searchsorted(nodes, links.column(c).to_numpy()) for c in ("src", "dst")), links.column("weight").to_numpy())
     root = np.sqrt(k)
     m = m / np.outer(root, root)
     flat = root / np.linalg.norm(root)
     values, vectors = np.linalg.eigh((m + m.T) / 2 - 3 * np.outer(flat, flat))  # the constant one goes to the end
     order = np.argsort(-values)[: min(size, max(len(nodes) - 1, 1))]
     v = vectors[:, order] / root[:, None]
-    rows = [(r.node, float(r.k), [float(x) for x in v[i]]) for i, r in enumerate(nodes)]
+    rows = [(node, size_, row) for node, size_, row in zip(nodes.tolist(), k.tolist(), v.tolist())]
     return values[order], both.sparkSession.createDataFrame(rows, f"node {dict(degree.dtypes)['node']}, k double, v array<double>")
 
 
-def eigenvectors(edges: DataFrame, wanted: int, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, most_degree: int = 8, small: int = 1000) -> DataFrame:
+def eigenvectors(edges: DataFrame, wanted: int, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, most_degree: int = 8, small: int = 2500) -> DataFrame:
     """The `wanted` leading eigenvectors of the graph's random walk after the constant one: node, k (its degree), v (an array). An empty graph gives an empty table.
 
     The graph is contracted until it has at most `small` nodes, where they are found densely. On the way back each node begins with its coarse node's values, and a block
@@ -416,7 +422,7 @@ def eigenvectors(edges: DataFrame, wanted: int, rounds: int = 400, seed: int = 4
     return at.select("node", "k", F.slice("v", 1, wanted).alias("v"))
 
 
-def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, small: int = 1000) -> DataFrame:
+def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int = 16, close: float = 1e-5, small: int = 2500) -> DataFrame:
     """Two coordinates of each node, node, x, y: the leading `eigenvectors`, of residuals below `close`. The largest coordinate of each is positive. No edges give no rows."""
     v = eigenvectors(edges, 2, rounds, seed, size, close, small=small)
     at = v.select("node", F.coalesce(F.get("v", F.lit(0)), F.lit(0.0)).alias("x"), F.coalesce(F.get("v", F.lit(1)), F.lit(0.0)).alias("y"))
@@ -425,7 +431,7 @@ def coordinates(edges: DataFrame, rounds: int = 400, seed: int = 42, size: int =
     return at.select("node", (F.col("x") * sign(top.x)).alias("x"), (F.col("y") * sign(top.y)).alias("y"))
 
 
-def spectral(edges: DataFrame, k: int = 20, seeds: int = 5, seed: int = 42, close: float = 1e-3, small: int = 1000) -> DataFrame:
+def spectral(edges: DataFrame, k: int = 20, seeds: int = 5, seed: int = 42, close: float = 1e-3, small: int = 2500) -> DataFrame:
     """Spectral clusters: node, community.
 
     Each node's row of the k leading eigenvectors, the constant one among them and scaled by the root of its degree, is brought to length 1. K-means of the

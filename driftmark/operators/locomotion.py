@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftmark.functions.scalars import diagonal
+from driftmark.functions.scalars import diagonal, finite
 from driftmark.operators import stats, windows
 
 KEYS = ("video_id", "object_id")
@@ -64,8 +64,8 @@ def quantile_ranks(samples: DataFrame, keys: Sequence[str], value: str, name: st
 
 
 def snapshot(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, population deviation and 5th, 50th and 95th percentile (interpolated) by key; nulls don't count."""
-    kept = samples.where(F.col(value).isNotNull())
+    """Count, mean, population deviation and 5th, 50th and 95th percentile (interpolated) by key, of the finite values; others don't count."""
+    kept = samples.select(*keys, finite(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull())
     out = kept.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     out = stats.joined(out, stats.quantiles(kept, keys, value, (0.05, 0.5, 0.95), "_p"), keys)
     return out.select(*keys, "n", "mean", "std", F.col("_p")[0].alias("p05"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p95"))

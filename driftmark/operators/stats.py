@@ -38,8 +38,9 @@ def placed(counts: DataFrame, keys: Sequence[str], value: str, chunks: int = 128
 
 
 def quantiles(table: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "_q") -> DataFrame:
-    """Exact interpolated percentiles of each key's values as one array of doubles; nulls don't count. Without keys, a table without values gives an array of nulls."""
-    counts = table.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    """Exact interpolated percentiles of each key's finite values as one array of doubles; others don't count. Without keys, a table without values gives an array of nulls."""
+    finite_ = finite(F.col(value).cast("double"))
+    counts = table.where(finite_.isNotNull()).groupBy(*keys, finite_.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     at = [F.col("_n") * share - share for share in shares]
     held = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_v")))
     ends = [(held(F.floor(p)), held(F.ceil(p)), F.max(p - F.floor(p))) for p in at]

@@ -280,6 +280,13 @@ def test_permutations_deal_every_label_as_often(spark):
     assert one(batch.permanova(one_label, "k", ["x"], "batch")).p is None and one(batch.permanova(one_label, "k", ["x"], "batch")).pseudo_f is None
 
 
+def test_what_is_not_finite_does_not_count(spark):
+    t = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 4.0, None, float("nan"), float("inf"), float("-inf"))], "k string, v double")
+    r = one(locomotion.snapshot(t, ["k"], "v"))
+    assert (r.n, r.p50) == (3, 2.0) and math.isclose(r["mean"], 7 / 3)
+    assert one(stats.quantiles(t, ["k"], "v", (0.0, 1.0)))["_q"] == [1.0, 4.0]
+
+
 def test_two_modes(spark):
     rng = np.random.default_rng(5)
     rows = [("m", float(np.exp(v))) for v in np.concatenate([rng.normal(0, 0.3, 400), rng.normal(4, 0.3, 400)])]
