@@ -69,6 +69,27 @@ def reference_frames(rows: DataFrame, start: int, video: str = "video_id") -> Da
     return full.groupBy(video).agg(F.min_by("frame_idx", F.struct(F.abs(F.col("frame_idx") - start), "frame_idx")).alias("reference"), F.count(F.lit(1)).alias("full_frames"))
 
 
+def nearest_frames(wanted: DataFrame, frames: DataFrame, video: str = "video_id", at: str = "start", frame: str = "frame_idx", chunk: int = 100_000) -> DataFrame:
+    """wanted with the nearest of its video's frames as `nearest`, the earlier of two; null where the video has none. Many places may be wanted of one video.
+
+    Both sides are merged in the order of frames inside chunks of `chunk` frames; the last frame before a chunk and the first one after it are carried over from a
+    table of one row for each video and chunk, so that no task holds a video. Rows without a place keep null. Repeated rows stay.
+    """
+    asked = wanted.select(F.struct(*[F.col(c) for c in wanted.columns]).alias("_row"), F.col(video).alias("_v"), F.col(at).cast("double").alias("_k"), F.lit(1).alias("_q"))
+    held = frames.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(video).alias("_v"), F.col(frame).cast("double").alias("_k"), F.lit(0).alias("_q")).where("_k IS NOT NULL").distinct()
+    both = asked.unionByName(held).withColumn("_c", F.floor(F.col("_k") / chunk))
+    is_frame = F.when(F.col("_q") == 0, F.col("_k"))
+    chunks = both.groupBy(F.col("_v").alias("_v2"), F.col("_c").alias("_c2")).agg(F.min(is_frame).alias("_first"), F.max(is_frame).alias("_last"))
+    order = W.partitionBy("_v2").orderBy("_c2")
+    carried = chunks.select("_v2", "_c2", F.max("_last").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    inside = W.partitionBy("_v", "_c").orderBy("_k", "_q")
+    merged_ = both.withColumn("_p", F.max(is_frame).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.min(is_frame).over(inside.rowsBetween(0, W.unboundedFollowing))).where("_q = 1")
+    out = merged_.join(carried, F.col("_v").eqNullSafe(F.col("_v2")) & F.col("_c").eqNullSafe(F.col("_c2")), "left")
+    low, high = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
+    nearest = F.when(F.col("_k").isNull(), None).when(high.isNull() | (F.col("_k") - low <= high - F.col("_k")), low).otherwise(high)
+    return out.select("_row.*", nearest.cast("long").alias("nearest"))
+
+
 def memory_weights(anchors: DataFrame, video: str = "video_id", part: str = "part_id", previous: float = 0.6) -> DataFrame:
     """Weight of each visible anchor of a part: what the previous frame leaves, shared; anchors: has_previous, visible."""
     n = F.count(F.when(F.col("visible"), 1)).over(W.partitionBy(video, part))

@@ -81,6 +81,17 @@ def reference_frames(spark, d):
     return registration.reference_frames(registration.pose_rows(_poses(spark, d)), 5000)
 
 
+@register("nearest_frames", """WITH w AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS video_id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS start FROM lineitem),
+f AS (SELECT DISTINCT l_partkey AS video_id, CAST(floor(l_extendedprice) AS BIGINT) % 2600 AS frame_idx FROM lineitem WHERE l_returnflag = 'R')
+SELECT id, line, w.video_id, start, arg_min(frame_idx, struct_pack(d := abs(frame_idx - start), f := frame_idx)) AS nearest FROM w LEFT JOIN f ON w.video_id = f.video_id GROUP BY ALL""")
+def nearest_frames(spark, d):
+    """Of each part's lines the nearest place among those of its returned lines; parts without returned lines have none."""
+    line = views.table(spark, d, "lineitem")
+    wanted = line.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("video_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("long").alias("start"))
+    frames = line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("video_id"), (F.floor("l_extendedprice") % 2600).alias("frame_idx"))
+    return registration.nearest_frames(wanted, frames, chunk=500)
+
+
 @register("memory_weights", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN v THEN round(CASE WHEN prev THEN 0.4 ELSE 1.0 END / count(CASE WHEN v THEN 1 END) OVER (PARTITION BY l_suppkey, l_returnflag), 9) END AS weight FROM (SELECT *, l_linenumber % 2 = 0 AS v, l_orderkey % 2 = 0 AS prev FROM lineitem)")
 def memory_weights(spark, d):
     a = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("video_id"), F.col("l_returnflag").alias("part_id"), (F.col("l_linenumber") % 2 == 0).alias("visible"), (F.col("l_orderkey") % 2 == 0).alias("has_previous"))

@@ -174,3 +174,16 @@ def test_warps_are_those_of_every_pixel(spark, h):
     out = shapes.pixels(registration.warp(as_runs(spark, found), [F.lit(float(v)) for v in h], 30, 30))
     got = [tuple(r) for r in out.select("frame_idx", "object_id", "x", "y").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_nearest_frames_across_chunks(spark):
+    rng = np.random.default_rng(31)
+    frames = [(int(v), int(f)) for v in range(5) for f in rng.choice(4000, 12, replace=False)] + [(0, 7), (0, 7)]
+    wanted = [(int(v), int(s), i) for i, (v, s) in enumerate(zip(rng.integers(0, 7, 300), rng.integers(-50, 4100, 300)))] + [(1, None, 300), (0, 7, 301), (0, 7, 301)]
+    w = spark.createDataFrame(wanted, "video_id long, start long, _k long")
+    f = spark.createDataFrame(frames, "video_id long, frame_idx long")
+    by = {v: sorted({x for u, x in frames if u == v}) for v in range(7)}
+    want = sorted((i, min(by[v], key=lambda x: (abs(x - s), x)) if s is not None and by[v] else None) for v, s, i in wanted)
+    for chunk in (50, 100_000):
+        got = registration.nearest_frames(w, f, chunk=chunk)
+        assert got.columns == ["video_id", "start", "_k", "nearest"] and sorted((r["_k"], r.nearest) for r in got.collect()) == want
