@@ -8,6 +8,7 @@ from driftmark.operators import masks
 from driftmark.plans import views
 from driftmark.plans.base import oracle_sql, register
 from driftmark.plans.q_tracks import _r, r6
+from driftmark.sources import masks as stored
 
 KEYS = ["frame_idx", "object_id"]
 
@@ -236,3 +237,13 @@ def warped_masks(spark, d):
 def box_pairs_at_frames(spark, d):
     wanted = views.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("frame_idx"))
     return _r(masks.box_pairs(masks.at_frames(views.boxes(spark, d), wanted), 640, 480), gap_px=5, centre_px=5, gap_norm=6, centre_norm=6)
+
+
+@register("stored_masks", f"WITH {views.PIXELS} SELECT CAST(frame_idx // 4096 AS VARCHAR) AS video_id, frame_idx, object_id, count(*) AS area, CAST(sum(x * 31 + y) AS BIGINT) AS mark, count(DISTINCT x) AS columns FROM pixels GROUP BY 1, 2, 3")
+def stored_masks(spark, d):
+    """All masks packed into stores, 4,096 orders a video, and read back."""
+    runs = views.runs(spark, d).withColumn("video_id", F.floor(F.col("frame_idx") / 4096).cast("string"))
+    back = stored.mask_runs(stored.packed_stores(runs, height=64))
+    x, y0, n = F.col("x"), F.col("y0"), F.col("len")
+    marks = F.sum(n * (x * 31 + y0) + F.floor(n * (n - 1) / 2).cast("long"))
+    return back.groupBy("video_id", *KEYS).agg(F.sum("len").alias("area"), marks.alias("mark"), F.countDistinct("x").alias("columns"))

@@ -6,8 +6,9 @@ import io
 import pickle
 import sqlite3
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence, Set
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: First bytes and version of a payload (fixed values).
 MAGIC, VERSION = b"SAM3WT01", 1
 RUNS = "video_id string, frame_idx long, object_id string, x long, y0 long, len long"
+RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+#: The table of a store (fixed format).
+TABLE = "CREATE TABLE frame_segmentation (frame_idx INTEGER NOT NULL PRIMARY KEY, seg_blob BLOB NOT NULL, bbox_json TEXT NOT NULL DEFAULT '{}', updated_at TEXT NOT NULL DEFAULT (datetime('now')))"
 FRAMES = "video_id string, frame_idx long, seg_bytes long, bbox_json string, updated_at string"
 
 
@@ -51,24 +55,53 @@ def run_lengths(text: bytes | str) -> list[int]:
     return out
 
 
-def column_runs(counts: list[int], height: int) -> list[tuple[int, int, int]]:
-    """Runs (x, y0, len) of the set pixels of counts that alternate between clear and set, down one column after the other."""
-    out, at = [], 0
-    for i, n in enumerate(counts):
-        end = at + n
-        while i % 2 and at < end:
-            x, y = divmod(at, height)
-            step = min(end - at, height - y)
-            out.append((x, y, step))
-            at += step
-        at = end
-    return out
+def column_runs(counts: Sequence[int], height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y0 and len of the runs of set pixels, for counts that alternate between clear and set, down one column after the other."""
+    ends = np.cumsum(np.asarray(counts, dtype=np.int64))
+    first, end = ends[:-1:2], ends[1::2]  # every second count is of set pixels
+    held = end > first
+    first, end = first[held], end[held]
+    if not len(first):
+        return first, first, first
+    columns = (end - 1) // height - first // height + 1
+    run = np.repeat(np.arange(len(first)), columns)
+    x = first[run] // height + np.arange(len(run)) - (np.cumsum(columns) - columns)[run]
+    y0 = np.maximum(first[run] - x * height, 0)
+    return x, y0, np.minimum(end[run] - x * height, height) - y0
+
+
+def alternating(x: np.ndarray, y0: np.ndarray, length: np.ndarray, height: int) -> list[int]:
+    """The counts of which `column_runs` gives these runs. Runs may overlap; ValueError where one leaves its column."""
+    if len(x) and (y0.min() < 0 or length.min() < 0 or (y0 + length).max() > height):
+        raise ValueError("a run leaves its column")
+    order = np.argsort(x * height + y0, kind="stable")
+    first = (x * height + y0)[order]
+    end = np.maximum.accumulate(first + length[order]) if len(first) else first
+    opens = np.ones(len(first), dtype=bool)
+    opens[1:] = first[1:] > end[:-1]
+    last = np.append(opens[1:], True)[: len(first)]
+    edges = np.column_stack([first[opens], end[last]]).ravel()
+    return np.diff(np.concatenate([[0], edges])).astype(int).tolist()
+
+
+def masks_of(blob: bytes, wanted: Set[str] | None = None) -> Iterator[tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Each object of a frame's blob with its runs of columns; with `wanted`, only those objects are decoded."""
+    for name, mask in (payload(blob).get("rles") or {}).items():
+        if wanted is None or str(name) in wanted:
+            counts = mask["counts"]
+            yield str(name), column_runs(counts if isinstance(counts, list) else run_lengths(counts), int(mask["size"][0]))
 
 
 def _frames(content: bytes) -> Iterator[tuple[int, bytes, str, str]]:
-    """The rows of a store, read from memory: stores may lie where only Spark reads."""
+    """The rows of a store, read from memory: stores may lie where only Spark reads.
+
+    Stores are written with a write-ahead log, of which a database in memory knows nothing: bytes 18 and 19 of the
+    header, which say so, become 1. What is still in the log file beside the store isn't seen.
+    """
     store = sqlite3.connect(":memory:")
     try:
+        if content[18:20] == b"\x02\x02":
+            content = b"".join((content[:18], b"\x01\x01", memoryview(content)[20:]))
         store.deserialize(content)
         yield from store.execute("SELECT frame_idx, seg_blob, bbox_json, updated_at FROM frame_segmentation ORDER BY frame_idx")
     finally:
@@ -76,33 +109,81 @@ def _frames(content: bytes) -> Iterator[tuple[int, bytes, str, str]]:
 
 
 def stores(spark: SparkSession, path: str) -> DataFrame:
-    """The stores under a path or pattern as video_id (the folder's name) and content. A store is read whole by one task, and must be below 2 GB."""
+    """The stores under a path or pattern as video_id (the folder's name) and content.
+
+    A store is read whole by one task, and must be below 2 GB; `stored.read` has no such bound, but needs a path that
+    every executor can open.
+    """
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -2).alias("video_id"), "content")
 
 
+def run_batch(video: list[str], frame: list[int], name: list[str], runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A batch of RUNS from the masks of some objects."""
+    at = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
+    keys = [pa.array(c, t).take(pa.array(at)) for c, t in ((video, pa.string()), (frame, pa.int64()), (name, pa.string()))]
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(np.concatenate([r[i] for r in runs]), pa.int64()) for i in range(3)]], names=RUN_NAMES)
+
+
+def run_batches(frames: Iterable[tuple[str, int, bytes]], wanted: Set[str] | None = None, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of RUNS of (video, frame, blob) rows, cut after the mask that brings them to `most` runs."""
+    held: list[tuple] = []
+    size = 0
+    for video, frame, blob in frames:
+        for name, runs in masks_of(blob, wanted):
+            if len(runs[0]):
+                held.append((video, frame, name, runs))
+                size += len(runs[0])
+            if size >= most:
+                yield run_batch(*map(list, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield run_batch(*map(list, zip(*held)))
+
+
 def mask_runs(stores_: DataFrame) -> DataFrame:
     """Every object's mask of every frame of the stores, as runs of columns. Empty frames and masks have no rows; a blob that can't be read raises ValueError."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for video, content in zip(batch.column("video_id").to_pylist(), batch.column("content").to_pylist()):
-                out: list[tuple] = []
-                for frame, blob, _, _ in _frames(content):
-                    held = payload(blob)
-                    for name, mask in (held.get("rles") or {}).items():
-                        counts = mask["counts"]
-                        counts = counts if isinstance(counts, list) else run_lengths(counts)
-                        out += [(video, frame, str(name), *run) for run in column_runs(counts, int(mask["size"][0]))]
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-
-    names = [x.split()[0] for x in RUNS.split(", ")]
+            for video, content in zip(batch.column("video_id"), batch.column("content")):
+                yield from run_batches((video.as_py(), frame, blob) for frame, blob, _, _ in _frames(content.as_py()))
+
     return stores_.mapInArrow(read, RUNS)
 
 
+def packed_stores(runs: DataFrame, height: int, frames: int = 1_000) -> DataFrame:
+    """Stores of runs of columns: video_id, first_frame and content, a store for every stretch of `frames` frame numbers of a video that has rows.
+
+    The inverse of `mask_runs`. A task packs one stretch, so that what it holds is bounded by `frames` masks, however
+    long a video is. Overlapping runs become one; rows with a null in any column are left out; equal masks give equal blobs.
+    """
+    names = [*RUN_NAMES, "first_frame"]
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.select(names).sort_by([("frame_idx", "ascending"), ("object_id", "ascending")])
+        frame, name = rows["frame_idx"].to_numpy(), rows["object_id"].to_pylist()
+        x, y0, length = (rows[c].to_numpy() for c in ("x", "y0", "len"))
+        cuts = [i for i in range(len(name)) if not i or frame[i] != frame[i - 1] or name[i] != name[i - 1]] + [len(name)]
+        held: dict[int, dict] = {}
+        for a, b in zip(cuts, cuts[1:]):
+            width = int(x[a:b].max()) + 1
+            held.setdefault(int(frame[a]), {})[name[a]] = {"size": [height, width], "counts": alternating(x[a:b], y0[a:b], length[a:b], height)}
+        store = sqlite3.connect(":memory:")
+        store.execute(TABLE)
+        for at, rles in held.items():
+            body = {"h": height, "w": max(m["size"][1] for m in rles.values()), "rles": rles}
+            blob = MAGIC + VERSION.to_bytes(4, "big") + zlib.compress(pickle.dumps(body, protocol=4))
+            store.execute("INSERT INTO frame_segmentation (frame_idx, seg_blob) VALUES (?, ?)", (at, blob))
+        store.commit()
+        content = store.serialize()
+        store.close()
+        return pa.table({"video_id": pa.array([rows["video_id"][0].as_py()]), "first_frame": pa.array([rows["first_frame"][0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    clean = runs.select(F.col("video_id").cast("string").alias("video_id"), *[F.col(c) for c in RUN_NAMES[1:]]).dropna()
+    clean = clean.withColumn("first_frame", F.floor(F.col("frame_idx") / frames) * frames)
+    return clean.groupBy("video_id", "first_frame").applyInArrow(pack, "video_id string, first_frame long, content binary")
+
+
 def frame_rows(stores_: DataFrame) -> DataFrame:
     """A row for each saved frame: its blob's length, boxes as JSON text and time of saving."""
 

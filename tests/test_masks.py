@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftmark.operators import masks as shapes
 from driftmark.operators import registration
-from driftmark.sources import masks
+from driftmark.sources import masks, stored
 
 
 def packed(dense):
@@ -34,6 +34,7 @@ def packed(dense):
 def store(path, frames):
     path.parent.mkdir()
     con = sqlite3.connect(path)
+    con.execute("PRAGMA journal_mode=WAL")  # as stores are written
     con.execute("CREATE TABLE frame_segmentation (frame_idx INTEGER NOT NULL PRIMARY KEY, seg_blob BLOB NOT NULL, bbox_json TEXT NOT NULL DEFAULT '{}', updated_at TEXT NOT NULL DEFAULT (datetime('now')))")
     for f, held in frames.items():
         rles = {k: {"size": list(m.shape), "counts": packed(m)} for k, m in held.items()}
@@ -57,6 +58,78 @@ def test_stored_masks_come_back(spark, tmp_path):
     assert sorted((r.video_id, r.frame_idx) for r in masks.frame_rows(found).collect()) == [("v1", 0), ("v1", 7), ("v1", 9), ("v2", 3)]
 
 
+def masks_of_videos():
+    rng = np.random.default_rng(1)
+    return {v: {f: {o: rng.integers(0, 2, (9, 7)).astype(np.uint8) for o in ("1", "2", "x'y")[: 1 + f % 3]} for f in range(0, 60, 1 + i)} for i, v in enumerate(("v 1%", "v2", "v3"))}
+
+
+def runs_of(videos):
+    return sorted((v, f, o, int(x), int(y), 1) for v, frames in videos.items() for f, held in frames.items() for o, m in held.items() for y, x in np.argwhere(m))
+
+
+def test_shares_of_a_store_are_read_apart(spark, tmp_path):
+    videos = masks_of_videos()
+    for v, frames in videos.items():
+        store(tmp_path / v / "masks.sqlite", frames)
+    got = stored.read(spark, str(tmp_path / "*" / "masks.sqlite"), bytes_per_task=4_096)
+    assert got.rdd.getNumPartitions() > 6
+    pixels = lambda df: sorted(tuple(r) for r in df.selectExpr("video_id", "frame_idx", "object_id", "x", "explode(sequence(y0, y0 + len - 1)) AS y", "1L AS n").collect())
+    every = runs_of(videos)
+    assert pixels(got) == every
+    part = lambda **wanted: stored.read(spark, str(tmp_path / "*" / "masks.sqlite"), bytes_per_task=4_096, **wanted)
+    for wanted, keep in (
+        ({"start": 10, "stop": 20}, lambda r: 10 <= r[1] <= 20), ({"start": 55}, lambda r: r[1] >= 55), ({"stop": 0}, lambda r: r[1] == 0), ({"start": 5, "stop": 4}, lambda r: False), ({"start": 1000}, lambda r: False),
+        ({"videos": ["v 1%", "none"], "objects": ["1", "x'y"]}, lambda r: r[0] == "v 1%" and r[2] != "2"), ({"videos": []}, lambda r: False), ({"objects": []}, lambda r: False),
+    ):
+        assert pixels(part(**wanted)) == [r for r in every if keep(r)], wanted
+    both = pixels(got.where("frame_idx = 2").union(got.where("frame_idx = 4")))  # scans of one DataFrame don't disturb each other
+    assert both == [r for r in every if r[1] in (2, 4)] and pixels(got) == every
+    frames = stored.read(spark, str(tmp_path / "*" / "masks.sqlite"), "frames", ["frame_idx", "video_id"])
+    assert sorted((r.video_id, r.frame_idx) for r in frames.where("frame_idx >= 30").collect()) == sorted((v, f) for v, held in videos.items() for f in held if f >= 30)
+    assert frames.where("frame_idx IS NULL").count() == 0
+    whole = stored.read(spark, str(tmp_path / "v2" / "masks.sqlite"), "frames").where("frame_idx = 4").first()
+    assert (whole.video_id, whole.bbox_json, whole.seg_bytes > 12, len(whole.updated_at)) == ("v2", "{}", True, 19)
+    assert stored.read(spark, str(tmp_path / "none" / "*")).count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "masks.sqlite").write_bytes(b"no store")
+    with pytest.raises(Exception, match="file is not a database"):
+        stored.read(spark, str(tmp_path / "bad" / "masks.sqlite")).count()
+
+
+def test_only_what_is_wanted_is_read(tmp_path):
+    store(tmp_path / "v" / "masks.sqlite", {f: {"1": np.ones((4, 4), np.uint8), "2": np.ones((4, 4), np.uint8)} for f in range(100)})
+    path = str(tmp_path / "v" / "masks.sqlite")
+    reader = stored.StoredReader(path, "runs", masks.RUN_NAMES, 1_000, stored.Wanted(low=40, high=43, objects=frozenset({"2"})))
+    shares = reader.partitions()
+    assert len(shares) == 4  # no more than frames
+    assert [[f for f, _ in reader._rows(s, "frame_idx, seg_blob")] for s in shares] == [[40], [41], [42], [43]]
+    assert {o for s in shares for b in reader.read(s) for o in b.column("object_id").to_pylist()} == {"2"}
+    assert [s.path for s in stored.StoredReader(path, "runs", masks.RUN_NAMES, 1_000, stored.Wanted(videos=frozenset({"w"}))).partitions()] == [""]
+
+
+def test_rows_in_the_log_are_seen(tmp_path):
+    path = tmp_path / "v" / "masks.sqlite"
+    store(path, {1: {"1": np.ones((2, 2), np.uint8)}})
+    writer = sqlite3.connect(path)
+    writer.execute("INSERT INTO frame_segmentation (frame_idx, seg_blob) SELECT 2, seg_blob FROM frame_segmentation")
+    writer.commit()
+    reader = stored.StoredReader(str(path), "frames", ["frame_idx"], 1 << 20)
+    assert [f for s in reader.partitions() for b in reader.read(s) for f in b.column("frame_idx").to_pylist()] == [1, 2]
+    writer.close()
+
+
+def test_packed_stores_come_back(spark):
+    videos = masks_of_videos()
+    rows = runs_of(videos) + [("v2", 0, "1", 0, 0, 3), ("v2", 0, "1", 0, 2, 4), (None, 1, "1", 0, 0, 1), ("v2", None, "1", 0, 0, 1), ("n", -5, "1", 2, 0, 9)]
+    packed_ = masks.packed_stores(spark.createDataFrame(rows, masks.RUNS), height=9, frames=7)
+    assert packed_.where("video_id = 'v2'").count() == 9
+    got = {(r.video_id, r.frame_idx, r.object_id, r.x, r.y) for r in masks.mask_runs(packed_).selectExpr("video_id", "frame_idx", "object_id", "x", "explode(sequence(y0, y0 + len - 1)) AS y").collect()}
+    assert got == {(v, f, o, x, y0 + i) for v, f, o, x, y0, n in rows if v is not None and f is not None for i in range(n)}
+    assert masks.mask_runs(masks.packed_stores(spark.createDataFrame([], masks.RUNS), height=9)).count() == 0
+    with pytest.raises(Exception, match="leaves its column"):
+        masks.packed_stores(spark.createDataFrame([("v", 0, "1", 0, 5, 5)], masks.RUNS), height=9).count()
+
+
 def test_payloads_that_name_code_are_refused():
     class Bad:
         def __reduce__(self):
