@@ -55,19 +55,24 @@ def run_lengths(text: bytes | str) -> list[int]:
     return out
 
 
-def column_runs(counts: Sequence[int], height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y0 and len of the runs of set pixels, for counts that alternate between clear and set, down one column after the other."""
-    ends = np.cumsum(np.asarray(counts, dtype=np.int64))
-    first, end = ends[:-1:2], ends[1::2]  # every second count is of set pixels
-    held = end > first
-    first, end = first[held], end[held]
-    if not len(first):
-        return first, first, first
+def column_runs(counts: Sequence[Sequence[int]], heights: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the mask, x, y0 and len of the runs of set pixels of many masks, whose counts alternate between clear and set, down one column after the other."""
+    sizes = np.array([len(c) for c in counts], dtype=np.int64)
+    flat = np.array([n for c in counts for n in c], dtype=np.int64)
+    mask = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    ends = np.cumsum(flat)
+    before = np.concatenate([[0], ends])[start]  # what the masks before it count
+    held = ((np.arange(len(flat)) - start[mask]) % 2 == 1) & (flat > 0)  # every second count is of set pixels
+    mask, flat = mask[held], flat[held]
+    end = ends[held] - before[mask]
+    first, height = end - flat, np.asarray(heights, dtype=np.int64)[mask]
     columns = (end - 1) // height - first // height + 1
     run = np.repeat(np.arange(len(first)), columns)
+    height = height[run]
     x = first[run] // height + np.arange(len(run)) - (np.cumsum(columns) - columns)[run]
     y0 = np.maximum(first[run] - x * height, 0)
-    return x, y0, np.minimum(end[run] - x * height, height) - y0
+    return mask[run], x, y0, np.minimum(end[run] - x * height, height) - y0
 
 
 def alternating(x: np.ndarray, y0: np.ndarray, length: np.ndarray, height: int) -> list[int]:
@@ -84,12 +89,12 @@ def alternating(x: np.ndarray, y0: np.ndarray, length: np.ndarray, height: int)
     return np.diff(np.concatenate([[0], edges])).astype(int).tolist()
 
 
-def masks_of(blob: bytes, wanted: Set[str] | None = None) -> Iterator[tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Each object of a frame's blob with its runs of columns; with `wanted`, only those objects are decoded."""
+def masks_of(blob: bytes, wanted: Set[str] | None = None) -> Iterator[tuple[str, list[int], int, int]]:
+    """Each object of a frame's blob with its counts, height and width; with `wanted`, only those objects are decoded."""
     for name, mask in (payload(blob).get("rles") or {}).items():
         if wanted is None or str(name) in wanted:
             counts = mask["counts"]
-            yield str(name), column_runs(counts if isinstance(counts, list) else run_lengths(counts), int(mask["size"][0]))
+            yield str(name), counts if isinstance(counts, list) else run_lengths(counts), int(mask["size"][0]), int(mask["size"][1])
 
 
 def _frames(content: bytes) -> Iterator[tuple[int, bytes, str, str]]:
@@ -117,27 +122,27 @@ def stores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -2).alias("video_id"), "content")
 
 
-def run_batch(video: list[str], frame: list[int], name: list[str], runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """A batch of RUNS from the masks of some objects."""
-    at = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
-    keys = [pa.array(c, t).take(pa.array(at)) for c, t in ((video, pa.string()), (frame, pa.int64()), (name, pa.string()))]
-    return pa.RecordBatch.from_arrays([*keys, *[pa.array(np.concatenate([r[i] for r in runs]), pa.int64()) for i in range(3)]], names=RUN_NAMES)
+def run_batches(frames: Iterable[tuple[str, int, bytes]], wanted: Set[str] | None = None, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches of RUNS of (video, frame, blob) rows. Masks are decoded together until their counts and widths, of which no mask has more runs, come to `most`."""
 
+    def decoded() -> Iterator[pa.RecordBatch]:
+        video, frame, name, counts, heights = map(list, zip(*held))
+        mask, *runs = column_runs(counts, heights)
+        keys = [pa.array(c, t).take(pa.array(mask)) for c, t in ((video, pa.string()), (frame, pa.int64()), (name, pa.string()))]
+        if len(mask):
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(r, pa.int64()) for r in runs]], names=RUN_NAMES)
 
-def run_batches(frames: Iterable[tuple[str, int, bytes]], wanted: Set[str] | None = None, most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches of RUNS of (video, frame, blob) rows, cut after the mask that brings them to `most` runs."""
     held: list[tuple] = []
     size = 0
     for video, frame, blob in frames:
-        for name, runs in masks_of(blob, wanted):
-            if len(runs[0]):
-                held.append((video, frame, name, runs))
-                size += len(runs[0])
+        for name, counts, height, width in masks_of(blob, wanted):
+            held.append((video, frame, name, counts, height))
+            size += len(counts) + width
             if size >= most:
-                yield run_batch(*map(list, zip(*held)))
+                yield from decoded()
                 held, size = [], 0
     if held:
-        yield run_batch(*map(list, zip(*held)))
+        yield from decoded()
 
 
 def mask_runs(stores_: DataFrame) -> DataFrame:
