@@ -75,18 +75,25 @@ def column_runs(counts: Sequence[Sequence[int]], heights: Sequence[int]) -> tupl
     return mask[run], x, y0, np.minimum(end[run] - x * height, height) - y0
 
 
-def alternating(x: np.ndarray, y0: np.ndarray, length: np.ndarray, height: int) -> list[int]:
-    """The counts of which `column_runs` gives these runs. Runs may overlap; ValueError where one leaves its column."""
-    if len(x) and (y0.min() < 0 or length.min() < 0 or (y0 + length).max() > height):
+def alternating(mask: np.ndarray, x: np.ndarray, y0: np.ndarray, length: np.ndarray, height: int) -> list[list[int]]:
+    """For each mask (numbered from 0, every number used) the counts of which `column_runs` gives its runs. Runs may overlap; ValueError where one leaves its column."""
+    if len(x) and (x.min() < 0 or y0.min() < 0 or length.min() < 0 or (y0 + length).max() > height):
         raise ValueError("a run leaves its column")
-    order = np.argsort(x * height + y0, kind="stable")
-    first = (x * height + y0)[order]
-    end = np.maximum.accumulate(first + length[order]) if len(first) else first
-    opens = np.ones(len(first), dtype=bool)
-    opens[1:] = first[1:] > end[:-1]
-    last = np.append(opens[1:], True)[: len(first)]
-    edges = np.column_stack([first[opens], end[last]]).ravel()
-    return np.diff(np.concatenate([[0], edges])).astype(int).tolist()
+    if not len(x):
+        return []
+    key = x * height + y0
+    offset = mask * (int((key + length).max()) + 2)  # no mask touches the next
+    order = np.lexsort((key, mask))
+    first = (key + offset)[order]
+    end = np.maximum.accumulate(first + length[order])
+    opens = np.append(True, first[1:] > end[:-1])
+    of, base = mask[order][opens], offset[order][opens]
+    first, end = first[opens] - base, end[np.append(opens[1:], True)] - base
+    fresh = np.append(True, of[1:] != of[:-1])
+    clear = first - np.where(fresh, 0, np.append(0, end[:-1]))
+    flat = np.column_stack([clear, end - first]).ravel().tolist()
+    cuts = [*(2 * np.flatnonzero(fresh)).tolist(), len(flat)]
+    return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def masks_of(blob: bytes, wanted: Set[str] | None = None) -> Iterator[tuple[str, list[int], int, int]]:
@@ -168,11 +175,13 @@ def packed_stores(runs: DataFrame, height: int, frames: int = 1_000) -> DataFram
         rows = rows.select(names).sort_by([("frame_idx", "ascending"), ("object_id", "ascending")])
         frame, name = rows["frame_idx"].to_numpy(), rows["object_id"].to_pylist()
         x, y0, length = (rows[c].to_numpy() for c in ("x", "y0", "len"))
-        cuts = [i for i in range(len(name)) if not i or frame[i] != frame[i - 1] or name[i] != name[i - 1]] + [len(name)]
+        codes = rows["object_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        fresh = np.append(True, (frame[1:] != frame[:-1]) | (codes[1:] != codes[:-1]))
+        starts = np.flatnonzero(fresh)
+        widths = (np.maximum.reduceat(x, starts) + 1).tolist()
         held: dict[int, dict] = {}
-        for a, b in zip(cuts, cuts[1:]):
-            width = int(x[a:b].max()) + 1
-            held.setdefault(int(frame[a]), {})[name[a]] = {"size": [height, width], "counts": alternating(x[a:b], y0[a:b], length[a:b], height)}
+        for at, width, counts in zip(starts.tolist(), widths, alternating(np.cumsum(fresh) - 1, x, y0, length, height)):
+            held.setdefault(int(frame[at]), {})[name[at]] = {"size": [height, width], "counts": counts}
         store = sqlite3.connect(":memory:")
         store.execute(TABLE)
         for at, rles in held.items():
