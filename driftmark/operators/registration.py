@@ -182,7 +182,7 @@ def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Se
     inner = step(spans, _a=F.when(hit(F.col("_f")), F.col("_f")).otherwise(F.col("_f") + 1), _b=F.when(hit(F.col("_l")), F.col("_l")).otherwise(F.col("_l") - 1)).where("_a <= _b")
     inner = inner.where(hit(F.col("_a")) & hit(F.col("_b")))  # where the line runs along a border of the run, all its places are on one side
     out = inner.select(*keys, F.col("px").cast("long").alias("x"), F.col("_a").cast("long").alias("y0"), (F.col("_b") - F.col("_a") + 1).cast("long").alias("len"))
-    return merged(out, keys)
+    return merged(out, keys, None)  # whose masks are where the runs' are
 
 
 #: Scale, angle and angular speed of a track without frames so far.
