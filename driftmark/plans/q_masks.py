@@ -145,7 +145,7 @@ l0 AS (SELECT *, i AS part FROM r), {", ".join(f"l{k + 1} AS (SELECT p.frame_idx
 s AS (SELECT frame_idx, object_id, part, sum(b - a + 1) AS size FROM l{_TIMES} GROUP BY ALL)
 SELECT frame_idx, object_id, count(*) AS components, count(*) FILTER (size >= greatest(3, 0.12 * area)) AS large FROM (SELECT *, sum(size) OVER (PARTITION BY frame_idx, object_id) AS area FROM s) GROUP BY 1, 2""")
 def mask_components(spark, d):
-    return masks.large_components(_runs(spark, d), least=3)
+    return masks.large_components(_runs(spark, d), least=3, together=True)
 
 
 QUALITY = views.PIXELS + """,
