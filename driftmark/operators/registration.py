@@ -134,55 +134,88 @@ def blended(x: Column, y: Column, h: Sequence[Column], corners: Sequence[tuple[C
     return near(px, a[0] * x + a[1] * y + a[2]), near(py, a[3] * x + a[4] * y + a[5])
 
 
-def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Sequence[str] = ("frame_idx", "object_id")) -> DataFrame:
-    """Masks through a homography of nine columns onto a canvas, by nearest neighbour, as disjoint runs.
+def warp(runs: DataFrame, h: Sequence[Column], width: int, height: int, keys: Sequence[str] = ("frame_idx", "object_id"), joined: bool = True, most_lines: int = 200_000) -> DataFrame:
+    """Masks through a homography of nine columns onto a canvas, by nearest neighbour, as disjoint runs where the runs are disjoint.
 
     A canvas pixel is set if its place, taken back through the inverse and rounded, falls on a run. On a canvas column that place moves along a line, so that the
-    pixels of one run are an interval: four inequalities that are linear in the row bound it, and only the pixels at its ends are taken back. There is a row
-    for each run and canvas column that it can reach, not for each pixel. Where a run's corners lie on both sides of the horizon all columns are tried.
+    pixels of one run are an interval: four inequalities that are linear in the row bound it, and only the pixels at its ends are taken back. Each run meets the
+    canvas columns that it can reach, `most_lines` at a time, and not each pixel. Where a run's corners lie on both sides of the horizon all columns are tried.
+    With `joined` runs that touch on the canvas become one.
     """
+    import numpy as np
+    import pyarrow as pa
+
     from driftmark.operators.masks import merged
 
-    one = F.lit(1.0)
-    h = [c * one for c in h]
-    y1 = F.col("y0") + F.col("len") - 1
-    corners = [(x * one, y * one) for x in (F.col("x") - 1, F.col("x") + 1) for y in (F.col("y0") - 1, y1 + 1)]
-    below = [h[6] * x + h[7] * y + h[8] for x, y in corners]
-    across = [project(x, y, h)[0] for x, y in corners]
-    plain = (F.least(*below) > 0) | (F.greatest(*below) < 0)
-    first = F.when(plain, F.greatest(F.lit(0.0), F.floor(F.least(*across)))).otherwise(0)
-    last = F.when(plain, F.least(F.lit(width - 1.0), F.ceil(F.greatest(*across)))).otherwise(width - 1)
-    cross = lambda i, j, k, m: h[i] * h[m] - h[j] * h[k]
-    inverse = [cross(4, 5, 7, 8), cross(2, 1, 8, 7), cross(1, 2, 4, 5), cross(5, 3, 8, 6), cross(0, 2, 6, 8), cross(2, 0, 5, 3), cross(3, 4, 6, 7), cross(1, 0, 7, 6), cross(0, 1, 3, 4)]  # up to a factor
-    back = [F.col(f"_i{i}") for i in range(9)]
-    wide = runs.select(*keys, "x", "y0", "len", first.cast("long").alias("_a"), last.cast("long").alias("_b"), *[c.alias(f"_i{i}") for i, c in enumerate(inverse)], F.signum(cross(0, 1, 3, 4) * h[8] - cross(0, 2, 3, 5) * h[7] + cross(1, 2, 4, 5) * h[6]).alias("_det"), ((h[6] * F.col("x") + h[7] * (F.col("y0") + y1) / 2 + h[8])).alias("_w"))
-    lines = wide.where("_a <= _b").withColumn("px", F.explode(F.sequence("_a", "_b")))
-    px = F.col("px") * one
-    # What is seen from in front of the horizon has the sign of the determinant and of the run's own denominator.
-    sign = F.col("_det") * F.signum("_w")
-    at = lambda i: (back[i] * px + back[i + 2], back[i + 1])  # noqa: E731  # constant and slope in the row
-    (nx, mx), (ny, my), (nd, md) = at(0), at(3), at(6)
-    rules = []
-    for n, m, low, high in ((nx, mx, F.col("x") - 0.5, F.col("x") + 0.5), (ny, my, F.col("y0") - 0.5, y1 + 0.5)):
-        rules += [(sign * (n - low * nd), sign * (m - low * md)), (sign * (high * nd - n), sign * (high * md - m))]
-    # Each step is exploded, so that the planner doesn't put the steps into one another.
-    kept = [*keys, "x", "y0", "len", "px", *[f"_i{i}" for i in range(9)]]
-    step = lambda df, **columns: df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_s")).select(*kept, "_s.*")
-    ruled = step(lines, **{f"{n}{i}": c for i, r in enumerate(rules) for n, c in zip("pq", r)})
-    every = [(F.col(f"p{i}"), F.col(f"q{i}")) for i in range(4)]
-    far = F.lit(1e18)
-    begin = F.greatest(*[F.when(q > 0, -p / q).when((q == 0) & (p < -1e-9), far).otherwise(-far) for p, q in every])
-    end = F.least(*[F.when(q < 0, -p / q).otherwise(far) for p, q in every])
-    spans = step(ruled, _f=F.greatest(F.lit(0.0), F.ceil(begin - 1e-6)), _l=F.least(F.lit(height - 1.0), F.floor(end + 1e-6))).where("_f <= _l")
-
-    def hit(row: Column) -> Column:
-        sx, sy = project(px, row, back)
-        return (F.rint(sx) == F.col("x")) & (F.rint(sy) >= F.col("y0")) & (F.rint(sy) <= y1)
-
-    inner = step(spans, _a=F.when(hit(F.col("_f")), F.col("_f")).otherwise(F.col("_f") + 1), _b=F.when(hit(F.col("_l")), F.col("_l")).otherwise(F.col("_l") - 1)).where("_a <= _b")
-    inner = inner.where(hit(F.col("_a")) & hit(F.col("_b")))  # where the line runs along a border of the run, all its places are on one side
-    out = inner.select(*keys, F.col("px").cast("long").alias("x"), F.col("_a").cast("long").alias("y0"), (F.col("_b") - F.col("_a") + 1).cast("long").alias("len"))
-    return merged(out, keys, None)  # whose masks are where the runs' are
+    of = [f"_h{i}" for i in range(9)]
+    rows = runs.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("x", "y0", "len")], *[(c * F.lit(1.0)).alias(n) for c, n in zip(h, of)]).dropna(subset=["x", "y0", "len", *of])
+    names = [*keys, "x", "y0", "len"]
+
+    def inverse(h):
+        """The inverse, up to a factor, and the determinant."""
+        cross = lambda i, j, k, m: h[i] * h[m] - h[j] * h[k]
+        back = [cross(4, 5, 7, 8), cross(2, 1, 8, 7), cross(1, 2, 4, 5), cross(5, 3, 8, 6), cross(0, 2, 6, 8), cross(2, 0, 5, 3), cross(3, 4, 6, 7), cross(1, 0, 7, 6), cross(0, 1, 3, 4)]
+        return back, cross(0, 1, 3, 4) * h[8] - cross(0, 2, 3, 5) * h[7] + cross(1, 2, 4, 5) * h[6]
+
+    def moved(px, row, h):
+        w = h[6] * px + h[7] * row + h[8]
+        w = np.where(np.abs(w) > 1e-12, w, np.nan)
+        return (h[0] * px + h[1] * row + h[2]) / w, (h[3] * px + h[4] * row + h[5]) / w
+
+    def intervals(at, px, x, y0, y1, back, sign):
+        """Which of the lines have pixels, and their first and last rows."""
+        back, x, y0, y1, sign = [c[at] for c in back], x[at], y0[at], y1[at], sign[at]
+        along = lambda i: (back[i] * px + back[i + 2], back[i + 1])  # noqa: E731  # constant and slope in the row
+        (nx, mx), (ny, my), (nd, md) = along(0), along(3), along(6)
+        begin, end = np.full(len(at), -1e18), np.full(len(at), 1e18)
+        for n, m, low, high in ((nx, mx, x - 0.5, x + 0.5), (ny, my, y0 - 0.5, y1 + 0.5)):
+            for p, q in ((sign * (n - low * nd), sign * (m - low * md)), (sign * (high * nd - n), sign * (high * md - m))):
+                begin = np.maximum(begin, np.where(q > 0, -p / q, np.where((q == 0) & (p < -1e-9), 1e18, -1e18)))
+                end = np.minimum(end, np.where(q < 0, -p / q, 1e18))
+        first, last = np.maximum(0.0, np.ceil(begin - 1e-6)), np.minimum(height - 1.0, np.floor(end + 1e-6))
+        reached = np.flatnonzero(first <= last)
+        back, x, y0, y1, px, first, last = [c[reached] for c in back], x[reached], y0[reached], y1[reached], px[reached], first[reached], last[reached]
+
+        def hit(row):
+            sx, sy = moved(px, row, back)
+            return (np.rint(sx) == x) & (np.rint(sy) >= y0) & (np.rint(sy) <= y1)
+
+        first, last = np.where(hit(first), first, first + 1), np.where(hit(last), last, last - 1)
+        kept = (first <= last) & hit(first) & hit(last)  # where the line runs along a border of the run, all its places are on one side
+        return reached[kept], first[kept].astype(np.int64), last[kept].astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            x, y0, n, *h = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y0", "len", *of))
+            y1 = y0 + n - 1
+            corners = [(a, b) for a in (x - 1, x + 1) for b in (y0 - 1, y1 + 1)]
+            below = [h[6] * a + h[7] * b + h[8] for a, b in corners]
+            across = [moved(a, b, h)[0] for a, b in corners]
+            plain = (np.minimum.reduce(below) > 0) | (np.maximum.reduce(below) < 0)
+            first = np.where(plain, np.clip(np.floor(np.fmin.reduce(across)), 0, width), 0)
+            last = np.where(plain, np.clip(np.ceil(np.fmax.reduce(across)), -1, width - 1), width - 1)
+            lines = np.nan_to_num(np.maximum(last - first + 1, 0)).astype(np.int64)
+            first, before = np.nan_to_num(first), np.append(0, np.cumsum(lines))
+            back, det = inverse(h)
+            # What is seen from in front of the horizon has the sign of the determinant and of the run's own denominator.
+            sign = np.sign(det) * np.sign(h[6] * x + h[7] * (y0 + y1) / 2 + h[8])
+            begin = 0
+            while begin < len(x):
+                end = max(begin + 1, int(np.searchsorted(before, before[begin] + most_lines, "right")) - 1)
+                at = np.repeat(np.arange(begin, end), lines[begin:end])
+                px = first[at] + np.arange(before[begin], before[end]) - before[at]
+                kept, low, high = intervals(at, px, x, y0, y1, back, sign)
+                own = pa.array(at[kept])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in keys], pa.array(px[kept].astype(np.int64)), pa.array(low), pa.array(high - low + 1)], names=names)
+                begin = end
+
+    def quiet(batches):
+        with np.errstate(all="ignore"):
+            yield from run(batches)
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(quiet, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return merged(out, keys) if joined else out
 
 
 #: Scale, angle and angular speed of a track without frames so far.

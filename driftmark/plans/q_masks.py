@@ -229,8 +229,9 @@ def warped_masks(spark, d):
     from driftmark.operators import registration
 
     h = [F.lit(float(v)) for v in (1.5, 0.2, 3, 0.1, 1.2, 2, 0, 0, 1)]
-    out = masks.pixels(registration.warp(_runs(spark, d), h, 80, 80))
-    return out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("area"), F.sum(F.col("x") * 131 + F.col("y")).alias("mark"))
+    out = registration.warp(_runs(spark, d), h, 80, 80, joined=False)
+    n = F.col("len")
+    return out.groupBy(*KEYS).agg(F.sum(n).alias("area"), F.sum(n * (F.col("x") * 131 + F.col("y0")) + F.shiftright(n * (n - 1), 1)).alias("mark"))  # sums over the pixels of a run
 
 
 @register("box_pairs_at_frames", oracle_sql()["box_pairs"].replace("WHERE w > 0", "WHERE frame_idx IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND w > 0"))
