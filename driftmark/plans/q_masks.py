@@ -77,7 +77,8 @@ def contour_sample(spark, d):
 
 @register("contour_distances", f"WITH {BOUNDARY} SELECT p.frame_idx, p.object_id AS a, q.object_id AS b, round(min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 6) AS distance FROM boundary p JOIN boundary q ON p.frame_idx = q.frame_idx AND p.object_id < q.object_id GROUP BY 1, 2, 3")
 def contour_distances(spark, d):
-    return r6(masks.contour_distances(masks.contour_sample(masks.boundary(_runs(spark, d)), 100_000)))
+    runs = masks.merged(views.runs(spark, d), within=["frame_idx"])
+    return r6(masks.contour_distances(masks.boundary_runs(runs), together=True))
 
 
 AXES = ", ".join(f"{s}.area AS {n}_area, round({s}.cx, 5) AS {n}_cx, round({s}.cy, 5) AS {n}_cy, round({s}.major, 4) AS {n}_major, round(CASE WHEN {s}.minor < 1e-5 THEN 0 ELSE {s}.minor END, 4) AS {n}_minor" for s, n in (("a", "a"), ("r", "b")))

@@ -249,6 +249,37 @@ def test_warps_are_those_of_every_pixel(spark, h):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("batch, most_pairs", [(3, 5), (10_000, 1_000_000)])
+def test_distances_of_runs_are_those_of_their_pixels(spark, batch, most_pairs):
+    """Frames across batches and pairs in pieces; a frame of one object and rows without a frame give no pair."""
+    rng = np.random.default_rng(3)
+    rows = [(f, o, int(x), int(y), int(n)) for f in range(6) for o in "abc"[: 1 + f % 3] for x, y, n in zip(rng.integers(0, 40, 5), rng.integers(0, 40, 5), rng.integers(1, 6, 5))]
+    schema = "frame_idx long, object_id string, x long, y0 long, len long"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.frame_idx, r.a, r.b): r.distance for r in shapes.contour_distances(spark.createDataFrame([*rows, (None, "a", 1, 1, 1), (None, "b", 1, 1, 1)], schema), most_pairs=most_pairs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    points = {}
+    for f, o, x, y, n in rows:
+        points.setdefault((f, o), []).extend((x, y + i) for i in range(n))
+    want = {(f, a, b): min(math.dist(p, q) for p in points[f, a] for q in points[g, b]) for f, a in points for g, b in points if f == g and a < b}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_warped_runs_need_not_be_joined_to_be_disjoint(spark):
+    """Lines in small pieces, and a mask whose homography is missing, which gives no rows."""
+    rng = np.random.default_rng(4)
+    rows = [(0, o, int(x), int(y), 3) for o in "ab" for x, y in {(x, 4 * y) for x, y in zip(rng.integers(0, 12, 20).tolist(), rng.integers(0, 4, 20).tolist())}]
+    runs = spark.createDataFrame(rows, "frame_idx long, object_id string, x long, y0 long, len long")
+    h = [F.when(F.col("object_id") == "a", F.lit(float(v))) for v in (1.6, 0.2, 1, 0.1, 1.3, 2, 0.001, 0.002, 1)]
+    listed = lambda df: sorted((r.object_id, r.x, r.y) for r in shapes.pixels(df).collect())
+    apart = listed(registration.warp(runs, h, 30, 30, joined=False, most_lines=7))
+    assert apart and len(apart) == len(set(apart)) and {r[0] for r in apart} == {"a"}
+    assert apart == listed(registration.warp(runs, h, 30, 30))
+
+
 def test_nearest_frames_across_chunks(spark):
     rng = np.random.default_rng(31)
     frames = [(int(v), int(f)) for v in range(5) for f in rng.choice(4000, 12, replace=False)] + [(0, 7), (0, 7)]
