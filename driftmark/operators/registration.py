@@ -62,10 +62,10 @@ def pose_rows(poses: DataFrame, video: str = "video_id", nested: str = "poses")
 
 
 def reference_frames(rows: DataFrame, start: int, video: str = "video_id") -> DataFrame:
-    """Of each video the fully labelled frame (all of its parts) nearest to start, the earlier of two."""
+    """Of each video the fully labelled frame (all of its parts) nearest to start, the earlier of two. Rows that lie in tasks by video stay there; a task holds the parts of one video, not its frames."""
     marked = rows.select(video, "frame_idx", F.concat_ws("/", "object_id", "part_id").alias("k")).distinct()
-    parts = marked.groupBy(video).agg(F.countDistinct("k").alias("parts"))
-    full = marked.groupBy(video, "frame_idx").agg(F.count(F.lit(1)).alias("n")).join(parts, video).where("n = parts")
+    counted = marked.withColumn("parts", F.size(F.collect_set("k").over(W.partitionBy(video)))).where(F.col(video).isNotNull())
+    full = counted.groupBy(video, "frame_idx", "parts").agg(F.count(F.lit(1)).alias("n")).where("n = parts")
     return full.groupBy(video).agg(F.min_by("frame_idx", F.struct(F.abs(F.col("frame_idx") - start), "frame_idx")).alias("reference"), F.count(F.lit(1)).alias("full_frames"))
 
 

@@ -63,7 +63,10 @@ POSES = "p AS (SELECT DISTINCT l_suppkey AS video_id, 'o' AS object_id, 'p' || (
 
 
 def _poses(spark, d):
-    rows = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("video_id"), F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("part"), F.col("l_orderkey").cast("string").alias("frame")).distinct()
+    line = views.table(spark, d, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("video_id"), F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("part"), F.col("l_orderkey").cast("string").alias("frame"))
+    # Whole videos in tasks of about as many rows, so that there are more tasks for more rows.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-line.count() // 200_000)), "video_id").distinct()
     point = F.struct(F.lit(True).alias("visible"), F.lit(0.25).alias("x"), F.lit(0.75).alias("y"))
     frames = rows.groupBy("video_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("frame", point))).alias("f"))
     parts = frames.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "f"))).alias("p"))

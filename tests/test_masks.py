@@ -280,6 +280,14 @@ def test_warped_runs_need_not_be_joined_to_be_disjoint(spark):
     assert apart == listed(registration.warp(runs, h, 30, 30))
 
 
+def test_reference_frames_stay_in_the_tasks_of_their_videos(spark):
+    rows = [(1, "o", "p", 3), (1, "o", "q", 3), (1, "o", "p", 9), (1, "o", "q", 9), (1, "o", "q", 9), (1, "o", "p", 6), (2, "o", "p", 8), (3, "o", "p", 1), (3, "o", "q", 2), (None, "o", "p", 6)]
+    dealt = spark.createDataFrame(rows, "video_id long, object_id string, part_id string, frame_idx long").repartition(7, "video_id")
+    out = registration.reference_frames(dealt, 6)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in out.collect()} == {(1, 3, 2), (2, 8, 1)}
+
+
 def test_nearest_frames_across_chunks(spark):
     rng = np.random.default_rng(31)
     frames = [(int(v), int(f)) for v in range(5) for f in rng.choice(4000, 12, replace=False)] + [(0, 7), (0, 7)]
